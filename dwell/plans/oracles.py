@@ -314,3 +314,69 @@ lv as (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o
         (select pid, first(ts order by ts desc, seq desc) as since, first(new_event order by ts desc, seq desc) as event, {big('coalesce(sum(dur) filter (where not idle), 0)')} as db_time from iv group by pid)"""
     ),
 }
+
+RUNS = """
+select r.pid, r.e_seq, e_start, e_end, query_id, level, coalesce(closed_by = 'reset', false) as end_inferred, cast(null as bigint) as plan_dur,
+       (select count(*) from iv where iv.pid = r.pid and start < coalesce(e_end, {hi}) and ts > e_start and e_start < coalesce(e_end, {hi})) as n_events, e_start < {lo} as before_window
+from runs r join (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o.e_start, o.e_seq) < (s.ts, s.seq) and (o.c_seq is null or o.c_seq > s.seq)) as level from st s) lv on lv.seq = r.e_seq
+where e_start < {hi} and (e_end is null or e_end >= {lo})""".format(lo=LO, hi=HI)
+
+LEFT = """
+select {cols} from (select a.*, unnest(list_transform(range(len(cuts) + 1),
+     lambda k: {{'s': case when k = 0 then a.s else cuts[k].e end, 'e': case when k = len(cuts) then a.e else cuts[k + 1].s end}})) as p
+   from (select sm.*, coalesce((select list({{'s': x.s, 'e': x.e}} order by x.s) from xi x where x.capture = sm.capture and x.s < sm.e and x.e > sm.s), []) as cuts from sm) a) where p.s < p.e"""
+
+ORACLES |= {
+    "executions": q(RUNS, LIFO),
+    "top_executions": q(f"select pid, e_seq, coalesce(e_end, {HI}) - e_start as dur from ({RUNS}) order by 3 desc, 1, 2 limit 100", LIFO),
+    "exact_wins_merge": q(
+        "select seq, pid, start, ts, false as is_sample, true as counts from iv where class = 'lwlock' union all" + LEFT.format(cols="seq, pid, p.s as start, p.e as ts, true as is_sample, p.e = e as counts"),
+        SPANS + islands("spans", "capture", name="xi") + ",\nsm as (select seq, pid, cast(pid as varchar) as capture, start as s, ts as e from iv where class <> 'lwlock')",
+    ),
+    "in_command_majority": q(
+        f"""select seq, case when state is null then 'unknown' when case when dur > 0 and least(ts, {HI}) > start then 2 * inside >= least(ts, {HI}) - start else state = 'CMD_START' end then 'inside' else 'outside' end as in_command from (select iv.*,
+        (select m.marker from cm m where m.pid = iv.pid and (m.ts, m.seq) < (iv.ts, iv.seq) order by m.ts desc, m.seq desc limit 1) as state,
+        coalesce((select sum(least(iv.ts, {HI}, coalesce(nx, {HI})) - greatest(iv.start, m.ts)) from cm m where m.pid = iv.pid and marker = 'CMD_START' and m.ts < least(iv.ts, {HI}) and coalesce(nx, {HI}) > iv.start), 0) as inside from iv)""",
+        ",\ncm as (select *, lead(ts) over (partition by pid order by ts, seq) as nx from mk where marker in ('CMD_START', 'CMD_END'))",
+    ),
+    "ab_bucket_difference": q(
+        "select bucket, " + ", ".join(f"a.{c} - b.{c} as {c}" for c in CLASSES) + " from a join b using (bucket)",
+        buckets("(select * from cat where not idle and backend <> 'io_worker')", DAY // 2)
+        + f",\nal as (select b as bucket, {aas_cols(DAY // 2)} from bk left join sp on b = bucket group by b),\na as (select bucket - 30 as bucket, * exclude (bucket) from al where bucket >= 30),\nb as (select * from al where bucket < 30)",
+    ),
+    "sampled_vs_exact": q(
+        """select old_event, coalesce(x, 0) as exact_pct, coalesce(s, 0) as sampled_pct, abs(coalesce(x, 0) - coalesce(s, 0)) as gap from
+        (select old_event, 100.0 * sum(dur)::double / sum(sum(dur)) over ()::double as x from iv where not idle group by 1)
+        full join (select old_event, 100.0 * sum(w)::double / sum(sum(w)) over ()::double as s from (select iv.*, least(greatest(ts - w0, {lo}), {hi}) as a, least(ts, {hi}) - greatest(ts - w0, {lo}) as w from iv join tk using (ts)) where not idle group by 1) using (old_event)""".format(lo=LO, hi=HI),
+        f",\ntk as (select ts, least(coalesce(ts - lag(ts) over (order by ts), {UNIT}), {HOUR}) as w0 from (select distinct ts from iv))",
+    ),
+    "fidelity_ranges": q(
+        """select kind, min(s) as s, max(e) as e from (select *, sum(case when kind = pk then 0 else 1 end) over (order by s) as g from (select *, lag(kind) over (order by s) as pk from (
+        select s, e, case when exists (select 1 from xi where xi.s <= seg.s and xi.e >= seg.e) then 'exact' when exists (select 1 from sc where sc.s <= seg.s and sc.e >= seg.e) then 'sampled' else 'none' end as kind from seg))) group by g, kind""",
+        f",\nsx as (select start as s, ts as e from iv where class = 'lwlock' and dur < {2 * HOUR})"
+        + islands("sx", "", name="xi")
+        + f",\nsy as (select start as s, ts as e from iv where class = 'cpu' and dur < {2 * HOUR})"
+        + islands("sy", "", name="yi")
+        + f""",
+sc as (select * from yi where e - s > coalesce((select sum(least(xi.e, yi.e) - greatest(xi.s, yi.s)) from xi where xi.s < yi.e and xi.e > yi.s), 0) + {UNIT}),
+pt as (select distinct least(greatest(t, {LO}), {HI}) as t from (select s as t from xi union all select e from xi union all select s from sc union all select e from sc union all select {LO} union all select {HI})),
+seg as (select * from (select t as s, lead(t) over (order by t) as e from pt) where e is not null)""",
+    ),
+    "phase_capability": "with " + f"""
+r as (select cast(user_id as varchar) as phase, epoch_us(ts) as start, case when event_type <> 'error' then case when value > 20 then 'available' else 'unavailable' end end as state from events),
+l as (select *, lead(start) over w as nx, lead(state) over w as ns from r window w as (partition by phase order by start)),
+h as (select phase, start as s, coalesce(nx, {HI}) as e, case when state is null or (nx is not null and ns is null) then 'unknown' else state end as state from l
+      union all select phase, {LO}, min(start), 'unknown' from r group by phase),
+c as (select phase, state, greatest(s, {LO}) as s, least(e, {HI}) as e from h)""" + islands("c", "phase, state") + " select * from isl",
+    "wait_metrics": q(
+        f"""select generation, window_id, case when covered = required then closed end as wait_time, case when covered = required and not (died >= lo and died < hi and not certified) then closes end as completed_waits,
+        closed as closed_time, {big('0')} as open_time, covered, required, case when covered <> required then 'coverage_gap' when died >= lo and died < hi and not certified then 'exit_uncertified' end as reason
+        from (select *, {big('greatest(least(hi, died) - greatest(lo, born), 0)')} as required,
+          {big('coalesce((select sum(least(e, hi, died) - greatest(s, lo, born)) from ci where ci.generation = w.generation and s < least(hi, died) and e > greatest(lo, born)), 0)')} as covered,
+          {big('coalesce((select sum(least(ts, hi) - greatest(start, lo)) from iv where pid = w.generation and class = ' + chr(39) + 'lock' + chr(39) + ' and start < hi and ts > lo), 0)')} as closed,
+          (select count(*) from iv where pid = w.generation and class = 'lock' and ts >= lo and ts < hi) as closes,
+          exists (select 1 from iv where pid = w.generation and ts = w.died and dur < 100000000000) as certified
+        from (select generation, window_id, lo, hi, born, died from (select cast(capture as bigint) as generation, window_id, lo, hi from win) join (select pid as generation, min(start) as born, max(ts) as died from iv group by 1) using (generation)) w)""",
+        SPANS + ",\nck as (select pid as generation, start as s, ts as e from iv where dur < 100000000000)" + islands("ck", "generation", name="ci"),
+    ),
+}

@@ -105,7 +105,8 @@ def phase_tags(spark, d):
 
 @query
 def in_command_majority(spark, d):
-    return annotate.tag_in_command(marked(spark, d), HI, WIDTH).filter("marker is null").select("seq", "in_command")
+    t = annotate.tag_in_command(marked(spark, d), HI, WIDTH).filter("marker is null")
+    return t.select("seq", F.when(F.col("in_command"), "inside").when(~F.col("in_command"), "outside").otherwise("unknown").alias("in_command"))
 
 
 @query
@@ -433,7 +434,7 @@ def wait_metrics(spark, d):
     cover = m.filter("dur < 100000000000").select("generation", F.col("start").alias("s"), F.col("ts").alias("e"))
     waits = m.select("generation", F.col("old_event").alias("event"), F.col("start").alias("s"), F.col("ts").alias("e"), F.lit(None).cast("long").alias("as_of"))
     w = w.join(lives.select("generation"), "generation", "left_semi")
-    return coverage.wait_metrics(w, lives, cover, waits, WIDTH)
+    return coverage.wait_metrics(w, lives, cover, waits, WIDTH).withColumn("wait_time", F.col("wait_time").cast("long"))
 
 
 @query
