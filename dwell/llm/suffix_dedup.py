@@ -3,7 +3,7 @@
 Every window of WIDTH bytes picks one suffix to stand for it: the one, among those that begin in
 the window and have a whole leading token there, whose token has the smallest hash (the
 leftmost of equals). Equal windows pick the same one, so it is enough to sort these suffixes,
-about one in eighteen, each with the stretch of text over which windows picked it (its context).
+about one in twenty, each with the stretch of text over which windows picked it (its context).
 
 Documents are dealt into batches by hash. A batch sends each distinct context once, with the
 smallest doc_id that has it, however many documents repeat it; so a passage that a third of all
@@ -23,13 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, TOKEN = 50, 16
+WIDTH, TOKEN = 50, 12
 PLACES = WIDTH - TOKEN + 1  # where in a window the token can begin
 LEFT = PLACES - 1
 FULL = LEFT + WIDTH  # bytes of the longest context
 WORDS = -(-FULL // 8)
 PIECE = 1 << 20
 _MIX = np.random.default_rng(50).integers(1, 1 << 62, WORDS + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TAIL = np.uint64((1 << 8 * (TOKEN - 8)) - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,19 +42,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Batch:
     """Documents of one batch as one buffer, with their suffixes, contexts and distinct contexts."""
 
-    def __init__(self, table: pa.Table):
-        self.ids = table.column("doc_id").to_pylist()
-        texts = [t or b"" for t in table.column("bytes").to_pylist()]
-        self.sizes = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, ids: list[int | None], sizes: list[int], data: bytes):
+        self.ids = ids
+        self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         pad = b"\0" * (FULL + 8)
-        self.padded = np.frombuffer(b"".join([pad, *texts, pad]), np.uint8)
+        self.padded = np.frombuffer(b"".join([pad, data, pad]), np.uint8)
         self.buffer = self.padded[len(pad) : len(self.padded) - len(pad)]
         self.pad = len(pad)
         self._runs()
         self._contexts()
 
+    @staticmethod
+    def of(table: pa.Table) -> "Batch":
+        """From packed documents: columns ids, sizes and data."""
+        unzip = zstandard.ZstdDecompressor().decompress
+        flat = lambda name: [x for part in table.column(name).to_pylist() for x in part]
+        return Batch(flat("ids"), flat("sizes"), b"".join(unzip(d) for d in table.column("data").to_pylist()))
+
     def _runs(self) -> None:
         n = len(self.buffer)
         inside = np.zeros(n, bool)
@@ -70,10 +77,10 @@ class Batch:
             for k in range(8):
                 w = part[k:]
                 words[k::8] = w[: len(w) // 8 * 8].view("<u8")[: len(words[k::8])]
-            key = _mixed(words[:-8] * _MIX[0] + words[8:] * _MIX[1])
+            key = _mixed(words[:-8] * _MIX[0] + (words[8:] & TAIL) * _MIX[1])
             key &= np.uint64(0xFFFFFFFF00000000)
             key |= np.arange(len(key), dtype=np.uint64)
-            for step in (1, 2, 4, 8, 16, PLACES - 32):
+            for step in (1, 2, 4, 8, 16, PLACES - 32):  # at last the smallest of PLACES
                 key = np.minimum(key[:-step], key[step:])
             at = (key[here] & np.uint64(0xFFFFFFFF)).astype(np.int64) + base
             out.append((here + base, at))
@@ -122,7 +129,9 @@ def context_hash(rows: np.ndarray, s_lo: np.ndarray, s_hi: np.ndarray) -> np.nda
 
 def leading(rows: np.ndarray) -> np.ndarray:
     """The leading token of each context's suffix as two big-endian words."""
-    return np.ascontiguousarray(rows[:, LEFT : LEFT + TOKEN]).view(">u8").astype(np.uint64)
+    token = np.ascontiguousarray(rows[:, LEFT : LEFT + 16])
+    token[:, TOKEN:] = 0
+    return token.view(">u8").astype(np.uint64)
 
 
 def bucket_of(tokens: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -137,16 +146,19 @@ def bucket_of(tokens: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     return lo
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+def packed(*arrays: np.ndarray, level: int = 9) -> bytes:
+    """One compressed block; numbers go byte by byte, so that their leading zeros cost nothing."""
+    planes = [np.ascontiguousarray(a).view("u1").reshape(len(a), -1) for a in arrays]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join((x if x.shape[1] > 8 else x.T).tobytes() for x in planes))
 
 
 def unpacked(data: bytes, n: int, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     for kind, width in kinds:
-        size = n * np.dtype(kind).itemsize * width
-        out.append(np.frombuffer(raw, kind, n * width, at).reshape((n, width) if width > 1 else n))
-        at += size
+        each = np.dtype(kind).itemsize * width
+        x = np.frombuffer(raw, "u1", n * each, at)
+        at += n * each
+        out.append(x.reshape(n, each) if each > 8 else np.ascontiguousarray(x.reshape(each, n).T).view(kind).reshape(n))
     return out
 
 
@@ -154,9 +166,31 @@ SENT = [("<u4", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", WORDS * 8)]
 BACK = [("<u4", 1), ("<i8", 1), ("u1", 1), ("u1", 1)]
 
 
+def _deal(batches):
+    """Packs the documents that go to the same batch."""
+    for x in batches:
+        batch = x.column("batch").to_numpy()
+        order = np.argsort(batch, kind="stable")
+        x = x.take(pa.array(order))
+        texts = [t or b"" for t in x.column("bytes").to_pylist()]
+        ids, batch = x.column("doc_id").to_pylist(), batch[order]
+        cut = np.append(np.flatnonzero(np.diff(batch, prepend=-1)), len(batch)).tolist()
+        zip_ = zstandard.ZstdCompressor(level=6).compress
+        parts = list(zip(cut[:-1], cut[1:]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(batch[i]) for i, _ in parts], pa.int64()),
+                pa.array([ids[i:j] for i, j in parts], pa.list_(pa.int64())),
+                pa.array([[len(t) for t in texts[i:j]] for i, j in parts], pa.list_(pa.int64())),
+                pa.array([zip_(b"".join(texts[i:j])) for i, j in parts], pa.binary()),
+            ],
+            ["batch", "ids", "sizes", "data"],
+        )
+
+
 def _send(splitters: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        b, batch = Batch(table), table.column("batch")[0].as_py()
+        b, batch = Batch.of(table), table.column("batch")[0].as_py()
         rows = b.context(b.first)
         bucket = bucket_of(leading(rows), splitters)
         order = np.argsort(bucket, kind="stable")
@@ -164,7 +198,7 @@ def _send(splitters: np.ndarray):
         out = []
         for i, j in zip(at[:-1], at[1:]):
             o = order[i:j]
-            out.append((int(bucket[o[0]]), batch, len(o), packed(o.astype("<u4"), b.least[o], b.s_lo[o].astype("u1"), b.s_hi[o].astype("u1"), rows[o])))
+            out.append((int(bucket[o[0]]), batch, len(o), packed(np.diff(o, prepend=0).astype("<u4"), b.least[o], b.s_lo[o].astype("u1"), b.s_hi[o].astype("u1"), rows[o])))
         return pa.table(list(map(list, zip(*out))) or [[]] * 4, schema=pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
     return run
@@ -242,6 +276,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     """Compares the contexts of one bucket and answers every batch."""
     batches = table.column("batch").to_pylist()
     parts = [unpacked(d, n, SENT) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist())]
+    parts = [[np.cumsum(p[0].astype(np.int64)), *p[1:]] for p in parts]
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     index, least, s_lo, s_hi, rows = (np.concatenate(x) for x in zip(*parts))
     del parts
@@ -272,7 +307,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     out = []
     for i, j in zip(cut[:-1], cut[1:]):
         x = o[i:j]
-        out.append((batches[int(owner[m[x[0]]])], len(x), packed(index[m[x]], docs[x].astype("<i8"), lo[x].astype("u1"), hi[x].astype("u1"))))
+        out.append((batches[int(owner[m[x[0]]])], len(x), packed(index[m[x]].astype("<u4"), docs[x].astype("<i8"), lo[x].astype("u1"), hi[x].astype("u1"))))
     return pa.table(list(map(list, zip(*out))) or [[]] * 3, schema=pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
 
@@ -280,7 +315,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.i
 
 
 def _cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    b = Batch(docs)
+    b = Batch.of(docs)
     parts = [unpacked(d, n, BACK) for d, n in zip(answers.column("data").to_pylist(), answers.column("n").to_pylist())]
     begin, end = [], []
     whole = b.least[b.index] < b.doc if len(b.doc) else np.zeros(0, bool)
@@ -339,14 +374,16 @@ def suffix_dedup(docs: DataFrame, batch_bytes: int = 6 << 20, sample_docs: int =
     def tokens(parts):
         for x in parts:
             if x.num_rows:
-                b = Batch(pa.Table.from_batches([x]))
+                texts = [t or b"" for t in x.column("bytes").to_pylist()]
+                b = Batch(x.column("doc_id").to_pylist(), list(map(len, texts)), b"".join(texts))
                 t = leading(b.context(b.first[:: max(1, len(b.first) // (20 * x.num_rows))]))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in t.astype(">u8")], pa.binary())], ["token"])
 
     drawn = sorted(bytes(r["token"]) for r in sample.mapInArrow(tokens, "token binary").limit(30 * sample_docs).collect())
     chosen = sorted({drawn[len(drawn) * k // batches] for k in range(1, batches)}) if drawn else []
     splitters = np.frombuffer(b"".join(chosen), ">u8").astype(np.uint64).reshape(-1, 2)
-    dealt = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(batches)))
+    d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(batches)))
+    dealt = d.mapInArrow(_deal, "batch long, ids array<long>, sizes array<long>, data binary")
     blocks = dealt.groupBy("batch").applyInArrow(_send(splitters), "bucket long, batch long, n long, data binary")
     answers = blocks.groupBy("bucket").applyInArrow(_bucket, "batch long, n long, data binary")
     done = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_cut, "doc_id long, kept binary, n_bytes long, spans array<struct<start: bigint, stop: bigint>>")
