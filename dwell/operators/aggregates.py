@@ -98,16 +98,20 @@ def histogram(dur: Column, unit: int) -> list[Column]:
     return [F.sum(F.when(b == i, 1).otherwise(0)).alias(f"h{i}") for i in range(HIST)]
 
 
-def hist_percentile(p: float, unit: int, n: Column | None = None) -> Column:
-    """Upper edge of the bucket that holds the nearest-rank percentile, from columns h0, h1, ...; the
-    open last bucket gives its lower edge."""
-    total = sum((F.col(f"h{i}") for i in range(HIST)), F.lit(0)) if n is None else n
+def cumulative(df: DataFrame) -> DataFrame:
+    """Adds _cum, the running sums of h0, h1, ..."""
+    d = df.withColumn("_h", F.array(*[F.col(f"h{i}").cast("long") for i in range(HIST)]))
+    add = lambda acc, x: acc + x
+    return d.withColumn("_cum", F.transform(F.sequence(F.lit(1), F.lit(HIST)), lambda n: F.aggregate(F.slice("_h", 1, n), F.lit(0).cast("long"), add)))
+
+
+def hist_percentile(p: float, unit: int) -> Column:
+    """Upper edge of the bucket that holds the nearest-rank percentile, from _cum; the open last
+    bucket gives its lower edge."""
+    total = F.element_at("_cum", HIST)
     rank = F.greatest(F.lit(1), F.ceil(total * p))
-    out, upto = F.lit(None).cast("long"), [sum((F.col(f"h{i}") for i in range(b + 1)), F.lit(0)) for b in range(HIST)]
-    for b in reversed(range(HIST)):
-        edge = F.lit(bucket_edge(min(b, HIST - 2), unit)).cast("long")
-        out = F.when((total > 0) & (upto[b] >= rank), edge).otherwise(out)
-    return out
+    edges = F.array(*[F.lit(bucket_edge(min(b, HIST - 2), unit)).cast("long") for b in range(HIST)])
+    return F.when(total > 0, F.element_at(edges, F.size(F.filter("_cum", lambda x: x < rank)) + 1))
 
 
 def top_events(df: DataFrame, lo: int, hi: int, unit: int) -> DataFrame:
@@ -119,7 +123,7 @@ def top_events(df: DataFrame, lo: int, hi: int, unit: int) -> DataFrame:
     hist = [F.sum(F.when(F.col("_d").isNotNull() & (b == i), 1).otherwise(0)).alias(f"h{i}") for i in range(HIST)]
     e = d.groupBy("old_event", "idle").agg(F.count("_d").alias("n"), F.sum("wall").alias("time"), F.avg("_d").alias("avg_dur"), F.max("_d").alias("max_dur"), *hist)
     total = e.agg(zero(F.sum(F.when(~F.col("idle"), F.col("time")))).alias("db"))
-    e = e.join(F.broadcast(total))
+    e = cumulative(e.join(F.broadcast(total)))
     ps = [hist_percentile(p, unit).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
     return e.select("old_event", "n", "time", "avg_dur", "max_dur", *ps, F.when(~F.col("idle") & (F.col("db") > 0), 100.0 * F.col("time") / F.col("db")).alias("pct"), (F.col("time") / (hi - lo)).alias("aas"))
 

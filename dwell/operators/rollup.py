@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwell.functions.rules import CLASS_NAMES, class_of, clip, is_idle
-from dwell.operators.aggregates import HIST, histogram, hist_percentile, zero
+from dwell.operators.aggregates import HIST, cumulative, histogram, hist_percentile, zero
 
 
 def build(df: DataFrame, tick: int, unit: int) -> DataFrame:
@@ -46,6 +46,7 @@ def time_model(r: DataFrame, tick: int, lo: int, hi: int) -> DataFrame:
 def top_events(r: DataFrame, tick: int, lo: int, hi: int, unit: int) -> DataFrame:
     d = r.filter((F.col("tick") >= lo // tick) & (F.col("tick") < hi // tick))
     g = d.groupBy("old_event").agg(F.sum("n").alias("n"), F.sum("time").alias("time"), F.max("longest").alias("max_dur"), *[F.sum(f"h{i}").alias(f"h{i}") for i in range(HIST)])
+    g = cumulative(g)
     return g.select("old_event", "n", "time", F.when(F.col("n") > 0, F.col("max_dur")).alias("max_dur"), hist_percentile(0.95, unit).alias("p95"))
 
 
