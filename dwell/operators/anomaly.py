@@ -37,6 +37,8 @@ class Rules:
     cusum_clip: float = 1.25
     cusum_drift: float = 0.8
     cusum_fire: float = 1.5
+    affinity_margin: float = 0.02
+    blind_s: float = 2.0
     cooldown_s: float = 120.0
 
 
@@ -45,57 +47,98 @@ class State:
     seen: int = 0
     baseline: float = 0.0
     over: int = 0
-    over_since: float = -1.0
     locks: int = 0
     cusum: float = 0.0
-    last_tick: float = -1.0
+    blind: int = 0
+    armed: int = 1
     last_fire: float = -1e18
 
 
-def step(r: Rules, s: State, tick: float, aas: float, lock_fraction: float, cpu_aas: float, capacity: float | None) -> tuple[str, int]:
-    """Advances the state by one tick; the action and the mask of rules that ask for it (1 load, 2 locks, 4 CPU)."""
+#: Bits of the masks.
+LOAD, LOCKS, CPU, WARMING, COOLING = 1, 2, 4, 8, 16
+
+
+def _load(r: Rules, s: State, aas: float) -> bool:
+    """Whether the load is over the baseline, which learns from ticks that aren't, and slowly from a
+    load that has been over it for long."""
     s.seen += 1
     if s.seen <= r.warmup_s * r.hz:
         s.baseline += (aas - s.baseline) / s.seen
-        high = False
-    else:
-        high = aas >= r.min_aas and aas > r.factor * s.baseline
-        rate = 1.0 / (r.ewma_s * r.hz)
-        if not high:
-            s.baseline += rate * (aas - s.baseline)
-        elif s.over_since >= 0 and tick - s.over_since > r.learn_through_s:
-            s.baseline += rate / 10 * (aas - s.baseline)
-    s.over, s.over_since = (s.over + 1, s.over_since if s.over else tick) if high else (0, -1.0)
-    s.locks = s.locks + 1 if lock_fraction > r.lock_share and lock_fraction * aas >= r.min_aas else 0
-    if capacity and s.last_tick >= 0:
-        s.cusum = max(0.0, s.cusum + (tick - s.last_tick) * (min(cpu_aas / capacity, r.cusum_clip) - r.cusum_drift))
-    elif not capacity:
+        return False
+    high = aas >= r.min_aas and aas > r.factor * s.baseline
+    s.over = s.over + 1 if high else 0
+    rate = 1.0 / (r.ewma_s * r.hz)
+    if not high:
+        s.baseline += rate * (aas - s.baseline)
+    elif s.over >= r.learn_through_s * r.hz:
+        s.baseline += rate / 10 * (aas - s.baseline)
+    return high
+
+
+def _cpu(r: Rules, s: State, x, cooling: bool) -> tuple[bool, bool]:
+    """(fires, climbs) of the CPU demand's CUSUM.
+
+    An incomplete tick still proves demand that reaches the reference; one below it, or one
+    without a known capacity, tells nothing: the sum is held, and dropped after blind_s of such
+    ticks. After a fire the rule waits for a complete tick with demand below the drift.
+    """
+    demand = None if not x.capacity else min(max(x.cpu_aas / x.capacity, 0.0), r.cusum_clip)
+    reference = r.cusum_drift + (r.affinity_margin if x.affinity_only else 0.0)
+    proven = demand is not None and demand >= reference
+    if demand is not None and x.coverage_ok and demand < r.cusum_drift:
+        s.armed = 1
+    useful = demand is not None and (x.coverage_ok or proven)
+    s.blind = 0 if useful else s.blind + 1
+    if s.blind >= r.blind_s * r.hz or x.capacity_changed or x.guard_blocked or cooling or (useful and not s.armed):
         s.cusum = 0.0
-    s.last_tick = tick
-    mask = (1 if s.over >= r.streak else 0) | (2 if s.locks >= r.streak else 0) | (4 if s.cusum >= r.cusum_fire and cpu_aas >= r.min_aas else 0)
-    if not mask:
-        return ("NEAR", 0) if high or s.locks else ("NONE", 0)
-    if tick - s.last_fire < r.cooldown_s:
-        return "NEAR", mask
-    s.last_fire = tick
-    return "FIRE", mask
+        return False, False
+    before = s.cusum
+    if useful:
+        s.cusum = max(0.0, s.cusum + (demand - reference) / r.hz)
+    return proven and s.cusum >= r.cusum_fire and x.cpu_aas >= r.min_aas, s.cusum > before
+
+
+def step(r: Rules, s: State, x) -> tuple[str, int, int]:
+    """Advances the state by one tick: action, what came near, and what asks for a fire (bits)."""
+    cooling = x.tick - s.last_fire < r.cooldown_s
+    cpu, climbs = _cpu(r, s, x, cooling)
+    high = _load(r, s, x.aas)
+    locked = x.lock_fraction > r.lock_share and x.lock_fraction * x.aas >= r.min_aas
+    s.locks = s.locks + 1 if locked else 0
+    fired = (LOAD if s.over >= r.streak else 0) | (LOCKS if s.locks >= r.streak else 0) | (CPU if cpu else 0)
+    if fired and cooling:
+        return "NEAR", COOLING, fired
+    if fired:
+        s.cusum, s.last_fire, s.armed = 0.0, x.tick, 0 if cpu else s.armed
+        return "FIRE", 0, fired
+    near = (LOAD if high else 0) | (LOCKS if locked else 0)
+    near |= CPU if climbs and x.cpu_aas >= r.min_aas and s.cusum >= r.cusum_fire / 2 else 0
+    near |= WARMING if s.seen <= r.warmup_s * r.hz and x.aas >= r.min_aas else 0
+    return ("NEAR" if near else "NONE"), near, 0
+
+
+DECISION = "capture string, tick double, action string, near_mask int, fired_mask int, baseline double, cpu_cusum double"
+TICKS = ["capture", "tick", "aas", "lock_fraction", "cpu_aas", "capacity"]
+#: Columns that a table of ticks may lack, with what then holds.
+FLAGS = {"coverage_ok": True, "capacity_changed": False, "affinity_only": False, "guard_blocked": False}
 
 
-DECISION = "capture string, tick double, action string, mask int, baseline double, cpu_cusum double"
-TICKS = ["capture", "tick", "aas", "lock_fraction", "cpu_aas", "capacity"]
+def _with_flags(ticks: DataFrame) -> DataFrame:
+    return ticks.select(*TICKS, *[F.col(c) if c in ticks.columns else F.lit(v).alias(c) for c, v in FLAGS.items()])
 
 
 def decide(rules: Rules, state: State, pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
+    pdf = pdf.assign(capacity=pdf["capacity"].fillna(0.0))
     for x in pdf.sort_values("tick").itertuples():
-        action, mask = step(rules, state, x.tick, x.aas, x.lock_fraction, x.cpu_aas, None if pd.isna(x.capacity) else x.capacity)
-        out.append((x.capture, x.tick, action, mask, state.baseline, state.cusum))
-    return pd.DataFrame(out, columns=["capture", "tick", "action", "mask", "baseline", "cpu_cusum"])
+        action, near, fired = step(rules, state, x)
+        out.append((x.capture, x.tick, action, near, fired, state.baseline, state.cusum))
+    return pd.DataFrame(out, columns=["capture", "tick", "action", "near_mask", "fired_mask", "baseline", "cpu_cusum"])
 
 
 def anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Decision for each tick of each capture (one row for a tick; columns TICKS, tick in seconds)."""
-    return ticks.select(*TICKS).groupBy("capture").applyInPandas(lambda pdf: decide(rules, State(), pdf), DECISION)
+    return _with_flags(ticks).groupBy("capture").applyInPandas(lambda pdf: decide(rules, State(), pdf), DECISION)
 
 
 def stream_anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -110,7 +153,7 @@ def stream_anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
         if out is not None:
             yield out
 
-    return ticks.select(*TICKS).groupBy("capture").applyInPandasWithState(run, DECISION, kinds, "append", "NoTimeout")
+    return _with_flags(ticks).groupBy("capture").applyInPandasWithState(run, DECISION, kinds, "append", "NoTimeout")
 
 
 def cusum(ticks: DataFrame, drift: float, clip: float) -> DataFrame:

@@ -252,6 +252,7 @@ def backend_spans(df: DataFrame, gaps: DataFrame, width: int) -> DataFrame:
         F.sum(F.when(m == "EXEC_START", 1).otherwise(0)).alias("execs"), F.sum(F.when(m.isNull(), 1).otherwise(0)).alias("records"),
         F.sum(F.when(m.isNull() & (F.shiftright("old_event", 24) == 0x06), F.col("dur")).otherwise(0)).alias("client_pause"),
         F.max(F.when(m.isNull(), F.col("is_sample"))).alias("sampled"),
+        F.sort_array(F.collect_set(F.when((F.col("query_id") != 0) & (m.isNull() | m.isin("EXEC_START", "PLAN_START")), F.col("query_id")))).alias("queries"),
     )
     last = Window.partitionBy(*ACTOR).orderBy("span")
     s = s.withColumn("more", F.lead("span").over(last).isNotNull())
@@ -264,17 +265,36 @@ def backend_spans(df: DataFrame, gaps: DataFrame, width: int) -> DataFrame:
     clean = ~F.col("gap") & ~F.coalesce("sampled", F.lit(False))
     measured = F.when(both & clean, "measured").when(F.col("c_start").isNull() & F.col("c_end").isNull(), "unmeasured").otherwise("partial")
     reason = F.when(F.col("c_start").isNotNull() & F.col("c_end").isNull() & F.col("more"), "malformed").when(F.col("gap"), "gap").when(F.coalesce("sampled", F.lit(False)), "sampled").when(F.col("c_start").isNull(), "no_start").when(F.col("c_end").isNull(), "no_end")
-    return s.select("pid", "span", "c_start", "c_end", F.when(both, F.col("c_end") - F.col("c_start")).alias("dur"), "execs", "records", "client_pause", closed.alias("closure"), measured.alias("measure"), reason.alias("reason"))
+    return s.select("pid", "span", "c_start", "c_end", F.when(both, F.col("c_end") - F.col("c_start")).alias("dur"), "execs", "records", "client_pause", "queries", closed.alias("closure"), measured.alias("measure"), reason.alias("reason"))
 
 
-def span_per_actor(spans: DataFrame, hi: int) -> DataFrame:
-    """Of each actor: an open span, else the longest measured closed one, else the latest other."""
+def _pick(spans: DataFrame, hi: int, key: str) -> DataFrame:
+    """Per key an open span, else the longest measured closed one, else the latest other."""
     rank = F.when(F.col("closure") == "in_flight", 0).when((F.col("closure") == "closed") & (F.col("measure") == "measured"), 1).otherwise(2)
-    long = F.when(F.col("closure") == "in_flight", hi - F.col("c_start")).otherwise(F.col("dur"))
-    w = Window.partitionBy("pid").orderBy(rank, F.coalesce(long, F.lit(0)).desc(), F.desc("span"))
+    w = Window.partitionBy(key).orderBy(rank, F.coalesce(_elapsed(hi), F.lit(0)).desc(), F.desc("span"), "pid")
     return spans.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
+def _elapsed(hi: int) -> Column:
+    return F.when(F.col("closure") == "in_flight", hi - F.col("c_start")).otherwise(F.col("dur"))
+
+
+def span_per_actor(spans: DataFrame, hi: int) -> DataFrame:
+    return _pick(spans, hi, "pid").drop("queries")
+
+
+def span_per_query(spans: DataFrame, hi: int) -> DataFrame:
+    return _pick(spans.withColumn("query_id", F.explode("queries")), hi, "query_id").drop("queries")
+
+
+def span_detail(spans: DataFrame, hi: int, limit: int = 100) -> DataFrame:
+    """A list: open spans first, then by elapsed time, with rank."""
+    live = F.when(F.col("closure") == "in_flight", 0).otherwise(1)
+    top = spans.withColumn("elapsed", _elapsed(hi)).withColumn("_live", live).orderBy("_live", F.desc_nulls_last("elapsed"), "pid", "span").limit(limit)
+    w = Window.orderBy("_live", F.desc_nulls_last("elapsed"), "pid", "span")
+    return top.withColumn("rank", F.row_number().over(w)).drop("_live", "queries")
+
+
 def worker_leaders(workers: DataFrame, runs: DataFrame, hi: int, width: int) -> DataFrame:
     """Rows of parallel workers within their leader's executions (workers: interval rows with leader_pid)."""
     a = workers.select(F.col("leader_pid").alias("leader"), "pid", "seq", F.col("start").alias("a_start"), F.col("ts").alias("a_end")).filter("a_start < a_end")

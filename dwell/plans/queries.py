@@ -305,13 +305,27 @@ def timeline_density(spark, d):
 
 @query
 def backend_spans(spark, d):
+    return _spans(spark, d).drop("queries")
+
+
+def _spans(spark, d):
     g = table(spark, d, "orders").select(F.lit("main").alias("capture"), (LO + F.expr("o_orderkey * 7919 % 43200000") * 60_000).alias("s"))
     return sequences.backend_spans(marked(spark, d), g.withColumn("e", F.col("s") + 60_000_000), HOUR)
 
 
 @query
 def span_per_actor(spark, d):
-    return sequences.span_per_actor(backend_spans(spark, d), HI)
+    return sequences.span_per_actor(_spans(spark, d), HI)
+
+
+@query
+def span_per_query(spark, d):
+    return sequences.span_per_query(_spans(spark, d), HI)
+
+
+@query
+def span_detail(spark, d):
+    return sequences.span_detail(_spans(spark, d), HI, 500)
 
 
 @query

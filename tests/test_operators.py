@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,14 @@ def test_backend_spans(spark):
     assert s == {(1, 1): (6, "closed", "partial", "gap"), (1, 2): (None, "unknown", "partial", "malformed"), (1, 3): (None, "in_flight", "partial", "no_end"), (2, 1): (None, "closed", "partial", "no_start")}
 
 
+def test_span_picks(spark):
+    d = rows(spark, (1, 0, "CMD_START"), (1, 1, "EXEC_START", 7), (1, 6, "CMD_END"), (1, 7, "CMD_START"), (1, 8, "EXEC_START", 7), (2, 1, "CMD_START"), (2, 2, "EXEC_START", 8), (2, 9, "CMD_END"))
+    s = sequences.backend_spans(d, spark.createDataFrame([], "capture string, s long, e long"), 5)
+    picks = {r["query_id"]: (r["pid"], r["closure"]) for r in sequences.span_per_query(s, 20).collect()}
+    assert picks == {7: (1, "in_flight"), 8: (2, "closed")}
+    assert [(r["pid"], r["span"], r["elapsed"]) for r in sequences.span_detail(s, 20, 10).orderBy("rank").collect()] == [(1, 2, 13), (2, 1, 8), (1, 1, 6)]
+
+
 def test_worked_contract_rows(spark):
     big = 1 << 40
     lives = spark.createDataFrame([(1, 0, None), (2, 0, 10), (3, 0, 10)], "generation long, born long, died long")
@@ -159,17 +169,52 @@ def test_rollup_equals_raw(spark):
     assert a == [tuple(x) for x in aggregates.aas(d, 0, 50, 5).select("bucket", "io", "lock", "total").orderBy("bucket").collect()]
 
 
-def test_anomaly_rules(spark):
+def tick(t, aas=1.0, locks=0.0, cpu=0.0, capacity=0.0, ok=True, changed=False, affinity=False, blocked=False):
+    return SimpleNamespace(tick=float(t), aas=aas, lock_fraction=locks, cpu_aas=cpu, capacity=capacity, coverage_ok=ok, capacity_changed=changed, affinity_only=affinity, guard_blocked=blocked)
+
+
+def test_load_rule():
     rules, state = anomaly.Rules(warmup_s=3), anomaly.State()
-    calm = [anomaly.step(rules, state, t, 1.0, 0, 0, None) for t in range(5)]
-    hot = [anomaly.step(rules, state, t, 9.0, 0, 0, None) for t in range(5, 9)]
-    assert {c[0] for c in calm} == {"NONE"} and [h[0] for h in hot] == ["NEAR", "NEAR", "FIRE", "NEAR"]
-    assert state.baseline == pytest.approx(1.0)
-    cpu = anomaly.State()
-    fired = [anomaly.step(rules, cpu, t, 4.0, 0, 4.0, 2.0) for t in range(6)]
-    assert [m & 4 for _, m in fired] == [0, 0, 0, 0, 4, 4]
-    ticks = spark.createDataFrame([("c", float(t), 4.0, 0.0, 4.0, 2.0) for t in range(6)], "capture string, tick double, aas double, lock_fraction double, cpu_aas double, capacity double")
-    assert [r["cpu_cusum"] for r in anomaly.anomalies(ticks, rules).orderBy("tick").collect()] == pytest.approx([r["cusum"] for r in anomaly.cusum(ticks, 0.8, 1.25).orderBy("tick").collect()])
+    assert {anomaly.step(rules, state, tick(t))[0] for t in range(5)} == {"NONE"}
+    got = [anomaly.step(rules, state, tick(t, aas=9.0)) for t in range(5, 9)]
+    assert got == [("NEAR", 1, 0), ("NEAR", 1, 0), ("FIRE", 0, 1), ("NEAR", 16, 1)] and state.baseline == pytest.approx(1.0)
+
+
+def test_lock_rule_needs_a_convoy():
+    rules = anomaly.Rules(warmup_s=0)
+    assert [anomaly.step(rules, s := anomaly.State(baseline=5.0), tick(0, aas=1.0, locks=1.0))[0] for _ in range(4)] == ["NONE"] * 4 and s.locks == 0
+    s = anomaly.State(baseline=5.0)
+    assert [anomaly.step(rules, s, tick(t, aas=6.0, locks=0.5))[0] for t in range(3)] == ["NEAR", "NEAR", "FIRE"]
+
+
+def test_cpu_rule_holds_resets_and_rearms():
+    rules, s = anomaly.Rules(), anomaly.State()
+    busy = dict(aas=4.0, cpu=4.0, capacity=2.0)
+    sums = []
+    for x in (tick(0, **busy), tick(1, **busy), tick(2, aas=1.0, cpu=0.2, capacity=2.0, ok=False), tick(3, **busy)):
+        anomaly.step(rules, s, x)
+        sums.append(round(s.cusum, 6))
+    assert sums == [0.45, 0.9, 0.9, 1.35]  # the blind tick holds
+    assert anomaly.step(rules, s, tick(4, **busy)) == ("FIRE", 0, 4) and (s.cusum, s.armed) == (0.0, 0)
+    for t in range(200, 206):
+        assert anomaly.step(rules, s, tick(t, **busy))[2] & 4 == 0  # not re-armed
+    anomaly.step(rules, s, tick(206, cpu=0.1, capacity=2.0))
+    anomaly.step(rules, s, tick(207, **busy))
+    assert s.armed and s.cusum == pytest.approx(0.45)
+    anomaly.step(rules, s, tick(208, **{**busy, "changed": True}))
+    assert s.cusum == 0.0
+    anomaly.step(rules, s, tick(209, **{**busy, "affinity": True}))
+    assert s.cusum == pytest.approx(0.43)
+    for t in (210, 211):
+        anomaly.step(rules, s, tick(t))  # capacity unknown
+    assert s.cusum == 0.0
+
+
+def test_cusum_window_equals_the_rule(spark):
+    ticks = spark.createDataFrame([("c", float(t), 4.0, 0.0, c, 4.0) for t, c in enumerate([0.0, 4.0, 3.0, 4.0, 5.0, 1.0, 1.0, 4.0])], "capture string, tick double, aas double, lock_fraction double, cpu_aas double, capacity double")
+    rule = [r["cpu_cusum"] for r in anomaly.anomalies(ticks).orderBy("tick").collect()]
+    plain = [r["cusum"] for r in anomaly.cusum(ticks, 0.8, 1.25).orderBy("tick").collect()]
+    assert rule == pytest.approx(plain) and max(rule) > 0.7
 
 
 def test_query_texts(spark):
