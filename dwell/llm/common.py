@@ -50,6 +50,12 @@ def row_key(names: tuple[str, str] = ("_r1", "_r2")) -> list[Column]:
     return [h.alias(n) for h, n in zip(digest(*cols), names)]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """_row, all columns of docs in a struct that no other name can clash with, and the row key, source too."""
+    source = [F.col("source").alias("_source")] if "source" in docs.columns else []
+    return docs.select(F.struct("*").alias("_row"), *row_key(("_k1", "_k2")), *source)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     where = spark.sparkContext.getCheckpointDir()

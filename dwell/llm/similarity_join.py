@@ -7,27 +7,28 @@ than the elements by which two linked sets of the class can differ, so linked no
 pieces: at least ``k`` minus that difference. A piece with its content is a token of the matrix.
 A very common n-gram alone makes no token: the other n-grams of its piece are part of it.
 
-The tokens first partition similar nodes into groups: every node is compared with the smallest
-node of each of its tokens, and what links is one group. Most tokens then lie within one group
-and are done. For the others the matrix of tokens by groups (the union of each group's tokens)
-bounds the overlap between a node and a foreign group; only groups that reach the needed count
-are opened, and their members compared. As groups merge when a link is found, no pairs within a
-group are ever made.
+The tokens first partition similar nodes into groups: every node is compared with the hub of
+each of its tokens, and what links is one group. Most tokens then lie within one group
+and are done. The nodes of the others are dealt into blocks of similar nodes. The matrix of tokens by
+blocks (the union of each block's tokens) bounds the overlap between a node and a block; a block
+that reaches the needed count is asked, bounds the overlap again by the union of its members'
+n-grams and smallest size, and only then compares them, all within one task. As groups merge when
+a link is found, no pairs within a group are ever made.
 """
 
-from __future__ import annotations
-
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import cut
+from dwell.llm.common import cut, keyed, row_key
 
 _R = np.random.default_rng(10).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SLACK = 2
+BLOCK = 1024  # nodes of one block of the matrix
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -156,7 +157,8 @@ def _node_rows(n: int):
     def run(batches):
         for batch, doc, gram in _batches(batches, n):
             size, node = _nodes_of(doc, gram, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(node)], ["doc_id", "n_shingles", "node"])
+            keys = [batch.column(k) for k in ("doc_id", "_r1", "_r2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(size), pa.array(node)], ["doc_id", "_r1", "_r2", "n_shingles", "node"])
 
     return run
 
@@ -178,22 +180,27 @@ def _token_rows(n: int, classes: Classes):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token and node: those of tokens with several nodes, with the smallest."""
-    held = None  # the first row of the last token
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token and node: those of tokens that several nodes have, once each."""
+    held, known = None, False  # the first row of the last token, and whether it is out already
     for batch in batches:
         token, node = (batch.column(k).to_numpy() for k in ("token", "node"))
         if held is not None:
             token, node = np.append(held[0], token), np.append(held[1], node)
         if not len(token):
             continue
-        new = np.append(True, token[1:] != token[:-1])
-        first = np.flatnonzero(new)
-        hub = node[first][np.cumsum(new) - 1]
-        held = (token[first[-1] :][:1], node[first[-1] :][:1])
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
         again = np.append(False, (token[1:] == token[:-1]) & (node[1:] == node[:-1]))
-        out = np.flatnonzero((node != hub) & ~again)
-        yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(node[out]), pa.array(hub[out])], ["token", "node", "hub"])
+        other = (node != node[first][run]) & ~again
+        several = np.bincount(run[other], minlength=len(first)) > 0
+        out = other.copy()
+        out[first[several]] = True
+        if known:
+            out[0] = False
+        known = bool(several[-1]) or (known and len(first) == 1)
+        held = (token[first[-1] :][:1], node[first[-1] :][:1])
+        yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(node[out])], ["token", "node"])
 
 
 def _set_rows(n: int):
@@ -259,51 +266,104 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     an id. An empty table gives an empty table; other columns are ignored. N-grams and sets are
     compared by 64-bit hashes.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("bytes"))
-    rows = cut(d.mapInArrow(_node_rows(words), "doc_id long, n_shingles long, node long"))
+    return _labelled(docs, words, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs without all but the first (smallest doc_id, null last) of each component.
+
+    Documents without words all stay; of rows with the same doc_id and text one stays.
+    """
+    rows = _labelled(docs, words, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_r1", "_r2"))
+    stay = rows.filter("n_shingles > 0").groupBy("comp").agg(first.alias("f")).select("f._r1", "f._r2")
+    stay = cut(stay.union(rows.filter("n_shingles = 0").select("_r1", "_r2")))
+    stay = stay.toDF("_k1", "_k2")
+    kept = keyed(docs).join(stay, ["_k1", "_k2"], "left_semi")
+    rn = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
+    return kept.withColumn("_rn", rn).filter("_rn = 1").select("_row.*")
+
+
+def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("bytes"), *row_key())
+    rows = cut(d.mapInArrow(_node_rows(words), "doc_id long, _r1 long, _r2 long, n_shingles long, node long"))
+    d = d.select("doc_id", "bytes")
     largest = rows.agg(F.max("n_shingles")).first()[0] or 1
     classes = Classes(num, den, largest)
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     comp = _node_components(d, nodes, words, classes, num, den)
-    labelled = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_node = labelled.join(least, "comp").select("node", "component_id")
-    linked = rows.filter("n_shingles > 0").join(by_node, "node").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    by_node = named.join(least, "comp").select("node", "comp", "component_id")
+    linked = rows.filter("n_shingles > 0").join(by_node, "node")
+    alone = rows.filter("n_shingles = 0").withColumn("comp", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return linked.unionByName(alone)
+
+
+def _open(num: int, den: int):
+    """Compares queries with the members of one block, if the bound of the block's union lets them."""
+
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        sets = [np.frombuffer(x, np.uint64) for x in members.column("items").to_pylist()]
+        if sets and queries.num_rows:
+            size = np.array(list(map(len, sets)))
+            item, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(item, kind="stable")
+            item, of = item[order], of[order]
+            node, comp = (members.column(k).to_numpy() for k in ("node", "comp"))
+            for q, own, x in zip(*(queries.column(k).to_pylist() for k in ("node", "comp", "items"))):
+                x = np.frombuffer(x, np.uint64)
+                lo, hi = np.searchsorted(item, x), np.searchsorted(item, x, side="right")
+                bound = int((hi > lo).sum())
+                if den * bound < num * (len(x) + int(size.min()) - bound):
+                    continue
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(of[at], minlength=len(sets))
+                link = np.flatnonzero((den * both >= num * (len(x) + size - both)) & (comp != own))
+                _, one = np.unique(comp[link], return_index=True)  # one link for each group is enough
+                out += [(q, int(node[i])) for i in link[one]]
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _node_components(d: DataFrame, nodes: DataFrame, words: int, classes: Classes, num: int, den: int) -> DataFrame:
     tokens = d.mapInArrow(_token_rows(words, classes), "token long, node long")
-    stars = cut(tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_stars, "token long, node long, hub long"))
-    pairs = stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    wanted = stars.select("node").union(stars.select("hub")).distinct()
+    shared = cut(tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long"))
+    # The hub of a token is the node whose tokens have the most nodes: the original of many copies.
+    counts = shared.groupBy("token").agg(F.count("*").alias("n"))
+    central = shared.join(counts, "token").groupBy("node").agg(F.sum("n").alias("central"))
+    hubs = shared.join(central, "node").groupBy("token").agg(F.max_by("node", F.struct("central", "node")).alias("hub"))
+    pairs = cut(shared.join(hubs, "token").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n")))
+    wanted = central.select("node")
     ids = nodes.join(wanted, "node").select("doc_id").distinct()
     chosen = d.join(ids, "doc_id", "left_semi").unionByName(d.filter("doc_id is null"))
     sets = chosen.mapInArrow(_set_rows(words), "node long, items binary")
     sets = cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long")
-
-    found = cut(links(pairs))
+    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    found = cut(pairs.filter("a <> b").select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long"))
     comp = components(found)
-    # Tokens that more than one group has, with all their nodes.
-    each = stars.select("token", "node").union(stars.select("token", F.col("hub").alias("node")).distinct())
-    each = each.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # Nodes of tokens that more than one group has, dealt into blocks of one hub and size class.
+    each = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rest = cut(each.join(mixed, "token"))
-    matrix = rest.groupBy("token", F.col("comp").alias("group")).agg(F.count("*").alias("members"))
-    size = rest.groupBy(F.col("comp").alias("group")).agg(F.countDistinct("node").alias("size"))
-    matrix = matrix.join(size, "group")
-    own = rest.join(size.select(F.col("group").alias("comp"), F.col("size").alias("own_size")), "comp")
-    # A node asks foreign groups that are larger than its own, or as large with a smaller name.
-    asked = own.join(matrix, "token").filter("group <> comp and (size > own_size or size = own_size and group < comp)")
-    bound = asked.groupBy("node", "group").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= SLACK)
-    members = rest.select("token", F.col("node").alias("member"), F.col("comp").alias("group"))
-    opened = bound.join(own.select("node", "token"), "node").join(members, ["token", "group"])
-    again = opened.groupBy(F.col("node").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= SLACK).select("a", "b")
-    tried = pairs.union(pairs.select("b", "a"))
-    more = links(again.join(tried, ["a", "b"], "left_anti"))
+    hub = pairs.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("n", "b")).alias("hub"))
+    many = rest.select("node", "comp").distinct().join(hub, "node").join(sets, "node")
+    size = F.octet_length("items") / 8
+    many = cut(many.withColumn("class", F.floor(F.log(size) / math.log(den / num)).cast("int")))
+    weight = many.groupBy("comp").agg(F.count("*").alias("weight"))
+    parts = many.groupBy("hub", "class").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = many.join(parts, ["hub", "class"]).join(weight, "comp")
+    placed = cut(placed.withColumn("block", F.xxhash64("hub", "class", F.pmod(F.xxhash64("node"), "parts"))).select("node", "comp", "weight", "block", "items"))
+    at = rest.select("token", "node").join(placed.select("node", "comp", "weight", "block"), "node")
+    rank = F.struct("weight", "comp")
+    matrix = at.groupBy("token", "block").agg(F.max(rank).alias("most"))
+    # A group is asked by nodes of smaller groups, or of groups as large with a smaller name.
+    asked = at.select("token", "node", rank.alias("own")).join(matrix, "token").filter("own < most")
+    asked = asked.groupBy("node", "block").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= SLACK).select("node", "block")
+    queries = asked.join(placed.select("node", "comp", "items"), "node").toDF("node", "block", "comp", "items")
+    more = queries.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_open(num, den), "a long, b long")
     return components(found.union(more))
