@@ -57,18 +57,18 @@ class LineRuns:
         return total.filter(F.col("n_docs") >= self.min_docs).select(*H)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drops every line whose key is found in at least ``min_docs`` documents.
 
     A line's key is the line without white space at both ends and with A-Z lower-cased; keys
     under ``min_chars`` code points are always kept. Every row is a document, also one that
     repeats another. Returns doc_id, text (what is left), n_lines and n_dropped for every row.
     A null or empty text is one empty line. A null doc_id stays null and counts like any
-    other. An empty table gives an empty table. Other columns are ignored. Digests have 128
-    bits; two different keys with the same digest are not expected in any real corpus.
+    other. An empty table gives an empty table. Other columns are left out. Digests have 128
+    bits; two different keys with the same digest are not expected in any real corpus. Columns named in ``carry`` pass through.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     lines = F.split("text", "\n", -1)
     key = lambda line: ascii_lower(strip_ws(line))
     hashed = F.transform(
@@ -95,6 +95,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
         .select(
             "doc_id",
             F.array_join("kept", "\n").alias("text"),
+            *carry,
             F.size("lines").cast("long").alias("n_lines"),
             (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         )

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import cut, digest, n_words
+from dwell.llm.common import cut, digest, n_words, words
 
 #: 2**31 divided by the golden ratio, made odd: multiples of it modulo 2**31 are golden-ratio points.
 GOLDEN_31 = 1327217885
@@ -96,7 +96,7 @@ def targets_small(targets: DataFrame, most: int = 50_000) -> bool:
     return targets.limit(most + 1).count() <= most
 
 
-def mix_sources(docs: DataFrame, block: int = 512, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
+def _mixed(docs: DataFrame, block: int, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
     """Returns (documents with what the mix takes of them, the mix itself).
 
     A source's documents, in an order fixed by their hashes, form a stream of words that repeats
@@ -122,7 +122,35 @@ def mix_sources(docs: DataFrame, block: int = 512, weights: tuple[int, ...] = (5
     pieces = inside.withColumn("from_word", lo - F.col("_from")).withColumn("n_words", hi - lo)
     mix = pieces.join(slot_schedule(targets, block), ["ord", "rank"])
     taken = mix.groupBy("ord", "start").agg(F.sum("n_words").alias("taken"))
-    got = placed.join(taken, ["ord", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = placed.join(taken, ["ord", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_h", "_h2")
     t = targets.withColumnRenamed("source", "_s")
-    none = sized.filter("size = 0").join(t, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    none = sized.filter("size = 0").join(t, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "_h", "_h2")
     return got.unionByName(none), mix.select("slot", "ord", "rank", "doc_id", "from_word", "n_words")
+
+
+def mix_sources(docs: DataFrame, block: int = 512, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of each document, and the mix: see _mixed."""
+    taken, mix = _mixed(docs, block, weights, share, most)
+    return taken.drop("_h", "_h2"), mix
+
+
+def apply_mix(docs: DataFrame, block: int = 512, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mixed rows of docs (all have its columns): each as often as its words are taken.
+
+    A document that the mix takes in part, the last of its source, comes with its first words,
+    joined by single spaces. n_chars, if there, follows the text.
+    """
+    taken, _ = _mixed(docs, block, weights, share, most)
+    sums = taken.groupBy("_h", "_h2").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0")
+    key = [h.alias(n) for h, n in zip(digest(F.col("doc_id").cast("string"), F.col("text")), ("_h", "_h2"))]
+    rows = docs.select(F.struct("*").alias("_row"), *key)
+    rn = F.row_number().over(Window.partitionBy("_h", "_h2").orderBy("_h"))
+    j = rows.join(sums, ["_h", "_h2"]).withColumn("_rn", rn).filter("_rn = 1")
+    left = F.expr("_taken % _size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.expr("cast(_taken div _size as int)")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
+    j = j.select("_row", F.explode(copies).alias("_first"))
+    text = F.when(F.col("_first") == 0, F.col("_row.text")).otherwise(F.array_join(F.slice(words(F.col("_row.text")), 1, F.greatest(F.lit(1), F.col("_first").cast("int"))), " "))
+    out = j.withColumn("_text", text).withColumn("_row", F.col("_row").withField("text", F.col("_text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("_row", F.col("_row").withField("n_chars", F.char_length("_text").cast("long")))
+    return out.select("_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import ascii_lower, cut, digest, row_key, strip_ws, words
+from dwell.llm.common import ascii_lower, cut, digest, keyed, row_key, strip_ws, words
 
 #: Symbols of the symbol count, a fixed value of the contract.
 SYMBOLS = "[#*$%&|<>]"
@@ -44,7 +44,7 @@ def base_metrics(docs: DataFrame, window: int = 5) -> DataFrame:
     return d.withColumn("base_failed", failed).drop("_w", "_g", "_rep", "_s", "_st")
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3) -> DataFrame:
+def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float) -> DataFrame:
     """Verdict on every document by its own counts and by the lines it shares with its host.
 
     Non-empty lines are normalised (white space at both ends off, A-Z lower-cased) and hashed;
@@ -54,7 +54,7 @@ def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01,
     characters is depleted. ``kept`` is false if the base rules fail or the document is depleted.
 
     One row for each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, line_chars, removed_chars, kept. Null text has no words, so it
+    n_repeat_words, base_failed, line_chars, removed_chars, kept, and source and key. Null text has no words, so it
     fails. Every row counts as a document, also one that repeats another; rows with equal
     doc_id, text and source get the same verdict. Other columns are ignored; an empty table
     gives an empty table.
@@ -81,4 +81,22 @@ def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01,
     chars = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc + k["c"])
     out = same.withColumn("line_chars", chars).withColumn("removed_chars", F.coalesce("removed", F.lit(0)).cast("long"))
     depleted = (F.col("removed_chars") > 0) & (F.col("line_chars") - F.col("removed_chars") < min_kept * F.col("line_chars"))
-    return out.select("doc_id", *keep, "line_chars", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return out.select("doc_id", "source", "_r1", "_r2", *keep, "line_chars", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"))
+
+
+def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3) -> DataFrame:
+    """Verdicts for each row of ``docs``: see _verdicts."""
+    return _verdicts(docs, min_docs, max_share, min_kept).drop("source", "_r1", "_r2")
+
+
+def pass_quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns.
+
+    Rows are met by a digest of doc_id and text and by source. The keys of the rejected rows are
+    broadcast while there are few of them, by count; otherwise both sides are shuffled.
+    """
+    out = _verdicts(docs, min_docs, max_share, min_kept).filter("not kept").select(F.col("source").alias("_s"), "_r1", "_r2").distinct()
+    out = cut(out)
+    side = F.broadcast(out) if out.count() <= 50_000 else out
+    same = (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")) & F.col("_source").eqNullSafe(F.col("_s"))
+    return keyed(docs).join(side, same, "left_anti").select("_row.*")
