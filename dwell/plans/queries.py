@@ -451,14 +451,26 @@ def wait_metrics(spark, d):
     return coverage.wait_metrics(w, lives, cover, waits, WIDTH).withColumn("wait_time", F.col("wait_time").cast("long"))
 
 
-@query
-def coverage_verdict(spark, d):
+def _boots(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("boot"), F.col("event_id").alias("seq"), micros("ts").alias("a"), "value")
     kind = F.when(F.col("value") < 0.05, "GAP_OPEN").when(F.col("value") < 0.1, "GAP_CLOSE").when(F.col("value") > 400, "BAD").otherwise("WATERMARK")
     f = e.select("boot", "seq", kind.alias("kind"), "a")
-    b = e.groupBy("boot").agg(F.min("a").alias("boot_start")).withColumn("sealed", F.lit(False)).withColumn("live", F.lit(True))
-    w = windows(spark, d).select("window_id", "lo", "hi")
-    return coverage.coverage_verdict(b, f, w, WIDTH)
+    # One boot after the other: each takes a fifth of the time.
+    shift = F.dense_rank().over(Window.orderBy("boot")) - 1
+    b = e.groupBy("boot").agg(F.min("a").alias("first")).withColumn("n", shift)
+    f = f.join(b, "boot").withColumn("a", F.expr(f"{LO} + n * {6 * DAY} + (a - {LO}) div 5")).drop("first", "n")
+    b = b.select("boot", (LO + F.col("n") * 6 * DAY).alias("boot_start"), (F.col("n") == 1).alias("sealed"), (F.col("n") == 4).alias("live"))
+    return b, f
+
+
+@query
+def coverage_verdict(spark, d):
+    return coverage.coverage_verdict(*_boots(spark, d), windows(spark, d).select("window_id", "lo", "hi"), WIDTH)
+
+
+@query
+def uncovered_ranges(spark, d):
+    return coverage.uncovered_ranges(*_boots(spark, d), windows(spark, d).select("window_id", "lo", "hi"), WIDTH)
 
 
 @query

@@ -154,6 +154,21 @@ def test_verdicts(spark):
     assert got == {1: "complete", 2: "incomplete", 3: "live_edge", 4: "incomplete"}
 
 
+def test_uncovered_reasons(spark):
+    boots = spark.createDataFrame([("a", 0, False, False), ("b", 60, False, True), ("c", 95, False, True)], "boot string, boot_start long, sealed boolean, live boolean")
+    facts = [("a", 0, "FILE", 1, 5), ("a", 1, "WATERMARK", 10, None), ("a", 2, "GAP_OPEN", 12, None), ("a", 3, "GAP_CLOSE", 15, None), ("a", 4, "WATERMARK", 20, None), ("a", 5, "BAD", 0, None), ("a", 6, "WATERMARK", 30, None), ("a", 7, "WATERMARK", 50, None)]
+    facts += [("b", 0, "FILE", 1, 60), ("b", 1, "WATERMARK", 100, None), ("c", 0, "FILE", 1, 95), ("c", 1, "WATERMARK", 110, None)]
+    facts = spark.createDataFrame(facts, "boot string, seq long, kind string, a long, b long")
+    w = spark.createDataFrame([(1, -10, 120), (2, 61, 90)], "window_id long, lo long, hi long")
+    legacy = spark.createDataFrame([(-5, -2)], "s long, e long")
+    got = [tuple(r) for r in coverage.uncovered_ranges(boots, facts, w, 10, legacy).select("window_id", "s", "e", "reason").orderBy("s").collect()]
+    assert got == [
+        (1, -10, -5, "not_captured"), (1, -5, -2, "not_recorded"), (1, -2, 0, "not_captured"), (1, 0, 5, "retention"), (1, 10, 15, "capture_loss"),
+        (1, 20, 30, "missing_file"), (1, 50, 60, "unclean_end"), (1, 95, 100, "clock_step"), (1, 110, 120, "not_yet_covered"),
+    ]
+    assert [coverage.restart_cause(*x) for x in ((None, "x"), ("x", "x"), ("x", "y"))] == ["unknown", "daemon", "postgres"]
+
+
 def test_faults_and_frontier(spark):
     m = spark.createDataFrame([("a", 1, 10, 1, 9), ("a", 2, 12, 2, 12), ("a", 2, 12, 3, 12), ("a", 4, 11, 6, 20), ("b", 1, 5, 1, 15)], "source string, o long, t long, q long, w long")
     assert sorted((r["o"], r["fault"]) for r in coverage.stream_faults(m).collect()) == [(2, "duplicate"), (4, "clock"), (4, "gap")]
