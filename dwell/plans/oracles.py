@@ -3,6 +3,7 @@
 Joins on time here are plain inequalities: they check the binned joins independently.
 """
 
+from dwell.functions.rules import NON_COMMAND_CPU
 from dwell.plans.base import BACKENDS, DAY, HI, HOUR, LO, MARKERS, STATES, UNIT
 
 MID = LO + 15 * DAY
@@ -380,3 +381,26 @@ c as (select phase, state, greatest(s, {LO}) as s, least(e, {HI}) as e from h)""
         SPANS + ",\nck as (select pid as generation, start as s, ts as e from iv where dur < 100000000000)" + islands("ck", "generation", name="ci"),
     ),
 }
+
+IN_COMMAND = ORACLES["in_command_majority"]
+
+ORACLES |= {
+    "cpu_relabel": q(
+        f"""select case when backend = 'foreground' and old_event = 0 and in_command = 'outside' then {NON_COMMAND_CPU} else old_event end as old_event, count(*) as n, {big('sum(dur)')} as time
+        from cat join ({IN_COMMAND}) using (seq) group by 1"""
+    ),
+    "query_attribution": q(
+        """select seq, case how when 'own' then qid when 'later' then l.q when 'earlier' then e.q else 0 end as attributed_id, how as attribution from (
+          select *, case when qid <> 0 then 'own' when qid = 0 and backend = 'foreground' and not idle and l is not null and (nb is null or (l.ts, l.seq) < (nb.ts, nb.seq)) then 'later'
+                         when qid = 0 and backend = 'foreground' and not idle and e is not null and (pb is null or (pb.ts, pb.seq) <= (e.ts, e.seq)) then 'earlier' else 'none' end as how from (
+            select *, first_value(case when carry then p end ignore nulls) over (w rows between 1 following and unbounded following) as l,
+                      last_value(case when carry then p end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as e,
+                      first_value(case when idle or marker = 'CMD_START' or (marker = 'CMD_END' and qid = 0) then p end ignore nulls) over (w rows between 1 following and unbounded following) as nb,
+                      last_value(case when idle or marker = 'CMD_START' then p end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as pb
+            from (select *, {'ts': ts, 'seq': seq, 'q': qid} as p, qid <> 0 and coalesce(marker, '') <> 'CMD_START' as carry from u) window w as (partition by pid order by ts, seq)))
+        where marker is null""",
+        f""",
+u as (select seq, ts, pid, case when dur > {6 * HOUR} then 0 else query_id end as qid, cast(null as varchar) as marker, idle, backend from cat
+      union all select seq, ts, pid, query_id, marker, false, '' from mk)""",
+    ),
+}
