@@ -68,7 +68,7 @@ class Tree:
 def probe(trees: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int]]:
     """The ``probes`` leaves of the whole forest that q is nearest to, from one queue for all trees.
 
-    A leaf's nearness is the smallest margin by which q lies on the wrong side on its path.
+    A leaf's distance is the sum of squares of the margins by which q lies on the wrong side on its path.
     """
     queue = [(0.0, t, 0 if len(tree.planes) else -1) for t, tree in enumerate(trees)]
     margins = [tree.planes @ q - tree.offsets if len(tree.planes) else None for tree in trees]
@@ -81,7 +81,7 @@ def probe(trees: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int]
             continue
         m = margins[t][n]
         for side, c in enumerate(trees[t].children[n].tolist()):
-            heapq.heappush(queue, (max(wrong, -m if side else m), t, c))
+            heapq.heappush(queue, (wrong + max(0.0, float(-m if side else m)) ** 2, t, c))
     return out
 
 
@@ -130,14 +130,15 @@ def _compare(k: int):
         qid, vid = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
         if len(qid) and len(vid):
             q, x = _matrix(queries.column("q")), _matrix(rows.column("embedding"))
+            floor = queries.column("floor").to_numpy()
             order = np.argsort(vid)
             vid, x = vid[order], x[order]
             for i in range(0, len(qid), 256):
-                s = np.einsum("id,jd->ij", q[i : i + 256], x)
+                s = np.einsum("id,jd->ij", q[i : i + 256], x)  # equal rows get equal scores, which BLAS does not promise
                 s[qid[i : i + 256][:, None] == vid] = -np.inf
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(s, best, 1)
-                ok = score > -np.inf
+                ok = (score > -np.inf) & (score >= floor[i : i + 256][:, None])
                 out[0].append(np.repeat(qid[i : i + 256], ok.sum(1)))
                 out[1].append(vid[best][ok])
                 out[2].append(score[ok])
@@ -147,17 +148,40 @@ def _compare(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf: int = 128, probes: int = 120, sample: int = 32_768) -> DataFrame:
+def enough_probes(v: DataFrame, q: DataFrame, forest: list[Tree], top: float, n: int, k: int, recall: float, sample: int = 96) -> int:
+    """The leaves that a query must open to find ``recall`` of its true neighbours, from a bounded sample of queries.
+
+    The sampled queries are compared with all rows. Each of their neighbours is in one leaf of
+    each tree; where the first of these stands in the query's order is when it would be found.
+    """
+    drawn = cut(q.orderBy(F.xxhash64(F.lit("recall"), "query_id")).limit(sample))
+    best = compare_all(v, drawn, k, n).join(drawn, "query_id").join(v, "vec_id").select("query_id", "q", "embedding").toArrow().sort_by("query_id")
+    if not best.num_rows:
+        return len(forest)
+    ids, ask, found = best.column("query_id").to_numpy(), _matrix(best.column("q")), lifted(_matrix(best.column("embedding")), top)
+    leaves = np.array([t.leaf_of(found) for t in forest])
+    opened, order, last = [], {}, None
+    for row, i in enumerate(ids.tolist()):
+        if i != last:
+            everything = probe(forest, np.append(ask[row], 0.0), sum(t.leaves for t in forest))
+            order, last = {p: at for at, p in enumerate(everything)}, i
+        opened.append(min(order[t, int(x)] for t, x in enumerate(leaves[:, row])) + 1)
+    return max(len(forest), int(np.sort(opened)[math.ceil(recall * len(opened)) - 1]))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf: int = 512, recall: float = 0.98, sample: int = 32_768) -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product found for each query.
 
     Both have vec_id (long) and embedding (array); queries are rows of vectors. Trees are fitted
     on a sample of about ``sample`` rows; every row is in a leaf of every tree. A query opens
-    the ``probes`` leaves that one queue over all trees puts first, and the rows in them are
-    scored exactly in double precision. Rows of a leaf are dealt over blocks of BLOCK rows, so
-    a vector that a third of all rows share is compared by many tasks and none is left out.
+    the leaves that one queue over all trees puts first, as many as a bounded sample of queries
+    needs for ``recall`` against all rows, and the rows in them are scored exactly in double
+    precision: first a leaf for each tree, then, with the score that a row must reach by now, the
+    others. Rows of a leaf are dealt over blocks of BLOCK rows, so a vector that a third of all
+    rows share is compared by many tasks and none is left out.
 
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller vec_id;
-    fewer than k rows where fewer were found. A query that finds fewer than k rows in its leaves
+    fewer than k rows where there are no more. A query that finds fewer than k rows in its leaves
     is compared with all rows instead. Vectors that are null, zero or hold a null or non-finite
     component take no part, nor do null ids; an empty table gives an empty result; vectors must
     have one length; rows that repeat a vec_id count once; other columns are ignored.
@@ -169,6 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(forest)
+    probes = enough_probes(v, q, forest, top, n, k, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,25 +201,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12
             for t, tree in enumerate(shared.value if len(x) else []):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaf_of(x)), b.column("vec_id"), b.column("embedding")], ["tree", "leaf", "vec_id", "embedding"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column("q"))
-            found = [probe(shared.value, np.append(r, 0.0), probes) for r in x]
-            rep = np.repeat(np.arange(len(x)), [len(f) for f in found])
-            flat = np.array([p for f in found for p in f], np.int64).reshape(-1, 2)
-            take = pa.array(rep)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1]), b.column("query_id").take(take), b.column("q").take(take)], ["tree", "leaf", "query_id", "q"])
+    def ask(first: int, upto: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _matrix(b.column("q"))
+                found = [probe(shared.value, np.append(r, 0.0), upto)[first:] for r in x]
+                flat = np.array([p for f in found for p in f], np.int64).reshape(-1, 2)
+                take = pa.array(np.repeat(np.arange(len(x)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1]), *(b.column(c).take(take) for c in ("query_id", "q", "floor"))], ["tree", "leaf", "query_id", "q", "floor"])
+
+        return run
 
     key = ["tree", "leaf"]
     leaves = v.mapInArrow(place, "tree int, leaf long, vec_id long, embedding array<double>")
-    sizes = leaves.groupBy(*key).agg(F.count("*").alias("rows"))
+    sizes = cut(leaves.groupBy(*key).agg(F.count("*").alias("rows")))
     blocks = F.ceil(F.col("rows") / BLOCK)
     large = sizes.filter(F.col("rows") > BLOCK)
     dealt = leaves.join(large, key, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("vec_id"), blocks), F.lit(0))).drop("rows")
-    asked = q.mapInArrow(ask, "tree int, leaf long, query_id long, q array<double>").join(sizes, key)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("rows")
-    pairs = asked.groupBy(*key, "block").cogroup(dealt.groupBy(*key, "block")).applyInArrow(_compare(k), FOUND)
-    found = cut(ranked(pairs, k))
+
+    def opened(q: DataFrame, first: int, upto: int) -> DataFrame:
+        asked = q.mapInArrow(ask(first, upto), "tree int, leaf long, query_id long, q array<double>, floor double").join(sizes, key)
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("rows")
+        return asked.groupBy(*key, "block").cogroup(dealt.groupBy(*key, "block")).applyInArrow(_compare(k), FOUND)
+
+    lowest = F.lit(float("-inf"))
+    start = cut(ranked(opened(q.withColumn("floor", lowest), 0, trees), k))
+    floor = start.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    again = q.join(floor, "query_id", "left").select("query_id", "q", F.when(F.col("n") == k, F.col("low")).otherwise(lowest).alias("floor"))
+    more = opened(again, trees, probes).unionByName(start.select(F.lit(0).cast("long").alias("block"), "query_id", "vec_id", "score"))
+    found = cut(ranked(more, k))
     few = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, n - 1)).select("query_id")
     few = cut(q.join(few, "query_id", "left_anti"))
     if few.isEmpty():
@@ -206,7 +241,7 @@ def compare_all(rows: DataFrame, queries: DataFrame, k: int, n: int) -> DataFram
     """The k nearest of all n rows, block by block: rows has vec_id and embedding, queries query_id and q."""
     blocks = max(1, math.ceil(n / BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = queries.select("query_id", "q", F.lit(float("-inf")).alias("floor"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     return ranked(asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_compare(k), FOUND), k)
 
 

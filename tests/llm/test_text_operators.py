@@ -307,7 +307,7 @@ def exact(data, q, k):
 def test_neighbours_reach_the_recall(spark):
     data, v = vectors(spark, 4000, copies=1300)
     got = collections.defaultdict(list)
-    for r in ann.nearest(v, v.filter("vec_id % 20 = 0"), k=10, leaf=64, probes=60).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(v, v.filter("vec_id % 20 = 0"), k=10, leaf=64).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     hits = total = 0
     for q in range(0, 4000, 20):
