@@ -17,10 +17,12 @@ UNIT_SCHEMA = "_r1 long, _r2 long, doc_id {kind}, start int, stop int, h1 long,
 
 
 def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each line and of each sentence within a line of several.
+    """(start, end, digest) of each line and of each sentence that isn't its whole line.
 
     Offsets count code points and take in the white space that follows the unit. Units are
     normalised by lower case and single spaces; those under ``min_words`` words are left out.
+    Lines and sentences have digests of one space, so a line of one sentence is found within
+    a longer line too.
     """
     at = 0
     for line in text.split("\n"):
@@ -28,12 +30,11 @@ def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
         words = line.lower().split()
         if len(words) >= min_words:
             yield at, stop, xxhash.xxh3_128_digest(" ".join(words).encode())
-            found = [m.span() for m in SENTENCE.finditer(line)]
-            if len(found) > 1:
-                for a, b in found:
+            for a, b in (m.span() for m in SENTENCE.finditer(line)):
+                if b - a < len(line):
                     words = line[a:b].lower().split()
                     if len(words) >= min_words:
-                        yield at + a, at + b, xxhash.xxh3_128_digest(" ".join(words).encode(), seed=1)
+                        yield at + a, at + b, xxhash.xxh3_128_digest(" ".join(words).encode())
         at += len(line) + 1
 
 
@@ -76,9 +77,9 @@ def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame, min_words: int = 6) -> DataFrame:
     """Removes every line or sentence that an earlier-ranked place already has.
 
-    Units are lines, and the sentences of lines that hold several, so that a passage put into
-    the middle of a line is found as well. Units with the same digest (128 bits of the
-    normalised unit) are one group; its first occurrence by doc_id (null last), then by offset,
+    Units are lines and the sentences within them, so that a passage put into the middle of a
+    line is found as well, also where it is a line of its own elsewhere. Units with the same
+    digest (128 bits of the normalised unit) are one group; its first occurrence by doc_id (null last), then by offset,
     stays, and all others go, in other documents as in the same one. Returns for each row of
     docs: doc_id, text (what is left; null stays null) and spans, array<struct<start, stop>>,
     the removed stretches as offsets in code points of the original text. Rows with equal
