@@ -12,28 +12,55 @@ from pyspark.sql import functions as F
 
 from dwell.llm.common import row_key
 
-SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+(?=\s|$)\s*|[.!?]+)*")
+#: Full stops of all scripts that have one, and the closing marks that follow those of Chinese and Japanese.
+STOPS = ".!?。！？｡．।॥؟۔։።፧။។៕།᠃"
+SENTENCE = re.compile(rf"[^{STOPS}]+(?:[{STOPS}]+[」』）】》〉〕]*\s*)*")
+#: Thai and Lao have no full stop: white space within them ends a sentence.
+GAP = re.compile(r"(?<=[\u0e00-\u0eff])\s+(?=[\u0e00-\u0eff])")
+#: Scripts without spaces, by the characters that count as a word: Chinese and Japanese 2; Thai, Lao, Tibetan, Burmese and Khmer 4.
+DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+LOOSE = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]")
 UNIT_SCHEMA = "_r1 long, _r2 long, doc_id {kind}, start int, stop int, h1 long, h2 long"
 
 
+def sentences(line: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each sentence of a line; white space that follows belongs to it."""
+    for m in SENTENCE.finditer(line):
+        a, b = m.span()
+        if not line.isascii():
+            for g in GAP.finditer(line, a, b):
+                yield a, g.end()
+                a = g.end()
+        yield a, b
+
+
+def long_enough(words: list[str], min_words: int) -> bool:
+    if len(words) >= min_words:
+        return True
+    text = "".join(words)
+    return not text.isascii() and len(DENSE.findall(text)) / 2 + len(LOOSE.findall(text)) / 4 >= min_words
+
+
 def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each line and of each sentence that isn't its whole line.
 
     Offsets count code points and take in the white space that follows the unit. Units are
-    normalised by lower case and single spaces; those under ``min_words`` words are left out.
-    Lines and sentences have digests of one space, so a line of one sentence is found within
-    a longer line too.
+    normalised by lower case and single spaces. Every line is a unit that isn't empty then, and
+    every sentence of ``min_words`` words; see long_enough for scripts without spaces. Lines
+    and sentences have digests of one space, so a line of one sentence is found within a longer
+    line too.
     """
     at = 0
     for line in text.split("\n"):
         stop = min(at + len(line) + 1, len(text))
         words = line.lower().split()
-        if len(words) >= min_words:
+        if words:
             yield at, stop, xxhash.xxh3_128_digest(" ".join(words).encode())
-            for a, b in (m.span() for m in SENTENCE.finditer(line)):
+        if long_enough(words, min_words):
+            for a, b in sentences(line):
                 if b - a < len(line):
                     words = line[a:b].lower().split()
-                    if len(words) >= min_words:
+                    if long_enough(words, min_words):
                         yield at + a, at + b, xxhash.xxh3_128_digest(" ".join(words).encode())
         at += len(line) + 1
 
@@ -75,10 +102,12 @@ def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 6) -> DataFrame:
-    """Removes every line or sentence that an earlier-ranked place already has.
+    """Removes every line, and every sentence of ``min_words`` words, that an earlier-ranked place already has.
 
     Units are lines and the sentences within them, so that a passage put into the middle of a
-    line is found as well, also where it is a line of its own elsewhere. Units with the same
+    line is found as well, also where it is a line of its own elsewhere. A line may be of any length; shorter sentences
+    within a line stay, as prose repeats them. In scripts without spaces, two characters
+    (Chinese, Japanese) or four (Thai, Lao, Tibetan, Burmese, Khmer) count as a word. Units with the same
     digest (128 bits of the normalised unit) are one group; its first occurrence by doc_id (null last), then by offset,
     stays, and all others go, in other documents as in the same one. Returns for each row of
     docs: doc_id, text (what is left; null stays null) and spans, array<struct<start, stop>>,

@@ -14,3 +14,16 @@ def test_whole_line_and_sentence_are_one_group(spark):
     assert deduped(spark, [passage, around.format(passage)]) == [passage, around.format("").replace("  ", " ")]
     assert deduped(spark, [around.format(passage), "own line of some other words\n" + passage + "\nlast"]) == [around.format(passage), "own line of some other words\nlast"]
     assert deduped(spark, ["... " + passage, passage]) == ["... " + passage, ""]
+
+
+def test_short_lines_and_other_scripts_are_units(spark):
+    assert deduped(spark, ["first text\nAll rights reserved.\nend", "second\n all rights  RESERVED."]) == ["first text\nAll rights reserved.\nend", "second\n"]
+    assert deduped(spark, ["No. He said no to all of them again.", "Yes. No. They were never there at all."]) == ["No. He said no to all of them again.", "Yes. No. They were never there at all."]
+    chinese = "这一段话在两个文件里都出现所以应该去掉一次。"
+    assert deduped(spark, [chinese, "前面的话说的是另外一件事情。" + chinese + "后面的话也不一样而且更长一些。"]) == [chinese, "前面的话说的是另外一件事情。后面的话也不一样而且更长一些。"]
+    quoted = "他对大家说这件事情已经完全结束了。」"
+    assert deduped(spark, [quoted + "一。", "第二个文件的开头在这里写着。" + quoted])[1] == "第二个文件的开头在这里写着。"
+    thai = "ข้อความนี้ปรากฏอยู่ในเอกสารสองฉบับ "
+    assert deduped(spark, [thai + "ตอนท้ายของฉบับแรกต่างออกไป", "ตอนต้นของฉบับที่สองไม่เหมือนกัน " + thai + "จบ"])[1] == "ตอนต้นของฉบับที่สองไม่เหมือนกัน จบ"
+    hindi = "यह वाक्य दोनों दस्तावेज़ों में एक ही रूप में आता है। "
+    assert deduped(spark, [hindi + "अंत", "शुरुआत अलग है। " + hindi + "और कुछ"])[1] == "शुरुआत अलग है। और कुछ"
