@@ -54,7 +54,8 @@ def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float)
     characters is depleted. ``kept`` is false if the base rules fail or the document is depleted.
 
     One row for each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, line_chars, removed_chars, kept, and source and key. Null text has no words, so it
+    n_repeat_words, base_failed, line_chars, removed_chars, kept, gone (the removed lines by their
+    number among the non-empty lines, from 0; null for none), and source and key. Null text has no words, so it
     fails. Every row counts as a document, also one that repeats another; rows with equal
     doc_id, text and source get the same verdict. Other columns are ignored; an empty table
     gives an empty table.
@@ -73,30 +74,58 @@ def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float)
         .filter(F.col("n") > F.col("n_host") * max_share)
         .select(F.col("source").alias("s2"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     )
-    each = narrow.select("_r1", "_r2", "source", F.explode("keys").alias("k"))
+    each = narrow.select("_r1", "_r2", "source", F.posexplode("keys").alias("i", "k"))
     hit = each.join(over, (F.col("k.h1") == F.col("a1")) & (F.col("k.h2") == F.col("a2")) & F.col("source").eqNullSafe(F.col("s2")), "left_semi")
-    removed = hit.groupBy("_r1", "_r2", F.col("source").alias("s3")).agg(F.sum("k.c").alias("removed"), F.count("*").alias("_n"))
-    # Rows that repeat each other share a key, and so what was summed over them.
-    same = narrow.join(removed.select(F.col("_r1").alias("b1"), F.col("_r2").alias("b2"), "s3", "removed"), (F.col("_r1") == F.col("b1")) & (F.col("_r2") == F.col("b2")) & F.col("source").eqNullSafe(F.col("s3")), "left")
+    lost = hit.groupBy("_r1", "_r2", F.col("source").alias("s3")).agg(F.sort_array(F.collect_set("i")).alias("gone"))
+    # Rows that repeat each other share a key, and so the lines that they lose.
+    same = narrow.join(lost.select(F.col("_r1").alias("b1"), F.col("_r2").alias("b2"), "s3", "gone"), (F.col("_r1") == F.col("b1")) & (F.col("_r2") == F.col("b2")) & F.col("source").eqNullSafe(F.col("s3")), "left")
     chars = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc + k["c"])
-    out = same.withColumn("line_chars", chars).withColumn("removed_chars", F.coalesce("removed", F.lit(0)).cast("long"))
+    removed = F.aggregate("gone", F.lit(0).cast("long"), lambda acc, i: acc + F.get("keys", i)["c"])
+    out = same.withColumn("line_chars", chars).withColumn("removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
     depleted = (F.col("removed_chars") > 0) & (F.col("line_chars") - F.col("removed_chars") < min_kept * F.col("line_chars"))
-    return out.select("doc_id", "source", "_r1", "_r2", *keep, "line_chars", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return out.select("doc_id", "source", "_r1", "_r2", *keep, "line_chars", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"), "gone")
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """text without the lines in gone (ascending numbers among the non-empty lines); all other lines stay as they are."""
+    bind = lambda c, f: F.transform(F.array(c), f)[0]
+
+    def pieces(lines: Column, drop: Column) -> Column:
+        before = lambda j: F.coalesce(F.get(drop, j - 1), F.lit(-1))
+        parts = F.transform(drop, lambda g, j: F.slice(lines, before(j) + 2, g - before(j) - 1))
+        return F.concat(F.flatten(parts), F.slice(lines, F.element_at(drop, -1) + 2, F.size(lines)))
+
+    full = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(strip_ws(x) != "", i)), lambda i: i.isNotNull())
+    left = bind(F.split(text, "\n", -1), lambda lines: bind(bind(full(lines), lambda at: F.transform(gone, lambda g: F.get(at, g))), lambda drop: pieces(lines, drop)))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def _same_row() -> Column:
+    return (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")) & F.col("_source").eqNullSafe(F.col("_s"))
 
 
 def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3) -> DataFrame:
-    """Verdicts for each row of ``docs``: see _verdicts."""
-    return _verdicts(docs, min_docs, max_share, min_kept).drop("source", "_r1", "_r2")
+    """Verdicts for each row of ``docs``, and its text without the lines over the limits: see _verdicts."""
+    v = _verdicts(docs, min_docs, max_share, min_kept).withColumnRenamed("source", "_s").distinct()
+    text = _without(F.col("_row.text"), F.col("gone")).alias("text")
+    return keyed(docs).join(v, _same_row()).select("_row.doc_id", *[c for c in v.columns if c not in ("doc_id", "_s", "_r1", "_r2", "gone")], text)
 
 
 def pass_quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns.
+    """The rows of docs that the rules keep, with all their columns; text is without the lines over the limits and n_chars follows it.
 
-    Rows are met by a digest of doc_id and text and by source. The keys of the rejected rows are
-    broadcast while there are few of them, by count; otherwise both sides are shuffled.
+    Rows are met by a digest of doc_id and text and by source. The keys of the rows that are
+    rejected or lose lines are broadcast while there are few of them, by count; otherwise both
+    sides are shuffled.
     """
-    out = _verdicts(docs, min_docs, max_share, min_kept).filter("not kept").select(F.col("source").alias("_s"), "_r1", "_r2").distinct()
-    out = cut(out)
-    side = F.broadcast(out) if out.count() <= 50_000 else out
-    same = (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")) & F.col("_source").eqNullSafe(F.col("_s"))
-    return keyed(docs).join(side, same, "left_anti").select("_row.*")
+    v = _verdicts(docs, min_docs, max_share, min_kept).filter("not kept or gone is not null")
+    v = cut(v.select(F.col("source").alias("_s"), "_r1", "_r2", "kept", "gone").distinct())
+    held = v.agg(F.sum(F.lit(1) + F.coalesce(F.array_size("gone"), F.lit(0)))).first()[0] or 0
+    side = F.broadcast(v) if held <= 50_000 else v
+    row, text = F.col("_row"), _without(F.col("_row.text"), F.col("gone"))
+    new = row.withField("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new = new.withField("n_chars", F.char_length(text).cast(kind))
+    out = keyed(docs).join(side, _same_row(), "left").filter("coalesce(kept, true)")
+    return out.select(F.when(F.col("gone").isNull(), row).otherwise(new).alias("_row")).select("_row.*")

@@ -38,7 +38,8 @@ def op3_suffix_array_dedup(spark, sf_dir):
 
 
 def op4_quality_rules(spark, sf_dir):
-    return quality_rules(documents(spark, sf_dir))
+    # The SQL has the verdicts alone.
+    return quality_rules(documents(spark, sf_dir)).drop("text")
 
 
 def op5_byte_bpe(spark, sf_dir, vocabulary=None):

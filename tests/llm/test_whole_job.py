@@ -1,6 +1,6 @@
 """Cases of the whole job that the text operators once left out."""
 
-from dwell.llm import substring_dedup
+from dwell.llm import quality, substring_dedup
 
 
 def deduped(spark, texts, **limits):
@@ -27,3 +27,19 @@ def test_short_lines_and_other_scripts_are_units(spark):
     assert deduped(spark, [thai + "ตอนท้ายของฉบับแรกต่างออกไป", "ตอนต้นของฉบับที่สองไม่เหมือนกัน " + thai + "จบ"])[1] == "ตอนต้นของฉบับที่สองไม่เหมือนกัน จบ"
     hindi = "यह वाक्य दोनों दस्तावेज़ों में एक ही रूप में आता है। "
     assert deduped(spark, [hindi + "अंत", "शुरुआत अलग है। " + hindi + "और कुछ"])[1] == "शुरुआत अलग है। और कुछ"
+
+
+def test_quality_removes_lines(spark):
+    own = lambda i: "\n".join(f"line {k} of document {i} says w{i}x{k} and y{k}z{i} here" for k in range(3))
+    texts = {i: own(i) + "\n \n  Subscribe to OUR letter\n\nlast line " + str(i) for i in range(30)} | {30: own(30), 31: None}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    rows += [rows[4], (40, "Subscribe to our letter\n" * 9 + "one two three four five six seven eight nine ten", "en", "s", 266)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: own(i) + "\n \n\nlast line " + str(i) for i in range(30)} | {30: own(30)}
+    got = quality.quality_rules(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["doc_id"] in (31, 40) or (r["text"], r["kept"], r["removed_chars"]) == (want[r["doc_id"]], True, 23 if r["doc_id"] < 30 else 0)
+    passed = quality.pass_quality(docs).collect()
+    assert sorted(r["doc_id"] for r in passed) == sorted([*range(31), 4])
+    assert all(r["text"] == want[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in passed)
