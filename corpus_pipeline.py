@@ -20,7 +20,7 @@ from dwell.llm.similarity_join import one_of_each
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and lines over the limits; n_chars follows the text."""
-    return pass_quality(docs.select(*DOCUMENT_COLUMNS))
+    return pass_quality(docs.select(*DOCUMENT_COLUMNS), max_docs=1000)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

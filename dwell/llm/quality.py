@@ -44,13 +44,14 @@ def base_metrics(docs: DataFrame, window: int = 5) -> DataFrame:
     return d.withColumn("base_failed", failed).drop("_w", "_g", "_rep", "_s", "_st")
 
 
-def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float) -> DataFrame:
+def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float, max_docs: int | None) -> DataFrame:
     """Verdict on every document by its own counts and by the lines it shares with its host.
 
     Non-empty lines are normalised (white space at both ends off, A-Z lower-cased) and hashed;
     per host (``source``, null is a host of its own) the documents of each line are counted. A
     line in more than ``min_docs`` documents and in more than ``max_share`` of its host's
-    documents is removed as boilerplate. A document that keeps under ``min_kept`` of its
+    documents is removed as boilerplate, and so is one in more than ``max_docs`` documents
+    whatever its share, where that is set. A document that keeps under ``min_kept`` of its
     characters is depleted. ``kept`` is false if the base rules fail or the document is depleted.
 
     One row for each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -71,7 +72,7 @@ def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float)
     over = (
         counts.filter(F.col("n") > min_docs)
         .join(hosts, F.col("source").eqNullSafe(F.col("s2")))
-        .filter(F.col("n") > F.col("n_host") * max_share)
+        .filter((F.col("n") > F.col("n_host") * max_share) | (F.col("n") > F.lit(max_docs) if max_docs is not None else F.lit(False)))
         .select(F.col("source").alias("s2"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     )
     each = narrow.select("_r1", "_r2", "source", F.posexplode("keys").alias("i", "k"))
@@ -104,21 +105,21 @@ def _same_row() -> Column:
     return (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")) & F.col("_source").eqNullSafe(F.col("_s"))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3, max_docs: int | None = None) -> DataFrame:
     """Verdicts for each row of ``docs``, and its text without the lines over the limits: see _verdicts."""
-    v = _verdicts(docs, min_docs, max_share, min_kept).withColumnRenamed("source", "_s").distinct()
+    v = _verdicts(docs, min_docs, max_share, min_kept, max_docs).withColumnRenamed("source", "_s").distinct()
     text = _without(F.col("_row.text"), F.col("gone")).alias("text")
     return keyed(docs).join(v, _same_row()).select("_row.doc_id", *[c for c in v.columns if c not in ("doc_id", "_s", "_r1", "_r2", "gone")], text)
 
 
-def pass_quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3) -> DataFrame:
+def pass_quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3, max_docs: int | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; text is without the lines over the limits and n_chars follows it.
 
     Rows are met by a digest of doc_id and text and by source. The keys of the rows that are
     rejected or lose lines are broadcast while there are few of them, by count; otherwise both
     sides are shuffled.
     """
-    v = _verdicts(docs, min_docs, max_share, min_kept).filter("not kept or gone is not null")
+    v = _verdicts(docs, min_docs, max_share, min_kept, max_docs).filter("not kept or gone is not null")
     v = cut(v.select(F.col("source").alias("_s"), "_r1", "_r2", "kept", "gone").distinct())
     held = v.agg(F.sum(F.lit(1) + F.coalesce(F.array_size("gone"), F.lit(0)))).first()[0] or 0
     side = F.broadcast(v) if held <= 50_000 else v

@@ -43,3 +43,11 @@ def test_quality_removes_lines(spark):
     passed = quality.pass_quality(docs).collect()
     assert sorted(r["doc_id"] for r in passed) == sorted([*range(31), 4])
     assert all(r["text"] == want[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in passed)
+
+
+def test_quality_counts_documents_at_every_size(spark):
+    text = "concat('w', id, ' one two three four five six seven eight nine ten', if(id < 30, '\\nin a few documents', ''))"
+    docs = spark.range(4000).selectExpr("id as doc_id", f"{text} as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    assert quality.quality_rules(docs).filter("removed_chars > 0").count() == 0
+    assert quality.quality_rules(docs, max_docs=25).filter("removed_chars > 0").count() == 30
+    assert quality.quality_rules(docs, max_docs=30).filter("removed_chars > 0").count() == 0
