@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 
 
-def fit_dictionaries(labelled: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 2000, max_languages: int = 200) -> dict[str, bytes]:
+def fit_dictionaries(labelled: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 2000, max_chars: int = 25_600_000) -> dict[str, bytes]:
     """Raw-content dictionaries from a bounded sample: columns doc_id, text and lang, none null.
 
     For each language about ``docs_per_language`` documents are drawn by a hash of doc_id that
     keeps the same fraction everywhere, and up to ``chars_per_doc`` characters of each go into
-    the dictionary. With more than ``max_languages`` languages the most frequent are learned.
+    the dictionary. Every language is learned; where their dictionaries would have more than
+    ``max_chars`` characters together, each document gives fewer.
     """
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
-    one = 1 << 30
+    one, share = 1 << 30, max_chars // len(counts)
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(one))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (draw < F.lit(int(one * min(1.0, docs_per_language / r["n"])) + 1)))
-    sample = labelled.filter(chosen).select("lang", F.substring("text", 1, chars_per_doc).alias("text"))
+    rates = [(r["lang"], int(one * min(1.0, docs_per_language / r["n"])) + 1, max(1, min(chars_per_doc, share // min(r["n"], docs_per_language)))) for r in counts]
+    known = labelled.sparkSession.createDataFrame(rates, "lang string, below long, chars int")
+    sample = labelled.join(F.broadcast(known), "lang").filter(draw < F.col("below")).select("lang", F.expr("substring(text, 1, chars)").alias("text"))
     parts: dict[str, list[str]] = {}
     for lang, text in sorted(map(tuple, sample.limit(4 * docs_per_language * len(counts)).collect())):
         parts.setdefault(lang, []).append(text)

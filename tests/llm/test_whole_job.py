@@ -1,6 +1,6 @@
 """Cases of the whole job that the text operators once left out."""
 
-from dwell.llm import quality, substring_dedup
+from dwell.llm import langid, quality, substring_dedup
 
 
 def deduped(spark, texts, **limits):
@@ -51,3 +51,16 @@ def test_quality_counts_documents_at_every_size(spark):
     assert quality.quality_rules(docs).filter("removed_chars > 0").count() == 0
     assert quality.quality_rules(docs, max_docs=25).filter("removed_chars > 0").count() == 30
     assert quality.quality_rules(docs, max_docs=30).filter("removed_chars > 0").count() == 0
+
+
+def test_every_language_is_learned(spark):
+    letter = lambda i, k: chr(0x4E00 + 40 * i + k)
+    rows = [(1000 * i + n, "".join(letter(i, (7 * n + k * k) % 37) for k in range(40)), f"l{i:03}") for i in range(230) for n in range(1 + (i < 200))]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    learned = langid.fit_dictionaries(labelled)
+    assert len(learned) == 230
+    small = langid.fit_dictionaries(labelled, max_chars=2300)
+    assert len(small) == 230 and sum(len(d.decode().strip()) for d in small.values()) <= 2300 + 230
+    rare = labelled.filter("lang >= 'l200'")
+    got = langid.identify_languages(rare, learned).collect()
+    assert len(got) == 30 and all(r["lang"] == r["lang_pred"] for r in got)
