@@ -1,6 +1,6 @@
 """Cases of the whole job that the text operators once left out."""
 
-from dwell.llm import langid, quality, substring_dedup
+from dwell.llm import langid, licenses, quality, substring_dedup
 
 
 def deduped(spark, texts, **limits):
@@ -64,3 +64,15 @@ def test_every_language_is_learned(spark):
     rare = labelled.filter("lang >= 'l200'")
     got = langid.identify_languages(rare, learned).collect()
     assert len(got) == 30 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_wrapped_and_double_licences(spark):
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n"
+    lgpl = gpl.replace("GNU General", "GNU Lesser General")
+    both = "Licensed under the Apache License, Version 2.0. Licensed under the MIT License."
+    texts = ["/*\n * A program.\n *\n" + gpl + " */\nint main", "words before\n\n" + bsd, lgpl, "first line\n" + both, "Released under the MIT License.\nReleased under the MIT License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = sorted((r["doc_id"], r["paragraph"], r["start"], r["family"]) for r in licenses.scan(docs, model).filter("confirmed").collect())
+    assert got == [(0, 3, len("/*\n * A program.\n *\n"), "gpl"), (1, 2, 14, "bsd"), (2, 0, 0, "lgpl"), (3, 1, 11, "apache"), (3, 1, 11, "mit"), (4, 0, 0, "mit"), (4, 1, 32, "mit")]
