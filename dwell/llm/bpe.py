@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,6 +41,12 @@ class Vocabulary:
         self.left = {r: self._edge(r, 0) for r in self.reachable.values()}
         self.valid_pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        # All tokens that end at a byte, longest first, come from one walk over the bytes (as Latin-1).
+        self.ending = ahocorasick.Automaton()
+        for b, r in self.reachable.items():
+            self.ending.add_word(b.decode("latin-1"), (len(b), r))
+        self.ending.make_automaton()
 
     def _merge(self, data: bytes, below: int) -> tuple[int, int] | None:
         """The two tokens that merges of lower rank leave of a token's bytes; None if not two."""
@@ -65,29 +72,44 @@ class Vocabulary:
         k = a << 20 | b
         known = self.valid_pairs.get(k)
         if known is None:
-            get, no = self.ranks.get, self.NEVER
-            known = not any((m := get(x + y, no)) < p and m <= q and m < no for x, p in self.right[a] for y, q in self.left[b])
+            known = self.valid_pairs[k] = self._apart(a, b)
             if len(self.valid_pairs) > 2_000_000:
                 self.valid_pairs.clear()
-            self.valid_pairs[k] = known
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        get = self.ranks.get
+        for x, p in self.right[a]:
+            for y, q in self.left[b]:
+                m = get(x + y)
+                if m is not None and m < p and m <= q:
+                    return False
+        return True
+
     def encode_text(self, text: str, pattern: regex.Pattern) -> list[int]:
-        """Ids of all matches of the pattern; matches met before are looked up."""
+        """Ids of all matches of the pattern; matches met before are looked up.
+
+        When the table of matches is full it becomes the older one, and matches that are met
+        again come over from there, so frequent ones are never made anew.
+        """
         out: list[int] = []
-        pieces = self.pieces
+        known = self.pieces.get
         for p in pattern.findall(text):
-            ids = pieces.get(p)
+            ids = known(p)
             if ids is None:
-                if len(pieces) > 300_000:
-                    pieces.clear()
-                ids = pieces[p] = tuple(self.encode_piece(p.encode()))
+                ids = self.older.get(p)
+                if ids is None:
+                    ids = self.encode_piece(p.encode())
+                if len(self.pieces) >= 150_000:
+                    self.older, self.pieces = self.pieces, {}
+                    known = self.pieces.get
+                self.pieces[p] = ids
             out += ids
         return out
 
-    def encode_piece(self, data: bytes) -> list[int]:
+    def encode_piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else PrefixTable(self, data).ids()
+        return (whole,) if whole is not None else tuple(PrefixTable(self, data).ids())
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -108,23 +130,28 @@ class PrefixTable:
 
     def _fill(self, upto: int, stop_when=None) -> int:
         """Makes the entries up to ``upto`` bytes; stops early where stop_when(end) says so."""
-        v, data, last = self.vocab, self.data, self.last
-        get, valid, known, longest = v.reachable.get, v.valid, v.valid_pairs.get, v.longest
-        for end in range(len(last) + 1, upto + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                t = get(data[start:end])
-                if t is not None:
-                    if start == 0:
-                        break
-                    a = last[start - 1]
-                    ok = known(a << 20 | t)
-                    if valid(a, t) if ok is None else ok:
-                        break
-            else:
-                raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
+        v, last, done = self.vocab, self.last, len(self.last)
+        valid, known = v.valid, v.valid_pairs.get
+        # A token that ends at the first missing entry begins at most ``longest`` bytes before its end.
+        first = max(0, done + 1 - v.longest)
+        for end, (n, t) in v.ending.iter(self.data[first:upto].decode("latin-1")):
+            end += first
+            if end < done:
+                continue
+            if end > done:
+                break
+            start = end + 1 - n
+            if start:
+                a = last[start - 1]
+                ok = known(a << 20 | t)
+                if not (valid(a, t) if ok is None else ok):
+                    continue
             last.append(t)
-            if stop_when is not None and stop_when(end):
-                return end
+            done += 1
+            if stop_when is not None and stop_when(done):
+                return done
+        if done < upto:
+            raise ValueError(f"byte {self.data[done]} is not in the vocabulary")
         return upto
 
     def append(self, data: bytes) -> None:
