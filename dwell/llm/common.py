@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,18 +59,50 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    where = spark.sparkContext.getCheckpointDir()
+    """Folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a session that runs in one machine (as in tests) takes a temporary one;
+    any other has to name one, as its machines wouldn't find each other's files.
+    """
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir()
     if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(where)
+        where = sc.getCheckpointDir()
     return where
 
 
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which ends its lineage and keeps its statistics."""
+    """Writes df to the shared folder and reads it back, which ends its lineage and keeps its statistics.
+
+    Shuffle files of the lineage, which nothing needs any more, are deleted by Spark when the
+    driver's JVM collects what refers to them; it is told to do so now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what cut has written for these frames; to be called once their last readers are written."""
+    for f in frames:
+        spark = f.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(f))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """keys, to be broadcast if they are a few longs a row and no more than ``most`` rows by count."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys

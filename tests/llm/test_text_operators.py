@@ -177,6 +177,10 @@ def test_jaccard_components_equal_brute_force(docs, rows, n, num, den):
     assert got == collections.Counter(components(rows, n, num, den))
 
 
+def test_sets_with_equal_first_digests_stay_apart(docs, rows):
+    assert table(similarity_join.jaccard_components(docs, 4, 85, 100, bits=3)) == collections.Counter(components(rows, 4, 85, 100))
+
+
 def test_one_of_each(docs, none, rows):
     kept = similarity_join.one_of_each(docs, 4, 85, 100)
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
@@ -202,7 +206,9 @@ def test_linked_sets_share_tokens():
             for up in ((0, 0), (0, 1), (1, 0), (1, 1)):
                 if c[0] + up[0] == c[1] + up[1]:
                     d, t = similarity_join.tokens_of(doc, gram, c + np.array(up), classes)
-                    found["all"] += len(np.intersect1d(t[d == 0], t[d == 1]))
+                    n = len(np.intersect1d(t[d == 0], t[d == 1]))
+                    found["all"] += n
+                    assert (n >= similarity_join.pieces_of(doc, gram, c + np.array(up), classes)[3]).all()
             assert found["all"] >= similarity_join.SLACK
 
 
