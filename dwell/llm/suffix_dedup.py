@@ -8,10 +8,13 @@ about one in twenty, each with the stretch of text over which windows picked it
 Documents are dealt into batches by hash. A batch sends each distinct context once, with the
 smallest doc_id that has it, however many documents repeat it; so a passage that a third of all
 documents share reaches a bucket at most once per batch. Contexts travel as one compressed block
-for each batch and bucket. Splitters sampled from the leading tokens range-partition them; equal
-tokens never straddle a boundary, which settles the comparison across boundaries. A bucket sorts
-its suffixes by one token after another, goes on only where the tokens so far are equal, and
-compares windows within those ranges. What comes back to a batch is the smallest doc_id of the
+for each batch and bucket. Splitters sampled from the leading tokens range-partition them. Equal
+windows have equal tokens, and equal tokens never straddle a boundary, so the last suffix of a
+bucket and the first of the next have no window in common and needn't be compared. A bucket sorts
+its suffixes by multikey quicksort: word after word up to WIDTH bytes, each time only within ranges
+that are equal so far; and in the same way by what stands before them, read backwards. The bytes
+that neighbours have in common cut both orders into runs for every depth, and windows are equal
+where they are in one run of each. What comes back to a batch is the smallest doc_id of the
 windows that an earlier document has; the batch then cuts its documents.
 """
 
@@ -108,12 +111,7 @@ class Batch:
         for i in range(0, n, 1 << 16):
             r = slice(i, i + (1 << 16))
             h[r] = context_hash(self.context(np.arange(n)[r]), s_lo[r], s_hi[r])
-        _, self.first, self.index = np.unique(h, return_index=True, return_inverse=True)
-        for i in range(0, n, 1 << 16):  # no two contexts may share a hash
-            r = np.arange(i, min(n, i + (1 << 16)))
-            f = self.first[self.index[r]]
-            if (s_lo[r] != s_lo[f]).any() or (s_hi[r] != s_hi[f]).any() or (self.context(r) != self.context(f)).any():
-                raise ArithmeticError("two contexts of a batch share a 64-bit hash")
+        self.first, self.index = distinct(h, s_lo, s_hi, self.context)
         self.s_lo, self.s_hi = s_lo[self.first], s_hi[self.first]
         self.least = np.full(len(self.first), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.index, self.doc)
@@ -127,6 +125,20 @@ def context_hash(rows: np.ndarray, s_lo: np.ndarray, s_hi: np.ndarray) -> np.nda
     return _mixed(h)
 
 
+def distinct(h: np.ndarray, s_lo: np.ndarray, s_hi: np.ndarray, context) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct context, the context of each row), by hashes that are checked
+    byte by byte; a row that shares its hash with another context is one of its own."""
+    _, first, index = np.unique(h, return_index=True, return_inverse=True)
+    apart = []
+    for i in range(0, len(h), 1 << 16):
+        r = np.arange(i, min(len(h), i + (1 << 16)))
+        f = first[index[r]]
+        apart.append(r[(s_lo[r] != s_lo[f]) | (s_hi[r] != s_hi[f]) | (context(r) != context(f)).any(1)])
+    own = np.concatenate(apart) if apart else np.zeros(0, np.int64)
+    index[own] = len(first) + np.arange(len(own))
+    return np.append(first, own), index
+
+
 def leading(rows: np.ndarray) -> np.ndarray:
     """The leading token of each context's suffix as two big-endian words."""
     token = np.ascontiguousarray(rows[:, LEFT : LEFT + 16])
@@ -218,6 +230,37 @@ def refine(order: np.ndarray, group: np.ndarray, token: np.ndarray) -> tuple[np.
     return order[several], group[several]
 
 
+def multikey(group: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Rows, which come group by group, sorted within their groups by the columns of words.
+
+    Each pass sorts by one word, and only ranges of several rows that are equal so far.
+    """
+    order = np.arange(len(group))
+    live, g = order.copy(), group
+    for k in range(words.shape[1]):
+        several = np.bincount(g)[g] > 1 if len(g) else np.zeros(0, bool)
+        live, g = live[several], g[several]
+        if not len(live):
+            break
+        t = words[order[live], k]
+        o = np.lexsort((t, g))
+        order[live] = order[live][o]
+        t = t[o]
+        g = np.cumsum(np.append(0, (g[1:] != g[:-1]) | (t[1:] != t[:-1])))
+    return order
+
+
+def _common(order: np.ndarray, group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Bytes that each row of an order has in common with the row before; -1 for the first of a group."""
+    other = side[order[1:]] != side[order[:-1]]
+    same = np.where(other.any(1), other.argmax(1), side.shape[1])
+    return np.append(-1, np.where(group[1:] != group[:-1], -1, same))
+
+
+def _words(side: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.pad(side, ((0, 0), (0, -side.shape[1] % 8)))).view(">u8").astype(np.uint64)
+
+
 def earliest(rows: np.ndarray, least: np.ndarray, s_lo: np.ndarray, s_hi: np.ndarray) -> list[np.ndarray]:
     """Stretches of windows of distinct contexts that a smaller doc_id has: (context, doc_id, first, last)."""
     tokens = leading(rows)
@@ -228,21 +271,24 @@ def earliest(rows: np.ndarray, least: np.ndarray, s_lo: np.ndarray, s_hi: np.nda
     i = 0
     while i < len(at) - 1:  # whole groups, about 40,000 contexts at a time
         j = max(i + 1, int(np.searchsorted(at, at[i] + 40_000, side="right")) - 1)
-        out.append(_windows(order[at[i] : at[j]], rows, least, s_lo, s_hi))
+        out.append(_windows(order[at[i] : at[j]], group[at[i] : at[j]], rows, least, s_lo, s_hi))
         i = j
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
 
 
-def _windows(take: np.ndarray, rows: np.ndarray, least: np.ndarray, s_lo: np.ndarray, s_hi: np.ndarray) -> tuple[np.ndarray, ...]:
-    r = rows[take]
-    h = np.zeros((len(take), FULL + 1), np.uint64)
-    for k in range(FULL):
-        h[:, k + 1] = h[:, k] * BASE + (r[:, k].astype(np.uint64) + np.uint64(1))
-    top = np.uint64(pow(int(BASE), WIDTH, 1 << 64))
-    wh = _mixed(h[:, WIDTH:] - h[:, :PLACES] * top)
+def _windows(take: np.ndarray, group: np.ndarray, rows: np.ndarray, least: np.ndarray, s_lo: np.ndarray, s_hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As earliest, for whole groups of one leading token."""
+    group, r = group - group[0], rows[take]
+    runs = np.zeros((2, PLACES, len(take)), np.int32)
+    for which, side, depth in ((0, r[:, LEFT : LEFT + WIDTH], WIDTH - np.arange(PLACES)), (1, r[:, LEFT - 1 :: -1], np.arange(PLACES))):
+        order = multikey(group, _words(side))
+        same = _common(order, group, side)
+        for p, d in enumerate(depth.tolist()):
+            runs[which, p, order] = np.cumsum(same < d)
     s = np.arange(PLACES)
     row, place = np.nonzero((s >= s_lo[take][:, None]) & (s <= s_hi[take][:, None]))
-    key = wh[row, place]
+    before = LEFT - place  # bytes of the window that stand before the suffix
+    key = before.astype(np.uint64) << np.uint64(58) | runs[0, before, row].astype(np.uint64) << np.uint64(29) | runs[1, before, row].astype(np.uint64)
     o = np.argsort(key, kind="stable")
     new = np.ones(len(o), bool)
     new[1:] = key[o[1:]] != key[o[:-1]]
@@ -253,12 +299,6 @@ def _windows(take: np.ndarray, rows: np.ndarray, least: np.ndarray, s_lo: np.nda
     if not len(o):
         return (np.zeros(0, np.int64),) * 4
     first = np.cumsum(size) - size
-    lead = np.repeat(o[first], size)
-    view = np.lib.stride_tricks.sliding_window_view(r, WIDTH, axis=1)
-    for i in range(0, len(o), 1 << 18):
-        a, b = o[i : i + (1 << 18)], lead[i : i + (1 << 18)]
-        if (view[row[a], place[a]] != view[row[b], place[b]]).any():
-            raise ArithmeticError("two windows of a range share a 64-bit hash")
     low = np.repeat(np.minimum.reduceat(least[take[row[o]]], first), size)
     better = low < least[take[row[o]]]
     o, low = o[better], low[better]
@@ -281,12 +321,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     index, least, s_lo, s_hi, rows = (np.concatenate(x) for x in zip(*parts))
     del parts
     s_lo, s_hi = s_lo.astype(np.int64), s_hi.astype(np.int64)
-    _, first, same = np.unique(context_hash(rows, s_lo, s_hi), return_index=True, return_inverse=True)
-    for i in range(0, len(rows), 1 << 18):
-        r = np.arange(i, min(len(rows), i + (1 << 18)))
-        f = first[same[r]]
-        if (rows[r] != rows[f]).any() or (s_lo[r] != s_lo[f]).any() or (s_hi[r] != s_hi[f]).any():
-            raise ArithmeticError("two contexts of a bucket share a 64-bit hash")
+    first, same = distinct(context_hash(rows, s_lo, s_hi), s_lo, s_hi, lambda r: rows[r])
     low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, same, least)
     rows = rows[first]
@@ -362,12 +397,15 @@ def suffix_dedup(docs: DataFrame, batch_bytes: int = 6 << 20, sample_docs: int =
     that share a doc_id aren't smaller than each other, so they lose nothing to each other. An
     empty table gives an empty table; other columns are ignored.
 
-    batch_bytes is what a task holds of the input at a time. The sample of sample_docs
-    documents only balances the buckets; it has no influence on the result.
+    batch_bytes is what a task holds of the input at a time; there are as many buckets as
+    batches. The sample of sample_docs documents, or two for each bucket, only balances the
+    buckets; it has no influence on the result. The driver gets about twenty tokens of 12 bytes
+    for each sampled document, and sends one for each bucket to the tasks.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("bytes"))
     total, n = d.agg(F.sum(F.octet_length("bytes")), F.count("*")).first()
     batches = max(1, math.ceil((total or 0) / batch_bytes))
+    sample_docs = max(sample_docs, 2 * batches)
     share = int((1 << 30) * min(1.0, sample_docs / max(1, n))) + 1
     sample = d.filter(F.pmod(F.xxhash64(F.lit("splitters"), "doc_id"), F.lit(1 << 30)) < share)
 
@@ -376,10 +414,10 @@ def suffix_dedup(docs: DataFrame, batch_bytes: int = 6 << 20, sample_docs: int =
             if x.num_rows:
                 texts = [t or b"" for t in x.column("bytes").to_pylist()]
                 b = Batch(x.column("doc_id").to_pylist(), list(map(len, texts)), b"".join(texts))
-                t = leading(b.context(b.first[:: max(1, len(b.first) // (20 * x.num_rows))]))
+                t = leading(b.context(b.first[:: max(1, -(-len(b.first) // (20 * x.num_rows)))]))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in t.astype(">u8")], pa.binary())], ["token"])
 
-    drawn = sorted(bytes(r["token"]) for r in sample.mapInArrow(tokens, "token binary").limit(30 * sample_docs).collect())
+    drawn = sorted(bytes(r["token"]) for r in sample.mapInArrow(tokens, "token binary").collect())
     chosen = sorted({drawn[len(drawn) * k // batches] for k in range(1, batches)}) if drawn else []
     splitters = np.frombuffer(b"".join(chosen), ">u8").astype(np.uint64).reshape(-1, 2)
     d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(batches)))
