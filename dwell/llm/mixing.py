@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import cut, digest, n_words, words
+from dwell.llm.common import cut, digest, n_words
 
 #: 2**31 divided by the golden ratio, made odd: multiples of it modulo 2**31 are golden-ratio points.
 GOLDEN_31 = 1327217885
@@ -102,11 +102,13 @@ def _mixed(docs: DataFrame, block: int, weights: tuple[int, ...], share: float,
     A source's documents, in an order fixed by their hashes, form a stream of words that repeats
     up to ``most`` times and is cut into blocks of ``block`` words. The schedule's slot of rank r
     in a source takes block r; the last block ends at the source's target. taken is the number
-    of a document's words in blocks taken. The first frame has doc_id, size, source_size,
-    target and taken for each row of docs (null text has size 0; a null doc_id stays null; rows
-    that repeat each other are documents of their own). The second has slot, ord, rank, doc_id,
-    from_word and n_words for each piece of a document that a slot takes, in the documents'
-    words. An empty table gives empty frames. Other columns are ignored.
+    of a document's words in blocks taken, first_slot the slot that first takes some of them
+    (null if none does) and n_slots how many do. The first frame has doc_id, size, source_size,
+    target, taken, first_slot and n_slots for each row of docs (null text has size 0; a null
+    doc_id stays null; rows that repeat each other are documents of their own). The second has
+    slot, ord, rank, doc_id, pass (from 0), from_word and n_words for each piece of a document
+    that a slot takes, in the documents' words. An empty table gives empty frames; texts may be of
+    any length. Other columns are ignored.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[h.alias(n) for h, n in zip(digest(F.col("doc_id").cast("string"), F.col("text")), ("_h", "_h2"))])
     sized = cut(sized)
@@ -121,36 +123,47 @@ def _mixed(docs: DataFrame, block: int, weights: tuple[int, ...], share: float,
     lo, hi = F.greatest("_from", F.col("rank") * block), F.least("_to", (F.col("rank") + 1) * block)
     pieces = inside.withColumn("from_word", lo - F.col("_from")).withColumn("n_words", hi - lo)
     mix = pieces.join(slot_schedule(targets, block), ["ord", "rank"])
-    taken = mix.groupBy("ord", "start").agg(F.sum("n_words").alias("taken"))
-    got = placed.join(taken, ["ord", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_h", "_h2")
+    taken = mix.groupBy("ord", "start").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
+    got = placed.join(taken, ["ord", "start"], "left").select(
+        "doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) if c != "first_slot" else F.col(c) for c in ("taken", "first_slot", "n_slots")], "_h", "_h2"
+    )
     t = targets.withColumnRenamed("source", "_s")
-    none = sized.filter("size = 0").join(t, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "_h", "_h2")
-    return got.unionByName(none), mix.select("slot", "ord", "rank", "doc_id", "from_word", "n_words")
+    none = sized.filter("size = 0").join(t, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"), "_h", "_h2")
+    return got.unionByName(none), mix.select("slot", "ord", "rank", "doc_id", F.col("_pass").alias("pass"), "from_word", "n_words", "start", "size", "_h", "_h2")
 
 
 def mix_sources(docs: DataFrame, block: int = 512, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
     """What the mix takes of each document, and the mix: see _mixed."""
     taken, mix = _mixed(docs, block, weights, share, most)
-    return taken.drop("_h", "_h2"), mix
+    return taken.drop("_h", "_h2"), mix.drop("start", "size", "_h", "_h2")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """text up to the end of its n-th word, white space as it is."""
+    ends = F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    return F.array_join(F.slice(ends, 1, n), "")
 
 
 def apply_mix(docs: DataFrame, block: int = 512, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mixed rows of docs (all have its columns): each as often as its words are taken.
+    """The mixed rows of docs (all have its columns), in the order of the mix.
 
-    A document that the mix takes in part, the last of its source, comes with its first words,
-    joined by single spaces. n_chars, if there, follows the text.
+    Each pass of the mix over a document gives one row, at the slot that first takes words of it.
+    Where the mix stops within a document (the last of its source), its row has the text up to the
+    last word taken; n_chars, if there, follows the text. Rows that repeat each other are
+    documents of their own; a null or empty text is never taken; an empty table gives an empty
+    one; texts may be of any length.
     """
-    taken, _ = _mixed(docs, block, weights, share, most)
-    sums = taken.groupBy("_h", "_h2").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0")
+    _, mix = _mixed(docs, block, weights, share, most)
+    # A document's pieces of one pass, and which of the rows that repeat each other it is.
+    copies = mix.groupBy("_h", "_h2", "ord", "start", "pass").agg(F.min("slot").alias("_slot"), F.sum("n_words").cast("int").alias("_n"), F.first("size").alias("_size"))
+    copies = cut(copies.select("_h", "_h2", "_slot", "_n", (F.col("_n") < F.col("_size")).alias("_part")))
     key = [h.alias(n) for h, n in zip(digest(F.col("doc_id").cast("string"), F.col("text")), ("_h", "_h2"))]
     rows = docs.select(F.struct("*").alias("_row"), *key)
     rn = F.row_number().over(Window.partitionBy("_h", "_h2").orderBy("_h"))
-    j = rows.join(sums, ["_h", "_h2"]).withColumn("_rn", rn).filter("_rn = 1")
-    left = F.expr("_taken % _size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.expr("cast(_taken div _size as int)")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
-    j = j.select("_row", F.explode(copies).alias("_first"))
-    text = F.when(F.col("_first") == 0, F.col("_row.text")).otherwise(F.array_join(F.slice(words(F.col("_row.text")), 1, F.greatest(F.lit(1), F.col("_first").cast("int"))), " "))
-    out = j.withColumn("_text", text).withColumn("_row", F.col("_row").withField("text", F.col("_text")))
+    j = rows.withColumn("_rn", rn).filter("_rn = 1").join(copies, ["_h", "_h2"])
+    row, text = F.col("_row"), first_words(F.col("_row.text"), F.col("_n"))
+    new = row.withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("_row", F.col("_row").withField("n_chars", F.char_length("_text").cast("long")))
-    return out.select("_row.*")
+        new = new.withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    out = j.select("_slot", "_h", F.when(F.col("_part"), new).otherwise(row).alias("_row"))
+    return out.orderBy("_slot", "_h").select("_row.*")
