@@ -95,12 +95,22 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes what cut has written for these frames; to be called once their last readers are written."""
     for f in frames:
-        spark = f.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(f))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(f.sparkSession, _WRITTEN.pop(f))
+
+
+def without(lines: Column, drop: Column) -> Column:
+    """An array without the places in drop (ascending, from 0, at least one), made of the slices between them."""
+    before = lambda j: F.coalesce(F.get(drop, j - 1), F.lit(-1))
+    parts = F.transform(drop, lambda g, j: F.slice(lines, before(j) + 2, g - before(j) - 1))
+    return F.concat(F.flatten(parts), F.slice(lines, F.element_at(drop, -1) + 2, F.size(lines)))
 
 
 def few(keys: DataFrame, most: int = 500_000) -> DataFrame:

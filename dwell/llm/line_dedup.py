@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.common import ascii_lower, cut, digest, row_key, shared_dir, strip_ws
+from dwell.llm.common import ascii_lower, cut, delete, digest, few, forget, row_key, shared_dir, strip_ws, without
 
 H = ["h1", "h2"]
 
@@ -48,6 +48,10 @@ class LineRuns:
             self._write(self._read(merged).groupBy(*H).agg(F.sum("n_docs").alias("n_docs")), level + 1)
             level += 1
 
+    def drop(self) -> None:
+        """Deletes the runs; for when nothing reads them any more."""
+        delete(self.spark, self.root)
+
     def frequent(self) -> DataFrame:
         """Digests found in min_docs documents or more, over all runs."""
         paths = [p for level in self.levels for p in level]
@@ -64,8 +68,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     under ``min_chars`` code points are always kept. Every row is a document, also one that
     repeats another. Returns doc_id, text (what is left), n_lines and n_dropped for every row.
     A null or empty text is one empty line. A null doc_id stays null and counts like any
-    other. An empty table gives an empty table. Other columns are left out. Digests have 128
-    bits; two different keys with the same digest are not expected in any real corpus. Columns named in ``carry`` pass through.
+    other. An empty table gives an empty table; texts may be of any length. Other columns are left
+    out, but for those named in ``carry``. Digests have 128 bits; two different keys with the same
+    digest are not expected in any real corpus.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
@@ -81,15 +86,16 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
         part = narrow.filter(F.pmod("_r1", F.lit(batches)) == b)
         distinct = part.select(F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null")
         runs.add(distinct.select("k.h1", "k.h2"))
-    # Only lines of documents that have a frequent line are needed from here on.
-    each = narrow.select("_r1", "_r2", F.posexplode("keys").alias("pos", "k")).select("_r1", "_r2", "pos", "k.h1", "k.h2")
-    marked = each.join(runs.frequent().withColumn("drop", F.lit(True)), H, "left")
-    flags = marked.groupBy("_r1", "_r2").agg(
-        F.sort_array(F.collect_set(F.struct("pos", F.coalesce("drop", F.lit(False)).alias("drop")))).alias("flags")
-    )
-    flags = flags.filter(F.exists("flags", lambda f: f["drop"]))
-    joined = d.select("*", *row_key()).join(flags, ["_r1", "_r2"], "left").withColumn("lines", lines)
-    kept = F.when(F.col("flags").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.col("flags")[i]["drop"]))
+    # Frequent digests are few, by count: then each line is looked up where it is.
+    frequent = cut(runs.frequent())
+    each = narrow.select("_r1", "_r2", F.posexplode("keys").alias("pos", "k")).filter("k is not null").select("_r1", "_r2", "pos", "k.h1", "k.h2")
+    gone = cut(each.join(few(frequent), H).groupBy("_r1", "_r2").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
+    forget(narrow, frequent)
+    runs.drop()
+    held = gone.agg(F.sum(F.lit(1) + F.size("gone"))).first()[0] or 0
+    side = F.broadcast(gone) if held <= 500_000 else gone
+    joined = d.select("*", *row_key()).join(side, ["_r1", "_r2"], "left").withColumn("lines", lines)
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.col("gone")))
     return (
         joined.withColumn("kept", kept)
         .select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import ascii_lower, cut, digest, keyed, row_key, strip_ws, words
+from dwell.llm.common import ascii_lower, cut, digest, forget, keyed, row_key, strip_ws, without, words
 
 #: Symbols of the symbol count, a fixed value of the contract.
 SYMBOLS = "[#*$%&|<>]"
@@ -44,8 +44,8 @@ def base_metrics(docs: DataFrame, window: int = 5) -> DataFrame:
     return d.withColumn("base_failed", failed).drop("_w", "_g", "_rep", "_s", "_st")
 
 
-def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float, max_docs: int | None) -> DataFrame:
-    """Verdict on every document by its own counts and by the lines it shares with its host.
+def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float, max_docs: int | None) -> tuple[DataFrame, DataFrame]:
+    """Verdict on every document by its own counts and by the lines it shares with its host; and the written table that it reads.
 
     Non-empty lines are normalised (white space at both ends off, A-Z lower-cased) and hashed;
     per host (``source``, null is a host of its own) the documents of each line are counted. A
@@ -84,20 +84,14 @@ def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float,
     removed = F.aggregate("gone", F.lit(0).cast("long"), lambda acc, i: acc + F.get("keys", i)["c"])
     out = same.withColumn("line_chars", chars).withColumn("removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
     depleted = (F.col("removed_chars") > 0) & (F.col("line_chars") - F.col("removed_chars") < min_kept * F.col("line_chars"))
-    return out.select("doc_id", "source", "_r1", "_r2", *keep, "line_chars", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"), "gone")
+    return out.select("doc_id", "source", "_r1", "_r2", *keep, "line_chars", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"), "gone"), narrow
 
 
 def _without(text: Column, gone: Column) -> Column:
     """text without the lines in gone (ascending numbers among the non-empty lines); all other lines stay as they are."""
     bind = lambda c, f: F.transform(F.array(c), f)[0]
-
-    def pieces(lines: Column, drop: Column) -> Column:
-        before = lambda j: F.coalesce(F.get(drop, j - 1), F.lit(-1))
-        parts = F.transform(drop, lambda g, j: F.slice(lines, before(j) + 2, g - before(j) - 1))
-        return F.concat(F.flatten(parts), F.slice(lines, F.element_at(drop, -1) + 2, F.size(lines)))
-
     full = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(strip_ws(x) != "", i)), lambda i: i.isNotNull())
-    left = bind(F.split(text, "\n", -1), lambda lines: bind(bind(full(lines), lambda at: F.transform(gone, lambda g: F.get(at, g))), lambda drop: pieces(lines, drop)))
+    left = bind(F.split(text, "\n", -1), lambda lines: bind(bind(full(lines), lambda at: F.transform(gone, lambda g: F.get(at, g))), lambda drop: without(lines, drop)))
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
@@ -107,7 +101,8 @@ def _same_row() -> Column:
 
 def quality_rules(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, min_kept: float = 0.3, max_docs: int | None = None) -> DataFrame:
     """Verdicts for each row of ``docs``, and its text without the lines over the limits: see _verdicts."""
-    v = _verdicts(docs, min_docs, max_share, min_kept, max_docs).withColumnRenamed("source", "_s").distinct()
+    v, _ = _verdicts(docs, min_docs, max_share, min_kept, max_docs)
+    v = v.withColumnRenamed("source", "_s").distinct()
     text = _without(F.col("_row.text"), F.col("gone")).alias("text")
     return keyed(docs).join(v, _same_row()).select("_row.doc_id", *[c for c in v.columns if c not in ("doc_id", "_s", "_r1", "_r2", "gone")], text)
 
@@ -119,8 +114,10 @@ def pass_quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, m
     rejected or lose lines are broadcast while there are few of them, by count; otherwise both
     sides are shuffled.
     """
-    v = _verdicts(docs, min_docs, max_share, min_kept, max_docs).filter("not kept or gone is not null")
+    v, narrow = _verdicts(docs, min_docs, max_share, min_kept, max_docs)
+    v = v.filter("not kept or gone is not null")
     v = cut(v.select(F.col("source").alias("_s"), "_r1", "_r2", "kept", "gone").distinct())
+    forget(narrow)
     held = v.agg(F.sum(F.lit(1) + F.coalesce(F.array_size("gone"), F.lit(0)))).first()[0] or 0
     side = F.broadcast(v) if held <= 50_000 else v
     row, text = F.col("_row"), _without(F.col("_row.text"), F.col("gone"))
