@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwell.llm.common import cut
@@ -183,12 +183,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller vec_id;
     fewer than k rows where there are no more. A query that finds fewer than k rows in its leaves
     is compared with all rows instead. Vectors that are null, zero or hold a null or non-finite
-    component take no part, nor do null ids; an empty table gives an empty result; vectors must
-    have one length; rows that repeat a vec_id count once; other columns are ignored.
+    component take no part, nor do null ids, nor those of another length than most (of two as
+    frequent, the greater holds); an empty table gives an empty result; of rows that repeat a
+    vec_id the one with the smallest vector counts; other columns are ignored.
+
+    As many leaves are opened as the data need for the recall: for vectors without structure
+    that is a share of all leaves, and work then grows with the queries times the rows.
     """
     spark = vectors.sparkSession
-    v = usable(vectors).dropDuplicates(["vec_id"])
-    q = usable(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    v = cut(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    sizes = v.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"))
+    usual = sizes.agg(F.max_by("n", F.struct("rows", "n"))).first()[0] or 0
+    v = v.filter(F.size("embedding") == usual)
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("q")).filter(F.size("q") == usual)
+    q = cut(asked.select(F.col("vec_id").alias("query_id"), "q"))
     forest, top, n = fit_forest(v, trees, leaf, sample)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -246,8 +254,7 @@ def compare_all(rows: DataFrame, queries: DataFrame, k: int, n: int) -> DataFram
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each query: first within 64 blocks, so that a leaf of many blocks stays bounded."""
-    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    parts = pairs.groupBy("query_id", F.expr("block div 64").alias("part")).agg(best.alias("best"))
-    top = parts.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-    return top.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    """The k best of each query; a row that several leaves found counts once. No query's finds are gathered."""
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = pairs.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    return best.dropDuplicates(["query_id", "rank"])
