@@ -13,9 +13,9 @@ UNDETERMINED = "und"
 
 
 def fit_dictionaries(labelled: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 2000, max_chars: int = 25_600_000) -> dict[str, bytes]:
-    """Raw-content dictionaries from a bounded sample: columns doc_id, text and lang, none null.
+    """Raw-content dictionaries from a bounded sample: columns doc_id, text and lang, the last two not null.
 
-    For each language about ``docs_per_language`` documents are drawn by a hash of doc_id that
+    For each language about ``docs_per_language`` documents are drawn by a hash of doc_id and text that
     keeps the same fraction everywhere, and up to ``chars_per_doc`` characters of each go into
     the dictionary. Every language is learned; where their dictionaries would have more than
     ``max_chars`` characters together, each document gives fewer.
@@ -24,12 +24,13 @@ def fit_dictionaries(labelled: DataFrame, docs_per_language: int = 64, chars_per
     if not counts:
         return {}
     one, share = 1 << 30, max_chars // len(counts)
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(one))
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(one))
     rates = [(r["lang"], int(one * min(1.0, docs_per_language / r["n"])) + 1, max(1, min(chars_per_doc, share // min(r["n"], docs_per_language)))) for r in counts]
     known = labelled.sparkSession.createDataFrame(rates, "lang string, below long, chars int")
-    sample = labelled.join(F.broadcast(known), "lang").filter(draw < F.col("below")).select("lang", F.expr("substring(text, 1, chars)").alias("text"))
+    sample = labelled.join(F.broadcast(known), "lang").filter(draw < F.col("below")).orderBy(draw, "text").limit(4 * docs_per_language * len(counts))
+    sample = sample.select("lang", F.expr("substring(text, 1, chars)").alias("text"))
     parts: dict[str, list[str]] = {}
-    for lang, text in sorted(map(tuple, sample.limit(4 * docs_per_language * len(counts)).collect())):
+    for lang, text in sorted(map(tuple, sample.collect())):
         parts.setdefault(lang, []).append(text)
     # zstd ignores dictionaries of under 8 bytes.
     return {lang: "\n".join(texts).lower().encode().ljust(8, b" ") for lang, texts in sorted(parts.items())}
@@ -48,9 +49,12 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], block: i
     language alone) and accepted (false where the score is under ``min_margin``, a tie included,
     or the text has no language). Null texts, texts without a letter, and all texts if nothing
     was learned, get ``und`` with score 0. Ties go to the smaller language code. docs needs a
-    text column; each row is judged alone, so repeated rows and null ids do no harm.
+    text column; each row is judged alone, so repeated rows and null ids do no harm, and texts
+    may be of any length. Columns of docs that are named as a result give way to it. An empty
+    table gives an empty one.
     """
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    own = ("lang_pred", "score", "accepted")
+    others = [f for f in docs.schema.fields if f.name not in ("text", *own)]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     names = [f.name for f in others]
 
