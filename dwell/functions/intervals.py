@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,63 +18,117 @@ def split_to_buckets(df: DataFrame, lo: int, hi: int, width: int, start: str = "
     return d.withColumn("b_lo", F.greatest(F.col("_a"), edge)).withColumn("b_hi", F.least(F.col("_b"), edge + width)).drop("_a", "_b")
 
 
+def overlap_candidates(a: DataFrame, b: DataFrame, keys: list[str], width: int, most: int = 64) -> DataFrame:
+    """The pairs that overlap_join tests: all that share a bin, each at one level.
+
+    A row's own level is the first whose bins are wide enough for it to meet at most ``most``.
+    A pair meets at the wider level of its two rows, which is the own level of one of them: as
+    role 0 where that is a's (b is then put into bins of that level too), as role 1 where it is
+    b's alone. So narrow rows never meet each other in wide bins.
+    """
+    widths = [width * most**k for k in range(4)]
+    top = len(widths) - 1
+
+    def binned(d: DataFrame, s: str, e: str, roles: Column) -> DataFrame:
+        length, lv = F.col(e) - F.col(s), F.lit(top)
+        for k in reversed(range(top)):
+            lv = F.when(length <= widths[k] * (most - 1), k).otherwise(lv)
+        d = d.withColumn("_lv", lv).select("*", F.inline(roles))
+        w = F.element_at(F.array(*[F.lit(x).cast("long") for x in widths]), F.col("_at") + 1)
+        d = d.withColumn("_w", w)
+        bins = F.expr(f"sequence(cast(floor({s} / _w) as long), cast(floor(greatest({e} - 1, {s}) / _w) as long))")
+        return d.withColumn("_bin", F.explode(bins)).drop("_lv")
+
+    def roles(own: int) -> Column:
+        """(level, role) of a row: role ``own`` at its own level alone, the other also at wider ones."""
+        meet = lambda lo, role: F.transform(F.sequence(lo, F.lit(top)), lambda k: F.struct(k.alias("_at"), F.lit(role).alias("_role")))
+        wider = F.when(F.col("_lv") < top, meet(F.least(F.col("_lv") + 1, F.lit(top)), 1 - own)).otherwise(F.array().cast("array<struct<_at:int,_role:int>>"))
+        one = F.array(F.struct(F.col("_lv").alias("_at"), F.lit(own).alias("_role")))
+        same = F.array(F.struct(F.col("_lv").alias("_at"), F.lit(1 - own).alias("_role"))) if own else F.array().cast("array<struct<_at:int,_role:int>>")
+        return F.concat(one, same, wider)
+
+    x = binned(a, "a_start", "a_end", roles(0))
+    y = binned(b, "b_start", "b_end", roles(1)).drop("_w")
+    return x.join(y, [*keys, "_at", "_role", "_bin"])
+
+
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int, most: int = 64) -> DataFrame:
     """Pairs of rows with equal keys whose [a_start, a_end) and [b_start, b_end) overlap.
 
     Both sides are put into bins and joined on key and bin; a pair counts in the bin where the
     later one begins, so it comes once. Rows over more than ``most`` bins use bins that are
     ``most`` times as wide, level by level, so that a long row is never copied more than that
-    often; each level of one side meets each level of the other in the wider bins of the two.
+    often (beyond the widest bins it is copied into each that it meets). See overlap_candidates.
     """
-    levels = 4
-    widths = [width * most**k for k in range(levels)]
+    j = overlap_candidates(a, b, keys, width, most)
+    j = j.filter(F.col("_bin") == F.floor(F.greatest("a_start", "b_start") / F.col("_w")))
+    return j.filter("a_start < b_end and b_start < a_end").drop("_at", "_role", "_bin", "_w")
 
-    def levelled(d: DataFrame, s: str, e: str) -> DataFrame:
-        length = F.col(e) - F.col(s)
-        lv = F.lit(levels - 1)
-        for k in reversed(range(levels - 1)):
-            lv = F.when(length <= widths[k] * (most - 1), k).otherwise(lv)
-        return d.withColumn("_lv", lv)
 
-    def binned(d: DataFrame, s: str, e: str, side: int) -> DataFrame:
-        # A row of level k is looked for in bins of every level from k up.
-        d = d.withColumn("_at", F.explode(F.sequence(F.col("_lv"), F.lit(levels - 1))))
-        w = F.element_at(F.array(*[F.lit(x).cast("long") for x in widths]), F.col("_at") + 1)
-        d = d.withColumn("_w", w)
-        return d.withColumn("_bin", F.explode(F.expr(f"sequence(cast(floor({s} / _w) as long), cast(floor(greatest({e} - 1, {s}) / _w) as long))"))).withColumnRenamed("_lv", f"_l{side}")
-
-    x = binned(levelled(a, "a_start", "a_end"), "a_start", "a_end", 0)
-    y = binned(levelled(b, "b_start", "b_end"), "b_start", "b_end", 1).drop("_w")
-    j = x.join(y, [*keys, "_at", "_bin"])
-    # Each pair at the wider level of its two rows, in the bin of the later start.
-    j = j.filter((F.col("_at") == F.greatest("_l0", "_l1")) & (F.col("_bin") == F.floor(F.greatest("a_start", "b_start") / F.col("_w"))))
-    return j.filter("a_start < b_end and b_start < a_end").drop("_at", "_bin", "_w", "_l0", "_l1")
-
-
-def coalesce_spans(df: DataFrame, keys: list[str], start: str = "s", end: str = "e") -> DataFrame:
-    """Merges spans that overlap or touch, per key. Empty spans are left out."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    d = df.filter(F.col(start) < F.col(end))
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def carried(d: DataFrame, keys: list[str], at: str, order: list[str], chunk: int | None, sums: dict[str, str] | None = None, highs: dict[str, str] | None = None) -> DataFrame:
+    """Running sums (this row included) and running maxima of the rows before, per key in order.
+
+    sums and highs name the new columns and what they are made of. ``order`` starts with
+    ``at``. With a chunk, each key's rows are dealt over stretches of ``at`` of that width; every
+    stretch is summed up on its own and takes over one row of totals of the stretches before it,
+    so a key of any size is worked on by many tasks.
+    """
+    sums, highs = sums or {}, highs or {}
+    part = [*keys, "_chunk"] if chunk else keys
+    d = d.withColumn("_chunk", F.expr(f"floor({at} / {chunk})")) if chunk else d
+    w = Window.partitionBy(*part).orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    out = d.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()], *[F.max(c).over(before).alias(n) for n, c in highs.items()])
+    if not chunk:
+        return out
+    t = d.groupBy(*part).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())], *[F.max(c).alias(f"_m{i}") for i, c in enumerate(highs.values())])
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.select(*part, *[F.coalesce(F.sum(f"_t{i}").over(wc), F.lit(0)).alias(f"_t{i}") for i in range(len(sums))], *[F.max(f"_m{i}").over(wc).alias(f"_m{i}") for i in range(len(highs))])
+    out = out.join(t, part)
+    for i, n in enumerate(sums):
+        out = out.withColumn(n, F.col(n) + F.col(f"_t{i}"))
+    for i, n in enumerate(highs):
+        out = out.withColumn(n, F.greatest(n, f"_m{i}"))
+    return out.drop("_chunk", *[f"_t{i}" for i in range(len(sums))], *[f"_m{i}" for i in range(len(highs))])
+
+
+def coalesce_spans(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", chunk: int | None = None) -> DataFrame:
+    """Merges spans that overlap or touch, per key. Empty spans are left out.
+
+    With a chunk, a key's spans are dealt over stretches of time: see carried.
+    """
+    d = carried(df.filter(F.col(start) < F.col(end)).select(*keys, start, end), keys, start, [start, end], chunk, highs={"_before": end})
+    d = d.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0))
+    d = carried(d.drop("_before"), keys, start, [start, end], chunk, sums={"_island": "_new"})
     return d.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str], ident: list[str], width: int) -> DataFrame:
+def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str], ident: list[str], width: int, chunk: int | None = None) -> DataFrame:
     """What is left of each row of a (ident, keys, s, e) outside the spans of b (keys, s, e).
 
-    A row of a meets each span once; the pieces between its overlaps are its remains.
+    A row of a meets each span once; the pieces before the first, between two and after the last
+    of its overlaps are its remains. With a chunk, rows of a are cut at its multiples first, so
+    no row meets more than a chunk's spans, and remains that touch there are not merged again.
     """
-    spans = coalesce_spans(b.select(*keys, "s", "e"), keys).select(*keys, F.col("s").alias("b_start"), F.col("e").alias("b_end"))
-    rows = a.filter("s < e").withColumn("a_start", F.col("s")).withColumn("a_end", F.col("e"))
-    hit = overlap_join(rows.select(*dict.fromkeys([*keys, *ident]), "a_start", "a_end"), spans, keys, width)
-    cuts = hit.groupBy(*dict.fromkeys([*keys, *ident]), "a_start", "a_end").agg(F.sort_array(F.collect_list(F.struct("b_start", "b_end"))).alias("cuts"))
-    d = rows.join(cuts, [*dict.fromkeys([*keys, *ident]), "a_start", "a_end"], "left")
-    ends = F.concat(F.array(F.col("s")), F.coalesce(F.transform("cuts", lambda c: c["b_end"]), F.array().cast("array<bigint>")))
-    starts = F.concat(F.coalesce(F.transform("cuts", lambda c: c["b_start"]), F.array().cast("array<bigint>")), F.array(F.col("e")))
-    d = d.withColumn("_p", F.explode(F.arrays_zip(ends.alias("x"), starts.alias("y"))))
-    return d.withColumn("s", F.col("_p.x")).withColumn("e", F.col("_p.y")).filter("s < e").drop("_p", "cuts", "a_start", "a_end")
+    spans = coalesce_spans(b.select(*keys, "s", "e"), keys, chunk=chunk).select(*keys, F.col("s").alias("b_start"), F.col("e").alias("b_end"))
+    rows = a.filter("s < e")
+    if chunk:
+        rows = rows.withColumn("_c", F.explode(F.expr(f"sequence(cast(floor(s / {chunk}) as long), cast(floor((e - 1) / {chunk}) as long))")))
+        rows = rows.withColumn("s", F.greatest("s", F.col("_c") * chunk)).withColumn("e", F.least("e", (F.col("_c") + 1) * chunk)).drop("_c")
+    rows = rows.withColumn("a_start", F.col("s")).withColumn("a_end", F.col("e"))
+    same = list(dict.fromkeys([*keys, *ident]))
+    hit = overlap_join(rows.select(*same, "a_start", "a_end"), spans, keys, width).distinct()
+    w = Window.partitionBy(*same, "a_start", "a_end").orderBy("b_start")
+    nxt = F.coalesce(F.lead("b_start").over(w), F.col("a_end"))
+    first = F.when(F.lag("b_start").over(w).isNull(), F.col("b_start"))
+    cuts = hit.select(*same, "a_start", "a_end", F.col("b_end").alias("_s"), nxt.alias("_e"), first.alias("_f"))
+    # The piece before the first overlap comes with the first one.
+    pieces = F.array(F.struct(F.col("_s").alias("_s"), F.col("_e").alias("_e")), F.struct(F.col("a_start").alias("_s"), F.col("_f").alias("_e")))
+    cuts = cuts.select(*same, "a_start", "a_end", F.inline(pieces))
+    d = rows.join(cuts, [*same, "a_start", "a_end"], "left")
+    met = F.col("_s").isNotNull()
+    d = d.withColumn("s", F.when(met, F.col("_s")).otherwise(F.col("s"))).withColumn("e", F.when(met, F.col("_e")).otherwise(F.col("e")))
+    return d.filter("s < e").drop("_s", "_e", "a_start", "a_end")
 
 
 def pair_lifo(df: DataFrame, keys: list[str], order: list[str], start: Column, end: Column, reset: Column) -> DataFrame:
@@ -110,7 +164,8 @@ def greedy_onsets(df: DataFrame, keys: list[str], t: str, actor: str, width: int
     and without overlap. Returns keys, onset and actors.
 
     Candidates come from a range window; candidates further apart than ``width`` cannot influence
-    each other, so each cluster of them is settled on its own.
+    each other, so each cluster of them is settled on its own. A task meets a cluster in order and
+    batch by batch, and carries the end of the last onset.
     """
     d = df.withColumn("_t", F.col(t).cast("long"))
     ahead = Window.partitionBy(*keys).orderBy("_t").rangeBetween(0, width)
@@ -121,35 +176,47 @@ def greedy_onsets(df: DataFrame, keys: list[str], t: str, actor: str, width: int
     c = c.withColumn("_cluster", F.sum("_new").over(w))
     kinds = ", ".join(f"`{k}` {c.schema[k].dataType.simpleString()}" for k in keys)
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, until, take = pdf.sort_values("_t"), None, []
-        for at in pdf["_t"].tolist():
-            ok = until is None or at > until
-            take.append(ok)
-            if ok:
-                until = at + width
-        return pdf[take].rename(columns={"_t": "onset"})[[*keys, "onset", "actors"]]
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, until = None, 0
+        for pdf in batches:
+            take = []
+            for *of, at in zip(*(pdf[k].tolist() for k in (*keys, "_cluster", "_t"))):
+                ok = of != last or at > until
+                take.append(ok)
+                if ok:
+                    last, until = of, at + width
+            yield pdf[take].rename(columns={"_t": "onset"})[[*keys, "onset", "actors"]]
 
-    return c.groupBy(*keys, "_cluster").applyInPandas(settle, f"{kinds}, onset long, actors int")
+    c = c.repartition(*keys, "_cluster").sortWithinPartitions(*keys, "_cluster", "_t")
+    return c.mapInPandas(settle, f"{kinds}, onset long, actors int")
 
 
-def state_ranges(spans: Iterable[tuple[str, DataFrame]], lo: int, hi: int) -> DataFrame:
+def state_ranges(spans: Iterable[tuple[str, DataFrame]], lo: int, hi: int, chunk: int | None = None) -> DataFrame:
     """Partition of [lo, hi) by which of the named span sets (columns s, e) cover each stretch.
 
-    Returns s, e and one boolean for each name. The sweep runs over the endpoints alone.
+    Returns s, e and one boolean for each name. The sweep runs over the endpoints alone, and by
+    a thousandth of [lo, hi) at a time (or ``chunk``), so it is not one task's work.
     """
     named = list(spans)
+    chunk = chunk or max(1, (hi - lo) // 1000)
+    names = [f"d{i}" for i in range(len(named))]
     ends = None
     for k, (_, d) in enumerate(named):
-        c = coalesce_spans(d.select(F.greatest("s", F.lit(lo)).alias("s"), F.least("e", F.lit(hi)).alias("e")).withColumn("_k", F.lit(0)), ["_k"])
-        zero = [F.lit(0).alias(f"d{i}") for i in range(len(named))]
-        up, down = list(zero), list(zero)
-        up[k], down[k] = F.lit(1).alias(f"d{k}"), F.lit(-1).alias(f"d{k}")
-        part = c.select(F.col("s").alias("t"), *up).union(c.select(F.col("e").alias("t"), *down))
-        ends = part if ends is None else ends.union(part)
-    spark = named[0][1].sparkSession
-    ends = ends.union(spark.range(1).select(F.explode(F.array(F.lit(lo), F.lit(hi))).alias("t"), *[F.lit(0).alias(f"d{i}") for i in range(len(named))]))
-    ends = ends.groupBy("t").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(named))])
-    w = Window.orderBy("t")
-    out = ends.select(F.col("t").alias("s"), F.lead("t").over(w).alias("e"), *[(F.sum(f"d{i}").over(w) > 0).alias(n) for i, (n, _) in enumerate(named)])
-    return out.filter("e is not null")
+        c = d.select(F.lit(0).alias("_k"), F.greatest("s", F.lit(lo)).alias("s"), F.least("e", F.lit(hi)).alias("e")).filter("s < e")
+        up = [F.lit(int(i == k)).cast("long").alias(n) for i, n in enumerate(names)]
+        down = [F.lit(-int(i == k)).cast("long").alias(n) for i, n in enumerate(names)]
+        part = c.select("_k", F.inline(F.array(F.struct(F.col("s").alias("t"), *up), F.struct(F.col("e").alias("t"), *down))))
+        ends = part if ends is None else ends.unionByName(part)
+    # One row at the start of every chunk, so that each chunk knows where the next begins.
+    spark, first, last = named[0][1].sparkSession, lo // chunk, -(-hi // chunk)
+    marks = spark.range(first, last + 1).select(F.lit(0).alias("_k"), F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("id") * chunk)).alias("t"), *[F.lit(0).cast("long").alias(n) for n in names])
+    ends = ends.unionByName(marks).groupBy("_k", "t").agg(*[F.sum(n).alias(n) for n in names])
+    ends = carried(ends, ["_k"], "t", ["t"], chunk, sums={f"n{i}": n for i, n in enumerate(names)})
+    c = F.expr(f"floor(t / {chunk})")
+    upto = F.least(F.lit(hi), (c + 1) * chunk)
+    w = Window.partitionBy(c).orderBy("t")
+    out = ends.select(F.col("t").alias("s"), F.coalesce(F.lead("t").over(w), upto).alias("e"), *[(F.col(f"n{i}") > 0).alias(n) for i, (n, _) in enumerate(named)])
+    out = out.filter("s < e")
+    # Stretches that a chunk's edge alone has cut are put together again.
+    flags = [n for n, _ in named]
+    return coalesce_spans(out, flags, chunk=chunk).select("s", "e", *flags)

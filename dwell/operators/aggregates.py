@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwell.functions.intervals import split_to_buckets
-from dwell.functions.rules import CLASS_NAMES, bucket_edge, class_of, clip, is_idle, latency_bucket
+from dwell.functions.rules import CLASS_NAMES, bucket_edge, class_of, clip, cpu_share, is_idle, latency_bucket
 
 HIST = 16
 
@@ -19,21 +19,43 @@ def bucket_width(lo: int, hi: int, n: int) -> int:
     return -(-(hi - lo) // n)
 
 
+def on_cpu(lo: Column, hi: Column) -> Column:
+    """What of [lo, hi) counts under a row's own state: the measured CPU of a row on CPU, at most
+    the stretch itself, and the whole stretch of any other row (waits, and CPU not measured)."""
+    whole = hi - lo
+    measured = (F.col("old_event") == 0) & F.col("cpu").isNotNull()
+    return F.when(measured, F.least(cpu_share(F.col("cpu"), F.col("start"), F.col("dur"), lo, hi), whole)).otherwise(whole)
+
+
 def load(df: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Rows that aren't markers, with class, idle and wall (their length within the window)."""
+    """Rows that aren't markers, with class, idle, wall (their length within the window), used (see
+    on_cpu; wall less used is time that waited for a core) and measured (their CPU is known)."""
     d = df.filter(F.col("marker").isNull()).withColumn("wall", clip(F.col("start"), F.col("ts"), lo, hi))
-    return d.withColumn("class", class_of(F.col("old_event"))).withColumn("idle", is_idle(F.col("old_event")))
+    d = d.withColumn("class", class_of(F.col("old_event"))).withColumn("idle", is_idle(F.col("old_event")))
+    a, b = F.greatest("start", F.lit(lo)), F.least("ts", F.lit(hi))
+    d = d.withColumn("used", F.when(F.col("wall") > 0, on_cpu(a, b)).otherwise(0).cast("long"))
+    return d.withColumn("measured", (F.col("old_event") == 0) & F.col("cpu").isNotNull() & (F.col("wall") > 0))
+
+
+def not_io_worker(df: DataFrame) -> DataFrame:
+    """Rows of io workers are left out, where the table knows them."""
+    return df.filter("backend is null or backend <> 'io_worker'") if "backend" in df.columns else df
 
 
 def aas(df: DataFrame, lo: int, hi: int, n: int = 120) -> DataFrame:
-    """Average active actors: bucket, one column per class, and total. Idle states and io workers are no load."""
+    """Average active actors: bucket, one column per class, off_cpu and total.
+
+    Idle states and io workers are no load. cpu is measured CPU where that is known, and off_cpu
+    what is left of those rows; the total has both.
+    """
     width = bucket_width(lo, hi, n)
-    d = split_to_buckets(load(df, lo, hi).filter("not idle and (backend is null or backend <> 'io_worker')"), lo, hi, width)
-    ns = F.col("b_hi") - F.col("b_lo")
-    sums = d.groupBy("bucket").agg(*[F.sum(F.when(F.col("class") == c, ns).otherwise(0)).alias(c) for c in CLASS_NAMES])
+    d = split_to_buckets(not_io_worker(load(df, lo, hi).filter("not idle")), lo, hi, width)
+    d = d.withColumn("_wall", F.col("b_hi") - F.col("b_lo")).withColumn("_used", on_cpu(F.col("b_lo"), F.col("b_hi")))
+    sums = [F.sum(F.when(F.col("class") == c, F.col("_used")).otherwise(0)).alias(c) for c in CLASS_NAMES]
+    sums = d.groupBy("bucket").agg(*sums, F.sum(F.col("_wall") - F.col("_used")).alias("off_cpu"), F.sum("_wall").alias("total"))
     every = df.sparkSession.range(-(-(hi - lo) // width)).select(F.col("id").alias("bucket"))
     out = every.join(sums, "bucket", "left")
-    return out.select("bucket", *[(zero(F.col(c)) / width).alias(c) for c in CLASS_NAMES], (sum((zero(F.col(c)) for c in CLASS_NAMES), F.lit(0)) / width).alias("total"))
+    return out.select("bucket", *[(zero(F.col(c)) / width).alias(c) for c in (*CLASS_NAMES, "off_cpu", "total")])
 
 
 def aas_peak(df: DataFrame, lo: int, hi: int, n: int = 120) -> DataFrame:
@@ -58,21 +80,34 @@ def aas_by_category(df: DataFrame, lo: int, hi: int, n: int = 120) -> DataFrame:
 def time_model(df: DataFrame, lo: int, hi: int, per_class: int = 5) -> DataFrame:
     """Rows DB Time, each class with its largest states, and Idle with its states.
 
-    label, parent, time, pct of DB Time (null for idle) and aas.
+    label, parent, time, pct of DB Time (null for idle) and aas. Where CPU was measured it has
+    two rows, running and waiting for a core; else all of it is CPU*. Classes without time are
+    left out. Idle states of background loops (Activity) are one remainder row. io workers are
+    neither load nor idle.
     """
-    e = load(df, lo, hi).groupBy("class", "idle", "old_event").agg(F.sum("wall").alias("time")).filter("time > 0")
-    total = e.agg(zero(F.sum(F.when(~F.col("idle"), F.col("time")))).alias("db"))
-    group = F.when(F.col("idle"), "Idle").otherwise(F.col("class"))
-    e = e.withColumn("parent", group)
-    classes = e.groupBy("parent").agg(F.sum("time").alias("time"))
-    w = Window.partitionBy("parent").orderBy(F.desc("time"), "old_event")
-    states = e.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_class)
-    rows = total.select(F.lit("DB Time").alias("label"), F.lit("").alias("parent"), F.col("db").alias("time"))
-    rows = rows.unionByName(classes.select(F.col("parent").alias("label"), F.lit("DB Time").alias("parent"), "time"))
-    rows = rows.unionByName(states.select(F.col("old_event").cast("string").alias("label"), "parent", "time"))
+    e = not_io_worker(load(df, lo, hi)).groupBy("class", "idle", "old_event").agg(
+        F.sum("wall").alias("time"), F.sum("used").alias("used"), F.max("measured").alias("measured")
+    ).filter("time > 0")
+    total = F.sum(F.when(~F.col("idle"), F.col("time"))).over(Window.partitionBy())  # a row for each state
+    cpu = F.col("class") == "cpu"
+    parent = F.when(F.col("idle"), "Idle").otherwise(F.col("class"))
+    name = F.when(F.col("class") == "activity", "Other idle").otherwise(F.col("old_event").cast("string"))
+    e = e.withColumn("_db", zero(total)).withColumn("_rn", F.row_number().over(Window.partitionBy(parent).orderBy(F.desc("time"), "old_event")))
+    running = F.when(F.col("measured"), "CPU (running)").otherwise("CPU*")
+    row = lambda label, up, t: F.struct(label.alias("label"), F.lit(up).alias("parent") if isinstance(up, str) else up.alias("parent"), t.alias("time"))
+    # Each state adds to the rows above it.
+    rows = F.array(
+        F.when(~F.col("idle"), row(F.lit("DB Time"), "", F.col("time"))),
+        F.when(~F.col("idle"), row(F.when(cpu, running).otherwise(F.col("class")), "DB Time", F.col("used"))),
+        F.when(cpu & F.col("measured"), row(F.lit("CPU (waiting for a core)"), "DB Time", F.col("time") - F.col("used"))),
+        F.when(~F.col("idle") & ~cpu & (F.col("_rn") <= per_class), row(F.col("old_event").cast("string"), F.col("class"), F.col("time"))),
+        F.when(F.col("idle"), row(F.lit("Idle"), "", F.col("time"))),
+        F.when(F.col("idle"), row(name, "Idle", F.col("time"))),
+    )
+    out = e.select("_db", F.inline(F.filter(rows, lambda x: x.isNotNull())))
+    out = out.groupBy("label", "parent").agg(F.sum("time").alias("time"), F.max("_db").alias("_db"))
     idle = (F.col("label") == "Idle") | (F.col("parent") == "Idle")
-    out = rows.join(F.broadcast(total))
-    pct = F.when(~idle & (F.col("db") > 0), 100.0 * F.col("time") / F.col("db"))
+    pct = F.when(~idle & (F.col("_db") > 0), 100.0 * F.col("time") / F.col("_db"))
     return out.select("label", "parent", "time", pct.alias("pct"), (F.col("time") / (hi - lo)).alias("aas"))
 
 
@@ -95,7 +130,7 @@ def cpu_checks(df: DataFrame) -> DataFrame:
 
 def histogram(dur: Column, unit: int) -> list[Column]:
     b = latency_bucket(dur, unit, HIST)
-    return [F.sum(F.when(b == i, 1).otherwise(0)).alias(f"h{i}") for i in range(HIST)]
+    return [F.sum(F.when(dur.isNotNull() & (b == i), 1).otherwise(0)).alias(f"h{i}") for i in range(HIST)]
 
 
 def cumulative(df: DataFrame) -> DataFrame:
@@ -115,48 +150,71 @@ def hist_percentile(p: float, unit: int) -> Column:
 
 
 def top_events(df: DataFrame, lo: int, hi: int, unit: int) -> DataFrame:
-    """Per state: closes, time in the window, latencies of exact closes, share of DB time (null if idle), aas."""
+    """Per state: closes, time in the window, latencies of exact closes, share of DB time (null if idle), aas.
+
+    The row of state 0 has the measured CPU where that is known, as in time_model.
+    """
     d = load(df, lo, hi)
     closes = ~F.col("is_sample") & (F.col("ts") >= lo) & (F.col("ts") < hi)
     d = d.withColumn("_d", F.when(closes, F.col("dur")))
-    b = latency_bucket(F.col("_d"), unit, HIST)
-    hist = [F.sum(F.when(F.col("_d").isNotNull() & (b == i), 1).otherwise(0)).alias(f"h{i}") for i in range(HIST)]
-    e = d.groupBy("old_event", "idle").agg(F.count("_d").alias("n"), F.sum("wall").alias("time"), F.avg("_d").alias("avg_dur"), F.max("_d").alias("max_dur"), *hist)
-    total = e.agg(zero(F.sum(F.when(~F.col("idle"), F.col("time")))).alias("db"))
-    e = cumulative(e.join(F.broadcast(total)))
+    e = d.groupBy("old_event", "idle").agg(F.count("_d").alias("n"), F.sum("used").alias("time"), F.sum("wall").alias("_wall"), F.avg("_d").alias("avg_dur"), F.max("_d").alias("max_dur"), *histogram(F.col("_d"), unit))
+    e = cumulative(e.withColumn("db", zero(F.sum(F.when(~F.col("idle"), F.col("_wall"))).over(Window.partitionBy()))))  # a row for each state
     ps = [hist_percentile(p, unit).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
     return e.select("old_event", "n", "time", "avg_dur", "max_dur", *ps, F.when(~F.col("idle") & (F.col("db") > 0), 100.0 * F.col("time") / F.col("db")).alias("pct"), (F.col("time") / (hi - lo)).alias("aas"))
 
 
 def top_sessions(df: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Per actor: DB time, CPU and wait percent of it, and its largest wait ('CPU*' is null here)."""
-    e = load(df, lo, hi).filter("not idle").groupBy("pid", "old_event").agg(F.sum("wall").alias("t"))
-    best = F.max_by(F.when(F.col("old_event") != 0, F.col("old_event")), F.when((F.col("old_event") != 0) & (F.col("t") > 0), F.struct("t", -F.col("old_event"))))
-    s = e.groupBy("pid").agg(F.sum("t").alias("db_time"), zero(F.sum(F.when(F.col("old_event") == 0, F.col("t")))).alias("cpu"), best.alias("top_wait")).filter("db_time > 0")
-    return s.select("pid", "db_time", (100.0 * F.col("cpu") / F.col("db_time")).alias("cpu_pct"), (100.0 * (F.col("db_time") - F.col("cpu")) / F.col("db_time")).alias("wait_pct"), "top_wait")
-
-
-def top_queries(df: DataFrame, lo: int, hi: int, top: int = 16) -> DataFrame:
-    """Per query id: closes, average of exact closes, time, share of all attributed time, time by class, largest states."""
-    d = load(df, lo, hi).filter("not idle and query_id <> 0")
+    """Per actor: DB time, CPU (measured where known) and wait percent of it, time off CPU, and its
+    largest wait ('CPU*' is null here). The percents leave out what waited for a core."""
+    d = not_io_worker(load(df, lo, hi).filter("not idle"))
+    e = d.groupBy("pid", "old_event").agg(F.sum("wall").alias("t"), F.sum("used").alias("u"))
+    wait = F.col("old_event") != 0
+    best = F.max_by(F.when(wait, F.col("old_event")), F.when(wait & (F.col("t") > 0), F.struct("t", -F.col("old_event"))))
+    s = e.groupBy("pid").agg(
+        F.sum("t").alias("db_time"), zero(F.sum(F.when(~wait, F.col("u")))).alias("cpu"), zero(F.sum(F.when(wait, F.col("t")))).alias("waits"), F.sum(F.col("t") - F.col("u")).alias("off_cpu"), best.alias("top_wait")
+    ).filter("db_time > 0")
+    part = lambda c: (100.0 * F.col(c) / F.col("db_time"))
+    return s.select("pid", "db_time", part("cpu").alias("cpu_pct"), part("waits").alias("wait_pct"), "off_cpu", "top_wait")
+
+
+def top_queries(df: DataFrame, lo: int, hi: int, top: int | None = 16) -> DataFrame:
+    """Per query id: closes, average of exact closes, time, share of all attributed time, time by class,
+    largest state (null: CPU) and the ``top`` largest states (None: all)."""
+    d = not_io_worker(load(df, lo, hi).filter("not idle and query_id <> 0"))
     closes = ~F.col("is_sample") & (F.col("ts") >= lo) & (F.col("ts") < hi)
     e = d.groupBy("query_id", "class", "old_event").agg(F.sum("wall").alias("t"), F.sum(F.when(closes, 1).otherwise(0)).alias("n"), F.sum(F.when(closes, F.col("dur"))).alias("d"))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("t")).alias("neg"), "old_event")))
+    order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("t")).alias("neg"), "old_event"))), lambda x: x["old_event"])
+    largest = F.struct("t", F.col("old_event") != 0, -F.col("old_event"))  # CPU has to be above every wait
     q = e.groupBy("query_id").agg(
         F.sum("n").alias("n"), (F.sum("d") / F.sum("n")).alias("avg_dur"), F.sum("t").alias("time"),
         *[zero(F.sum(F.when(F.col("class") == c, F.col("t")))).alias(f"{c}_time") for c in CLASS_NAMES],
-        F.max_by("old_event", F.when(F.col("old_event") != 0, F.struct("t", -F.col("old_event")))).alias("top_wait"),
-        F.transform(F.slice(order, 1, top), lambda x: x["old_event"]).alias("events"),
+        F.max_by(F.when(F.col("old_event") != 0, F.col("old_event")), F.when(F.col("t") > 0, largest)).alias("top_wait"),
+        (order if top is None else F.slice(order, 1, top)).alias("events"),
     )
     total = q.agg(F.sum("time").alias("all_time"))
     q = q.join(F.broadcast(total)).withColumn("pct", 100.0 * F.col("time") / F.col("all_time"))
     return q.select("query_id", "n", "avg_dur", "time", "pct", *[f"{c}_time" for c in CLASS_NAMES], "top_wait", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
 
 
+def query_totals(df: DataFrame, lo: int, hi: int) -> DataFrame:
+    """One row: time of rows with a query (theirs or filled in), what of it was filled in, and time and
+    closes of foreground rows that have none. df comes from annotate.attribute_queries."""
+    d = not_io_worker(load(df, lo, hi).filter("not idle"))
+    has = F.col("attributed_id") != 0
+    none = ~has & (F.col("backend") == "foreground")
+    closes = (F.col("ts") >= lo) & (F.col("ts") < hi)
+    return d.agg(
+        zero(F.sum(F.when(has, F.col("wall")))).alias("db_time"),
+        zero(F.sum(F.when(has & (F.col("attribution") != "own"), F.col("wall")))).alias("backfilled_time"),
+        zero(F.sum(F.when(none, F.col("wall")))).alias("unattributed_time"),
+        zero(F.sum(F.when(none & closes, 1))).alias("unattributed_count"),
+    )
+
+
 def heatmap(df: DataFrame, lo: int, hi: int, unit: int, n: int = 200) -> DataFrame:
-    """Closes per time bucket and latency bucket; sparse."""
+    """Closes per time bucket and latency bucket, without io workers; sparse."""
     width = bucket_width(lo, hi, n)
-    d = df.filter("marker is null and not is_sample").filter((F.col("ts") >= lo) & (F.col("ts") < hi) & (F.shiftright("old_event", 24) != 0x05))
+    d = not_io_worker(df).filter("marker is null and not is_sample").filter((F.col("ts") >= lo) & (F.col("ts") < hi) & (F.shiftright("old_event", 24) != 0x05))
     return d.groupBy(F.expr(f"(ts - {lo}) div {width}").alias("bucket"), latency_bucket(F.col("dur"), unit).alias("latency")).agg(F.count("*").alias("n"))
 
 

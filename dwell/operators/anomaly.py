@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.functions.intervals import overlap_join, pair_lifo
+from dwell.functions.intervals import carried, overlap_join, pair_lifo
 from dwell.functions.rules import is_idle
 from dwell.operators.aggregates import zero
 
@@ -137,8 +137,21 @@ def decide(rules: Rules, state: State, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Decision for each tick of each capture (one row for a tick; columns TICKS, tick in seconds)."""
-    return _with_flags(ticks).groupBy("capture").applyInPandas(lambda pdf: decide(rules, State(), pdf), DECISION)
+    """Decision for each tick of each capture (one row for a tick; columns TICKS, tick in seconds).
+
+    A capture's ticks come to one task in order and batch by batch, with the state carried from
+    one to the next, so a capture of any length needs no more memory than a batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, State()
+        for pdf in batches:
+            for capture, part in pdf.groupby("capture", sort=False):
+                if capture != last:
+                    last, state = capture, State()
+                yield decide(rules, state, part)
+
+    return _with_flags(ticks).repartition("capture").sortWithinPartitions("capture", "tick").mapInPandas(run, DECISION)
 
 
 def stream_anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -156,12 +169,18 @@ def stream_anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return _with_flags(ticks).groupBy("capture").applyInPandasWithState(run, DECISION, kinds, "append", "NoTimeout")
 
 
-def cusum(ticks: DataFrame, drift: float, clip: float) -> DataFrame:
-    """Plain CUSUM of cpu_aas / capacity per capture as a running sum less its running minimum."""
-    w = Window.partitionBy("capture").orderBy("tick")
+def cusum(ticks: DataFrame, drift: float, clip: float, chunk: int = 100_000) -> DataFrame:
+    """Plain CUSUM of cpu_aas / capacity per capture as a running sum less its running minimum.
+
+    Each stretch of ``chunk`` ticks is summed up on its own, so one capture is many tasks' work.
+    """
     u = F.least(F.col("cpu_aas") / F.col("capacity"), F.lit(clip)) - drift
-    d = ticks.withColumn("_p", F.sum((F.col("tick") - F.coalesce(F.lag("tick").over(w), F.col("tick"))) * u).over(w))
-    return d.withColumn("cusum", F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(w))).drop("_p")
+    d = carried(ticks, ["capture"], "tick", ["tick"], chunk, highs={"_last": "tick"})
+    d = d.withColumn("_x", (F.col("tick") - F.coalesce("_last", "tick")) * u)
+    d = carried(d, ["capture"], "tick", ["tick"], chunk, sums={"_p": "_x"}).withColumn("_n", -F.col("_p"))
+    d = carried(d, ["capture"], "tick", ["tick"], chunk, highs={"_low": "_n"})
+    low = F.least(F.lit(0.0), F.col("_p"), F.coalesce(-F.col("_low"), F.lit(0.0)))
+    return d.withColumn("cusum", F.col("_p") - low).drop("_p", "_x", "_n", "_low", "_last")
 
 
 def escalations(df: DataFrame) -> DataFrame:

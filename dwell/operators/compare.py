@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.functions.rules import CLASS_NAMES, clip, is_idle
+from dwell.functions.rules import CLASS_NAMES, class_of, clip, is_idle
 from dwell.operators.aggregates import aas, time_model, top_events, top_queries, top_sessions, zero
 
 
@@ -60,6 +60,18 @@ def cross_validate(exact: DataFrame, samples: DataFrame, lo: int, hi: int) -> Da
     return j.select("old_event", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("exact_pct", "sampled_pct")]).withColumn("gap", F.abs(F.col("exact_pct") - F.col("sampled_pct")))
 
 
+def cross_summary(gaps: DataFrame, least: float = 1.0, top: int = 5) -> DataFrame:
+    """One row for cross_validate's result: the largest gap among states with a share of ``least`` percent
+    either way, that of whole classes, and how many of the ``top`` states both ways have in common."""
+    e, s = F.col("exact_pct"), F.col("sampled_pct")
+    place = lambda c: F.row_number().over(Window.partitionBy().orderBy(c.desc(), "old_event"))  # noqa: E731  # a row for each state
+    d = gaps.withColumn("_e", place(e)).withColumn("_s", place(s)).withColumn("class", class_of(F.col("old_event")))
+    seen = F.greatest(e, s) >= least
+    by_class = d.groupBy("class").agg(F.abs(F.sum("exact_pct") - F.sum("sampled_pct")).alias("g")).agg(F.max("g").alias("max_class_gap"))
+    one = d.agg(F.max(F.when(seen, F.col("gap"))).alias("max_gap"), F.sum(F.when((F.col("_e") <= top) & (F.col("_s") <= top), 1).otherwise(0)).alias("common_top"))
+    return one.join(F.broadcast(by_class))
+
+
 def additivity(df: DataFrame, cuts: list[int], unit: int) -> DataFrame:
     """States whose closes or time over adjoining windows don't add up to the whole window: empty if all do."""
     whole = top_events(df, cuts[0], cuts[-1], unit).select("old_event", "n", "time")

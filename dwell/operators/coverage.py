@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.functions.intervals import coalesce_spans, overlap_join, state_ranges, subtract_spans
+from dwell.functions.intervals import carried, coalesce_spans, overlap_join, state_ranges, subtract_spans
 from dwell.operators.aggregates import zero
 
 
-def covered(windows: DataFrame, spans: DataFrame, key: list[str], width: int, name: str) -> DataFrame:
+def covered(windows: DataFrame, spans: DataFrame, key: list[str], width: int, name: str, chunk: int | None = None) -> DataFrame:
     """Per window (key..., window_id, lo, hi) how much of it the spans (key..., s, e) cover."""
     a = windows.select(*key, "window_id", F.col("lo").alias("a_start"), F.col("hi").alias("a_end"))
-    b = coalesce_spans(spans, key).select(*key, F.col("s").alias("b_start"), F.col("e").alias("b_end"))
+    b = coalesce_spans(spans, key, chunk=chunk).select(*key, F.col("s").alias("b_start"), F.col("e").alias("b_end"))
     hit = overlap_join(a, b, key, width).withColumn("o", F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
     sums = hit.groupBy(*key, "window_id").agg(F.sum("o").alias(name))
     return windows.join(sums, [*key, "window_id"], "left").withColumn(name, zero(F.col(name)))
@@ -28,14 +28,15 @@ def window_fidelity(windows: DataFrame, exact: DataFrame, sampled: DataFrame, wi
 
 def fidelity_ranges(exact: DataFrame, sampled: DataFrame, lo: int, hi: int, period: int, width: int) -> DataFrame:
     """[lo, hi) cut into exact, sampled and none. A sampled span counts only if it is longer than its
-    exact coverage by over one sample period; neighbours of one kind are merged."""
-    one = lambda d: coalesce_spans(d.select(F.lit(0).alias("k"), "s", "e"), ["k"])
-    x, y = one(exact), one(sampled).withColumn("window_id", F.monotonically_increasing_id())
-    w = covered(y.select("k", F.concat_ws(":", "s", "e").alias("window_id"), F.col("s").alias("lo"), F.col("e").alias("hi")), x, ["k"], width, "exact")
+    exact coverage by over one sample period; neighbours of one kind are merged. All spans are of one
+    capture, so the sweeps run by stretches of ``width``: see intervals.carried."""
+    one = lambda d: coalesce_spans(d.select(F.lit(0).alias("k"), "s", "e"), ["k"], chunk=width)
+    x, y = one(exact), one(sampled)
+    w = covered(y.select("k", F.concat_ws(":", "s", "e").alias("window_id"), F.col("s").alias("lo"), F.col("e").alias("hi")), x, ["k"], width, "exact", width)
     counts = w.filter(F.col("hi") - F.col("lo") > F.col("exact") + period).select(F.col("lo").alias("s"), F.col("hi").alias("e"))
-    r = state_ranges([("exact", x.select("s", "e")), ("sampled", counts)], lo, hi)
+    r = state_ranges([("exact", x.select("s", "e")), ("sampled", counts)], lo, hi, width)
     r = r.withColumn("kind", F.when(F.col("exact"), "exact").when(F.col("sampled"), "sampled").otherwise("none"))
-    return coalesce_spans(r.select("kind", "s", "e"), ["kind"])
+    return coalesce_spans(r.select("kind", "s", "e"), ["kind"], chunk=width)
 
 
 def exact_only(answer: DataFrame, fidelity: str) -> DataFrame:
@@ -44,36 +45,66 @@ def exact_only(answer: DataFrame, fidelity: str) -> DataFrame:
     return answer.withColumn("status", status) if fidelity in ("exact", "mixed") else answer.sparkSession.range(1).select(status.alias("status"))
 
 
-def exact_gaps(exact: DataFrame, key: list[str], restarts: DataFrame | None = None) -> DataFrame:
+def exact_gaps(exact: DataFrame, key: list[str], restarts: DataFrame | None = None, width: int = 1) -> DataFrame:
     """Gaps between exact spans; those with a restart (key..., at) in or at the edge of them say so."""
     w = Window.partitionBy(*key).orderBy("s")
     g = coalesce_spans(exact, key).withColumn("g_end", F.lead("s").over(w)).filter("g_end is not null").select(*key, F.col("e").alias("g_start"), "g_end")
     if restarts is None:
         return g.withColumn("reason", F.lit("coverage"))
-    r = restarts.select(*key, F.col("at"))
-    near = g.join(r, key).filter("at between g_start and g_end").select(*key, "g_start").distinct().withColumn("_r", F.lit(True))
+    a = g.select(*key, F.col("g_start").alias("a_start"), (F.col("g_end") + 1).alias("a_end"))
+    b = restarts.select(*key, F.col("at").alias("b_start"), (F.col("at") + 1).alias("b_end"))
+    near = overlap_join(a, b, key, width).select(*key, F.col("a_start").alias("g_start")).distinct().withColumn("_r", F.lit(True))
     return g.join(near, [*key, "g_start"], "left").select(*key, "g_start", "g_end", F.when(F.col("_r"), "restart").otherwise("coverage").alias("reason"))
 
 
 def uncovered_buckets(spans: DataFrame, lo: int, hi: int, n: int, width: int) -> DataFrame:
-    """Buckets of [lo, hi) that meet an uncovered stretch: missing, not zero."""
+    """Buckets of [lo, hi) that meet an uncovered stretch: missing, not zero. All spans are of one
+    capture; the window is cut at multiples of ``width``, and each piece is settled on its own."""
     step = -(-(hi - lo) // n)
     spark = spans.sparkSession
     whole = spark.range(1).select(F.lit(0).alias("k"), F.lit(0).alias("id"), F.lit(lo).alias("s"), F.lit(hi).alias("e"))
-    holes = subtract_spans(whole, spans.select(F.lit(0).alias("k"), F.greatest("s", F.lit(lo)).alias("s"), F.least("e", F.lit(hi)).alias("e")).filter("s < e"), ["k"], ["id"], width)
+    holes = subtract_spans(whole, spans.select(F.lit(0).alias("k"), F.greatest("s", F.lit(lo)).alias("s"), F.least("e", F.lit(hi)).alias("e")).filter("s < e"), ["k"], ["id"], width, chunk=width)
     return holes.select(F.explode(F.expr(f"sequence((s - {lo}) div {step}, (e - 1 - {lo}) div {step})")).alias("bucket")).distinct()
 
 
+def broken_evidence(lives: DataFrame, coverage: DataFrame, waits: DataFrame) -> DataFrame:
+    """generation, bad_coverage and bad_waits for the generations whose evidence contradicts itself.
+
+    A life ends after it begins. Coverage spans lie within it and don't overlap. Waits name their
+    event, lie within the life, and positive ones share no time; an empty one may stand at the
+    edge of another. The one open wait begins after all others and is known up to before the end.
+    """
+    w = Window.partitionBy("generation").orderBy("s", "e")
+    before = lambda c: F.coalesce(F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("born"))
+    outside = (F.col("s") > F.col("e")) | (F.col("s") < F.col("born")) | F.coalesce(F.col("e") > F.col("died"), F.lit(False))
+    spans = coverage.join(lives, "generation").withColumn("_b", before("e"))
+    spans = spans.groupBy("generation").agg(F.max(outside | (F.col("s") < F.col("_b"))).alias("bad_coverage"))
+    known = waits.join(lives, "generation")
+    closed = known.filter("e is not null").withColumn("_b", before(F.when(F.col("s") < F.col("e"), F.col("e"))))
+    nameless = F.col("event").isNull() | (F.col("event").cast("string") == "")
+    closed = closed.groupBy("generation").agg(F.max(nameless | outside | (F.col("s") < F.col("_b"))).alias("bad"), F.max("e").alias("last"))
+    late = (F.col("s") > F.col("as_of")) | (F.col("s") < F.col("born")) | F.coalesce(F.col("as_of") >= F.col("died"), F.lit(False))
+    opened = known.filter("e is null").groupBy("generation").agg(F.max(nameless | F.coalesce(late, F.lit(True))).alias("bad_open"), F.count("*").alias("n"), F.min("s").alias("since"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    out = lives.join(spans, "generation", "left").join(closed, "generation", "left").join(opened, "generation", "left")
+    bad = no(F.col("bad")) | no(F.col("bad_open")) | no(F.col("n") > 1) | no(F.col("last") > F.col("since"))
+    out = out.select("generation", (no(F.col("bad_coverage")) | no(F.col("died") < F.col("born"))).alias("bad_coverage"), bad.alias("bad_waits"))
+    return out.filter("bad_coverage or bad_waits")
+
+
 def wait_metrics(windows: DataFrame, lives: DataFrame, coverage: DataFrame, waits: DataFrame, width: int) -> DataFrame:
     """wait_time and completed_waits with their evidence, exact in decimals.
 
     windows: generation, window_id, event, lo, hi; lives: generation, born, died (null: lives);
     coverage: generation, s, e; waits: generation, event, s, e (null: still open), as_of.
     A value is given only where coverage spans all of window and life; a count also needs a
-    certified exit if the life ends within the window. Values take all recorded waits.
+    certified exit if the life ends within the window. Values take all recorded waits. ``invalid``
+    names what can't be asked: evidence that contradicts itself (see broken_evidence), a query
+    without an event, a window that doesn't end after it begins; there are no values and no
+    diagnostics then, but a gap is still reported where coverage and question are sound.
     """
     big = lambda c: c.cast("decimal(20,0)")
-    w = windows.join(lives, "generation", "left")
+    w = windows.join(lives, "generation", "left").join(broken_evidence(lives, coverage, waits), "generation", "left")
     w = w.withColumn("r_lo", F.greatest("lo", "born")).withColumn("r_hi", F.least("hi", F.coalesce("died", "hi")))
     w = w.withColumn("required", F.greatest(F.col("r_hi") - F.col("r_lo"), F.lit(0).cast("long")))
     a = w.filter("r_lo < r_hi").select("generation", "window_id", F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi"))
@@ -89,14 +120,20 @@ def wait_metrics(windows: DataFrame, lives: DataFrame, coverage: DataFrame, wait
     z = closed.select("generation", "event", F.col("e").alias("b_start"), (F.col("e") + 1).alias("b_end"))
     n = overlap_join(x, z, ["generation", "event"], width).groupBy("generation", "window_id").agg(F.count("*").alias("closes"))
     out = w.join(time, ["generation", "window_id"], "left").join(n, ["generation", "window_id"], "left")
-    gap = F.col("covered") != F.col("required")
+    no_event = F.col("event").isNull() | (F.col("event").cast("string") == "")
+    no_window = F.col("lo") >= F.col("hi")
+    unknown, broken = F.coalesce("bad_coverage", F.lit(False)) | F.col("born").isNull(), F.coalesce("bad_waits", F.lit(False))
+    invalid = F.concat_ws(",", F.when(unknown | broken, "invalid_evidence"), F.when(no_event, "invalid_query"), F.when(no_window, "invalid_window"))
+    sound, ask = invalid == "", ~(unknown | no_event | no_window)
+    gap = ask & (F.col("covered") != F.col("required"))
     uncertain = (F.col("died") >= F.col("lo")) & (F.col("died") < F.col("hi")) & F.col("certified").isNull()
-    no_count = gap | F.coalesce(uncertain, F.lit(False))
+    no_count = gap | (ask & F.coalesce(uncertain, F.lit(False)))
     total = zero(F.col("closed_time")) + zero(F.col("open_time"))
     return out.select(
-        "generation", "window_id", F.when(~gap, big(total)).alias("wait_time"), F.when(~no_count, zero(F.col("closes"))).alias("completed_waits"),
-        zero(F.col("closed_time")).alias("closed_time"), zero(F.col("open_time")).alias("open_time"), "covered", "required",
-        F.when(gap, "coverage_gap").when(no_count, "exit_uncertified").alias("reason"),
+        "generation", "window_id", F.when(sound & ~gap, big(total)).alias("wait_time"), F.when(sound & ~no_count, zero(F.col("closes"))).alias("completed_waits"),
+        F.when(sound, zero(F.col("closed_time"))).alias("closed_time"), F.when(sound, zero(F.col("open_time"))).alias("open_time"),
+        F.when(sound, F.col("covered")).alias("covered"), F.when(sound, F.col("required")).alias("required"),
+        F.when(gap, "coverage_gap").when(no_count, "exit_uncertified").alias("reason"), invalid.alias("invalid"),
     )
 
 
@@ -136,6 +173,7 @@ def boot_pieces(boots: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFram
 def _clean(pieces: DataFrame, bad: DataFrame, width: int) -> DataFrame:
     """What is covered: pieces without their bad stretches and without time that two boots claim."""
     p = pieces.filter("s < e")
+    # A capture has one piece for each boot; what they claim twice lies within these.
     twice = _clock_steps(p, width).withColumn("k", F.lit(0))
     own = subtract_spans(p.select("boot", "s", "e", "live"), bad.select("boot", "s", "e"), ["boot"], ["live"], width)
     return subtract_spans(own.withColumn("k", F.lit(0)), twice, ["k"], ["boot", "live"], width)
@@ -220,6 +258,48 @@ def bounded_omission(births: DataFrame, certificates: DataFrame, width: int, mos
     return j.select("boot", "k", zero(F.col("seen")).alias("seen"), "n", "u", verdict.alias("verdict"))
 
 
+#: Status of a window by its required cohorts, in the order in which the first that applies is given.
+OMISSIONS = ["untraced_invalid", "untraced_incomplete", "untraced_pending", "untraced_unqualified", "untraced_limit"]
+
+
+def omission_verdicts(windows: DataFrame, births: DataFrame, certificates: DataFrame, lost: DataFrame, cohort: int, most: int, longest: int, qualified: int, width: int) -> DataFrame:
+    """Whether numbers of a window may be shown although some lifetimes were not traced, and how many at most.
+
+    windows: boot, window_id, lo, hi; births: boot, boot_start, fork; certificates: boot, k, n, u,
+    pending; lost: boot, id, fork, exit of each omitted lifetime. A window needs the cohorts of
+    births that it meets, and that of every omitted lifetime that it meets. A cohort fails if
+    its certificate contradicts births or lost, is missing, is pending, has more than ``qualified`` births,
+    or more than ``most`` omissions, or one longer than ``longest``. Returns status (null: all hold),
+    and affected lifetimes with the sum of their time in the window, null where the list of
+    these isn't settled.
+    """
+    starts = births.groupBy("boot").agg(F.min("boot_start").alias("boot_start"))
+    number = lambda t: F.floor((F.col(t) - F.col("boot_start")) / cohort).cast("long")
+    seen = births.withColumn("k", number("fork")).groupBy("boot", "k").agg(F.count("*").alias("seen"))
+    l = lost.join(starts, "boot").withColumn("k", number("fork"))  # noqa: E741
+    omitted = l.groupBy("boot", "k").agg(F.count_distinct("id").alias("omitted"), F.max(F.col("exit") - F.col("fork")).alias("most_time"), F.min(F.col("exit") - F.col("fork")).alias("least_time"))
+    c = certificates.join(seen, ["boot", "k"], "full_outer").join(omitted, ["boot", "k"], "full_outer")
+    wrong = ~F.col("pending") & ((F.col("u") < 0) | (F.col("u") > F.col("n")) | (F.col("n") != F.coalesce("seen", F.lit(0))) | (F.col("u") != F.coalesce("omitted", F.lit(0))))
+    wrong = F.coalesce(wrong, F.lit(False)) | F.coalesce(F.col("least_time") < 0, F.lit(False)) | (F.col("k") < 0)
+    limit = (F.col("u") > most) | F.coalesce(F.col("most_time") > longest, F.lit(False))
+    rank = F.when(wrong, 0).when(F.col("pending").isNull(), 1).when(F.col("pending"), 2).when(F.col("n") > qualified, 3).when(limit, 4).otherwise(len(OMISSIONS))
+    c = c.select("boot", "k", rank.alias("rank"))
+    w = windows.join(starts, "boot").filter("lo < hi")
+    met = w.withColumn("k", F.explode(F.expr(f"sequence(floor((greatest(lo, boot_start) - boot_start) / {cohort}), floor((greatest(hi - 1, boot_start) - boot_start) / {cohort}))").cast("array<bigint>"))).select("boot", "window_id", "k")
+    a = w.select("boot", "window_id", F.col("lo").alias("a_start"), F.col("hi").alias("a_end"))
+    b = l.filter("fork < exit").select("boot", "id", "k", F.col("fork").alias("b_start"), F.col("exit").alias("b_end"))
+    hit = overlap_join(a, b, ["boot"], width)
+    need = met.union(hit.select("boot", "window_id", "k")).distinct().join(c, ["boot", "k"], "left")
+    status = need.groupBy("boot", "window_id").agg(F.min(F.coalesce("rank", F.lit(1))).alias("rank"))
+    note = hit.groupBy("boot", "window_id").agg(F.count_distinct("id").alias("n"), F.sum(F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("t"))
+    out = windows.join(status, ["boot", "window_id"], "left").join(note, ["boot", "window_id"], "left")
+    settled = F.col("rank") > 2
+    return out.select(
+        "boot", "window_id", F.get(F.array(*map(F.lit, OMISSIONS)), F.col("rank")).alias("status"),
+        F.when(settled, zero(F.col("n"))).alias("affected"), F.when(settled, zero(F.col("t"))).alias("time_at_most"),
+    )
+
+
 def capability(records: DataFrame, lo: int, hi: int) -> DataFrame:
     """Ranges of each phase's state over a window: a record (start, phase, state; null state: corrupt) holds
     until the next; before the first, and around a corrupt one, the state is unknown."""
@@ -237,11 +317,28 @@ def frontier(messages: DataFrame) -> DataFrame:
     return messages.join(F.broadcast(f)).filter("t < frontier")
 
 
-def stream_faults(messages: DataFrame) -> DataFrame:
-    """Faults of a delivered stream (source, o, t, q): sequence gap or reuse, offset twice, clock back."""
-    w = Window.partitionBy("source").orderBy("o", "t", "q")
-    d = messages.withColumn("pq", F.lag("q").over(w)).withColumn("pt", F.lag("t").over(w)).withColumn("po", F.lag("o").over(w))
-    kinds = {"gap": F.col("q") > F.col("pq") + 1, "reuse": F.col("q") <= F.col("pq"), "duplicate": F.col("o") == F.col("po"), "clock": F.col("t") < F.col("pt")}
+def released(messages: DataFrame, chunk: int) -> DataFrame:
+    """Rows below the frontier with their position in the order of release: t, then source, sequence and
+    offset. Positions are counted by stretches of ``chunk`` of t."""
+    d = frontier(messages).withColumn("_k", F.lit(0)).withColumn("_one", F.lit(1).cast("long"))
+    return carried(d, ["_k"], "t", ["t", "source", "q", "o"], chunk, sums={"position": "_one"}).drop("_k", "_one")
+
+
+def stream_faults(messages: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """Faults of a delivered stream (source, o, t, q): sequence gap or reuse, offset twice, clock back; and,
+    where rows have a generation (gen), a tie: one moment of it in several sources, whose order is unknown.
+
+    A source's rows are compared with those before them by stretches of ``chunk`` offsets.
+    """
+    d = messages.withColumn("_s", F.struct("o", "t", "q"))
+    d = carried(d, ["source"], "o", ["o", "t", "q"], chunk, highs={"_p": "_s"})
+    if "gen" in messages.columns:
+        ties = messages.groupBy("gen", "t").agg((F.min("source") < F.max("source")).alias("tie")).filter("tie")
+        d = d.join(ties, ["gen", "t"], "left")
+    else:
+        d = d.withColumn("tie", F.lit(False))
+    p = F.col("_p")
+    kinds = {"gap": F.col("q") > p["q"] + 1, "reuse": F.col("q") <= p["q"], "duplicate": F.col("o") == p["o"], "clock": F.col("t") < p["t"], "tie": F.col("tie")}
     faults = F.array(*[F.when(c, n) for n, c in kinds.items()])
     return d.select("source", "o", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("fault"))
 

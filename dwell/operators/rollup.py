@@ -16,11 +16,12 @@ def build(df: DataFrame, tick: int, unit: int) -> DataFrame:
     key = ["tick", "old_event", "pid", "query_id"]
     s = d.filter("start < ts").withColumn("tick", F.explode(F.expr(f"sequence(start div {tick}, (ts - 1) div {tick})")))
     s = s.withColumn("time", F.least(F.col("ts"), (F.col("tick") + 1) * tick) - F.greatest(F.col("start"), F.col("tick") * tick))
-    time = s.groupBy(*key).agg(F.sum("time").alias("time"))
     c = d.filter("not is_sample").withColumn("tick", F.expr(f"ts div {tick}"))
-    closes = c.groupBy(*key).agg(F.count("*").alias("n"), F.sum("dur").alias("full"), F.max("dur").alias("longest"), *histogram(F.col("dur"), unit))
-    j = time.join(closes, key, "full_outer")
-    return j.select(*key, *[zero(F.col(x)).alias(x) for x in ("time", "n", "full", "longest", *[f"h{i}" for i in range(HIST)])])
+    # Time and closes are rows of one table, so they are aggregated once; each has nulls for the other.
+    none = F.lit(None).cast("long")
+    both = s.select(*key, "time", none.alias("dur")).unionByName(c.select(*key, none.alias("time"), "dur"))
+    g = both.groupBy(*key).agg(F.sum("time").alias("time"), F.count("dur").alias("n"), F.sum("dur").alias("full"), F.max("dur").alias("longest"), *histogram(F.col("dur"), unit))
+    return g.select(*key, *[zero(F.col(x)).alias(x) for x in ("time", "n", "full", "longest", *[f"h{i}" for i in range(HIST)])])
 
 
 def write(rollup: DataFrame, path: str, per_part: int) -> None:
@@ -81,6 +82,16 @@ def transitions(r: DataFrame, moves: DataFrame, tick: int, lo: int, hi: int) ->
     return whole.union(edge).groupBy("old_event", "new_event").agg(F.sum("n").alias("n"), F.sum("time").alias("time"))
 
 
+def nodes(r: DataFrame, moves: DataFrame, tick: int, lo: int, hi: int) -> DataFrame:
+    """Per state how often it was left and entered and its time, from the same transitions; and the time of
+    samples in the window apart, as these are no transitions."""
+    t = transitions(r, moves.filter("not is_sample"), tick, lo, hi)
+    left = t.select(F.col("old_event").alias("event"), "n", "time", F.lit(0).cast("long").alias("entered"), F.lit(0).cast("long").alias("sampled_time"))
+    into = t.select(F.col("new_event").alias("event"), F.lit(0).cast("long"), F.lit(0).cast("long"), "n", F.lit(0).cast("long"))
+    sampled = moves.filter("is_sample").select(F.col("old_event"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), clip(F.col("start"), F.col("ts"), lo, hi))
+    return left.union(into).union(sampled).groupBy("event").agg(*[F.sum(c).alias(c) for c in ("n", "time", "entered", "sampled_time")])
+
+
 def trailing(df: DataFrame, at: int, lengths: dict[str, int], first: int) -> DataFrame:
     """Time per state over several windows that end at ``at``, side by side; null where history is too short."""
     d = df.filter("marker is null").filter(F.col("ts") > at - max(lengths.values()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from dwell.functions.intervals import coalesce_spans, greedy_onsets, overlap_join, pair_lifo, split_to_buckets
-from dwell.functions.rules import EXIT, class_of, clip, is_hidden, is_idle
+from dwell.functions.rules import EXIT, class_of, clip, cpu_share, is_hidden, is_idle
 from dwell.operators.aggregates import bucket_width, zero
 
 ACTOR = ["capture", "pid"]
@@ -49,26 +49,33 @@ def transition_matrix(df: DataFrame, lo: int, hi: int, top: int = 20) -> DataFra
 
 
 def prune_graph(df: DataFrame, lo: int, hi: int, percent: float, keep_idle: bool = True) -> DataFrame:
-    """Edges of ``percent`` of the largest or more, with what is left out: edges and transitions."""
+    """Edges of ``percent`` of the largest or more, with what is left out: edges, transitions and the largest
+    state that no kept edge meets; and the state with the most time. Ties go to the smaller state."""
     t = transitions(df, lo, hi)
     if not keep_idle:
         t = t.filter(~is_idle(F.col("old_event")) & ~is_idle(F.col("new_event")))
     t = t.join(F.broadcast(t.agg(F.max("n").alias("most"))))
     t = t.withColumn("keep", F.col("n") * 100.0 >= F.col("most") * percent)
     gone = t.agg(zero(F.sum(F.when(~F.col("keep"), 1))).alias("hidden_edges"), zero(F.sum(F.when(~F.col("keep"), F.col("n")))).alias("hidden_n"))
-    return t.filter("keep").join(F.broadcast(gone)).select("old_event", "new_event", "n", "time", "hidden_edges", "hidden_n")
+    # One row for each state, by what it leaves and enters.
+    side = lambda c, time: t.select(F.col(c).alias("event"), "n", time.alias("time"), "keep")
+    nodes = side("old_event", F.col("time")).unionByName(side("new_event", F.lit(0).cast("long"))).groupBy("event").agg(F.sum("n").alias("n"), F.sum("time").alias("time"), F.max("keep").alias("keep"))
+    largest = lambda c: F.max_by("event", F.when(c[0], F.struct(c[1], -F.col("event"))))
+    of = nodes.agg(largest((~F.col("keep"), "n")).alias("hidden_node"), largest((F.lit(True), "time")).alias("longest_node"))
+    return t.filter("keep").join(F.broadcast(gone)).join(F.broadcast(of)).select("old_event", "new_event", "n", "time", "hidden_edges", "hidden_n", "hidden_node", "longest_node")
 
 
 def fingerprints(df: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Per query: transitions, the most frequent one, and the classes with one percent of its time or more."""
+    """Per query: transitions, the most frequent one, and the classes with one percent of its time or more,
+    by their share, and these shares in thousandths."""
     d = df.filter("marker is null and not is_sample and query_id <> 0").filter((F.col("ts") >= lo) & (F.col("ts") < hi))
     c = d.groupBy("query_id", class_of(F.col("old_event")).alias("class")).agg(F.sum("dur").alias("t"))
-    c = c.withColumn("pct", 100.0 * F.col("t") / F.sum("t").over(Window.partitionBy("query_id"))).filter("pct >= 1")
-    order = F.sort_array(F.collect_list(F.struct((-F.col("pct")).alias("p"), "class")))
-    sig = c.groupBy("query_id").agg(F.array_join(F.transform(order, lambda x: x["class"]), ">").alias("signature"))
+    c = c.withColumn("_all", F.sum("t").over(Window.partitionBy("query_id"))).withColumn("pct", 100.0 * F.col("t") / F.col("_all")).filter("pct >= 1")
+    order = F.sort_array(F.collect_list(F.struct((-F.col("pct")).alias("p"), "class", F.expr("1000 * t div _all").alias("m"))))
+    sig = c.groupBy("query_id").agg(F.array_join(F.transform(order, lambda x: x["class"]), ">").alias("signature"), F.array_join(F.transform(order, lambda x: x["m"].cast("string")), ",").alias("shares"))
     p = _moves(d, lo, hi).groupBy("query_id", "old_event", "new_event").agg(F.count("*").alias("n"))
     best = p.groupBy("query_id").agg(F.sum("n").alias("n"), F.max_by(F.concat_ws(">", "old_event", "new_event"), F.struct("n", -F.col("old_event"), -F.col("new_event"))).alias("top_transition"))
-    return sig.join(best, "query_id", "left").select("query_id", "signature", zero(F.col("n")).alias("n"), "top_transition")
+    return sig.join(best, "query_id", "left").select("query_id", "signature", "shares", zero(F.col("n")).alias("n"), "top_transition")
 
 
 def concurrency(df: DataFrame, lo: int, hi: int, n: int = 60) -> DataFrame:
@@ -96,14 +103,19 @@ def lock_chains(df: DataFrame, width: int) -> DataFrame:
     return hit.groupBy("wait_seq", "waiter").agg(best.alias("b")).select("wait_seq", "waiter", "b.holder", "b.overlap")
 
 
-def interference(df: DataFrame, width: int) -> DataFrame:
-    """Per pair of actors the time both wait in the same state, its share of the largest, and the top state."""
+def interference(df: DataFrame, width: int, max_rows: int | None = None) -> DataFrame:
+    """Per pair of actors the time both wait in the same state, its share of the largest, and the top state;
+    all pairs, or the ``max_rows`` with the most time."""
     d = df.filter("marker is null").filter((F.col("old_event") != 0) & ~is_idle(F.col("old_event"))).select("capture", "old_event", "pid", "seq", "start", "ts")
     a = d.select("capture", "old_event", F.col("pid").alias("pid_a"), F.col("start").alias("a_start"), F.col("ts").alias("a_end"))
     b = d.select("capture", "old_event", F.col("pid").alias("pid_b"), F.col("start").alias("b_start"), F.col("ts").alias("b_end"))
     hit = overlap_join(a, b, ["capture", "old_event"], width).filter("pid_a < pid_b").withColumn("overlap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
     p = hit.groupBy("pid_a", "pid_b").agg(F.sum("overlap").alias("overlap"), F.max_by("old_event", F.struct("overlap", -F.col("old_event"))).alias("top_event"))
-    return p.join(F.broadcast(p.agg(F.max("overlap").alias("most")))).select("pid_a", "pid_b", "overlap", (F.col("overlap") / F.col("most")).alias("score"), "top_event")
+    if max_rows is not None:
+        p = p.orderBy(F.desc("overlap"), "pid_a", "pid_b").limit(max_rows)
+    # Both sides need the same columns of the sums, so the overlaps are joined and shuffled once.
+    most = p.agg(F.max("overlap").alias("most"), F.max("top_event").alias("_e"))
+    return p.join(F.broadcast(most)).select("pid_a", "pid_b", "overlap", (F.col("overlap") / F.col("most")).alias("score"), "top_event")
 
 
 def _pairs(df: DataFrame, name: str) -> DataFrame:
@@ -155,24 +167,30 @@ def indexed_percentile(value: str, p: float, least: int) -> Column:
     return F.max(F.when(F.col("i") == at, F.col(value)))
 
 
-def execution_slices(df: DataFrame, runs: DataFrame, hi: int, width: int, per_lane: int = 2000) -> DataFrame:
-    """States within each execution, cut to it; at most ``per_lane`` per execution, with the full count."""
+def execution_slices(df: DataFrame, runs: DataFrame, hi: int, width: int, per_lane: int | None = 2000) -> DataFrame:
+    """States within each execution, cut to it, with their measured CPU prorated; at most ``per_lane`` per
+    execution (None: all), with the full count."""
     a = runs.select("pid", "e_seq", F.col("e_start").alias("a_start"), F.coalesce("e_end", F.lit(hi)).alias("a_end")).filter("a_start < a_end")
-    b = df.filter("marker is null").select("pid", "seq", "old_event", "dur", F.col("start").alias("b_start"), F.col("ts").alias("b_end"))
+    b = df.filter("marker is null").select("pid", "seq", "old_event", "dur", "cpu", F.col("start").alias("b_start"), F.col("ts").alias("b_end"))
     s = overlap_join(a, b, ["pid"], width)
     w = Window.partitionBy("pid", "e_seq")
-    s = s.withColumn("rn", F.row_number().over(w.orderBy("b_start", "seq"))).withColumn("total", F.count("*").over(w)).filter(F.col("rn") <= per_lane)
-    return s.select("pid", "e_seq", "seq", "old_event", F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"), "dur", "total")
+    s = s.withColumn("total", F.count("*").over(w))
+    if per_lane is not None:
+        s = s.withColumn("rn", F.row_number().over(w.orderBy("b_start", "seq"))).filter(F.col("rn") <= per_lane)
+    lo, up = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
+    cpu = F.when(F.col("cpu").isNotNull(), F.least(cpu_share(F.col("cpu"), F.col("b_start"), F.col("dur"), lo, up), up - lo))
+    return s.select("pid", "e_seq", "seq", "old_event", lo.alias("s"), up.alias("e"), "dur", cpu.alias("cpu"), "total")
 
 
-def execution_scatter(runs: DataFrame, lo: int, hi: int, n: int = 100, most: int = 2000) -> DataFrame:
-    """The longest execution of each bucket, and others by the order of a hash, up to ``most`` in all."""
+def execution_scatter(runs: DataFrame, lo: int, hi: int, n: int = 100, most: int | None = 2000) -> DataFrame:
+    """The longest execution of each bucket, and others in an order that scatters their ids, up to ``most`` in all (None: all)."""
     width = bucket_width(lo, hi, n)
     d = runs.filter("e_end is not null").withColumn("dur", F.col("e_end") - F.col("e_start")).withColumn("bucket", F.expr(f"(e_start - {lo}) div {width}"))
     best = d.groupBy("bucket").agg(F.max_by(F.struct("pid", "e_seq"), F.struct("dur", -F.col("pid"), -F.col("e_seq"))).alias("k")).select("k.*")
     first = d.join(best, ["pid", "e_seq"], "left_semi").withColumn("reserved", F.lit(True))
-    rest = d.join(best, ["pid", "e_seq"], "left_anti").orderBy(F.xxhash64("pid", "e_seq"), "pid", "e_seq").limit(max(0, most - n)).withColumn("reserved", F.lit(False))
-    return first.unionByName(rest).select("pid", "e_seq", "e_start", "dur", "reserved")
+    rest = d.join(best, ["pid", "e_seq"], "left_anti")
+    rest = rest if most is None else rest.orderBy(F.col("e_seq") * 7919 % 10007, "pid", "e_seq").limit(max(0, most - n))
+    return first.unionByName(rest.withColumn("reserved", F.lit(False))).select("pid", "e_seq", "e_start", "dur", "reserved")
 
 
 def collapse_loops(steps: list[int], most: int = 32) -> tuple[list[int], float]:
@@ -201,8 +219,10 @@ def variants(df: DataFrame, name: str = "EXEC", width: int = 1, raw: int = 128,
     m = m.withColumn("_n", F.lead("marker").over(w)).withColumn("a_end", F.lead("ts").over(w))
     a = m.filter((F.col("marker") == f"{name}_START") & (F.col("_n") == f"{name}_END")).select(*ACTOR, F.col("seq").alias("e_seq"), "query_id", F.col("ts").alias("a_start"), "a_end").filter("a_start < a_end")
     b = df.filter("marker is null").filter(~is_idle(F.col("old_event"))).select(*ACTOR, "seq", "old_event", F.col("start").alias("b_start"), F.col("ts").alias("b_end"))
-    j = overlap_join(a, b, ACTOR, width)
-    one = j.groupBy(*ACTOR, "e_seq", "query_id", "a_start", "a_end").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("b_start", "seq", "old_event"))), 1, raw), lambda x: x["old_event"]).alias("steps"))
+    of = [*ACTOR, "e_seq", "query_id", "a_start", "a_end"]
+    # Only the first ``raw`` steps of an execution are gathered.
+    j = overlap_join(a, b, ACTOR, width).withColumn("_k", F.row_number().over(Window.partitionBy(*of).orderBy("b_start", "seq"))).filter(F.col("_k") <= raw)
+    one = j.groupBy(*of).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "old_event"))), lambda x: x["old_event"]).alias("steps"))
 
     @pandas_udf("struct<pattern: string, factor: double>")
     def folded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -228,44 +248,61 @@ def session_timeline(df: DataFrame, lo: int, hi: int, gap: int) -> DataFrame:
 
 
 def timeline_density(df: DataFrame, lo: int, hi: int, n: int = 60) -> DataFrame:
-    """Per actor, column and class: time, spans, and the class's share of the column."""
+    """Per actor, column and class: time, spans, the class's share of the column, and the column's time.
+
+    A row without length counts as the shortest stretch there is, so that it can be seen.
+    """
     width = bucket_width(lo, hi, n)
-    s = split_to_buckets(df.filter("marker is null").withColumn("class", class_of(F.col("old_event"))), lo, hi, width)
+    d = df.filter("marker is null").withColumn("ts", F.greatest("ts", F.col("start") + 1))
+    s = split_to_buckets(d.withColumn("class", class_of(F.col("old_event"))), lo, hi, width)
     g = s.groupBy("pid", "bucket", "class").agg(F.sum(F.col("b_hi") - F.col("b_lo")).alias("time"), F.count("*").alias("spans"))
-    return g.withColumn("share", F.col("time") / F.sum("time").over(Window.partitionBy("pid", "bucket")))
+    g = g.withColumn("column_time", F.sum("time").over(Window.partitionBy("pid", "bucket")))
+    return g.withColumn("share", F.col("time") / F.col("column_time"))
 
 
 def backend_spans(df: DataFrame, gaps: DataFrame, width: int) -> DataFrame:
     """Commands per actor: which ends were observed, what they contain, and how well they were measured.
 
-    CMD_START closes an open span as malformed. A CMD_END without a start makes a span of its own.
-    gaps: capture, s, e of missing coverage.
+    CMD_START opens a span, and closes an open one as malformed. CMD_END closes it, or makes a span
+    of its own. EXEC_START and PLAN_START open one whose start was not observed, and so does any
+    other record before the actor's first command; later records outside commands belong to none.
+    gaps: capture, s, e of missing coverage. ESCALATE markers within a span say that it was
+    measured in two ways.
     """
-    w = Window.partitionBy(*ACTOR).orderBy(*ORDER)
     m = F.col("marker")
-    before = F.last(F.when(m.isin("CMD_START", "CMD_END"), m), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opener = F.coalesce(m == "CMD_START", F.lit(False)) | F.coalesce((m == "CMD_END") & ~F.coalesce(before == "CMD_START", F.lit(False)), F.lit(False))
-    d = df.withColumn("span", F.sum(F.when(opener, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_out", F.coalesce(before == "CMD_END", F.lit(False)) & ~F.coalesce(m == "CMD_START", F.lit(False)) & ~F.coalesce(m == "CMD_END", F.lit(False))).filter("span > 0 and not _out")
-    s = d.groupBy(*ACTOR, "span").agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"), F.max(F.when(m == "CMD_START", F.col("ts"))).alias("c_start"), F.max(F.when(m == "CMD_END", F.col("ts"))).alias("c_end"),
-        F.sum(F.when(m == "EXEC_START", 1).otherwise(0)).alias("execs"), F.sum(F.when(m.isNull(), 1).otherwise(0)).alias("records"),
+    edge = F.coalesce(m.isin("ESCALATE_START", "ESCALATE_END"), F.lit(False))
+    w = Window.partitionBy(*ACTOR).orderBy(*ORDER)
+    is_a = lambda *names: F.coalesce(m.isin(*names), F.lit(False))
+    count = lambda c, over: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(over), F.lit(0))
+    # After how many ends, and then after how many starts, a row comes; a part without a start begins at its first opener.
+    d = df.filter(~edge).withColumn("_ends", count(is_a("CMD_END"), w.rowsBetween(Window.unboundedPreceding, -1)))
+    part = Window.partitionBy(*ACTOR, "_ends").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_starts", count(is_a("CMD_START"), part))
+    opener = (F.col("_starts") > 0) | is_a("EXEC_START", "PLAN_START", "CMD_END") | (m.isNull() & (F.col("_ends") == 0))
+    within = Window.partitionBy(*ACTOR, "_ends", "_starts").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_in", F.max(opener).over(within)).filter("_in")
+    begin = F.when(m.isNull(), F.when(F.col("is_sample"), F.col("ts")).otherwise(F.col("start")))
+    s = d.groupBy(*ACTOR, "_ends", "_starts").agg(
+        F.coalesce(F.min(begin), F.min("ts")).alias("first"), F.coalesce(F.max(F.when(m.isNull(), F.col("ts"))), F.max("ts")).alias("last"),
+        F.max(F.when(m == "CMD_START", F.col("ts"))).alias("c_start"), F.max(F.when(m == "CMD_END", F.col("ts"))).alias("c_end"),
+        F.sum(F.when(m == "EXEC_START", 1).otherwise(0)).alias("execs"), F.sum(F.when(m == "PLAN_START", 1).otherwise(0)).alias("plans"), F.sum(F.when(m.isNull(), 1).otherwise(0)).alias("records"),
         F.sum(F.when(m.isNull() & (F.shiftright("old_event", 24) == 0x06), F.col("dur")).otherwise(0)).alias("client_pause"),
         F.max(F.when(m.isNull(), F.col("is_sample"))).alias("sampled"),
         F.sort_array(F.collect_set(F.when((F.col("query_id") != 0) & (m.isNull() | m.isin("EXEC_START", "PLAN_START")), F.col("query_id")))).alias("queries"),
     )
-    last = Window.partitionBy(*ACTOR).orderBy("span")
-    s = s.withColumn("more", F.lead("span").over(last).isNotNull())
+    order = Window.partitionBy(*ACTOR).orderBy("_ends", "_starts")
+    s = s.withColumn("span", F.row_number().over(order)).withColumn("malformed", F.coalesce(F.lead("_ends").over(order) == F.col("_ends"), F.lit(False)))
     a = s.select(*ACTOR, "span", F.coalesce("c_start", "first").alias("a_start"), F.coalesce("c_end", "last").alias("a_end")).filter("a_start < a_end")
-    g = coalesce_spans(gaps, ["capture"]).select("capture", F.col("s").alias("b_start"), F.col("e").alias("b_end"))
-    hit = overlap_join(a, g, ["capture"], width).select(*ACTOR, "span").distinct().withColumn("gap", F.lit(True))
-    s = s.join(hit, [*ACTOR, "span"], "left").withColumn("gap", F.coalesce("gap", F.lit(False)))
-    both = F.col("c_start").isNotNull() & F.col("c_end").isNotNull()
-    closed = F.when(F.col("c_end").isNotNull(), "closed").when(F.col("c_start").isNotNull() & ~F.col("more"), "in_flight").otherwise("unknown")
-    clean = ~F.col("gap") & ~F.coalesce("sampled", F.lit(False))
-    measured = F.when(both & clean, "measured").when(F.col("c_start").isNull() & F.col("c_end").isNull(), "unmeasured").otherwise("partial")
-    reason = F.when(F.col("c_start").isNotNull() & F.col("c_end").isNull() & F.col("more"), "malformed").when(F.col("gap"), "gap").when(F.coalesce("sampled", F.lit(False)), "sampled").when(F.col("c_start").isNull(), "no_start").when(F.col("c_end").isNull(), "no_end")
-    return s.select("pid", "span", "c_start", "c_end", F.when(both, F.col("c_end") - F.col("c_start")).alias("dur"), "execs", "records", "client_pause", "queries", closed.alias("closure"), measured.alias("measure"), reason.alias("reason"))
+    g = coalesce_spans(gaps, ["capture"]).select("capture", F.col("s").alias("b_start"), F.col("e").alias("b_end"), F.lit(True).alias("is_gap"))
+    g = g.unionByName(df.filter(edge).select("capture", F.col("ts").alias("b_start"), (F.col("ts") + 1).alias("b_end"), F.lit(False).alias("is_gap")))
+    hit = overlap_join(a, g, ["capture"], width).groupBy(*ACTOR, "span").agg(F.max("is_gap").alias("gap"), F.max(~F.col("is_gap")).alias("edge"))
+    s = s.join(hit, [*ACTOR, "span"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gap", "edge", "sampled")})
+    begun, ended, bad = F.col("c_start").isNotNull(), F.col("c_end").isNotNull(), F.col("malformed")
+    closed = F.when(ended, "closed").when(begun & ~bad, "in_flight").otherwise("unknown")
+    measured = F.when(begun & ended & ~F.col("gap") & ~F.col("edge") & ~F.col("sampled"), "measured").when(~begun & ~ended, "unmeasured").otherwise("partial")
+    reason = F.when(~begun & ~ended, "no_command").when(bad, "malformed").when(F.col("gap"), "gap").when(F.col("edge"), "escalation").when(F.col("sampled"), "sampled").when(~begun, "no_start").when(~ended, "no_end")
+    dur = F.when(begun & ended, F.col("c_end") - F.col("c_start")).alias("dur")
+    return s.select("pid", "span", "c_start", "c_end", dur, "execs", "plans", "records", "client_pause", "queries", closed.alias("closure"), measured.alias("measure"), reason.alias("reason"))
 
 
 def _pick(spans: DataFrame, hi: int, key: str) -> DataFrame:
@@ -302,6 +339,25 @@ def worker_leaders(workers: DataFrame, runs: DataFrame, hi: int, width: int) ->
     return overlap_join(a, b, ["leader"], width).groupBy("leader", "e_seq").agg(F.count_distinct("pid").alias("workers"), F.sum(F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("time"))
 
 
+def execution_workers(workers: DataFrame, runs: DataFrame, hi: int, width: int) -> DataFrame:
+    """A lane for each worker of an execution (workers: interval rows with leader_pid): its states, its
+    time within the execution, and its measured CPU, prorated."""
+    a = workers.select(F.col("leader_pid").alias("leader"), "pid", "cpu", "dur", F.col("start").alias("a_start"), F.col("ts").alias("a_end")).filter("a_start < a_end")
+    b = runs.select(F.col("pid").alias("leader"), "e_seq", F.col("e_start").alias("b_start"), F.coalesce("e_end", F.lit(hi)).alias("b_end"))
+    s, e = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
+    j = overlap_join(a, b, ["leader"], width).withColumn("time", e - s)
+    j = j.withColumn("_cpu", F.when(F.col("cpu").isNotNull(), F.least(cpu_share(F.col("cpu"), F.col("a_start"), F.col("dur"), s, e), e - s)))
+    return j.groupBy("leader", "e_seq", "pid").agg(F.count("*").alias("n"), F.sum("time").alias("time"), F.sum("_cpu").alias("cpu"))
+
+
+def burst_buckets(onsets: DataFrame, lo: int, hi: int, n: int = 60) -> DataFrame:
+    """Per bucket how many onsets begin in it (of bursts), and the largest one's state and actors."""
+    step = bucket_width(lo, hi, n)
+    d = onsets.filter((F.col("onset") >= lo) & (F.col("onset") < hi)).withColumn("bucket", F.expr(f"(onset - {lo}) div {step}"))
+    best = F.max_by(F.struct("old_event", "actors"), F.struct("actors", -F.col("onset"), -F.col("old_event")))
+    return d.groupBy("bucket").agg(F.count("*").alias("onsets"), best.alias("b")).select("bucket", "onsets", "b.old_event", "b.actors")
+
+
 def resolve_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(by context, by query): texts has db, user, query, source (full > synthetic > pgss), text, ts.
 

@@ -64,7 +64,26 @@ def aas_cols(width: int, alias: str = "") -> str:
     return ", ".join(f"coalesce(sum(part) filter (where class = '{c}'), 0) / cast({width} as double) as {alias}{c}" for c in CLASSES)
 
 
-AAS = q(f"select b as bucket, {aas_cols(W120)}, coalesce(sum(part), 0) / cast({W120} as double) as total from bk left join sp on b = bucket group by b", buckets("(select * from cat where not idle and backend <> 'io_worker')", W120))
+def measured(lo: str, hi: str) -> str:
+    """Of [lo, hi), measured CPU where a row on CPU has it (cumulative, rounded half up, at most the stretch), else all."""
+    upto = lambda t: f"(2 * cpu::hugeint * ({t} - start) + dur) // (2 * dur)"
+    return f"(case when old_event = 0 and cpu is not null and dur > 0 then least({upto(hi)} - {upto(lo)}, {hi} - {lo}) else {hi} - {lo} end)"
+
+
+LOAD = buckets("(select * from cat where not idle and backend <> 'io_worker')", W120)
+AAS_WALL = q(f"select b as bucket, {aas_cols(W120)}, coalesce(sum(part), 0) / cast({W120} as double) as total from bk left join sp on b = bucket group by b", LOAD)
+
+
+def used_cols(width: int) -> str:
+    return ", ".join(f"{big(f"coalesce(sum(used) filter (where class = '{c}'), 0)")} / cast({width} as double) as {c}" for c in CLASSES)
+
+
+USED = f", us as (select *, {measured('b_lo', 'b_hi')} as used from sp)"
+AAS = q(
+    f"""select b as bucket, {used_cols(W120)},
+    {big('coalesce(sum(part - used), 0)')} / cast({W120} as double) as off_cpu, coalesce(sum(part), 0) / cast({W120} as double) as total from bk left join us on b = bucket group by b""",
+    LOAD + USED,
+)
 
 SPANS = f""",
 spans as (select cast(pid as varchar) as capture, start + {HOUR} as s, ts + {HOUR} as e from iv where class = 'lwlock'),
@@ -143,31 +162,37 @@ ct as (select *, case when backend <> 'foreground' then backend when coalesce(e,
         buckets("(select * from iv where not idle)", W60),
     ),
     "time_model": q(
-        f"""select label, parent, {big('time')} as time, case when label <> 'Idle' and parent <> 'Idle' then 100.0 * time / db::double end as pct, time / cast({HI - LO} as double) as aas from (
+        f"""select label, parent, {big('time')} as time, case when label <> 'Idle' and parent <> 'Idle' then 100.0 * time::double / db::double end as pct, time::double / {HI - LO} as aas from (
         select 'DB Time' as label, '' as parent, sum(t) as time from s where not idle
-        union all select case when idle then 'Idle' else class end, 'DB Time', sum(t) from s group by 1
-        union all select cast(old_event as varchar), case when idle then 'Idle' else class end, sum(t) from s group by all), (select sum(t) as db from s where not idle)""",
-        f", s as (select *, {wall(LO, HI)} as t from iv)",
+        union all select class, 'DB Time', sum(t) from s where not idle and class <> 'cpu' group by class
+        union all select case when m then 'CPU (running)' else 'CPU*' end, 'DB Time', u from c where u > 0 or (m and t > u)
+        union all select 'CPU (waiting for a core)', 'DB Time', t - u from c where m
+        union all select cast(old_event as varchar), class, t from (select old_event, class, sum(t) as t, row_number() over (partition by class order by sum(t) desc, old_event) as rn from s where not idle and class <> 'cpu' group by old_event, class) where rn <= 5
+        union all select 'Idle', '', sum(t) from s where idle
+        union all select case when class = 'activity' then 'Other idle' else cast(old_event as varchar) end, 'Idle', sum(t) from s where idle group by all), (select sum(t) as db from s where not idle)""",
+        f""", s as (select *, ts - start as t, {measured('start', 'ts')} as u from cat where backend <> 'io_worker'),
+        c as (select sum(t) as t, sum(u) as u, bool_or(cpu is not null and t > 0) as m from s where class = 'cpu')""",
     ),
     "category_time": q(
         f"""select backend, {big('sum(dur)')} as time, count(distinct pid) as pids, case when backend = 'io_worker' then 100.0 * sum(dur)::double / (count(distinct pid) * {HI - LO}) end as busy_pct from cat where not idle group by backend"""
     ),
     "cpu_checks": q(f"select {big('coalesce(sum(greatest(cpu - dur, 0)), 0)')} as clamped, {big('0')} as in_waits, {big('coalesce(sum(greatest(dur - cpu, 0)), 0)')} as off_cpu from iv where cpu is not null"),
     "top_events": q(
-        f"""select old_event, count(*) as n, {big('sum(dur)')} as time, avg(dur) as avg_dur, max(dur) as max_dur, {percentile(.5)} as p50, {percentile(.95)} as p95, {percentile(.99)} as p99,
-        case when not bool_or(idle) then 100.0 * sum(dur)::double / (select sum(dur) from iv where not idle) end as pct, sum(dur)::double / {HI - LO} as aas from iv group by old_event"""
+        f"""select old_event, count(*) as n, {big('sum(u)')} as time, avg(dur) as avg_dur, max(dur) as max_dur, {percentile(.5)} as p50, {percentile(.95)} as p95, {percentile(.99)} as p99,
+        case when not bool_or(idle) then 100.0 * sum(u)::double / (select sum(dur) from iv where not idle) end as pct, sum(u)::double / {HI - LO} as aas from (select *, {measured('start', 'ts')} as u from iv) group by old_event"""
     ),
     "top_sessions": q(
-        f"""select pid, {big('sum(t)')} as db_time, 100.0 * coalesce(sum(t) filter (where old_event = 0), 0)::double / sum(t) as cpu_pct, 100.0 * coalesce(sum(t) filter (where old_event <> 0), 0)::double / sum(t) as wait_pct,
-        first(old_event order by t desc, old_event) filter (where old_event <> 0 and t > 0) as top_wait from (select pid, old_event, sum(dur) as t from iv where not idle group by all) group by pid having sum(t) > 0"""
+        f"""select pid, {big('sum(t)')} as db_time, 100.0 * coalesce(sum(u) filter (where old_event = 0), 0)::double / sum(t) as cpu_pct, 100.0 * coalesce(sum(t) filter (where old_event <> 0), 0)::double / sum(t) as wait_pct,
+        {big('sum(t - u)')} as off_cpu, first(old_event order by t desc, old_event) filter (where old_event <> 0 and t > 0) as top_wait
+        from (select pid, old_event, sum(dur) as t, sum({measured('start', 'ts')}) as u from iv where not idle group by all) group by pid having sum(t) > 0"""
     ),
     "top_queries": q(
         f"""select query_id, {big('sum(n)')} as n, sum(d)::double / sum(n) as avg_dur, {big('sum(t)')} as time, 100.0 * sum(t)::double / (select sum(t) from g) as pct,
         {', '.join(big("coalesce(sum(t) filter (where class = '" + c + "'), 0)") + f' as {c}_time' for c in CLASSES)},
-        first(old_event order by t desc, old_event) filter (where old_event <> 0) as top_wait, string_agg(cast(old_event as varchar), ',' order by t desc, old_event) as events from g group by query_id""",
+        nullif(first(old_event order by t desc, old_event = 0, old_event), 0) as top_wait, string_agg(cast(old_event as varchar), ',' order by t desc, old_event) as events from g group by query_id""",
         ", g as (select query_id, class, old_event, sum(dur) as t, count(*) as n, sum(dur) as d from iv where not idle and query_id <> 0 group by all)",
     ),
-    "heatmap": q(f"select (ts - {LO}) // {-(-(HI - LO) // 200)} as bucket, {lat('dur')} as latency, count(*) as n from iv group by all"),
+    "heatmap": q(f"select (ts - {LO}) // {-(-(HI - LO) // 200)} as bucket, {lat('dur')} as latency, count(*) as n from cat where backend <> 'io_worker' group by all"),
     "event_histogram": q(
         """select old_event, latency, n, 100.0 * n / sum(n) over (partition by old_event)::double as pct,
         100.0 * sum(n) over (partition by old_event order by latency)::double / sum(n) over (partition by old_event)::double as cum_pct from h""",
@@ -189,13 +214,15 @@ t as (select old_event, new_event, count(*) as n, {big('sum(dur)')} as time from
 best as (select event from (select old_event as event, n from t union all select new_event, n from t where old_event <> new_event) group by 1 order by sum(n) desc, 1 limit 3)""",
     ),
     "graph_pruning": q(
-        f"""select old_event, new_event, n, time, {big('(select count(*) from t where n * 100.0 < m * 95.0)')} as hidden_edges, {big('(select coalesce(sum(n), 0) from t where n * 100.0 < m * 95.0)')} as hidden_n from t where n * 100.0 >= m * 95.0""",
-        f", t as (select *, max(n) over () as m from (select old_event, new_event, count(*) as n, {big('sum(dur)')} as time from iv where old_event <> {IDLE} and new_event <> {IDLE} group by all))",
+        f"""select old_event, new_event, n, time, {big('(select count(*) from t where n * 100.0 < m * 95.0)')} as hidden_edges, {big('(select coalesce(sum(n), 0) from t where n * 100.0 < m * 95.0)')} as hidden_n,
+        (select e from nd where not k order by n desc, e limit 1) as hidden_node, (select e from nd order by time desc, e limit 1) as longest_node from t where n * 100.0 >= m * 95.0""",
+        f""", t as (select *, max(n) over () as m from (select old_event, new_event, count(*) as n, {big('sum(dur)')} as time from iv where old_event <> {IDLE} and new_event <> {IDLE} group by all)),
+        nd as (select e, sum(n) as n, sum(time) as time, bool_or(k) as k from (select old_event as e, n, time, n * 100.0 >= m * 95.0 as k from t union all select new_event, n, 0, n * 100.0 >= m * 95.0 from t) group by e)""",
     ),
     "fingerprints": q(
-        """select query_id, signature, coalesce(n, 0) as n, top_transition from (
-          select query_id, string_agg(class, '>' order by pct desc, class) as signature from (
-            select query_id, class, 100.0 * sum(dur)::double / sum(sum(dur)) over (partition by query_id)::double as pct from iv where query_id <> 0 group by query_id, class) where pct >= 1 group by query_id)
+        """select query_id, signature, shares, coalesce(n, 0) as n, top_transition from (
+          select query_id, string_agg(class, '>' order by pct desc, class) as signature, string_agg(cast(m as varchar), ',' order by pct desc, class) as shares from (
+            select query_id, class, 100.0 * sum(dur)::double / sum(sum(dur)) over (partition by query_id)::double as pct, cast(1000 * sum(dur) // sum(sum(dur)) over (partition by query_id) as bigint) as m from iv where query_id <> 0 group by query_id, class) where pct >= 1 group by query_id)
         left join (select query_id, cast(sum(n) as bigint) as n, first(old_event || '>' || new_event order by n desc, old_event, new_event) as top_transition
                    from (select query_id, old_event, new_event, count(*) as n from iv group by all) group by query_id) using (query_id)"""
     ),
@@ -222,7 +249,8 @@ lv as (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o
         LIFO,
     ),
     "execution_slices": q(
-        f"""select r.pid, r.e_seq, iv.seq, old_event, greatest(e_start, start) as s, least(coalesce(e_end, {HI}), ts) as e, dur, count(*) over (partition by r.e_seq) as total
+        f"""select r.pid, r.e_seq, iv.seq, old_event, greatest(e_start, start) as s, least(coalesce(e_end, {HI}), ts) as e, dur,
+        case when cpu is not null then {measured('greatest(e_start, start)', f'least(coalesce(e_end, {HI}), ts)')} end as cpu, count(*) over (partition by r.e_seq) as total
         from runs r join iv on iv.pid = r.pid and start < coalesce(e_end, {HI}) and ts > e_start where e_start < coalesce(e_end, {HI})""",
         LIFO,
     ),
@@ -232,8 +260,8 @@ lv as (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o
         from iv window w as (partition by pid order by start, seq))) group by pid, bar, class"""
     ),
     "timeline_density": q(
-        f"select pid, bucket, class, {big('sum(part)')} as time, count(*) as spans, sum(part)::double / sum(sum(part)) over (partition by pid, bucket)::double as share from sp group by pid, bucket, class",
-        buckets("iv", W60),
+        f"select pid, bucket, class, {big('sum(part)')} as time, count(*) as spans, {big('sum(sum(part)) over (partition by pid, bucket)')} as column_time, sum(part)::double / sum(sum(part)) over (partition by pid, bucket)::double as share from sp group by pid, bucket, class",
+        buckets("(select * replace (greatest(ts, start + 1) as ts) from iv)", W60),
     ),
     "text_by_context": """select db, "user", query, text from (select p_brand as db, p_type as "user", p_partkey % 10 as query, p_name as text,
         row_number() over (partition by p_brand, p_type, p_partkey % 10 order by case when p_size < 10 then 0 when p_size < 30 then 1 else 2 end, p_partkey desc, p_name) as rn from part) where rn = 1""",
@@ -269,17 +297,17 @@ lv as (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o
     ),
     "uncovered_buckets": q(
         f"""select b as bucket from range(720) r(b) where {HOUR} > coalesce((select sum(least(e, {LO} + (b + 1) * {HOUR}) - greatest(s, {LO} + b * {HOUR})) from isl where s < {LO} + (b + 1) * {HOUR} and e > {LO} + b * {HOUR}), 0)""",
-        f",\nsx as (select start as s, ts as e from iv where class = 'lwlock' and dur < {4 * HOUR})" + islands("sx", ""),
+        f",\nsx as (select start as s, start + dur // 8 as e from iv where class = 'lwlock')" + islands("sx", ""),
     ),
     "bounded_omission": q(
         f"""select boot, k, {big('coalesce(seen, 0)')} as seen, n, u, case when n is null then 'uncertified' when u = 0 then 'complete' when u <= cast(0.1 as double) * n then 'bounded' else 'exceeded' end as verdict
         from (select old_event as boot, (start - {LO}) // {DAY} as k, count(*) as n, {big('count(*) filter (where dur > ' + str(30 * HOUR) + ')')} as u from iv group by all)
         full join (select old_event as boot, (ts - {LO}) // {DAY} as k, count(*) as seen from iv group by all) using (boot, k)"""
     ),
-    "source_frontier": q(f"select event_type as source, event_id as o, us as t from ev where us < (select min(m) from (select max(us) - {HOUR} as m from ev group by event_type))"),
+    "source_frontier": q(f"select event_type as source, event_id as o, us as t, row_number() over (order by us, event_type, event_id) as position from ev where us < (select min(m) from (select max(us) - {HOUR} as m from ev group by event_type))"),
     "stream_faults": q(
-        """select source, o, unnest(list_filter([case when q > pq + 1 then 'gap' end, case when q <= pq then 'reuse' end, case when t < pt then 'clock' end], lambda x: x is not null)) as fault
-        from (select *, lag(q) over w as pq, lag(t) over w as pt from (select event_type as source, event_id as o, us as t,
+        """select source, o, unnest(list_filter([case when q > pq + 1 then 'gap' end, case when q <= pq then 'reuse' end, case when t < pt then 'clock' end, case when tie then 'tie' end], lambda x: x is not null)) as fault
+        from (select *, lag(q) over w as pq, lag(t) over w as pt from (select event_type as source, event_id as o, us as t, min(event_type) over (partition by user_id, us) < max(event_type) over (partition by user_id, us) as tie,
           row_number() over (partition by event_type order by event_id) + case when event_id % 97 = 0 then 1 else 0 end as q from ev) window w as (partition by source order by o))"""
     ),
     "open_waits": q(f"select pid, event, since, {HI} - since as open_time from (select pid, new_event as event, ts as since, row_number() over (partition by pid order by ts desc, seq desc) as rn from iv) where rn = 1"),
@@ -288,13 +316,18 @@ lv as (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o
         (select tick, old_event, pid, query_id, sum(least(ts, (tick + 1) * {HOUR}) - greatest(start, tick * {HOUR})) as t from (select *, unnest(range(start // {HOUR}, (ts - 1) // {HOUR} + 1)) as tick from cat where backend <> 'io_worker') group by all)
         full join (select ts // {HOUR} as tick, old_event, pid, query_id, count(*) as n, sum(dur) as f, max(dur) as l from cat where backend <> 'io_worker' group by all) using (tick, old_event, pid, query_id)"""
     ),
-    "rollup_aas": AAS,
+    "rollup_aas": AAS_WALL,
     "rollup_time_model": q(f"select case when idle then 'Idle' else class end as label, {big('sum(dur)')} as time from cat where backend <> 'io_worker' group by 1"),
     "rollup_top_events": q(f"select old_event, count(*) as n, {big('sum(dur)')} as time, max(dur) as max_dur, {percentile(.95)} as p95 from cat where backend <> 'io_worker' group by 1"),
     "rollup_top_sessions": q(f"select pid, {big('sum(dur)')} as db_time, {big('coalesce(sum(dur) filter (where old_event = 0), 0)')} as cpu from cat where backend <> 'io_worker' and not idle group by 1 having sum(dur) > 0"),
     "rollup_top_queries": q(f"select query_id, count(*) as n, {big('sum(dur)')} as time from cat where backend <> 'io_worker' and not idle and query_id <> 0 group by 1"),
     "rollup_heatmap": q(f"select (ts // {HOUR} - {LO // HOUR}) // 6 as bucket, {lat('dur')} as latency, count(*) as n from cat where backend <> 'io_worker' group by all"),
     "rollup_transitions": q(f"select old_event, new_event, count(*) as n, {big('sum(dur)')} as time from iv where ts >= {LO + HOUR} and ts < {HI - HOUR} group by all"),
+    "rollup_nodes": q(
+        f"""select event, {big('sum(n)')} as n, {big('sum(time)')} as time, {big('sum(entered)')} as entered, {big('0')} as sampled_time from (
+        select old_event as event, 1 as n, dur as time, 0 as entered from w union all select new_event, 0, 0, 1 from w) group by event""",
+        f", w as (select * from iv where ts >= {LO + HOUR} and ts < {HI - HOUR})",
+    ),
     "trailing_windows": q(f"select old_event, {big('sum(' + wall(HI - DAY, HI) + ')')} as d1, {big('sum(' + wall(HI - 7 * DAY, HI) + ')')} as d7, cast(null as bigint) as d40 from iv group by 1"),
     "snapshot_deltas": q(
         f"""select tick, old_event, {big('greatest(total - lag(total, 7) over (partition by old_event order by tick), 0)')} as delta from (select old_event, tick, sum(t) over (partition by old_event order by tick) as total
@@ -308,7 +341,7 @@ lv as (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o
     "budget_audit": q(
         f"""select 'main' as capture, id, used, least(e - s, greatest({2 * HOUR} - used, 0)) as granted from (select a.seq as id, a.start as s, a.ts as e,
         {big('coalesce((select sum(least(a.start, b.ts) - greatest(a.start - ' + str(HOUR) + ', b.start)) from w b where b.seq <> a.seq and b.start < a.start and b.ts > a.start - ' + str(HOUR) + '), 0)')} as used from w a)""",
-        ",\nw as (select * from iv where dur < 3600000000)",
+        ",\nw as (select * from iv)",
     ),
     "active_states": q(
         f"""select pid, since, case when event = 0 then 'on_cpu' when event = {IDLE} then 'idle' else 'waiting' end as state, event, db_time from
@@ -343,7 +376,8 @@ ORACLES |= {
     "ab_bucket_difference": q(
         "select bucket, " + ", ".join(f"a.{c} - b.{c} as {c}" for c in CLASSES) + " from a join b using (bucket)",
         buckets("(select * from cat where not idle and backend <> 'io_worker')", DAY // 2)
-        + f",\nal as (select b as bucket, {aas_cols(DAY // 2)} from bk left join sp on b = bucket group by b),\na as (select bucket - 30 as bucket, * exclude (bucket) from al where bucket >= 30),\nb as (select * from al where bucket < 30)",
+        + USED
+        + f",\nal as (select b as bucket, {used_cols(DAY // 2)} from bk left join us on b = bucket group by b),\na as (select bucket - 30 as bucket, * exclude (bucket) from al where bucket >= 30),\nb as (select * from al where bucket < 30)",
     ),
     "sampled_vs_exact": q(
         """select old_event, coalesce(x, 0) as exact_pct, coalesce(s, 0) as sampled_pct, abs(coalesce(x, 0) - coalesce(s, 0)) as gap from
@@ -354,9 +388,9 @@ ORACLES |= {
     "fidelity_ranges": q(
         """select kind, min(s) as s, max(e) as e from (select *, sum(case when kind = pk then 0 else 1 end) over (order by s) as g from (select *, lag(kind) over (order by s) as pk from (
         select s, e, case when exists (select 1 from xi where xi.s <= seg.s and xi.e >= seg.e) then 'exact' when exists (select 1 from sc where sc.s <= seg.s and sc.e >= seg.e) then 'sampled' else 'none' end as kind from seg))) group by g, kind""",
-        f",\nsx as (select start as s, ts as e from iv where class = 'lwlock' and dur < {2 * HOUR})"
+        f",\nsx as (select start as s, start + dur // 40 as e from iv where class = 'lwlock')"
         + islands("sx", "", name="xi")
-        + f",\nsy as (select start as s, ts as e from iv where class = 'cpu' and dur < {2 * HOUR})"
+        + f",\nsy as (select start as s, start + dur // 40 as e from iv where class = 'cpu')"
         + islands("sy", "", name="yi")
         + f""",
 sc as (select * from yi where e - s > coalesce((select sum(least(xi.e, yi.e) - greatest(xi.s, yi.s)) from xi where xi.s < yi.e and xi.e > yi.s), 0) + {UNIT}),
@@ -371,7 +405,7 @@ h as (select phase, start as s, coalesce(nx, {HI}) as e, case when state is null
 c as (select phase, state, greatest(s, {LO}) as s, least(e, {HI}) as e from h)""" + islands("c", "phase, state") + " select * from isl",
     "wait_metrics": q(
         f"""select generation, window_id, case when covered = required then closed end as wait_time, case when covered = required and not (died >= lo and died < hi and not certified) then closes end as completed_waits,
-        closed as closed_time, {big('0')} as open_time, covered, required, case when covered <> required then 'coverage_gap' when died >= lo and died < hi and not certified then 'exit_uncertified' end as reason
+        closed as closed_time, {big('0')} as open_time, covered, required, case when covered <> required then 'coverage_gap' when died >= lo and died < hi and not certified then 'exit_uncertified' end as reason, '' as invalid
         from (select *, {big('greatest(least(hi, died) - greatest(lo, born), 0)')} as required,
           {big('coalesce((select sum(least(e, hi, died) - greatest(s, lo, born)) from ci where ci.generation = w.generation and s < least(hi, died) and e > greatest(lo, born)), 0)')} as covered,
           {big('coalesce((select sum(least(ts, hi) - greatest(start, lo)) from iv where pid = w.generation and class = ' + chr(39) + 'lock' + chr(39) + ' and start < hi and ts > lo), 0)')} as closed,
@@ -404,3 +438,98 @@ u as (select seq, ts, pid, case when dur > {6 * HOUR} then 0 else query_id end a
       union all select seq, ts, pid, query_id, marker, false, '' from mk)""",
     ),
 }
+
+ORACLES["query_totals"] = q(
+    f"""select {big('coalesce(sum(dur) filter (where attributed_id <> 0), 0)')} as db_time, {big("coalesce(sum(dur) filter (where attributed_id <> 0 and attribution <> 'own'), 0)")} as backfilled_time,
+    {big("coalesce(sum(dur) filter (where attributed_id = 0 and backend = 'foreground'), 0)")} as unattributed_time, count(*) filter (where attributed_id = 0 and backend = 'foreground') as unattributed_count
+    from ({ORACLES['query_attribution']}) a join cat using (seq) where not idle and backend <> 'io_worker'"""
+)
+
+ORACLES["capture_report"] = (
+    f"select 'time_model' as section, concat_ws('/', parent, label) as label, time from ({ORACLES['time_model'].replace("cat where backend <> 'io_worker'", "iv")}) union all select 'events', cast(old_event as varchar), time from ({ORACLES['top_events']})"
+    f" union all select 'sessions', cast(pid as varchar), db_time from ({ORACLES['top_sessions']}) union all select 'queries', cast(query_id as varchar), time from ({ORACLES['top_queries']})"
+)
+
+ORACLES["worker_leaders"] = q(
+    f"""select leader, e_seq, count(distinct a.pid) as workers, {big(f'sum(least(a.ts, coalesce(r.e_end, {HI})) - greatest(a.start, r.e_start))')} as time
+    from wk a join ({RUNS}) r on r.pid = a.leader and a.start < coalesce(r.e_end, {HI}) and r.e_start < a.ts group by leader, e_seq""",
+    LIFO + ",\nfg as (select pid, row_number() over (order by pid) - 1 as i, count(*) over () as n from (select distinct pid from cat where backend = 'foreground')),\nwk as (select cat.*, fg.pid as leader from cat join fg on fg.i = cat.pid % fg.n where backend <> 'foreground' and start < ts)",
+)
+
+#: Commands: a CMD_START opens a span; so do, where none is open, a CMD_END, an EXEC_START and, before the first command, any record.
+CMD = """,
+al as (select pid, ts, seq, marker, query_id, 0 as dur, 0 as old_event from mk union all select pid, ts, seq, null, query_id, dur, old_event from iv),
+b0 as (select *, count(*) filter (where marker = 'CMD_END') over (partition by pid order by ts, seq rows between unbounded preceding and 1 preceding) as ends from al),
+b1 as (select *, count(*) filter (where marker = 'CMD_START') over (partition by pid, ends order by ts, seq rows unbounded preceding) as starts from b0),
+b2 as (select *, bool_or(starts > 0 or coalesce(marker, '') in ('EXEC_START', 'PLAN_START', 'CMD_END') or (marker is null and ends = 0)) over (partition by pid, ends, starts order by ts, seq rows unbounded preceding) as inside from b1),
+b3 as (select pid, ends, starts, row_number() over (partition by pid order by ends, starts) as span, coalesce(min(ts - dur) filter (where marker is null), min(ts)) as first, coalesce(max(ts) filter (where marker is null), max(ts)) as last,
+         max(ts) filter (where marker = 'CMD_START') as c_start, max(ts) filter (where marker = 'CMD_END') as c_end,
+         count(*) filter (where marker = 'EXEC_START') as execs, count(*) filter (where marker = 'PLAN_START') as plans, count(*) filter (where marker is null) as records,
+         cast(coalesce(sum(dur) filter (where marker is null and old_event >> 24 = 6), 0) as bigint) as client_pause,
+         list_sort(list_distinct(list(query_id) filter (where query_id <> 0 and (marker is null or marker in ('EXEC_START', 'PLAN_START'))))) as queries from b2 where inside group by pid, ends, starts),
+gp as (select s, s + 60000000 as e from (select """ + str(LO) + """ + (o_orderkey * 7919 % 43200000) * 60000 as s from orders)),
+b4 as (select *, coalesce(lead(ends) over (partition by pid order by ends, starts) = ends, false) as bad,
+         exists (select 1 from gp where gp.s < coalesce(c_end, last) and gp.e > coalesce(c_start, first) and coalesce(c_start, first) < coalesce(c_end, last)) as gap from b3),
+cs as (select pid, span, c_start, c_end, c_end - c_start as dur, execs, plans, records, client_pause, queries,
+         case when c_end is not null then 'closed' when c_start is not null and not bad then 'in_flight' else 'unknown' end as closure,
+         case when c_start is not null and c_end is not null and not gap then 'measured' when c_start is null and c_end is null then 'unmeasured' else 'partial' end as measure,
+         case when c_start is null and c_end is null then 'no_command' when bad then 'malformed' when gap then 'gap' when c_start is null then 'no_start' when c_end is null then 'no_end' end as reason from b4),
+pk as (select *, case when closure = 'in_flight' then """ + str(HI) + """ - c_start else dur end as elapsed,
+         case when closure = 'in_flight' then 0 when closure = 'closed' and measure = 'measured' then 1 else 2 end as kind from cs)"""
+SPAN = "pid, span, c_start, c_end, dur, execs, plans, records, client_pause, closure, measure, reason"
+ORACLES["backend_spans"] = q(f"select {SPAN} from cs", CMD)
+ORACLES["span_per_actor"] = q(f"select {SPAN} from pk qualify row_number() over (partition by pid order by kind, coalesce(elapsed, 0) desc, span desc) = 1", CMD)
+ORACLES["span_per_query"] = q(
+    f"select {SPAN}, query_id from (select *, unnest(queries) as query_id from pk) qualify row_number() over (partition by query_id order by kind, coalesce(elapsed, 0) desc, span desc, pid) = 1", CMD
+)
+ORACLES["span_detail"] = q(
+    f"select {SPAN}, elapsed, rank from (select *, row_number() over (order by case when closure = 'in_flight' then 0 else 1 end, elapsed desc nulls last, pid, span) as rank from pk) where rank <= 500", CMD
+)
+
+ORACLES["execution_workers"] = q(
+    f"""select leader, e_seq, a.pid, count(*) as n, {big(f'sum(least(a.ts, coalesce(r.e_end, {HI})) - greatest(a.start, r.e_start))')} as time,
+    {big(f"sum(case when cpu is not null then {measured('greatest(start, e_start)', f'least(ts, coalesce(e_end, {HI}))')} end)")} as cpu
+    from wk a join (select pid as rpid, e_seq, e_start, e_end from ({RUNS})) r on r.rpid = a.leader and a.start < coalesce(r.e_end, {HI}) and r.e_start < a.ts group by leader, e_seq, a.pid""",
+    LIFO + ",\nfg as (select pid, row_number() over (order by pid) - 1 as i, count(*) over () as n from (select distinct pid from cat where backend = 'foreground')),\nwk as (select cat.*, fg.pid as leader from cat join fg on fg.i = cat.pid % fg.n where backend <> 'foreground' and start < ts)",
+)
+ORACLES["execution_scatter"] = q(
+    f"""select pid, e_seq, e_start, dur, reserved from (select *, sum(case when reserved then 0 else 1 end) over (order by reserved, e_seq * 7919 % 10007, pid, e_seq rows unbounded preceding) as k from (
+      select pid, e_seq, e_start, e_end - e_start as dur, row_number() over (partition by (e_start - {LO}) // {-(-(HI - LO) // 100)} order by e_end - e_start desc, pid, e_seq) = 1 as reserved
+      from ({RUNS}) where e_end is not null)) where reserved or k <= 4900""",
+    LIFO,
+)
+#: Onsets one after the other: the first moment with enough actors ahead, then the first one after its stretch.
+BURSTS = f"""select g.old_event, g.onset, c.actors from (
+  with recursive g as (select old_event, min(t) as onset from cand group by old_event
+    union all select * from (select g.old_event, (select min(c.t) from cand c where c.old_event = g.old_event and c.t > g.onset + {2 * HOUR}) as onset from g) where onset is not null)
+  select * from g) g join cand c on c.old_event = g.old_event and c.t = g.onset"""
+CAND = f""",
+en as (select distinct old_event, start as t, pid from iv where not idle and old_event <> 0),
+cand as (select a.old_event, a.t, cast(count(distinct b.pid) as int) as actors from (select distinct old_event, t from en) a join en b on b.old_event = a.old_event and b.t between a.t and a.t + {2 * HOUR} group by all having count(distinct b.pid) >= 4)"""
+ORACLES["bursts"] = q(BURSTS, CAND)
+ORACLES["burst_buckets"] = q(
+    f"""select (onset - {LO}) // {-(-(HI - LO) // 60)} as bucket, count(*) as onsets, first(old_event order by actors desc, onset, old_event) as old_event, first(actors order by actors desc, onset, old_event) as actors
+    from ({BURSTS}) where onset >= {LO} and onset < {HI} group by 1""",
+    CAND,
+)
+ORACLES["sampled_vs_exact_summary"] = f"""select round(max(gap) filter (where greatest(exact_pct, sampled_pct) >= 1), 6) as max_gap,
+  round((select max(g) from (select abs(sum(exact_pct) - sum(sampled_pct)) as g from ({ORACLES['sampled_vs_exact']}) group by old_event >> 24, old_event = 0)), 6) as max_class_gap,
+  count(*) filter (where e <= 3 and s <= 3) as common_top
+  from (select *, row_number() over (order by exact_pct desc, old_event) as e, row_number() over (order by sampled_pct desc, old_event) as s from ({ORACLES['sampled_vs_exact']}))"""
+
+ORACLES["omission_verdicts"] = q(
+    f"""select boot, window_id, case rank when 0 then 'untraced_invalid' when 1 then 'untraced_incomplete' when 2 then 'untraced_pending' when 3 then 'untraced_unqualified' when 4 then 'untraced_limit' end as status,
+      case when rank > 2 then n end as affected, case when rank > 2 then t end as time_at_most from (select w.boot, w.window_id,
+        (select min(coalesce(rank, 1)) from (select k from (select unnest(range((w.lo - {LO}) // {DAY}, (w.hi - 1 - {LO}) // {DAY} + 1)) as k union
+           select k from lost where lost.boot = w.boot and lost.fork < w.hi and lost.exit > w.lo and lost.fork < lost.exit)) r left join (select * from ce) ce on ce.boot = w.boot and ce.k = r.k) as rank,
+        (select count(*) from lost where lost.boot = w.boot and lost.fork < w.hi and lost.exit > w.lo and lost.fork < lost.exit) as n,
+        {big('coalesce((select sum(least(lost.exit, w.hi) - greatest(lost.fork, w.lo)) from lost where lost.boot = w.boot and lost.fork < w.hi and lost.exit > w.lo and lost.fork < lost.exit), 0)')} as t
+      from w)""",
+    SPANS
+    + f""",
+w as (select [{', '.join(map(str, STATES.values()))}][window_id % {len(STATES)} + 1] as boot, window_id, lo, hi from win),
+bi as (select old_event as boot, seq, ts as fork, ts + dur as exit, (ts - {LO}) // {DAY} as k, seq % 31 = 0 as gone from iv),
+lost as (select * from bi where gone),
+ce as (select boot, k, case when k % 29 = 9 then 2 when k % 29 = 7 then 0 when k % 29 = 5 then 1 when n > 90 then 3 when u > 4 or longest > {30 * HOUR} then 4 else 5 end as rank
+       from (select boot, k, count(*) as n, count(*) filter (where gone) as u, max(exit - fork) filter (where gone) as longest from bi group by all))""",
+)

@@ -127,6 +127,11 @@ def query_attribution(spark, d):
     return annotate.attribute_queries(_few_ids(spark, d)).select("seq", "attributed_id", "attribution")
 
 
+@query
+def query_totals(spark, d):
+    return agg.query_totals(annotate.attribute_queries(_few_ids(spark, d)), LO, HI)
+
+
 # Aggregates
 
 
@@ -153,7 +158,7 @@ def aas_by_category(spark, d):
 
 @query
 def time_model(spark, d):
-    return agg.time_model(moves(spark, d), LO, HI)
+    return agg.time_model(annotated(spark, d), LO, HI)
 
 
 @query
@@ -183,7 +188,7 @@ def top_queries(spark, d):
 
 @query
 def heatmap(spark, d):
-    return agg.heatmap(moves(spark, d), LO, HI, UNIT, 200)
+    return agg.heatmap(annotated(spark, d), LO, HI, UNIT, 200)
 
 
 @query
@@ -249,6 +254,11 @@ def bursts(spark, d):
     return sequences.bursts(moves(spark, d), 2 * HOUR, 4)
 
 
+@query
+def burst_buckets(spark, d):
+    return sequences.burst_buckets(sequences.bursts(moves(spark, d), 2 * HOUR, 4), LO, HI, 60)
+
+
 @query
 def lock_chains(spark, d):
     return sequences.lock_chains(moves(spark, d), WIDTH)
@@ -328,12 +338,24 @@ def span_detail(spark, d):
     return sequences.span_detail(_spans(spark, d), HI, 500)
 
 
+def _workers(spark, d):
+    m = annotated(spark, d)
+    # Every other actor works for one of the foreground ones, by the remainder of its pid.
+    leaders = m.filter("backend = 'foreground'").select(F.col("pid").alias("leader_pid")).distinct()
+    leaders = leaders.withColumn("i", F.row_number().over(Window.orderBy("leader_pid")) - 1)
+    n = leaders.agg(F.count("*").alias("n"))
+    w = m.filter("backend <> 'foreground'").join(F.broadcast(n)).withColumn("i", (F.col("pid") % F.col("n")).cast("int")).join(leaders, "i")
+    return w
+
+
 @query
 def worker_leaders(spark, d):
-    m = annotate.tag_backend(moves(spark, d), backends(spark, d))
-    leader = m.filter("backend = 'foreground'").agg(F.max("pid").alias("top"))
-    w = m.filter("backend <> 'foreground'").join(F.broadcast(leader)).withColumn("leader_pid", F.expr("pid + 1")).filter("leader_pid <= top")
-    return sequences.worker_leaders(w, _runs(spark, d), HI, WIDTH)
+    return sequences.worker_leaders(_workers(spark, d), _runs(spark, d), HI, WIDTH)
+
+
+@query
+def execution_workers(spark, d):
+    return sequences.execution_workers(_workers(spark, d), _runs(spark, d), HI, WIDTH)
 
 
 def _texts(spark, d):
@@ -385,6 +407,14 @@ def sampled_vs_exact(spark, d):
     return compare.cross_validate(m, s, LO, HI)
 
 
+@query
+def sampled_vs_exact_summary(spark, d):
+    m = moves(spark, d)
+    s = src.decode_samples(m.select("capture", "seq", "ts", "pid", F.col("old_event").alias("event"), "query_id"), UNIT, HOUR)
+    out = compare.cross_summary(compare.cross_validate(m, s, LO, HI), top=3)
+    return out.select(F.round("max_gap", 6).alias("max_gap"), F.round("max_class_gap", 6).alias("max_class_gap"), "common_top")
+
+
 @query
 def window_additivity(spark, d):
     return compare.additivity(moves(spark, d), [LO, LO + 3 * DAY, MID, HI], UNIT)
@@ -407,25 +437,25 @@ def window_fidelity(spark, d):
     return coverage.window_fidelity(windows(spark, d), _exact(spark, d), _sampled(spark, d), WIDTH, HOUR)
 
 
-def _sparse(spark, d, state, keep):
-    """Short states as spans of the whole capture, so that gaps are left between them."""
-    return moves(spark, d).filter((F.col("old_event") == STATES[state]) & (F.col("dur") < keep)).select(F.col("start").alias("s"), F.col("ts").alias("e"))
+def _sparse(spark, d, state, part):
+    """The first part of each stretch of a state as a span of the whole capture, so that gaps are left between them."""
+    return moves(spark, d).filter(F.col("old_event") == STATES[state]).select(F.col("start").alias("s"), (F.col("start") + F.expr(f"dur div {part}")).alias("e"))
 
 
 @query
 def fidelity_ranges(spark, d):
-    return coverage.fidelity_ranges(_sparse(spark, d, "purchase", 2 * HOUR), _sparse(spark, d, "view", 2 * HOUR), LO, HI, UNIT, WIDTH)
+    return coverage.fidelity_ranges(_sparse(spark, d, "purchase", 40), _sparse(spark, d, "view", 40), LO, HI, UNIT, WIDTH)
 
 
 @query
 def exact_gaps(spark, d):
     r = moves(spark, d).filter(F.col("old_event") == STATES["error"]).select(F.col("pid").cast("string").alias("capture"), F.col("ts").alias("at"))
-    return coverage.exact_gaps(_exact(spark, d), ["capture"], r)
+    return coverage.exact_gaps(_exact(spark, d), ["capture"], r, WIDTH)
 
 
 @query
 def uncovered_buckets(spark, d):
-    return coverage.uncovered_buckets(_sparse(spark, d, "purchase", 4 * HOUR), LO, HI, 720, WIDTH)
+    return coverage.uncovered_buckets(_sparse(spark, d, "purchase", 8), LO, HI, 720, WIDTH)
 
 
 @query
@@ -481,6 +511,18 @@ def bounded_omission(spark, d):
     return coverage.bounded_omission(births, n, DAY, 0.1)
 
 
+@query
+def omission_verdicts(spark, d):
+    m = moves(spark, d).select(F.col("old_event").alias("boot"), F.lit(LO).alias("boot_start"), "seq", F.col("ts").alias("fork"), (F.col("ts") + F.col("dur")).alias("exit"), "dur")
+    lost = m.filter("seq % 31 = 0").select("boot", F.col("seq").alias("id"), "fork", "exit")
+    k = F.expr(f"(fork - {LO}) div {DAY}").alias("k")
+    c = m.groupBy("boot", k).agg(F.count("*").alias("n"), F.sum(F.when(F.col("seq") % 31 == 0, 1).otherwise(0)).alias("u"))
+    c = c.filter("k % 29 <> 5").withColumn("u", F.col("u") + F.when(F.col("k") % 29 == 7, 1).otherwise(0)).withColumn("pending", F.col("k") % 29 == 9)
+    boots = list(STATES.values())
+    w = windows(spark, d).select(F.element_at(F.array(*[F.lit(b).cast("long") for b in boots]), (F.col("window_id") % len(boots) + 1).cast("int")).alias("boot"), "window_id", "lo", "hi")
+    return coverage.omission_verdicts(w, m.select("boot", "boot_start", "fork"), c, lost, DAY, 4, 30 * HOUR, 90, WIDTH)
+
+
 @query
 def phase_capability(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("phase"), micros("ts").alias("start"), F.when(F.col("event_type") != "error", F.when(F.col("value") > 20, "available").otherwise("unavailable")).alias("state"))
@@ -488,14 +530,14 @@ def phase_capability(spark, d):
 
 
 def _messages(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("event_id").alias("o"), micros("ts").alias("t"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("event_id").alias("o"), micros("ts").alias("t"), F.col("user_id").alias("gen"))
     q = F.row_number().over(Window.partitionBy("source").orderBy("o"))
     return e.withColumn("q", (q + F.when(F.col("o") % 97 == 0, 1).otherwise(0)).cast("long")).withColumn("w", F.col("t") - HOUR)
 
 
 @query
 def source_frontier(spark, d):
-    return coverage.frontier(_messages(spark, d)).select("source", "o", "t")
+    return coverage.released(_messages(spark, d), DAY).select("source", "o", "t", "position")
 
 
 @query
@@ -568,6 +610,12 @@ def rollup_transitions(spark, d):
     return rollup.transitions(rollup.transition_rollup(m, DAY), m, DAY, LO + HOUR, HI - HOUR)
 
 
+@query
+def rollup_nodes(spark, d):
+    m = moves(spark, d)
+    return rollup.nodes(rollup.transition_rollup(m, DAY), m, DAY, LO + HOUR, HI - HOUR)
+
+
 @query
 def trailing_windows(spark, d):
     return rollup.trailing(moves(spark, d), HI, {"d1": DAY, "d7": 7 * DAY, "d40": 40 * DAY}, LO)
@@ -583,9 +631,10 @@ def snapshot_deltas(spark, d):
 # Anomaly rules, live forms, texts
 
 
-def _ticks(spark, d):
+def _ticks(spark, d, captures=1):
     e = table(spark, d, "events").select(F.col("user_id").alias("pid"), "event_id", micros("ts").alias("us"), F.col("event_type"))
-    s = e.select(F.lit("main").alias("capture"), F.expr(f"us div {6 * HOUR}").alias("ts"), "pid", mapped("event_type", STATES).cast("long").alias("old_event"))
+    name = F.lit("main") if captures == 1 else F.concat(F.lit("c"), F.col("pid") % captures)
+    s = e.select(name.alias("capture"), F.expr(f"us div {6 * HOUR}").alias("ts"), "pid", mapped("event_type", STATES).cast("long").alias("old_event"))
     return anomaly.tick_metrics(annotate.tag_backend(s, backends(spark, d)))
 
 
@@ -596,7 +645,7 @@ def tick_metrics(spark, d):
 
 @query
 def anomaly_decisions(spark, d):
-    t = _ticks(spark, d).withColumn("tick", F.col("tick").cast("double")).withColumn("capacity", F.lit(40.0))
+    t = _ticks(spark, d, 16).withColumn("tick", F.col("tick").cast("double")).withColumn("capacity", F.lit(3.0))
     return anomaly.anomalies(t)
 
 
@@ -618,7 +667,7 @@ def escalation_windows(spark, d):
 
 @query
 def budget_audit(spark, d):
-    w = moves(spark, d).filter("dur < 3600000000").select(F.lit("main").alias("capture"), F.col("seq").alias("id"), F.col("start").alias("s"), F.col("ts").alias("e"))
+    w = moves(spark, d).select(F.lit("main").alias("capture"), F.col("seq").alias("id"), F.col("start").alias("s"), F.col("ts").alias("e"))
     return anomaly.budget_audit(w, HOUR, 2 * HOUR, HOUR)
 
 

@@ -21,14 +21,24 @@ SCENARIO = (
 )
 
 
-def read_intervals(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None, pids: list[int] | None = None) -> DataFrame:
-    """Rows that overlap [lo, hi]; the conditions on ts, start and pid reach the Parquet scan."""
+def read_intervals(
+    spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None, pids: list[int] | None = None, hour: int | None = None, longest: int | None = None, lookback: int = 0
+) -> DataFrame:
+    """Rows that overlap [lo, hi]; the conditions on ts, start and pid reach the Parquet scan.
+
+    hour is the folder length that write_intervals was given: folders that close before lo are
+    then not read, nor those that begin more than ``longest`` (the length of the longest row)
+    after hi. lookback adds rows that closed up to so long before lo, for what carries over an edge.
+    """
     d = spark.read.parquet(path)
     if lo is not None:
-        d = d.filter(F.col("ts") >= lo)
+        d = d.filter(F.col("ts") >= lo - lookback)
+        d = d.filter(F.col("hour") >= (lo - lookback) // hour) if hour else d
     if hi is not None:
         d = d.filter(F.col("start") <= hi)
-    return d.filter(F.col("pid").isin(pids)) if pids else d
+        d = d.filter(F.col("hour") <= (hi + longest) // hour) if hour and longest is not None else d
+    d = d.filter(F.col("pid").isin(pids)) if pids else d
+    return d.drop("hour") if hour else d
 
 
 def read_dimension(spark: SparkSession, path: str, schema: str = BACKENDS) -> DataFrame:

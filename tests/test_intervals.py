@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from dwell.functions.intervals import coalesce_spans, greedy_onsets, overlap_join, pair_lifo, split_to_buckets, state_ranges, subtract_spans
+from dwell.functions.intervals import carried, coalesce_spans, greedy_onsets, overlap_candidates, overlap_join, pair_lifo, split_to_buckets, state_ranges, subtract_spans
 
 
 def test_overlap_join_gives_each_pair_once(spark):
@@ -15,6 +15,32 @@ def test_overlap_join_gives_each_pair_once(spark):
     assert got == want
 
 
+def test_narrow_rows_meet_in_narrow_bins_alone(spark):
+    """Rows of about one bin: what is tested grows with the rows that share a bin, not with all pairs."""
+    rows = [(i, 0, 10 * i, 10 * i + 9) for i in range(2000)]
+    a = spark.createDataFrame(rows, "i int, k int, a_start long, a_end long")
+    b = spark.createDataFrame(rows + [(-1, 0, 0, 20_000)], "j int, k int, b_start long, b_end long")
+    assert overlap_candidates(a, b.filter("j >= 0"), ["k"], 10).count() <= 2000
+    # One wide row meets every narrow one once, and makes no narrow ones meet.
+    assert overlap_candidates(a, b, ["k"], 10).count() <= 4500
+    assert overlap_join(a, b, ["k"], 10).count() == 4000
+
+
+def test_chunks_carry_over(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), t, rnd.randint(0, 9)) for t in rnd.sample(range(500), 120)]
+    d = spark.createDataFrame(rows, "k string, t long, v long")
+    one = sorted(map(tuple, carried(d, ["k"], "t", ["t"], None, {"n": "v"}, {"m": "v"}).collect()), key=str)
+    assert sorted(map(tuple, carried(d, ["k"], "t", ["t"], 40, {"n": "v"}, {"m": "v"}).select("k", "t", "v", "n", "m").collect()), key=str) == one
+    spans = spark.createDataFrame([(rnd.choice("ab"), s, s + rnd.choice([0, 1, 9, 200])) for s in rnd.sample(range(2000), 150)], "k string, s long, e long")
+    want = sorted(map(tuple, coalesce_spans(spans, ["k"]).collect()))
+    assert sorted(map(tuple, coalesce_spans(spans, ["k"], chunk=50).collect())) == want
+    whole = spark.createDataFrame([("a", 1, 0, 2500), ("b", 2, 700, 701)], "k string, id int, s long, e long")
+    left = subtract_spans(whole, spans, ["k"], ["id"], 30)
+    cut = subtract_spans(whole, spans, ["k"], ["id"], 30, chunk=64)
+    assert sorted(map(tuple, coalesce_spans(cut.select("k", "s", "e"), ["k"]).collect())) == sorted(map(tuple, left.select("k", "s", "e").collect()))
+
+
 def test_spans(spark):
     d = spark.createDataFrame([("a", 0, 5), ("a", 5, 8), ("a", 2, 3), ("a", 10, 12), ("a", 12, 12), ("b", 1, 2)], "k string, s long, e long")
     assert sorted(map(tuple, coalesce_spans(d, ["k"]).collect())) == [("a", 0, 8), ("a", 10, 12), ("b", 1, 2)]

@@ -40,7 +40,42 @@ def test_four_busy_actors_make_four(spark):
 def test_time_model_splits_load_and_idle(spark):
     d = rows(spark, (1, 4 * S, 4 * S, IO), (1, 10 * S, 6 * S, READ), (2, 3 * S, 3 * S, CPU))
     t = {(r["parent"], r["label"]): (r["time"], r["pct"]) for r in aggregates.time_model(d, 0, 10 * S).collect()}
-    assert t["", "DB Time"] == (7 * S, 100.0) and t["DB Time", "Idle"] == (6 * S, None) and t["io", str(IO)] == (4 * S, pytest.approx(400 / 7))
+    assert t["", "DB Time"] == (7 * S, 100.0) and t["", "Idle"] == (6 * S, None) and t["Idle", str(READ)][0] == 6 * S and t["io", str(IO)] == (4 * S, pytest.approx(400 / 7))
+
+
+def measured(d):
+    """Rows on CPU ran for a quarter of their time, those of actor 3 for an unknown part."""
+    return d.withColumn("cpu", F.when((F.col("old_event") == 0) & (F.col("pid") != 3), (F.col("dur") / 4).cast("long")))
+
+
+def test_measured_cpu_leaves_time_off_cpu(spark):
+    d = measured(rows(spark, (1, 8, 8, CPU), (2, 8, 8, IO), (3, 8, 8, CPU)))
+    t = {r["label"]: r["time"] for r in aggregates.time_model(d, 0, 8).collect()}
+    assert t == {"DB Time": 24, "CPU (running)": 10, "CPU (waiting for a core)": 6, "io": 8, str(IO): 8}
+    plain = {r["label"]: r["time"] for r in aggregates.time_model(d.filter("pid = 3"), 0, 8).collect()}
+    assert plain == {"DB Time": 8, "CPU*": 8}
+    # All of it waited for a core: the running row stays, with nothing.
+    none = {r["label"]: r["time"] for r in aggregates.time_model(d.filter("pid = 1").withColumn("cpu", F.lit(0).cast("long")), 0, 8).collect()}
+    assert none == {"DB Time": 8, "CPU (running)": 0, "CPU (waiting for a core)": 8}
+    b = [(r["cpu"], r["off_cpu"], r["io"], r["total"]) for r in aggregates.aas(backed(d), 0, 8, 2).orderBy("bucket").collect()]
+    assert b == [(1.25, 0.75, 1.0, 3.0)] * 2
+    e = {r["old_event"]: (r["time"], r["pct"]) for r in aggregates.top_events(d, 0, 8, 1).collect()}
+    assert e == {CPU: (10, pytest.approx(1000 / 24)), IO: (8, pytest.approx(800 / 24))}
+    s = {r["pid"]: (r["cpu_pct"], r["wait_pct"], r["off_cpu"], r["top_wait"]) for r in aggregates.top_sessions(d, 0, 8).collect()}
+    assert s == {1: (25.0, 0.0, 6, None), 2: (0.0, 100.0, 0, IO), 3: (100.0, 0.0, 0, None)}
+    assert compare.additivity(d, [0, 1, 3, 8], 1).count() == 0
+
+
+def test_io_workers_are_no_load(spark):
+    d = rows(spark, (1, 8, 8, CPU), (2, 8, 8, IO)).withColumn("backend", F.when(F.col("pid") == 2, "io_worker").otherwise("foreground"))
+    assert {r["label"] for r in aggregates.time_model(d, 0, 8).collect()} == {"DB Time", "CPU*"}
+    assert aggregates.heatmap(d, 0, 9, 1, 1).agg(F.sum("n")).first()[0] == 1
+
+
+def test_query_totals(spark):
+    d = rows(spark, (1, 0, "CMD_START"), (1, 2, 2, IO, CPU, 0), (1, 4, 2, IO, CPU, 9), (2, 5, 5, LOCK, CPU, 0))
+    t = aggregates.query_totals(annotate.attribute_queries(backed(d)), 0, 100).first()
+    assert tuple(t) == (4, 2, 5, 1)
 
 
 def test_window_edges(spark):
@@ -120,10 +155,33 @@ def test_concurrency_bursts_and_blockers(spark):
     assert [tuple(r) for r in sequences.interference(d, 7).collect()] == [(1, 2, 12, 1.0, LOCK)]
 
 
+def test_workers_of_executions(spark):
+    runs = spark.createDataFrame([(1, 5, 10, 20), (1, 6, 30, None)], "pid long, e_seq long, e_start long, e_end long")
+    w = measured(rows(spark, (2, 14, 8, CPU), (2, 18, 4, IO), (3, 32, 20, CPU))).withColumn("leader_pid", F.lit(1))
+    got = {(r["e_seq"], r["pid"]): (r["n"], r["time"], r["cpu"]) for r in sequences.execution_workers(w, runs, 40, 5).collect()}
+    assert got == {(5, 2): (2, 8, 1), (5, 3): (1, 8, None), (6, 3): (1, 2, None)}
+    slices = sequences.execution_slices(w.withColumn("pid", F.lit(1)), runs, 40, 5, None)
+    assert sorted((r["e_seq"], r["s"], r["e"], r["cpu"]) for r in slices.collect() if r["dur"] == 8) == [(5, 10, 14, 1)]
+
+
+def test_bursts_by_bucket(spark):
+    o = spark.createDataFrame([(IO, 3, 5), (IO, 8, 9), (LOCK, 9, 9), (IO, 25, 4), (IO, 99, 7)], "old_event long, onset long, actors int")
+    assert sorted(map(tuple, sequences.burst_buckets(o, 0, 30, 3).collect())) == [(0, 3, IO, 9), (2, 1, IO, 4)]
+
+
+def test_sampling_summary(spark):
+    g = spark.createDataFrame([(IO, 50.0, 40.0, 10.0), (IO + 1, 30.0, 35.0, 5.0), (LOCK, 19.9, 24.5, 4.6), (LW, 0.1, 0.5, 0.4)], "old_event long, exact_pct double, sampled_pct double, gap double")
+    r = compare.cross_summary(g, top=2).first()
+    assert (r["max_gap"], round(r["max_class_gap"], 6), r["common_top"]) == (10.0, 5.0, 2)
+
+
 def test_backend_spans(spark):
     d = rows(spark, (1, 0, "CMD_START"), (1, 5, 5, IO), (1, 6, "CMD_END"), (1, 9, 3, READ), (1, 10, "CMD_START"), (1, 12, "CMD_START"), (2, 4, "CMD_END"))
     gaps = spark.createDataFrame([("main", 2, 3)], "capture string, s long, e long")
     s = {(r["pid"], r["span"]): (r["dur"], r["closure"], r["measure"], r["reason"]) for r in sequences.backend_spans(d, gaps, 5).collect()}
+    first = rows(spark, (3, 4, 3, IO), (3, 5, "PLAN_START", 7), (3, 9, "CMD_START"), (3, 12, 1, IO), (3, 15, "CMD_END"), (3, 17, 1, IO), (3, 18, "EXEC_START", 8), (3, 19, "ESCALATE_START"), (3, 20, "CMD_END"), (3, 22, 1, READ), (3, 23, "EXEC_END"))
+    got = [(r["span"], r["c_start"], r["records"], r["execs"], r["plans"], r["closure"], r["measure"], r["reason"], r["queries"]) for r in sequences.backend_spans(first, gaps.limit(0), 5).orderBy("span").collect()]
+    assert got == [(1, None, 1, 0, 1, "unknown", "unmeasured", "no_command", [7]), (2, 9, 1, 0, 0, "closed", "measured", None, []), (3, None, 0, 1, 0, "closed", "partial", "escalation", [8])]
     assert s == {(1, 1): (6, "closed", "partial", "gap"), (1, 2): (None, "unknown", "partial", "malformed"), (1, 3): (None, "in_flight", "partial", "no_end"), (2, 1): (None, "closed", "partial", "no_start")}
 
 
@@ -145,6 +203,44 @@ def test_worked_contract_rows(spark):
     assert got == {0: (4, 1), 1: (2, 0), 2: (2, 1), 3: (0, 1), 9: (0, 1), 10: (0, None)} and big
 
 
+def test_evidence_that_contradicts_itself(spark):
+    lives = spark.createDataFrame([(g, 0, d) for g, d in enumerate([None, 50, 50, 50, 50, -1])], "generation long, born long, died long")
+    cover = spark.createDataFrame([(0, 0, 20), (0, 20, 30), (1, 0, 20), (1, 10, 30), (2, 0, 30), (3, 0, 30), (4, 0, 15), (5, 0, 30)], "generation long, s long, e long")
+    waits = [(0, "x", 0, 10, None), (0, "x", 10, 10, None), (0, "y", 10, 12, None), (0, "x", 12, None, 14), (2, "x", 0, 10, None), (2, "x", 9, 12, None), (3, "x", 0, 10, None), (3, "x", 9, None, 20), (4, "x", 40, 60, None)]
+    waits = spark.createDataFrame(waits, "generation long, event string, s long, e long, as_of long")
+    assert {r["generation"]: (r["bad_coverage"], r["bad_waits"]) for r in coverage.broken_evidence(lives, cover, waits).collect()} == {1: (True, False), 2: (False, True), 3: (False, True), 4: (False, True), 5: (True, False)}
+    w = [(g, g, "x", 0, 30) for g in range(6)] + [(0, 7, "x", 5, 5), (0, 8, "", 0, 30), (0, 9, None, 9, 3)]
+    w = spark.createDataFrame(w, "generation long, window_id long, event string, lo long, hi long")
+    got = {r["window_id"]: (r["wait_time"] and int(r["wait_time"]), r["completed_waits"], r["covered"], r["reason"], r["invalid"]) for r in coverage.wait_metrics(w, lives, cover, waits, 5).collect()}
+    evil = "invalid_evidence"
+    assert got[0] == (12, 2, 30, None, "") and got[1] == (None, None, None, None, evil) and got[2] == (None, None, None, None, evil)
+    # A gap that can be known shows even where the waits are wrong.
+    assert got[4] == (None, None, None, "coverage_gap", evil) and got[5] == (None, None, None, None, evil)
+    assert (got[7][4], got[8][4], got[9][4]) == ("invalid_window", "invalid_query", "invalid_query,invalid_window") and got[7][:2] == (None, None)
+
+
+def test_release_order_and_ties(spark):
+    m = spark.createDataFrame([("a", 1, 10, 1, 90, 7), ("a", 2, 12, 2, 90, 7), ("b", 1, 12, 1, 90, 7), ("b", 2, 12, 2, 90, 8), ("b", 3, 40, 3, 95, 7), ("b", 4, 93, 4, 95, 7)], "source string, o long, t long, q long, w long, gen long")
+    assert [(r["source"], r["o"]) for r in coverage.released(m, 7).orderBy("position").collect()] == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
+    assert sorted((r["source"], r["o"], r["fault"]) for r in coverage.stream_faults(m, 2).collect()) == [("a", 2, "tie"), ("b", 1, "tie")]
+
+
+def test_omissions_of_windows(spark):
+    births = spark.createDataFrame([("b", 0, t) for t in (1, 2, 3, 11, 21, 31, 32, 33, 41, 51)], "boot string, boot_start long, fork long")
+    certs = spark.createDataFrame([("b", 0, 3, 1, False), ("b", 1, 1, 0, False), ("b", 2, 1, 1, False), ("b", 3, 3, 2, False), ("b", 4, None, None, True), ("b", 6, 0, 0, False)], "boot string, k long, n long, u long, pending boolean")
+    lost = spark.createDataFrame([("b", 1, 2, 4), ("b", 2, 31, 31), ("b", 3, 33, 45)], "boot string, id long, fork long, exit long")
+    w = [(0, 0, 10), (1, 10, 20), (2, 5, 25), (3, 30, 40), (4, 38, 40), (5, 40, 44), (6, 50, 60), (7, 60, 61), (8, 5, 5)]
+    w = spark.createDataFrame([("b", *x) for x in w], "boot string, window_id long, lo long, hi long")
+    got = {r["window_id"]: (r["status"], r["affected"], r["time_at_most"]) for r in coverage.omission_verdicts(w, births, certs, lost, 10, 1, 20, 5, 4).collect()}
+    assert got == {
+        0: (None, 1, 2), 1: (None, 0, 0), 2: ("untraced_invalid", None, None), 3: ("untraced_limit", 1, 7), 4: ("untraced_limit", 1, 2),
+        5: ("untraced_pending", None, None), 6: ("untraced_incomplete", None, None), 7: (None, 0, 0), 8: (None, None, None),
+    }
+    few = coverage.omission_verdicts(w.filter("window_id = 0"), births, certs, lost, 10, 1, 20, 2, 4).first()
+    long = coverage.omission_verdicts(w.filter("window_id = 0"), births, certs, lost, 10, 1, 1, 5, 4).first()
+    assert (few["status"], long["status"]) == ("untraced_unqualified", "untraced_limit")
+
+
 def test_verdicts(spark):
     boots = spark.createDataFrame([("a", 0, False, True)], "boot string, boot_start long, sealed boolean, live boolean")
     facts = [("FILE", 1), ("WATERMARK", 10), ("WATERMARK", 20), ("BAD", 0), ("FILE", 2), ("WATERMARK", 30), ("WATERMARK", 50)]
@@ -233,9 +329,15 @@ def test_cusum_window_equals_the_rule(spark):
 
 
 def test_query_texts(spark):
-    assert texts.normalise("SELECT  a -- note\nFROM t WHERE b = 'it''s' AND c = 4.5 /* x */ AND d IS NULL") == "SELECT a FROM t WHERE b = ? AND c = ? AND d IS ?"
+    assert texts.normalise("SELECT  a -- note\nFROM t WHERE b = 'it''s' AND c = 4.5 /* x */ AND d IS NULL") == "SELECT a FROM t WHERE b=? AND c=? AND d IS ?"
+    assert texts.normalise("/* a /* b */ c */ select $1, 0x1F, \"q  'x' -- \" , a1, t.x, .5, 1..2, nullable") == "select $1,?,\"q  'x' -- \",a1,t.x,?,?..?,nullable"
+    assert texts.normalise("$t$ a $ b $t$ , $$x$$, E'a\\'b', U&'x'") == "?,?,?,?"
+    assert [texts.normalise(t) for t in ("", "a /* b /* c */", 'a "b', "a $x$ b")] == ["", None, None, None]
     d = spark.createDataFrame([("select 1",), ("select 2",), ("select 1",), (None,)], "text string")
     assert [(r["normal"], r["n_rows"], r["n_texts"]) for r in texts.text_keys(d).collect()] == [("select ?", 3, 2)]
+    two = d.withColumn("db", F.lit("x")).union(d.withColumn("db", F.lit("y"))).unionByName(spark.createDataFrame([("select 'x", "x"), ("a /*", "x")], "text string, db string"))
+    keys = {(r["db"], r["normal"]): r["key"] for r in texts.text_keys(two, ["db"]).collect()}
+    assert len(set(keys.values())) == 3 and keys["x", None] == 0
 
 
 def test_compare(spark):
