@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import row_key
+from dwell.llm.common import cut, forget, row_key
 
 #: Full stops of all scripts that have one, and the closing marks that follow those of Chinese and Japanese.
 STOPS = ".!?。！？｡．।॥؟۔։።፧။។៕།᠃"
@@ -113,18 +113,20 @@ def substring_dedup(docs: DataFrame, min_words: int = 6) -> DataFrame:
     docs: doc_id, text (what is left; null stays null) and spans, array<struct<start, stop>>,
     the removed stretches as offsets in code points of the original text. Rows with equal
     doc_id and text are one document that occurs again and are treated alike. Empty texts have
-    no units; an empty table gives an empty table; other columns are ignored.
+    no units; texts may be of any length; an empty table gives an empty table; other columns are
+    ignored.
 
-    The groups' firsts are found by an aggregation that combines before the shuffle; units
-    meet them in a join, whose hot keys the engine may split, and only units that go are then
-    gathered per document.
+    Units are made once and written. The groups' firsts are found by an aggregation that combines
+    before the shuffle; units meet them in a join, whose hot keys the engine may split, and only
+    units that go are then gathered per document.
     """
     d = docs.select("doc_id", "text", *row_key())
     kind = d.schema["doc_id"].dataType.simpleString()
-    units = d.mapInArrow(_units(min_words), UNIT_SCHEMA.format(kind=kind))
+    units = cut(d.mapInArrow(_units(min_words), UNIT_SCHEMA.format(kind=kind)))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_r1", "_r2", "start")
     firsts = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = units.join(firsts, ["h1", "h2"]).filter((F.col("_r1") != F.col("first._r1")) | (F.col("_r2") != F.col("first._r2")) | (F.col("start") != F.col("first.start")))
-    spans = later.groupBy("_r1", "_r2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = cut(later.groupBy("_r1", "_r2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    forget(units)
     joined = d.join(spans, ["_r1", "_r2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut_spans, f"doc_id {kind}, text string, spans array<struct<start: int, stop: int>>")
