@@ -119,7 +119,7 @@ def pass_quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.01, m
     v = cut(v.select(F.col("source").alias("_s"), "_r1", "_r2", "kept", "gone").distinct())
     forget(narrow)
     held = v.agg(F.sum(F.lit(1) + F.coalesce(F.array_size("gone"), F.lit(0)))).first()[0] or 0
-    side = F.broadcast(v) if held <= 50_000 else v
+    side = F.broadcast(v) if held <= 500_000 else v
     row, text = F.col("_row"), _without(F.col("_row.text"), F.col("gone"))
     new = row.withField("text", text)
     if "n_chars" in docs.columns:

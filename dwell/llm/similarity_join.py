@@ -422,12 +422,17 @@ def _node_components(d: DataFrame, nodes: DataFrame, words: int, classes: Classe
     able = cut(able)
     at = cut(rest.join(able, "node", "left_semi"))
     forget(rest)
-    # They are dealt into blocks of one hub and size class.
+    # They are dealt into blocks of one hub and size class. A hub has more central tokens than what hangs on it.
     hub = at.join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    hub = hub.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    hub = cut(hub.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")))
+    for _ in range(3):  # the hub of the hub, and so on: similar nodes come into few blocks
+        up = hub.select(F.col("node").alias("hub"), F.col("hub").alias("up"))
+        new = cut(hub.join(up, "hub", "left").select("node", F.coalesce("up", "hub").alias("hub")))
+        forget(hub)
+        hub = new
     many = at.select("node", "comp").distinct().join(hub, "node").join(nodes.select("node", F.col("n_shingles").alias("size"), "class"), "node")
     many = cut(many)
-    forget(hubs, able)
+    forget(hubs, able, hub)
     weight = many.groupBy("comp").agg(F.count("*").alias("weight"))
     parts = many.groupBy("hub", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / ITEMS)).alias("parts"))
     block = F.xxhash64("hub", "class", F.pmod(F.xxhash64("node"), "parts")).alias("block")
