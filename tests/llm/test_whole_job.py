@@ -76,3 +76,28 @@ def test_wrapped_and_double_licences(spark):
     model = licenses.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     got = sorted((r["doc_id"], r["paragraph"], r["start"], r["family"]) for r in licenses.scan(docs, model).filter("confirmed").collect())
     assert got == [(0, 3, len("/*\n * A program.\n *\n"), "gpl"), (1, 2, 14, "bsd"), (2, 0, 0, "lgpl"), (3, 1, 11, "apache"), (3, 1, 11, "mit"), (4, 0, 0, "mit"), (4, 1, 32, "mit")]
+
+
+def test_other_wordings_are_told_and_mentions_are_not(spark):
+    """Notices in words that no template has, and sentences about licences that declare none."""
+    other = {
+        "mit": "The code of this project is distributed under the MIT License.",
+        "apache": "All files are made available under the Apache License, Version 2.0 unless noted.",
+        "gpl": "This program is covered by the GNU General Public License, version 3 or later.",
+        "lgpl": "The library may be used under the GNU Lesser General Public License, version 3.",
+        "agpl": "The server falls under the GNU Affero General Public License, version 3.",
+        "bsd": "You may use it under the BSD 3-Clause License.",
+        "isc": "It comes under the ISC License.",
+        "mpl": "Parts are under the Mozilla Public License, version 2.0 as well.",
+        "cc-by-sa": "The pictures are under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "cc0": "The data come under CC0 1.0 Universal, so use them freely.",
+    }
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = licenses.fit(real)
+    names = list(other)
+    docs = spark.createDataFrame([(i, other[f], 1, 2.0) for i, f in enumerate(names)], "doc_id long, text string, family int, probability double")
+    got = {r["doc_id"]: r["family"] for r in licenses.scan(docs, model).orderBy("probability").collect()}
+    right = sum(got.get(i) == f for i, f in enumerate(names))
+    assert right >= 8 and all(got[i] == names[i] for i in got)
+    told = spark.createDataFrame(list(enumerate(licenses.MENTIONS[1::2])), "doc_id long, text string")
+    assert licenses.scan(told, model).count() == 0
