@@ -6,7 +6,8 @@ in its own class and in the next. Within a class the hash range is cut into ``k`
 than the elements by which two linked sets of the class can differ, so linked nodes have equal
 pieces: at least ``k`` minus that difference. A piece with its content is a token of the matrix.
 A very common n-gram alone makes no token: the other n-grams of its piece are part of it. Each
-node knows how many tokens it needs to share with a linked one in each of its classes.
+node knows how many tokens it needs to share with a linked one in each of its classes. Small sets
+that leave many pieces empty have their n-grams as tokens too.
 
 The tokens first partition similar nodes into groups: every node is compared with the hubs with
 which it shares enough tokens, and what links is one group. Most tokens then lie within one group
@@ -35,7 +36,7 @@ SLACK = 2
 BLOCK = 1024  # nodes of one block of the matrix
 ITEMS = 1 << 21  # elements of all sets of a block, about
 QUERIES = 4096  # nodes that ask one block in one task
-CLASS_BITS = 8  # of a token, for its size class
+CODE_BITS = 9  # of a token, for its size class and kind: code 2c for pieces, 2c + 1 for n-grams
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,9 +115,9 @@ def pieces_of(doc: np.ndarray, gram: np.ndarray, c: np.ndarray, classes: Classes
     """Where each piece that isn't empty begins and its number, whether a document has few of them,
     and how many tokens each document shares with a linked one in class c at least.
 
-    Empty pieces say little, and are tokens only for documents with so many of them that a linked
-    one could share fewer than SLACK others (sparse ones). Two of these share their empty pieces
-    too; with any other document a linked one shares SLACK pieces that aren't empty.
+    Empty pieces say nothing and are no tokens. A document with so many of them that a linked one
+    could share fewer than SLACK others is sparse: two of these are told by their n-grams, which are
+    tokens of their own kind; with any other document a linked one shares SLACK pieces.
     """
     k = classes.pieces(c)
     piece = ((gram >> np.uint64(32)) * k[doc].astype(np.uint64)) >> np.uint64(32)
@@ -131,26 +132,18 @@ def pieces_of(doc: np.ndarray, gram: np.ndarray, c: np.ndarray, classes: Classes
 def tokens_of(doc: np.ndarray, gram: np.ndarray, c: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """(document, token) in the class c of each document; doc and gram as shingle_sets gives them.
 
-    A token is a hash of the class, a piece's number and its content; its last bits are the class.
+    A token is a hash of the class, a piece's number and its content, or for sparse documents also
+    of the class and an n-gram; its last bits are its code.
     """
     at, p, sparse, _ = pieces_of(doc, gram, c, classes)
+    low = np.uint64((1 << CODE_BITS) - 1)
+    code = (2 * c).astype(np.uint64) & low
     d = doc[at]
     whole = np.add.reduceat(_mix(gram + _R[5]), at) if len(at) else np.zeros(0, np.uint64)
     salt = (c * 1_000_003).astype(np.uint64) * _R[6]
-    token = _mix(whole * _R[7] + p.astype(np.uint64) * _R[8] + salt[d])
-    if sparse.any():
-        own, k = np.flatnonzero(sparse), classes.pieces(c)
-        first = np.zeros(len(c), np.int64)
-        first[own] = np.cumsum(k[own]) - k[own]
-        each = np.repeat(own, k[own])
-        place = np.arange(len(each)) - first[each]
-        empty, here = np.ones(len(each), bool), sparse[d]
-        empty[first[d[here]] + p[here]] = False
-        each, place = each[empty], place[empty]
-        d = np.append(d, each)
-        token = np.append(token, _mix(_R[9] + place.astype(np.uint64) * _R[8] + salt[each]))
-    low = np.uint64((1 << CLASS_BITS) - 1)
-    return d, (token & ~low) | (c[d].astype(np.uint64) & low)
+    token = (_mix(whole * _R[7] + p.astype(np.uint64) * _R[8] + salt[d]) & ~low) | code[d]
+    few = sparse[doc]
+    return np.append(d, doc[few]), np.append(token, (_mix(gram[few] * _R[9] + salt[doc[few]]) & ~low) | code[doc[few]] | np.uint64(1))
 
 
 def _nodes_of(doc: np.ndarray, gram: np.ndarray, docs: int, clash: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +199,9 @@ def _token_rows(n: int, classes: Classes, clash: np.ndarray, bits: int):
             _, one = np.unique(node, return_index=True)
             fresh = np.zeros(len(node), bool)
             fresh[one] = True
-            keep = (fresh & (size > 0))[doc] if len(doc) else np.zeros(0, bool)
+            # Smaller sets have no other within the threshold.
+            fresh &= (size > 0) & (size * classes.den >= (size + 1) * classes.num)
+            keep = fresh[doc] if len(doc) else np.zeros(0, bool)
             doc, gram = doc[keep], gram[keep]
             c = np.maximum(classes.of(np.maximum(size, 1)), 0)
             for up in (0, 1):
@@ -383,13 +378,15 @@ def _node_components(d: DataFrame, nodes: DataFrame, words: int, classes: Classe
     """node, comp for the nodes that link with others."""
     tokens = d.mapInArrow(_token_rows(words, classes, clash, bits), "token long, node long")
     shared = cut(tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long"))
-    of_class = F.col("token").bitwiseAND((1 << CLASS_BITS) - 1).cast("int").alias("class")
-    both = F.array(F.struct(F.col("class").alias("class"), F.col("need").alias("need")), F.struct((F.col("class") + 1).alias("class"), F.col("need_up").alias("need")))
-    needs = nodes.select("node", F.inline(both))
+    of_code = F.col("token").bitwiseAND((1 << CODE_BITS) - 1).cast("int").alias("code")
+    grams = F.ceil(F.col("n_shingles") * num / den)
+    entry = lambda code, need: F.struct(code.alias("code"), need.cast("long").alias("need"))
+    own = 2 * F.col("class")
+    needs = nodes.select("node", F.inline(F.array(entry(own, F.col("need")), entry(own + 2, F.col("need_up")), entry(own + 1, grams), entry(own + 3, grams))))
 
     def enough(counted: DataFrame, n: str) -> DataFrame:
-        """Rows of counted (node, class, n) with as many tokens as a link of the node in the class needs."""
-        return counted.join(needs, ["node", "class"]).filter(F.col(n) >= F.col("need")).drop("need", "class", n)
+        """Rows of counted (node, code, n) with as many tokens as a link of the node by this code needs."""
+        return counted.join(needs, ["node", "code"]).filter(F.col(n) >= F.col("need")).drop("need", "code", n)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = cut(nodes.join(wanted, "node").select("doc_id").distinct())
@@ -403,7 +400,7 @@ def _node_components(d: DataFrame, nodes: DataFrame, words: int, classes: Classe
     counts = shared.groupBy("token").agg(F.count("*").alias("n"))
     central = shared.join(counts, "token").groupBy("node").agg(F.sum("n").alias("central"))
     hubs = cut(shared.join(central, "node").groupBy("token").agg(F.max_by("node", F.struct("central", "node")).alias("hub")))
-    pairs = shared.join(hubs, "token").filter("node <> hub").groupBy("node", "hub", of_class).agg(F.count("*").alias("n"))
+    pairs = shared.join(hubs, "token").filter("node <> hub").groupBy("node", "hub", of_code).agg(F.count("*").alias("n"))
     pairs = cut(enough(pairs, "n").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = sets_of(wanted)
@@ -418,7 +415,7 @@ def _node_components(d: DataFrame, nodes: DataFrame, words: int, classes: Classe
     mixed = each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rest = cut(each.join(mixed, "token"))
     forget(shared)
-    able = enough(rest.groupBy("node", of_class).agg(F.count("*").alias("n")), "n").distinct()
+    able = enough(rest.groupBy("node", of_code).agg(F.count("*").alias("n")), "n").distinct()
     able = cut(able)
     at = cut(rest.join(able, "node", "left_semi"))
     forget(rest)
@@ -443,7 +440,7 @@ def _node_components(d: DataFrame, nodes: DataFrame, words: int, classes: Classe
     matrix = dealt.groupBy("token", "block").agg(F.max(rank).alias("most"))
     # A group is asked by nodes of smaller groups, or of groups as large with a smaller name.
     asked = dealt.select("token", "node", rank.alias("own")).join(matrix, "token").filter("own < most")
-    asked = asked.groupBy("node", "block", of_class).agg(F.count("*").alias("overlap"))
+    asked = asked.groupBy("node", "block", of_code).agg(F.count("*").alias("overlap"))
     asked = cut(enough(asked, "overlap").distinct())
     forget(at)
     members = cut(placed.join(asked.select("block").distinct(), "block", "left_semi").select("node", "comp", "block"))
