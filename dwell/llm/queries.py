@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from dwell.llm import ann, licenses
 from dwell.llm.bpe import bpe_round_trip
+from dwell.llm.chat import format_chat, read_chat
 from dwell.llm.common import documents
 from dwell.llm.langid import fit_dictionaries, held_out, identify_languages
 from dwell.llm.line_dedup import line_dedup
 from dwell.llm.mixing import mix_sources
+from dwell.llm.negatives import hard_negatives
 from dwell.llm.quality import quality_rules
 from dwell.llm.similarity_join import jaccard_components
+from dwell.llm.spelling import count_words, spelling_groups
 from dwell.llm.substring_dedup import substring_dedup
 from dwell.llm.suffix_dedup import suffix_dedup
 
@@ -72,6 +75,23 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir), words=4, num=85, den=100)
 
 
+def op11_chat_format(spark, sf_dir):
+    said = F.lit("\\### Assistant: </turn> ok")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    return read_chat(format_chat(turns))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_groups(count_words(documents(spark, sf_dir), min_chars=5, min_count=3, slip=97), ratio=2)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,5 +105,8 @@ QUERIES = {
         op8_license_scan,
         op9_line_dedup,
         op10_ngram_jaccard_join,
+        op11_chat_format,
+        op12_spelling_variants,
+        op13_hard_negatives,
     )
 }
