@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dwell.functions.settled import settled
+
+NONE = 2**62  # stands for no later moment
+
 
 def split_to_buckets(df: DataFrame, lo: int, hi: int, width: int, start: str = "start", end: str = "ts") -> DataFrame:
     """One row for each bucket of [lo, hi) that [start, end) meets, with bucket, b_lo and b_hi."""
@@ -159,36 +163,94 @@ def pair_lifo(df: DataFrame, keys: list[str], order: list[str], start: Column, e
     return d.drop("_raw", "_floor", "_depth", "_orphan", "_next", *[f"r_{c}" for c in order])
 
 
-def greedy_onsets(df: DataFrame, keys: list[str], t: str, actor: str, width: int, least: int) -> DataFrame:
-    """Onsets: from each moment on which at least ``least`` actors entered within ``width``, greedily
-    and without overlap. Returns keys, onset and actors.
+def distinct_ahead(df: DataFrame, keys: list[str], t: str, actor: str, width: int, chunk: int | None = None) -> DataFrame:
+    """For each moment on which an actor enters, how many distinct ones do from then on within ``width``: keys, t, actors.
 
-    Candidates come from a range window; candidates further apart than ``width`` cannot influence
-    each other, so each cluster of them is settled on its own. A task meets a cluster in order and
-    batch by batch, and carries the end of the last onset.
+    In the stretch that begins at some moment an actor counts by its first entry there. So an
+    entry counts for all moments after the actor's entry before, and from ``width`` before
+    it up to itself; these intervals are summed by a sweep, which takes time in line with the entries.
     """
-    d = df.withColumn("_t", F.col(t).cast("long"))
-    ahead = Window.partitionBy(*keys).orderBy("_t").rangeBetween(0, width)
-    d = d.withColumn("_n", F.size(F.collect_set(actor).over(ahead))).filter(F.col("_n") >= least)
-    c = d.groupBy(*keys, "_t").agg(F.max("_n").alias("actors"))
-    w = Window.partitionBy(*keys).orderBy("_t")
-    c = c.withColumn("_new", F.when(F.col("_t") - F.lag("_t").over(w) <= width, 0).otherwise(1))
-    c = c.withColumn("_cluster", F.sum("_new").over(w))
+    e = df.select(*keys, F.col(t).cast("long").alias("t"), actor).distinct()
+    e = e.withColumn("_prev", F.lag("t").over(Window.partitionBy(*keys, actor).orderBy("t")))
+    since = F.greatest(F.col("t") - width, F.coalesce(F.col("_prev") + 1, F.col("t") - width))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    point = lambda at, d, entry: F.struct(at.alias("t"), d.alias("_d"), F.lit(entry).alias("_entry"))
+    ends = e.select(*keys, F.inline(F.array(point(since, one, 0), point(F.col("t") + 1, -one, 0), point(F.col("t"), none, 1))))
+    ends = ends.groupBy(*keys, "t").agg(F.sum("_d").alias("_d"), F.max("_entry").alias("_entry"))
+    out = carried(ends, keys, "t", ["t"], chunk, sums={"actors": "_d"})
+    return out.filter("_entry = 1").select(*keys, "t", F.col("actors").cast("int").alias("actors"))
+
+
+def greedy_apart(moments: DataFrame, keys: list[str], width: int, chunk: int) -> DataFrame:
+    """Per key the moments (column t, distinct) that a pass in order takes: the first, then always the first more than ``width`` later.
+
+    Each moment points to the one that would be taken after it. Tasks follow the pointers within
+    stretches of ``chunk``, from each moment on to the first in a later stretch. Moments more than
+    ``width`` after the one before them are taken whatever came before; from these, the first moment
+    taken in each stretch is found by pointers of 2, 4, 8 ... stretches. Then each stretch is
+    passed on its own. So no task meets more than a stretch, however long it goes without a break.
+    """
+    c = settled(moments)
+    probe = c.select(*keys, (F.col("t") + width).alias("at"), F.lit(0).alias("_kind"), F.col("t").alias("_from"), F.lit(None).cast("long").alias("_t"))
+    d = probe.unionByName(c.select(*keys, F.col("t").alias("at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_from"), (-F.col("t")).alias("_t")))
+    # Backwards, the first moment after a point is the last one before it.
+    d = carried(d.withColumn("_back", -F.col("at")), keys, "_back", ["_back", "_kind"], chunk, highs={"_next": "_t"})
+    d = d.filter("_kind = 0").select(*keys, F.col("_from").alias("t"), F.coalesce(-F.col("_next"), F.lit(NONE)).alias("next"))
+    last = carried(c.withColumn("_x", F.col("t")), keys, "t", ["t"], chunk, highs={"_last": "_x"})
+    head = F.col("_last").isNull() | (F.col("t") > F.col("_last") + width)
+    stretch = lambda x: F.floor(F.col(x) / chunk)
+    d = d.join(last.select(*keys, "t", head.alias("head")), [*keys, "t"]).withColumn("_c", stretch("t"))
     kinds = ", ".join(f"`{k}` {c.schema[k].dataType.simpleString()}" for k in keys)
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, until = None, 0
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a stretch from its end: where the pass leaves it from each moment."""
+        of, at = None, {}
+        for pdf in batches:
+            to = []
+            for *key, t, nxt in zip(*(pdf[k].tolist() for k in (*keys, "_c", "t", "next"))):
+                if key != of:
+                    of, at = key, {}
+                at[t] = at.get(nxt, nxt)
+                to.append(at[t])
+            yield pdf.assign(to=to)[[*keys, "t", "to", "head"]]
+
+    d = settled(d.repartition(*keys, "_c").sortWithinPartitions(*keys, "_c", F.desc("t")).mapInPandas(exits, f"{kinds}, t long, to long, head boolean"))
+    d = d.withColumn("to", F.when(F.col("to") < NONE, F.col("to")))
+    enter = d.filter("to is not null").select(*keys, F.col("to").alias("t")).unionByName(d.filter("head").select(*keys, "t")).distinct()
+    hop = settled(d.join(enter, [*keys, "t"]).select(*keys, F.col("t").alias("_at"), F.col("to").alias("_to"), "head"))
+    taken, hop = settled(hop.filter("head").select(*keys, F.col("_at").alias("t"))), hop.drop("head").filter("_to is not null")
+    while not hop.isEmpty():
+        step = taken.withColumnRenamed("t", "_at").join(hop, [*keys, "_at"]).select(*keys, F.col("_to").alias("t"))
+        taken = settled(taken.unionByName(step).distinct())
+        ahead = hop.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
+        hop = settled(hop.join(ahead, [*keys, "_to"]).select(*keys, "_at", F.col("_far").alias("_to")))
+    marked = c.join(taken.withColumn("_start", F.lit(True)), [*keys, "t"], "left").withColumn("_c", stretch("t"))
+
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, until = None, None
         for pdf in batches:
-            take = []
-            for *of, at in zip(*(pdf[k].tolist() for k in (*keys, "_cluster", "_t"))):
-                ok = of != last or at > until
-                take.append(ok)
-                if ok:
-                    last, until = of, at + width
-            yield pdf[take].rename(columns={"_t": "onset"})[[*keys, "onset", "actors"]]
-
-    c = c.repartition(*keys, "_cluster").sortWithinPartitions(*keys, "_cluster", "_t")
-    return c.mapInPandas(settle, f"{kinds}, onset long, actors int")
+            keep = []
+            for *key, t, start in zip(*(pdf[k].tolist() for k in (*keys, "_c", "t", "_start"))):
+                if key != of:
+                    of, until = key, None
+                ok = start is True or (until is not None and t > until)
+                until = t + width if ok else until
+                keep.append(ok)
+            yield pdf[keep][[*keys, "t"]]
+
+    return marked.repartition(*keys, "_c").sortWithinPartitions(*keys, "_c", "t").mapInPandas(passed, f"{kinds}, t long")
+
+
+def greedy_onsets(df: DataFrame, keys: list[str], t: str, actor: str, width: int, least: int, chunk: int | None = None) -> DataFrame:
+    """Onsets: from each moment on which at least ``least`` actors entered within ``width``, greedily
+    and without overlap. Returns keys, onset and actors.
+
+    Work is dealt over stretches of time (64 times ``width``, or ``chunk``): see distinct_ahead and greedy_apart.
+    """
+    chunk = chunk or 64 * max(1, width)
+    c = settled(distinct_ahead(df, keys, t, actor, width, chunk).filter(F.col("actors") >= least))
+    on = greedy_apart(c.select(*keys, "t"), keys, width, chunk)
+    return c.join(on, [*keys, "t"]).select(*keys, F.col("t").alias("onset"), "actors")
 
 
 def state_ranges(spans: Iterable[tuple[str, DataFrame]], lo: int, hi: int, chunk: int | None = None) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwell.functions.intervals import carried, overlap_join, pair_lifo
 from dwell.functions.rules import is_idle
+from dwell.functions.settled import settled
 from dwell.operators.aggregates import zero
 
 
@@ -129,35 +131,88 @@ def _with_flags(ticks: DataFrame) -> DataFrame:
 
 def decide(rules: Rules, state: State, pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
-    pdf = pdf.assign(capacity=pdf["capacity"].fillna(0.0))
-    for x in pdf.sort_values("tick").itertuples():
+    for x in _ordered(pdf):
         action, near, fired = step(rules, state, x)
         out.append((x.capture, x.tick, action, near, fired, state.baseline, state.cusum))
     return pd.DataFrame(out, columns=["capture", "tick", "action", "near_mask", "fired_mask", "baseline", "cpu_cusum"])
 
 
-def anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Decision for each tick of each capture (one row for a tick; columns TICKS, tick in seconds).
+def _at_edge(rules: Rules, state: State, tick: float) -> State:
+    """The state before a stretch that begins at ``tick``, without what can no longer make a difference."""
+    cooled = tick - state.last_fire >= rules.cooldown_s
+    return replace(
+        state, last_fire=State.last_fire if cooled else state.last_fire, blind=min(state.blind, math.ceil(rules.blind_s * rules.hz)),
+        locks=min(state.locks, rules.streak), over=min(state.over, max(rules.streak, math.ceil(rules.learn_through_s * rules.hz))),
+    )
 
-    A capture's ticks come to one task in order and batch by batch, with the state carried from
-    one to the next, so a capture of any length needs no more memory than a batch.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, State()
-        for pdf in batches:
-            for capture, part in pdf.groupby("capture", sort=False):
-                if capture != last:
-                    last, state = capture, State()
-                yield decide(rules, state, part)
+STATE = ", ".join(f"{k} {'long' if isinstance(v, int) else 'double'}" for k, v in asdict(State()).items())
+EDGE = f"capture string, stretch long, {STATE}"
 
-    return _with_flags(ticks).repartition("capture").sortWithinPartitions("capture", "tick").mapInPandas(run, DECISION)
+
+def anomalies(ticks: DataFrame, rules: Rules = Rules(), stretch_s: float = 10_000.0) -> DataFrame:
+    """Decision for each tick of each capture (one row for a tick; columns TICKS, tick in seconds).
+
+    A capture is dealt over stretches of ``stretch_s``. Each is first run from a guess of the
+    state before it: the true number of ticks, the mean load of the stretch before as
+    baseline, and nothing pending. Stretches whose guess isn't exactly the state in which the one before them
+    ended are run again from that, until none is left; the average forgets how it began, so that
+    few rounds are needed. The result is the rule's own, tick by tick, and a task meets no more than a stretch.
+    """
+    t = settled(_with_flags(ticks).withColumn("stretch", F.floor(F.col("tick") / stretch_s)))
+    w = Window.partitionBy("capture").orderBy("stretch")  # one row for each stretch
+    known = t.groupBy("capture", "stretch").agg(F.count("*").alias("n"), F.avg("aas").alias("mean"), F.min("tick").alias("tick"))
+    none = State()
+    seen = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    guess = {**{k: F.lit(v) for k, v in asdict(none).items()}, "seen": seen, "baseline": F.coalesce(F.lag("mean").over(w), F.lit(0.0))}
+    begin = settled(known.select("capture", "stretch", *[v.alias(k) for k, v in guess.items()]))
+    first = settled(known.select("capture", "stretch", F.lead("stretch").over(w).alias("next"), F.lead("tick").over(w).alias("next_tick")))
+    names = list(asdict(none))
+
+    def ends(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The state that a stretch leaves for the one after it."""
+        state = _state(right)
+        for x in _ordered(left):
+            step(rules, state, x)
+        at = right.iloc[0]
+        state = _at_edge(rules, state, at["next_tick"])
+        return pd.DataFrame([(at["capture"], at["next"], *asdict(state).values())], columns=["capture", "stretch", *names])
+
+    def decisions(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return decide(rules, _state(right), left)
+
+    key = ["capture", "stretch"]
+    todo = begin
+    while True:
+        # The last stretch of a capture leaves its state to none.
+        asked = _renamed(todo.join(first.filter("next is not null"), key))
+        left = settled(t.join(asked.select(*key), key, "left_semi").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(ends, EDGE))
+        same = F.lit(True)
+        for k in names:
+            same = same & (F.col(k) == F.col(f"_{k}"))
+        old = begin.select(*key, *[F.col(k).alias(f"_{k}") for k in names])
+        todo = settled(left.join(old, key).filter(~same).select(*key, *names))
+        if todo.isEmpty():
+            break
+        begin = settled(begin.join(todo.select(*key), key, "left_anti").unionByName(todo))
+    return t.groupBy(*key).cogroup(_renamed(begin).groupBy(*key)).applyInPandas(decisions, DECISION)
+
+
+def _renamed(d: DataFrame) -> DataFrame:
+    """d with new columns of the old names, for a cogroup with what d was made of."""
+    return d.select(*[F.col(c).alias(c) for c in d.columns])
+
+
+def _state(row: pd.DataFrame) -> State:
+    return State(*[type(v)(row[k].iloc[0]) for k, v in asdict(State()).items()])
+
+
+def _ordered(pdf: pd.DataFrame):
+    return pdf.assign(capacity=pdf["capacity"].fillna(0.0)).sort_values("tick").itertuples()
 
 
 def stream_anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """As anomalies, for a stream of ticks; a capture's state lives as long as the query."""
-    kinds = ", ".join(f"{k} {'long' if isinstance(v, int) else 'double'}" for k, v in asdict(State()).items())
-
     def run(key: tuple, parts: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
         state = State(*store.get) if store.exists else State()
         rows = list(parts)
@@ -166,7 +221,7 @@ def stream_anomalies(ticks: DataFrame, rules: Rules = Rules()) -> DataFrame:
         if out is not None:
             yield out
 
-    return _with_flags(ticks).groupBy("capture").applyInPandasWithState(run, DECISION, kinds, "append", "NoTimeout")
+    return _with_flags(ticks).groupBy("capture").applyInPandasWithState(run, DECISION, STATE, "append", "NoTimeout")
 
 
 def cusum(ticks: DataFrame, drift: float, clip: float, chunk: int = 100_000) -> DataFrame:

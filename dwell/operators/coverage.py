@@ -137,116 +137,6 @@ def wait_metrics(windows: DataFrame, lives: DataFrame, coverage: DataFrame, wait
     )
 
 
-#: Reasons for which a stretch is uncovered, in the order in which the first one that applies is given.
-REASONS = ["capture_loss", "missing_file", "unclean_end", "retention", "restart", "clock_step", "not_yet_covered", "not_recorded", "not_captured"]
-NEVER = 2**62
-
-
-def boot_pieces(boots: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pieces, bad stretches) of each boot.
-
-    boots: boot, boot_start, sealed, live; facts: boot, seq, kind (FILE, WATERMARK, GAP_OPEN,
-    GAP_CLOSE, BAD), a (file number, watermark or gap start) and perhaps b (when a file was first
-    seen). A piece reaches from the first file to the last watermark. There is a hole from the
-    watermark before a bad record, a missing file or a watermark that goes back until the next
-    watermark, and a loss from the watermark before each open gap to its close.
-    """
-    w = Window.partitionBy("boot").orderBy("seq")
-    upto, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    seen = F.col("b") if "b" in facts.columns else F.lit(None).cast("long")
-    f = facts.withColumn("_seen", seen).join(boots.select("boot", "boot_start"), "boot")
-    mark = F.when(F.col("kind") == "WATERMARK", F.col("a"))
-    f = f.withColumn("floor", F.coalesce(F.max(mark).over(upto), F.col("boot_start")))
-    f = f.withColumn("file_before", F.max(F.when(F.col("kind") == "FILE", F.col("a"))).over(upto))
-    skip = (F.col("kind") == "FILE") & F.col("file_before").isNotNull() & (F.col("a") != F.col("file_before") + 1)
-    f = f.withColumn("hole", (F.col("kind") == "BAD") | skip | ((F.col("kind") == "WATERMARK") & (F.col("a") < F.col("floor"))))
-    f = f.withColumn("next_mark", F.first(mark, ignorenulls=True).over(after)).withColumn("closed", F.first(F.when(F.col("kind") == "GAP_CLOSE", F.col("a")), ignorenulls=True).over(after))
-    never = F.lit(NEVER)
-    holes = f.filter("hole").select("boot", F.col("floor").alias("s"), F.coalesce("next_mark", never).alias("e"), F.lit("missing_file").alias("reason"))
-    loss = f.filter("kind = 'GAP_OPEN'").select("boot", F.least("floor", "a").alias("s"), F.coalesce("closed", never).alias("e"), F.lit("capture_loss").alias("reason"))
-    first = F.min(F.when(F.col("kind") == "FILE", F.col("_seen")))
-    p = f.groupBy("boot").agg(F.max(mark).alias("e"), first.alias("first")).join(boots.select("boot", "boot_start", "sealed", "live"), "boot")
-    p = p.select("boot", "boot_start", F.greatest("boot_start", F.coalesce("first", "boot_start")).alias("s"), "e", "sealed", "live")
-    return p, holes.unionByName(loss).filter("s < e")
-
-
-def _clean(pieces: DataFrame, bad: DataFrame, width: int) -> DataFrame:
-    """What is covered: pieces without their bad stretches and without time that two boots claim."""
-    p = pieces.filter("s < e")
-    # A capture has one piece for each boot; what they claim twice lies within these.
-    twice = _clock_steps(p, width).withColumn("k", F.lit(0))
-    own = subtract_spans(p.select("boot", "s", "e", "live"), bad.select("boot", "s", "e"), ["boot"], ["live"], width)
-    return subtract_spans(own.withColumn("k", F.lit(0)), twice, ["k"], ["boot", "live"], width)
-
-
-def _clock_steps(p: DataFrame, width: int) -> DataFrame:
-    x = p.select(F.lit(0).alias("k"), F.col("boot").alias("x"), F.col("s").alias("a_start"), F.col("e").alias("a_end"))
-    y = p.select(F.lit(0).alias("k"), F.col("boot").alias("y"), F.col("s").alias("b_start"), F.col("e").alias("b_end"))
-    return overlap_join(x, y, ["k"], width).filter("x < y").select(F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))
-
-
-def coverage_verdict(boots: DataFrame, facts: DataFrame, windows: DataFrame, width: int, live_lag: int = 3_000_000) -> DataFrame:
-    """complete, live_edge or incomplete per window (window_id, lo, hi), from each boot's observations (see boot_pieces)."""
-    pieces, bad = boot_pieces(boots, facts)
-    x = windows.select(F.lit(0).alias("k"), "window_id", F.col("lo").alias("a_start"), F.col("hi").alias("a_end"))
-    y = _clean(pieces, bad, width).select(F.lit(0).alias("k"), "boot", F.col("s").alias("b_start"), F.col("e").alias("b_end"), "live")
-    hit = overlap_join(x, y, ["k"], width)
-    g = hit.groupBy("window_id").agg(
-        F.max((F.col("b_start") <= F.col("a_start")) & (F.col("b_end") >= F.col("a_end"))).alias("whole"),
-        F.max(F.col("live") & (F.col("b_start") <= F.col("a_start")) & (F.col("b_end") < F.col("a_end")) & (F.col("a_end") - F.col("b_end") <= live_lag)).alias("edge"),
-        F.max("b_end").alias("upto"), F.count_distinct("boot").alias("boots"),
-    )
-    out = windows.join(g, "window_id", "left")
-    verdict = F.when(F.col("whole"), "complete").when(F.col("edge"), "live_edge").otherwise("incomplete")
-    return out.select("window_id", verdict.alias("verdict"), F.when(F.col("edge") & ~F.col("whole"), F.col("upto")).alias("covered_to"), (zero(F.col("boots")) > 1).alias("restart"))
-
-
-def uncovered_ranges(boots: DataFrame, facts: DataFrame, windows: DataFrame, width: int, legacy: DataFrame | None = None) -> DataFrame:
-    """Uncovered stretches of each window with the first reason that applies: window_id, reason, s, e.
-
-    legacy: s, e of time before records were kept. A sweep over the endpoints within each window
-    counts what covers it and which reasons hold. Neighbours with one reason are merged.
-    """
-    pieces, bad = boot_pieces(boots, facts)
-    nxt = F.coalesce(F.lead("s").over(Window.orderBy("s", "boot")), F.lit(NEVER))  # one row for each boot
-    p = pieces.withColumn("next_s", nxt)
-    spans = [
-        bad.select("s", "e", "reason"),
-        p.filter("not sealed and not live and e is not null").select(F.col("e").alias("s"), F.col("next_s").alias("e"), F.lit("unclean_end").alias("reason")),
-        p.select(F.col("boot_start").alias("s"), F.col("s").alias("e"), F.lit("retention").alias("reason")),
-        p.filter(F.col("next_s") < NEVER).select(F.col("e").alias("s"), F.col("next_s").alias("e"), F.lit("restart").alias("reason")),
-        _clock_steps(pieces.filter("s < e"), width).withColumn("reason", F.lit("clock_step")),
-        p.filter("live").select(F.col("e").alias("s"), F.lit(NEVER).alias("e"), F.lit("not_yet_covered").alias("reason")),
-        _clean(pieces, bad, width).select("s", "e", F.lit("covered").alias("reason")),
-    ]
-    if legacy is not None:
-        spans.append(legacy.select("s", "e", F.lit("not_recorded").alias("reason")))
-    every = spans[0]
-    for d in spans[1:]:
-        every = every.unionByName(d)
-    y = every.filter("s < e").select(F.lit(0).alias("k"), F.col("s").alias("b_start"), F.col("e").alias("b_end"), "reason")
-    lo, hi = windows.agg(F.min("lo"), F.max("hi")).first()
-    y = y.withColumn("b_start", F.greatest("b_start", F.lit(lo))).withColumn("b_end", F.least("b_end", F.lit(hi))).filter("b_start < b_end")
-    x = windows.select(F.lit(0).alias("k"), "window_id", F.col("lo").alias("a_start"), F.col("hi").alias("a_end"))
-    hit = overlap_join(x, y, ["k"], width).select("window_id", "reason", F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))
-    one = F.lit(1).cast("long")
-    ends = hit.select("window_id", F.col("s").alias("t"), "reason", one.alias("d")).union(hit.select("window_id", F.col("e").alias("t"), "reason", -one))
-    ends = ends.union(windows.select("window_id", F.explode(F.array("lo", "hi")).alias("t"), F.lit("covered").alias("reason"), F.lit(0).cast("long")))
-    names = ["covered", *REASONS[:-1]]
-    t = ends.groupBy("window_id", "t").agg(*[F.sum(F.when(F.col("reason") == r, F.col("d")).otherwise(0)).alias(r) for r in names])
-    w = Window.partitionBy("window_id").orderBy("t")
-    t = t.select("window_id", F.col("t").alias("s"), F.lead("t").over(w).alias("e"), *[F.sum(r).over(w).alias(r) for r in names]).filter("e is not null and covered = 0")
-    why = F.lit(REASONS[-1])
-    for r in reversed(REASONS[:-1]):
-        why = F.when(F.col(r) > 0, r).otherwise(why)
-    return coalesce_spans(t.select("window_id", why.alias("reason"), "s", "e"), ["window_id", "reason"])
-
-
-def restart_cause(before: str | None, after: str | None) -> str:
-    """By the start of the observed server before and after: unknown, postgres or daemon."""
-    return "unknown" if not before or not after else "daemon" if before == after else "postgres"
-
-
 def bounded_omission(births: DataFrame, certificates: DataFrame, width: int, most_share: float) -> DataFrame:
     """Cohorts of ``width`` from the boot: births seen, births and omissions certified, and a verdict.
 
@@ -258,7 +148,7 @@ def bounded_omission(births: DataFrame, certificates: DataFrame, width: int, mos
     return j.select("boot", "k", zero(F.col("seen")).alias("seen"), "n", "u", verdict.alias("verdict"))
 
 
-#: Status of a window by its required cohorts, in the order in which the first that applies is given.
+#: Status of a window by its required cohorts, in the order in which the first that applies is given.
 OMISSIONS = ["untraced_invalid", "untraced_incomplete", "untraced_pending", "untraced_unqualified", "untraced_limit"]
 
 

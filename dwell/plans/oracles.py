@@ -533,3 +533,98 @@ lost as (select * from bi where gone),
 ce as (select boot, k, case when k % 29 = 9 then 2 when k % 29 = 7 then 0 when k % 29 = 5 then 1 when n > 90 then 3 when u > 4 or longest > {30 * HOUR} then 4 else 5 end as rank
        from (select boot, k, count(*) as n, count(*) filter (where gone) as u, max(exit - fork) filter (where gone) as longest from bi group by all))""",
 )
+
+#: Coverage by the rule itself: a walk record by record, and every stretch between two endpoints judged on its own.
+WALK = f"""with recursive e0 as (select event_type as boot, event_id as seq, (epoch_us(ts) - {LO}) // 5 as t, value, cast(json_extract_string(props, '$.k') as bigint) as k from events),
+b0 as (select boot, max(t) as last_obs, min(seq) as first_seq, max(seq) as last_seq, dense_rank() over (order by boot) - 1 as n from e0 group by boot),
+bt as (select boot, n, last_obs, {LO} + n * {6 * DAY} - case when n = 3 then {5 * HOUR} else 0 end as off, case when n <> 2 then n // 2 + 1 end as pm, n = 1 as clean, n > 2 as same from b0),
+e1 as (select e0.*, n, case when seq = first_seq or seq % 41 = 0 then 'FILE' when seq = last_seq and n in (1, 3) then 'SEAL' when seq % 509 = 1 then 'BAD'
+              when seq % 301 = 2 then 'GAP_OPEN' when seq % 301 between 10 and 90 and seq % 3 = 0 then 'GAP_CLOSE' else 'WATERMARK' end as kind, row_number() over (partition by boot order by seq) as i from e0 join b0 using (boot)),
+fx as (select boot, n, i, kind, case when kind = 'WATERMARK' and value > 250 then t - {12 * HOUR} else t end as a, t - k * 60000000 as fl, seq // 301 as gap, seq % 11 <> 0 as readable,
+              sum(case when kind = 'FILE' then case when seq % 5 = 0 then 2 else 1 end else 0 end) over (partition by boot order by i) as no from e1),
+w as (select boot, cast(0 as bigint) as i, cast(null as hugeint) as no, false as dead, cast(null as bigint) as w, cast(0 as bigint) as fl, cast(null as bigint) as hole, cast(null as bigint) as lo, cast(null as bigint) as hi, false as ok from bt
+      union all
+      select boot, i, case when file then fno else no end, case when file then not readable else dead or bad end, case when file or dead or bad or kind <> 'WATERMARK' then w else a end,
+             case when file or dead or bad or kind <> 'WATERMARK' then fl else ffl end, case when file and readable then null when file or (not dead and bad) then opened else hole end,
+             case when file and readable then opened end, case when file and readable and opened is not null then a end, not file and not dead and not bad
+      from (select f.boot, f.i, f.kind, f.a, f.fl as ffl, f.no as fno, f.readable, w.no, w.dead, w.w, w.fl, w.hole, f.kind = 'FILE' as file,
+                   f.kind = 'BAD' or (f.kind = 'WATERMARK' and w.w is not null and f.a < w.w) as bad,
+                   case when w.hole is not null then w.hole when f.kind <> 'FILE' or not f.readable or (w.no is not null and f.no <> w.no + 1) then w.fl end as opened
+            from w join fx f on f.boot = w.boot and f.i = w.i + 1)),
+ok as (select fx.* from fx join w using (boot, i) where w.ok),
+gaps as (select boot, coalesce((select arg_max(fl, i) from ok m where m.boot = g.boot and m.kind = 'WATERMARK' and m.a <= g.a), 0) as s,
+                coalesce((select arg_min(a, i) from ok c where c.boot = g.boot and c.kind = 'GAP_CLOSE' and c.gap = g.gap and c.i > g.i), {2**62}) as e from ok g where kind = 'GAP_OPEN'),
+holes as (select boot, lo as s, hi as e from w where hi is not null union all select boot, hole, {2**62} from w where hole is not null and i = (select max(i) from fx where fx.boot = w.boot)),
+bad as (select boot, n, r, s + off as s, case when e = {2**62} then e else e + off end as e from (select *, 'capture_loss' as r from gaps union all select *, 'missing_file' from holes) join bt using (boot) where s < e),
+lastw as (select boot, arg_max(a, i) as w, arg_max(fl, i) as fl from ok where kind = 'WATERMARK' group by boot),
+seals as (select boot, arg_max(a, i) as sealed_w from ok where kind = 'SEAL' group by boot),
+p0 as (select bt.*, w + off as w, fl + off as fl, clean and sealed_w is not null as sealed, sealed_w + off as sealed_w, (select arg_min(a, i) from fx where fx.boot = bt.boot) + off as s from bt left join lastw using (boot) left join seals using (boot)),
+p1 as (select *, not sealed and same and {HI} - (last_obs + off) <= {DAY} as live from p0),
+p as (select *, case when sealed then sealed_w when live then w else fl end as e, lead(greatest(s, off)) over (order by n) as next_s, lead(pm) over (order by n) as next_pm from p1),
+pc as (select boot, n, s, e from p where s < e),
+twice as (select greatest(x.s, y.s) as s, least(x.e, y.e) as e from pc x join pc y on x.n < y.n and x.s < y.e and y.s < x.e),
+win as (select o_orderkey as window_id, {LO} + (o_orderkey * 7919 % 720) * {HOUR} as lo, {LO} + (o_orderkey * 7919 % 720) * {HOUR} + 12 * {HOUR} as hi from orders),
+wd as (select distinct lo, hi from win),
+free as (select lo, x.n, x.live, x.fl, x.w, upto from (select lo, hi, p.*, least(hi, p.e) as upto from wd join p on p.s <= lo and p.e > lo) x
+         where not exists (select 1 from bad where bad.n = x.n and bad.s < upto and bad.e > lo) and not exists (select 1 from twice where twice.s < upto and twice.e > lo)),
+jd as (select lo, min(f.n) filter (where upto = hi) as whole, min(f.n) filter (where live and upto < hi and hi - upto <= {DAY}) as edge from wd join free f using (lo) group by lo),
+sp as (select r, s, e from bad union all select 'unclean_end', e, coalesce(next_s, {2**62}) from p where not sealed and not live and e is not null union all select 'retention', off, s from p
+       union all select 'restart', e, next_s from p where next_s is not null and e is not null union all select 'clock_step', s, e from twice union all select 'not_yet_covered', e, {2**62} from p where live and e is not null
+       union all select 'not_recorded', {LO - 3 * DAY}, {LO + HOUR}),
+pt as (select distinct t from (select s as t from sp union all select e from sp union all select s from pc union all select e from pc union all select unnest([{LO - DAY}, {HI + 2 * DAY}]))),
+sg as (select t as s, lead(t) over (order by t) as e from pt qualify e is not null),
+why as (select s, e, case when not exists (select 1 from twice where twice.s <= sg.s and twice.e >= sg.e)
+                 and exists (select 1 from pc where pc.s <= sg.s and pc.e >= sg.e and not exists (select 1 from bad where bad.n = pc.n and bad.s <= sg.s and bad.e >= sg.e)) then null
+               else coalesce((select arg_min(r, list_position({['capture_loss', 'missing_file', 'unclean_end', 'retention', 'restart', 'clock_step', 'not_yet_covered', 'not_recorded']}, r)) from sp where sp.s <= sg.s and sp.e >= sg.e), 'not_captured') end as reason from sg),
+ug as (select lo, hi, greatest(s, lo) as s, least(e, hi) as e, reason from wd join why on s < hi and e > lo where reason is not null and lo not in (select lo from jd where whole is not null or edge is not null)),
+u1 as (select *, case when lag(e) over (partition by lo, reason order by s) = s then 0 else 1 end as new from ug),
+u2 as (select *, sum(new) over (partition by lo, reason order by s rows unbounded preceding) as g from u1),
+ur as (select lo, reason, min(s) as s, max(e) as e from u2 group by lo, reason, g)
+"""
+ORACLES["uncovered_ranges"] = WALK + "select window_id, reason, s, e from win join ur using (lo)"
+
+
+def _cause(a: str, b: str) -> str:
+    return f"case when {a} is null or {b} is null then 'unknown' when {a} <> {b} then 'postgres' else 'daemon' end"
+
+
+ORACLES["coverage_verdict"] = WALK + f"""select window_id, verdict, 'none' as error, case when verdict = 'live_edge' then (select w from p where p.n = edge) end as covered_to,
+  case when verdict = 'incomplete' then reasons else '' end as reasons, case when verdict = 'incomplete' then cause else 'none' end as restart_cause,
+  verdict <> 'incomplete' and exists (select 1 from p where p.n = coalesce(whole, edge) and live and fl < hi) as excludes_in_flight
+from win join (select lo, whole, edge, case when whole is not null then 'complete' when edge is not null then 'live_edge' else 'incomplete' end as verdict,
+  array_to_string(list_filter({['capture_loss', 'missing_file', 'unclean_end', 'retention', 'restart', 'clock_step', 'not_yet_covered', 'not_recorded', 'not_captured']},
+    lambda r: list_contains(list_concat(coalesce(rs, []), case when len(met) > 1 then ['restart'] else [] end), r)), ',') as reasons,
+  coalesce((select arg_min({_cause('pm', 'next_pm')}, n) from p where first_at is not null and p.e <= first_at and first_at < p.next_s),
+           case when len(met) > 1 then {_cause('(select pm from p where p.n = met[1])', '(select pm from p where p.n = met[2])')} end, 'none') as cause
+  from (select wd.lo, wd.hi, whole, edge, (select list(distinct reason) from ur where ur.lo = wd.lo) as rs, (select min(s) from ur where ur.lo = wd.lo and reason = 'restart') as first_at,
+               (select list(n order by n) from pc where pc.s < wd.hi and pc.e > wd.lo) as met from wd left join jd using (lo))) using (lo)"""
+
+#: The state machine tick by tick, with the rules' default numbers and a capacity of 3.
+ORACLES["anomaly_decisions"] = q(
+    """select capture, cast(tick as double) as tick, case when fired > 0 then case when cooling then 'NEAR' else 'FIRE' end when near > 0 then 'NEAR' else 'NONE' end as action,
+      cast(case when fired > 0 then case when cooling then 16 else 0 end else near end as integer) as near_mask, cast(fired as integer) as fired_mask, baseline, cusum as cpu_cusum from m where i > 0""",
+    f""",
+tk as (select *, row_number() over (partition by capture order by tick) as i from (
+  select 'c' || (user_id % 16) as capture, tick, count(*)::double as aas, count(*) filter (where event_type = 'error') / count(*)::double as lf, (count(*) filter (where event_type = 'view'))::double as cpu
+  from (select us // {6 * HOUR} as tick, event_type, type, user_id from ev left join be on be.pid = ev.user_id) where coalesce(type, '') <> 'io_worker' and event_type <> 'signup' group by all)),
+m as (select distinct capture, 0::bigint as i, 0::bigint as tick, 0::double as baseline, 0::bigint as over, 0::bigint as locks, 0::double as cusum, 1 as armed, (-1e18)::double as last_fire, 0 as fired, 0 as near, false as cooling from tk
+  union all
+  select capture, i, tick, baseline, over, locks, case when fired > 0 and not cooling then 0 else cusum end, case when fired & 4 > 0 and not cooling then 0 else armed end, case when fired > 0 and not cooling then tick else last_fire end,
+         fired, near, cooling
+  from (select *, (case when over >= 3 then 1 else 0 end) | (case when locks >= 3 then 2 else 0 end) | (case when proven and ready and cusum >= 1.5 and cpu >= 2 then 4 else 0 end) as fired,
+               (case when high then 1 else 0 end) | (case when locked then 2 else 0 end) | (case when cusum > before and ready and cpu >= 2 and cusum >= 0.75 then 4 else 0 end) | (case when i <= 5 and aas >= 2 then 8 else 0 end) as near
+        from (select capture, i, tick, aas, cpu, high, locked, proven, ready, armed, cooling, last_fire, cusum as before, case when ready then greatest(0::double, cusum + (demand - 0.8::double)) else 0 end as cusum,
+                     case when i <= 5 then over when high then over + 1 else 0 end as over, case when locked then locks + 1 else 0 end as locks,
+                     case when i <= 5 then baseline + (aas - baseline) / i when not high then baseline + (1::double / 60) * (aas - baseline) when over + 1 >= 900 then baseline + (1::double / 60) / 10 * (aas - baseline) else baseline end as baseline
+              from (select *, not cooling and armed = 1 as ready from (
+                      select t.capture, t.i, t.tick, t.aas, t.cpu, t.demand, t.demand >= 0.8::double as proven, t.tick - m.last_fire < 120 as cooling, case when t.demand < 0.8::double then 1 else m.armed end as armed,
+                             t.i > 5 and t.aas >= 2 and t.aas > 3 * m.baseline as high, t.lf > 0.3::double and t.lf * t.aas >= 2 as locked, m.baseline, m.over, m.locks, m.cusum, m.last_fire
+                      from m join (select *, least(greatest(cpu / 3, 0), 1.25::double) as demand from tk) t on t.capture = m.capture and t.i = m.i + 1)))))""",
+).replace("with ev as", "with recursive ev as", 1)
+ORACLES["cpu_cusum"] = q(
+    "select capture, tick, cusum from c",
+    f""",
+tk as (select *, row_number() over (order by tick) as i from ({ORACLES["tick_metrics"].replace("with ev as", "with ev as", 1)})),
+c as (select 'main' as capture, tick, i, 0::double as cusum from tk where i = 1
+  union all select 'main', t.tick, t.i, greatest(0::double, c.cusum + (t.tick - c.tick) * (least(t.cpu_aas / 10, 1.25::double) - 0.8::double)) from c join tk t on t.i = c.i + 1)""",
+).replace("with ev as", "with recursive ev as", 1)

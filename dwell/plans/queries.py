@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dwell.functions.intervals import coalesce_spans, pair_lifo, split_to_buckets, subtract_spans
 from dwell.functions.rules import class_of, clip, cpu_share, latency_bucket, off_cpu
 from dwell.operators import aggregates as agg
-from dwell.operators import annotate, anomaly, compare, coverage, rollup, sequences, texts
+from dwell.operators import annotate, anomaly, compare, coverage, rollup, sequences, texts, verdicts
 from dwell.plans.base import DAY, HI, HOUR, LO, STATES, UNIT, WIDTH, annotated, backends, mapped, marked, micros, moves, spans, table, windows
 from dwell.sources import intervals as src
 from dwell.streaming import live
@@ -482,25 +482,44 @@ def wait_metrics(spark, d):
 
 
 def _boots(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("boot"), F.col("event_id").alias("seq"), micros("ts").alias("a"), "value")
-    kind = F.when(F.col("value") < 0.05, "GAP_OPEN").when(F.col("value") < 0.1, "GAP_CLOSE").when(F.col("value") > 400, "BAD").otherwise("WATERMARK")
-    f = e.select("boot", "seq", kind.alias("kind"), "a")
-    # One boot after the other: each takes a fifth of the time.
-    shift = F.dense_rank().over(Window.orderBy("boot")) - 1
-    b = e.groupBy("boot").agg(F.min("a").alias("first")).withColumn("n", shift)
-    f = f.join(b, "boot").withColumn("a", F.expr(f"{LO} + n * {6 * DAY} + (a - {LO}) div 5")).drop("first", "n")
-    b = b.select("boot", (LO + F.col("n") * 6 * DAY).alias("boot_start"), (F.col("n") == 1).alias("sealed"), (F.col("n") == 4).alias("live"))
-    return b, f
+    """A boot for each type of event, one after the other, and the events as what its files say; the fourth boot's clock is early."""
+    e = table(spark, d, "events").withColumn("us", micros("ts")).select(F.col("event_type").alias("boot"), F.col("event_id").alias("seq"), F.expr(f"(us - {LO}) div 5").alias("t"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    b = e.groupBy("boot").agg(F.max("t").alias("last_obs"), F.min("seq").alias("first"), F.max("seq").alias("last")).withColumn("n", F.dense_rank().over(Window.orderBy("boot")).cast("long") - 1)
+    e = e.join(b.select("boot", "n", "first", "last"), "boot")
+    file = (F.col("seq") == F.col("first")) | (F.col("seq") % 41 == 0)
+    kind = F.when(file, "FILE").when((F.col("seq") == F.col("last")) & F.col("n").isin(1, 3), "SEAL").when(F.col("seq") % 509 == 1, "BAD").when(F.col("seq") % 301 == 2, "GAP_OPEN").when((F.col("seq") % 301).between(10, 90) & (F.col("seq") % 3 == 0), "GAP_CLOSE").otherwise("WATERMARK")
+    w = Window.partitionBy("boot").orderBy("seq")
+    number = F.sum(F.when(file, F.when(F.col("seq") % 5 == 0, 2).otherwise(1))).over(w)
+    e = e.withColumn("kind", kind).withColumn("number", number)
+    minute = 60_000_000
+    mark, gap = F.col("kind") == "WATERMARK", F.col("kind").isin("GAP_OPEN", "GAP_CLOSE")
+    at = F.when(mark & (F.col("value") > 250), F.col("t") - 12 * HOUR).otherwise(F.col("t"))
+    facts = e.select(
+        "boot", "seq", "kind", at.alias("a"), F.when(F.col("kind") == "FILE", F.col("number")).when(mark, F.col("t") - F.col("k") * minute).alias("b"),
+        F.when(F.col("kind") == "FILE", (F.col("seq") % 11 != 0).cast("long")).when(mark, F.col("t") - 2 * F.col("k") * minute).when(gap, F.floor(F.col("seq") / 301)).alias("c"),
+    )
+    n = F.col("n")
+    boots = b.select(
+        "boot", n.alias("ordinal"), F.lit(0).cast("long").alias("boot_start"), (LO + n * 6 * DAY - F.when(n == 3, 5 * HOUR).otherwise(0)).alias("wall_offset"),
+        F.when(n != 2, F.floor(n / 2) + 1).alias("postmaster_start"), (n == 1).alias("closure_clean"), (n > 2).alias("same_kernel_boot"), F.when(n == 4, "match").otherwise("none").alias("status"), "last_obs",
+    )
+    return boots, facts
+
+
+def _judge(f, spark, d):
+    boots, facts = _boots(spark, d)
+    legacy = spark.range(1).select(F.lit(LO - 3 * DAY).alias("s"), (F.lit(LO) + HOUR).alias("e"))
+    return f(boots, facts, windows(spark, d).select("window_id", "lo", "hi"), HI, WIDTH, live_lag=DAY, legacy=legacy)
 
 
 @query
 def coverage_verdict(spark, d):
-    return coverage.coverage_verdict(*_boots(spark, d), windows(spark, d).select("window_id", "lo", "hi"), WIDTH)
+    return _judge(verdicts.coverage_verdict, spark, d)
 
 
 @query
 def uncovered_ranges(spark, d):
-    return coverage.uncovered_ranges(*_boots(spark, d), windows(spark, d).select("window_id", "lo", "hi"), WIDTH)
+    return _judge(verdicts.uncovered_ranges, spark, d)
 
 
 @query
@@ -646,7 +665,7 @@ def tick_metrics(spark, d):
 @query
 def anomaly_decisions(spark, d):
     t = _ticks(spark, d, 16).withColumn("tick", F.col("tick").cast("double")).withColumn("capacity", F.lit(3.0))
-    return anomaly.anomalies(t)
+    return anomaly.anomalies(t, stretch_s=16.0)
 
 
 @query

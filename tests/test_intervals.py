@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from dwell.functions.intervals import carried, coalesce_spans, greedy_onsets, overlap_candidates, overlap_join, pair_lifo, split_to_buckets, state_ranges, subtract_spans
+from dwell.functions.intervals import carried, coalesce_spans, distinct_ahead, greedy_onsets, overlap_candidates, overlap_join, pair_lifo, split_to_buckets, state_ranges, subtract_spans
 
 
 def test_overlap_join_gives_each_pair_once(spark):
@@ -85,3 +86,31 @@ def test_greedy_onsets(spark):
     rows = [("e", t, p) for t, p in [(0, 1), (1, 2), (2, 3), (3, 4), (50, 1), (51, 1), (52, 1), (100, 1), (104, 2), (105, 3)]]
     got = greedy_onsets(spark.createDataFrame(rows, "k string, t long, p long"), ["k"], "t", "p", 5, 3)
     assert sorted(map(tuple, got.collect())) == [("e", 0, 4), ("e", 100, 3)]
+
+
+def plain_onsets(rows, width, least):
+    out = set()
+    for k in {r[0] for r in rows}:
+        at = {t: len({p for q, u, p in rows if q == k and t <= u <= t + width}) for q, t, _ in rows if q == k}
+        until = None
+        for t in sorted(at):
+            if at[t] >= least and (until is None or t > until):
+                out.add((k, t, at[t]))
+                until = t + width
+    return out
+
+
+@pytest.mark.parametrize(("width", "least", "chunk", "spread"), [(5, 3, None, 2000), (5, 3, 8, 2000), (7, 2, 20, 300), (30, 6, 40, 2500), (0, 1, 1, 60)])
+def test_onsets_equal_a_plain_pass(spark, width, least, chunk, spread):
+    """Long stretches without a break, several states, actors that enter twice at one moment."""
+    rnd = random.Random(width)
+    rows = [(rnd.choice(["e", "f"]), rnd.randrange(spread) + (10_000 if i % 4 == 0 else 0), rnd.randrange(9)) for i in range(700)] + [("g", 1, 1)] + [("h", 3, p) for p in range(6)]
+    df = spark.createDataFrame(rows, "k string, t long, p long")
+    got = [tuple(r) for r in greedy_onsets(df, ["k"], "t", "p", width, least, chunk).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_onsets(rows, width, least) and len(got) > 3
+    ahead = {(r["k"], r["t"]): r["actors"] for r in distinct_ahead(df, ["k"], "t", "p", width, chunk).collect()}
+    assert ahead == {(k, t): len({p for q, u, p in rows if q == k and t <= u <= t + width}) for k, t, _ in rows}
+
+
+def test_no_onsets_without_rows(spark):
+    assert greedy_onsets(spark.createDataFrame([], "k string, t long, p long"), ["k"], "t", "p", 5, 3).count() == 0

@@ -1,3 +1,4 @@
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -241,30 +242,6 @@ def test_omissions_of_windows(spark):
     assert (few["status"], long["status"]) == ("untraced_unqualified", "untraced_limit")
 
 
-def test_verdicts(spark):
-    boots = spark.createDataFrame([("a", 0, False, True)], "boot string, boot_start long, sealed boolean, live boolean")
-    facts = [("FILE", 1), ("WATERMARK", 10), ("WATERMARK", 20), ("BAD", 0), ("FILE", 2), ("WATERMARK", 30), ("WATERMARK", 50)]
-    facts = spark.createDataFrame([("a", i, k, v) for i, (k, v) in enumerate(facts)], "boot string, seq long, kind string, a long")
-    w = spark.createDataFrame([(1, 0, 20), (2, 15, 40), (3, 35, 52), (4, 60, 70)], "window_id long, lo long, hi long")
-    got = {r["window_id"]: r["verdict"] for r in coverage.coverage_verdict(boots, facts, w, 10, live_lag=3).collect()}
-    assert got == {1: "complete", 2: "incomplete", 3: "live_edge", 4: "incomplete"}
-
-
-def test_uncovered_reasons(spark):
-    boots = spark.createDataFrame([("a", 0, False, False), ("b", 60, False, True), ("c", 95, False, True)], "boot string, boot_start long, sealed boolean, live boolean")
-    facts = [("a", 0, "FILE", 1, 5), ("a", 1, "WATERMARK", 10, None), ("a", 2, "GAP_OPEN", 12, None), ("a", 3, "GAP_CLOSE", 15, None), ("a", 4, "WATERMARK", 20, None), ("a", 5, "BAD", 0, None), ("a", 6, "WATERMARK", 30, None), ("a", 7, "WATERMARK", 50, None)]
-    facts += [("b", 0, "FILE", 1, 60), ("b", 1, "WATERMARK", 100, None), ("c", 0, "FILE", 1, 95), ("c", 1, "WATERMARK", 110, None)]
-    facts = spark.createDataFrame(facts, "boot string, seq long, kind string, a long, b long")
-    w = spark.createDataFrame([(1, -10, 120), (2, 61, 90)], "window_id long, lo long, hi long")
-    legacy = spark.createDataFrame([(-5, -2)], "s long, e long")
-    got = [tuple(r) for r in coverage.uncovered_ranges(boots, facts, w, 10, legacy).select("window_id", "s", "e", "reason").orderBy("s").collect()]
-    assert got == [
-        (1, -10, -5, "not_captured"), (1, -5, -2, "not_recorded"), (1, -2, 0, "not_captured"), (1, 0, 5, "retention"), (1, 10, 15, "capture_loss"),
-        (1, 20, 30, "missing_file"), (1, 50, 60, "unclean_end"), (1, 95, 100, "clock_step"), (1, 110, 120, "not_yet_covered"),
-    ]
-    assert [coverage.restart_cause(*x) for x in ((None, "x"), ("x", "x"), ("x", "y"))] == ["unknown", "daemon", "postgres"]
-
-
 def test_faults_and_frontier(spark):
     m = spark.createDataFrame([("a", 1, 10, 1, 9), ("a", 2, 12, 2, 12), ("a", 2, 12, 3, 12), ("a", 4, 11, 6, 20), ("b", 1, 5, 1, 15)], "source string, o long, t long, q long, w long")
     assert sorted((r["o"], r["fault"]) for r in coverage.stream_faults(m).collect()) == [(2, "duplicate"), (4, "clock"), (4, "gap")]
@@ -328,6 +305,32 @@ def test_cusum_window_equals_the_rule(spark):
     assert rule == pytest.approx(plain) and max(rule) > 0.7
 
 
+@pytest.mark.parametrize(("seed", "stretch", "rules"), [(1, 50.0, anomaly.Rules()), (2, 7.0, anomaly.Rules(cooldown_s=9.0, ewma_s=5.0, learn_through_s=12.0)), (3, 1e9, anomaly.Rules())])
+def test_stretches_of_ticks_equal_the_rule(spark, seed, stretch, rules):
+    """Random loads with bursts, blind ticks and changes of capacity; ticks are missing here and there."""
+    rnd = random.Random(seed)
+    ticks = []
+    for c in "ab":
+        level = 1.0
+        for t in range(400):
+            level = rnd.choice([1.0, 2.0, 9.0]) if rnd.random() < 0.03 else level
+            if rnd.random() < 0.05 or 120 <= t < 140:
+                continue
+            aas = level * rnd.uniform(0.5, 1.5)
+            ticks.append((c, float(t), aas, rnd.choice([0.0, 0.2, 0.9]), aas * rnd.random() * 2, rnd.choice([None, 4.0, 4.0, 4.0]), rnd.random() > 0.2, rnd.random() < 0.02, rnd.random() < 0.3, rnd.random() < 0.02))
+    schema = "capture string, tick double, aas double, lock_fraction double, cpu_aas double, capacity double, coverage_ok boolean, capacity_changed boolean, affinity_only boolean, guard_blocked boolean"
+    want = []
+    for c in "ab":
+        state = anomaly.State()
+        for x in ticks:
+            if x[0] == c:
+                tick = SimpleNamespace(**dict(zip(["capture", *schema.replace(",", "").split()[2::2]], x)))
+                action, near, fired = anomaly.step(rules, state, tick)
+                want.append((c, x[1], action, near, fired, state.baseline, state.cusum))
+    got = [tuple(r) for r in anomaly.anomalies(spark.createDataFrame(ticks, schema).repartition(3), rules, stretch).collect()]
+    assert sorted(got) == sorted(want) and len({w[2] for w in want}) == 3
+
+
 def test_query_texts(spark):
     assert texts.normalise("SELECT  a -- note\nFROM t WHERE b = 'it''s' AND c = 4.5 /* x */ AND d IS NULL") == "SELECT a FROM t WHERE b=? AND c=? AND d IS ?"
     assert texts.normalise("/* a /* b */ c */ select $1, 0x1F, \"q  'x' -- \" , a1, t.x, .5, 1..2, nullable") == "select $1,?,\"q  'x' -- \",a1,t.x,?,?..?,nullable"
