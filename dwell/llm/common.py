@@ -106,11 +106,40 @@ def forget(*frames: DataFrame) -> None:
         delete(f.sparkSession, _WRITTEN.pop(f))
 
 
+def bind(c: Column, f) -> Column:
+    """f of c, with c computed once however often f uses it, also within lambdas."""
+    return F.transform(F.array(c), f)[0]
+
+
 def without(lines: Column, drop: Column) -> Column:
-    """An array without the places in drop (ascending, from 0, at least one), made of the slices between them."""
-    before = lambda j: F.coalesce(F.get(drop, j - 1), F.lit(-1))
-    parts = F.transform(drop, lambda g, j: F.slice(lines, before(j) + 2, g - before(j) - 1))
-    return F.concat(F.flatten(parts), F.slice(lines, F.element_at(drop, -1) + 2, F.size(lines)))
+    """An array without the places in drop (from 0), by one sort of both together, so that long texts cost no more a line."""
+    marks = F.transform(drop, lambda g: F.struct(g.cast("int").alias("i"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("line")))
+    each = F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("i"), F.lit(1).alias("kind"), x.alias("line")))
+    gone = lambda s, x, j: F.coalesce((F.get(s, j - 1)["kind"] == 0) & (F.get(s, j - 1)["i"] == x["i"]), F.lit(False))
+    left = bind(F.sort_array(F.concat(marks, each)), lambda s: F.filter(s, lambda x, j: (x["kind"] == 1) & ~gone(s, x, j)))
+    return F.transform(left, lambda x: x["line"])
+
+
+def distinct_structs(c: Column) -> Column:
+    """The distinct structs of an array, sorted; array_distinct compares each struct with all others."""
+    return bind(F.sort_array(c), lambda s: F.filter(s, lambda x, j: (j == 0) | ~x.eqNullSafe(F.get(s, j - 1))))
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each element of an array of longs the sum of those before it, and the sum of all at the end.
+
+    Sums run over stretches of about the square root of the elements, as each step of a running sum copies it.
+    """
+    run = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    stretch = lambda a, c, j: F.filter(F.transform(F.sequence(j * c, j * c + c - 1), lambda i: F.get(a, i)), lambda x: x.isNotNull())
+
+    def over(a: Column, c: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), c), lambda j: run(stretch(a, c, j)))
+        whole = lambda r: run(F.transform(r, lambda x: F.element_at(x, -1)))
+        shifted = lambda r, base: F.flatten(F.transform(r, lambda x, j: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + F.get(base, j))))
+        return bind(runs, lambda r: bind(whole(r), lambda base: F.concat(shifted(r, base), F.slice(base, -1, 1))))
+
+    return bind(sizes, lambda a: bind(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda c: over(a, c)))
 
 
 def few(keys: DataFrame, most: int = 500_000) -> DataFrame:

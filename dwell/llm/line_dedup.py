@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.common import ascii_lower, cut, delete, digest, few, forget, row_key, shared_dir, strip_ws, without
+from dwell.llm.common import ascii_lower, cut, delete, digest, distinct_structs, few, forget, row_key, shared_dir, strip_ws, without
 
 H = ["h1", "h2"]
 
@@ -84,7 +84,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     runs = LineRuns(spark, min_docs)
     for b in range(batches):
         part = narrow.filter(F.pmod("_r1", F.lit(batches)) == b)
-        distinct = part.select(F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null")
+        distinct = part.select(F.explode(distinct_structs(F.col("keys"))).alias("k")).filter("k is not null")
         runs.add(distinct.select("k.h1", "k.h2"))
     # Frequent digests are few, by count: then each line is looked up where it is.
     frequent = cut(runs.frequent())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import ascii_lower, cut, digest, forget, keyed, row_key, strip_ws, without, words
+from dwell.llm.common import ascii_lower, bind, cut, digest, distinct_structs, forget, keyed, row_key, strip_ws, without, words
 
 #: Symbols of the symbol count, a fixed value of the contract.
 SYMBOLS = "[#*$%&|<>]"
@@ -67,7 +67,7 @@ def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float,
     hashed = F.transform(norm, lambda x: F.struct(*[h.alias(n) for h, n in zip(digest(x), ("h1", "h2"))], F.char_length(x).alias("c")))
     narrow = cut(base.select("doc_id", "source", *row_key(), *keep, hashed.alias("keys")))
     host = ["source", "h1", "h2"]
-    counts = narrow.select("source", F.explode(F.array_distinct("keys")).alias("k")).groupBy("source", "k.h1", "k.h2").agg(F.count("*").alias("n"))
+    counts = narrow.select("source", F.explode(distinct_structs(F.col("keys"))).alias("k")).groupBy("source", "k.h1", "k.h2").agg(F.count("*").alias("n"))
     hosts = narrow.groupBy(F.col("source").alias("s2")).agg(F.count("*").alias("n_host"))
     over = (
         counts.filter(F.col("n") > min_docs)
@@ -89,7 +89,6 @@ def _verdicts(docs: DataFrame, min_docs: int, max_share: float, min_kept: float,
 
 def _without(text: Column, gone: Column) -> Column:
     """text without the lines in gone (ascending numbers among the non-empty lines); all other lines stay as they are."""
-    bind = lambda c, f: F.transform(F.array(c), f)[0]
     full = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(strip_ws(x) != "", i)), lambda i: i.isNotNull())
     left = bind(F.split(text, "\n", -1), lambda lines: bind(bind(full(lines), lambda at: F.transform(gone, lambda g: F.get(at, g))), lambda drop: without(lines, drop)))
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
