@@ -238,22 +238,3 @@ def open_waits(df: DataFrame, hi: int) -> DataFrame:
     d = df.filter("marker is null").filter(F.col("ts") <= hi)
     last = d.groupBy("capture", "pid").agg(F.max_by(F.struct("ts", "new_event"), F.struct("ts", "seq")).alias("l"))
     return last.select("pid", F.col("l.new_event").alias("event"), F.col("l.ts").alias("since"), (hi - F.col("l.ts")).alias("open_time"))
-
-
-def evidence(facts: DataFrame, moves: DataFrame) -> DataFrame:
-    """Waits of each generation from an ordered log.
-
-    facts: gen, seq, kind (ATTACH_OK, FRONTIER, VOID, END), t; moves: gen, seq, t, dur, old, new. A
-    run lasts from an attach to the next attach, void or end and is certified up to its last
-    frontier. A wait counts if it begins and ends within one run and its start is the moment the
-    state before it ended; the first of a run has no known start.
-    """
-    w = Window.partitionBy("gen").orderBy("seq")
-    run = F.sum(F.when(F.col("kind").isin("ATTACH_OK", "VOID", "END"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    f = facts.select("gen", "seq", "kind", "t", F.lit(None).cast("long").alias("dur"), F.lit(None).cast("long").alias("old"), F.lit(None).cast("long").alias("new"))
-    d = f.unionByName(moves.select("gen", "seq", F.lit("MOVE").alias("kind"), "t", "dur", "old", "new")).withColumn("run", run)
-    wr = Window.partitionBy("gen", "run").orderBy("seq")
-    d = d.withColumn("live", F.first("kind").over(wr) == "ATTACH_OK").withColumn("certified", F.max(F.when(F.col("kind") == "FRONTIER", F.col("t"))).over(Window.partitionBy("gen", "run")))
-    m = d.filter("kind = 'MOVE' and live").withColumn("entry", F.lag("t").over(wr)).withColumn("state", F.lag("new").over(wr))
-    ok = (F.col("state") == F.col("old")) & (F.col("t") - F.col("dur") == F.col("entry")) & (F.col("t") < F.col("certified"))
-    return m.filter(ok).select("gen", "run", F.col("old").alias("event"), F.col("entry").alias("s"), F.col("t").alias("e"))

@@ -628,3 +628,14 @@ tk as (select *, row_number() over (order by tick) as i from ({ORACLES["tick_met
 c as (select 'main' as capture, tick, i, 0::double as cusum from tk where i = 1
   union all select 'main', t.tick, t.i, greatest(0::double, c.cusum + (t.tick - c.tick) * (least(t.cpu_aas / 10, 1.25::double) - 0.8::double)) from c join tk t on t.i = c.i + 1)""",
 ).replace("with ev as", "with recursive ev as", 1)
+
+#: Runs between losses, by the certificates that no later loss takes back.
+RUNS = f""",
+mv as (select user_id, event_id, us as t, start, case when prev <> 'view' then prev end as old, case when event_type <> 'view' then event_type end as new from iv0 where start is not null),
+sg as (select user_id, event_id, us, k, lead(us) over (partition by user_id order by event_id) as until from ev where event_type = 'signup'),
+fr as (select user_id, us as f from ev where event_type = 'error' and not exists (select 1 from sg where sg.user_id = ev.user_id and sg.k = 7 and sg.event_id > ev.event_id and sg.us - {2 * DAY} <= ev.us)),
+ax as (select s.user_id, 4 * s.event_id + 2 as run, s.us as a, (select max(f) from fr where fr.user_id = s.user_id and f > s.us and (s.until is null or f < s.until)) as b
+       from sg s where not exists (select 1 from sg d where d.user_id = s.user_id and d.k = 7 and d.event_id <= s.event_id)),
+ed as (select ax.run, ax.a, ax.b, mv.*, row_number() over (partition by run order by t, event_id) as i from ax join mv on mv.user_id = ax.user_id and t > a and t <= b)"""
+ORACLES["evidence_waits"] = q("select cast(user_id as varchar) as capture, run, old as event, start as s, t as e from ed where i > 1 and old is not null", RUNS)
+ORACLES["evidence_runs"] = q("select cast(min(user_id) as varchar) as capture, run, min(t) filter (where i = 1) + 1 as a, min(b) as b, arg_max(struct_pack(x := new), i).x as event, case when arg_max(struct_pack(x := new), i).x is not null then max(t) end as since from ed group by run having min(t) filter (where i = 1) + 1 <= min(b)", RUNS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dwell.functions.intervals import coalesce_spans, pair_lifo, split_to_buckets, subtract_spans
 from dwell.functions.rules import class_of, clip, cpu_share, latency_bucket, off_cpu
 from dwell.operators import aggregates as agg
-from dwell.operators import annotate, anomaly, compare, coverage, rollup, sequences, texts, verdicts
+from dwell.operators import annotate, anomaly, compare, coverage, evidence, rollup, sequences, texts, verdicts
 from dwell.plans.base import DAY, HI, HOUR, LO, STATES, UNIT, WIDTH, annotated, backends, mapped, marked, micros, moves, spans, table, windows
 from dwell.sources import intervals as src
 from dwell.streaming import live
@@ -564,16 +564,37 @@ def stream_faults(spark, d):
     return coverage.stream_faults(_messages(spark, d))
 
 
+def _evidence_log(spark, d):
+    """A capture for each user: their events as transitions, errors as frontiers, and signups as losses after which tracing is attached anew."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", micros("ts").alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = e.withColumn("start", F.lag("us").over(w)).withColumn("prev", F.lag("event_type").over(w))
+    state = lambda c: F.when(F.col(c) != "view", F.col(c))
+    counters, of = F.array(*[F.lit(0).cast("long")] * 15), [F.col("user_id").cast("string").alias("capture"), F.col("user_id").alias("pid")]
+    at = lambda k: (4 * F.col("event_id") + k).alias("seq")
+    parts = [
+        e.groupBy("user_id").agg(F.min("event_id").alias("event_id")).select(*of, (-F.col("event_id") - 1).alias("seq"), F.lit("LIFE").alias("kind"), F.lit(LO).alias("t"), F.lit(0).cast("long").alias("start")),
+        e.filter("start is not null").select(*of, at(0), F.lit("TRANS").alias("kind"), F.col("us").alias("t"), state("prev").alias("old"), state("event_type").alias("new"), (F.col("us") - F.col("start")).alias("duration")),
+        e.filter("event_type = 'error'").select(*of, at(1), F.lit("FRONTIER").alias("kind"), F.col("us").alias("t"), counters.alias("counters")),
+        e.filter("event_type = 'signup'").select(*of, at(1), F.lit("VOID").alias("kind"), F.col("us").alias("t"), counters.alias("counters"), F.when(F.col("k") == 7, F.col("us") - 2 * DAY).alias("invalid_from")),
+        e.filter("event_type = 'signup'").select(*of, at(2), F.lit("ATTACH_OK").alias("kind"), F.col("us").alias("t"), counters.alias("counters"), F.lit("reread").alias("method"), state("event_type").alias("state")),
+    ]
+    long, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    log = spark.range(0).select(text.alias("capture"), long.alias("seq"), text.alias("kind"), long.alias("t"), long.alias("pid"), long.alias("fork"), long.alias("start"), long.alias("exit"), text.alias("method"), text.alias("state"), F.lit(None).cast("array<long>").alias("counters"), long.alias("invalid_from"), text.alias("old"), text.alias("new"), long.alias("duration"))
+    for p in parts:
+        log = log.unionByName(p, allowMissingColumns=True)
+    captures = e.select(F.col("user_id").cast("string").alias("capture"), F.lit(True).alias("qualified"), counters.alias("counters")).distinct()
+    return captures, log
+
+
 @query
 def evidence_waits(spark, d):
-    m = marked(spark, d)
-    kinds = {"CMD_START": "ATTACH_OK", "CMD_END": "FRONTIER", "EXEC_END": "VOID"}
-    kind = F.when(F.lit(False), "")
-    for k, v in kinds.items():
-        kind = kind.when(F.col("marker") == k, v)
-    facts = m.filter(F.col("marker").isin(*kinds)).select(F.col("pid").alias("gen"), "seq", kind.alias("kind"), F.col("ts").alias("t"))
-    mv = m.filter("marker is null").select(F.col("pid").alias("gen"), "seq", F.col("ts").alias("t"), "dur", F.col("old_event").alias("old"), F.col("new_event").alias("new"))
-    return coverage.evidence(facts, mv)
+    return evidence.replay(*_evidence_log(spark, d), WIDTH)[2]
+
+
+@query
+def evidence_runs(spark, d):
+    return evidence.replay(*_evidence_log(spark, d), WIDTH)[1].select("capture", "run", "a", "b", "event", "since")
 
 
 @query
