@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from dwell.functions.intervals import coalesce_spans, greedy_onsets, overlap_join, pair_lifo, split_to_buckets
+from dwell.functions.selection import nth_values
+from dwell.functions.settled import settled
 from dwell.functions.rules import EXIT, class_of, clip, cpu_share, is_hidden, is_idle
 from dwell.operators.aggregates import bucket_width, zero
 
@@ -155,16 +157,18 @@ def query_lifecycle(df: DataFrame) -> DataFrame:
     for name in ("EXEC", "PLAN"):
         p = _pairs(df, name).filter("closed_by = 'end' and query_id <> 0").select("query_id", F.lit(name).alias("phase"), (F.col("c_ts") - F.col("ts")).alias("dur"))
         out = p if out is None else out.unionByName(p)
-    # The value at an index of the sorted durations, found by rank, so no group is gathered.
-    w = Window.partitionBy("query_id", "phase")
-    r = out.withColumn("i", F.row_number().over(w.orderBy("dur")) - 1).withColumn("n", F.count("*").over(w))
-    return r.groupBy("query_id", "phase").agg(F.max("n").alias("n"), F.sum("dur").alias("time"), F.avg("dur").alias("avg_dur"), indexed_percentile("dur", 0.95, 20).alias("p95"), indexed_percentile("dur", 0.99, 100).alias("p99"))
+    out = settled(out)
+    of = ["query_id", "phase"]
+    sums = out.groupBy(*of).agg(F.count("*").alias("n"), F.sum("dur").alias("time"), F.avg("dur").alias("avg_dur"))
+    at = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), percentile_index(p, least).alias("rank")) for w, p, least in (("p95", 0.95, 20), ("p99", 0.99, 100))]))
+    found = nth_values(out, of, "dur", sums.select(*of, at.alias("x")).select(*of, "x.*"))
+    found = found.groupBy(*of).agg(*[F.max(F.when(F.col("which") == w, F.col("value"))).alias(w) for w in ("p95", "p99")])
+    return sums.join(found, of).select(*of, "n", "time", "avg_dur", "p95", "p99")
 
 
-def indexed_percentile(value: str, p: float, least: int) -> Column:
-    """Of rows with i (rank from 0) and n: sorted[int((n - 1) * p)], the last one up to ``least`` rows."""
-    at = F.when(F.col("n") > least, F.floor((F.col("n") - 1) * p)).otherwise(F.col("n") - 1)
-    return F.max(F.when(F.col("i") == at, F.col(value)))
+def percentile_index(p: float, least: int) -> Column:
+    """Of n sorted values the index of a percentile: int((n - 1) * p), or the last one up to ``least`` values."""
+    return F.when(F.col("n") > least, F.floor((F.col("n") - 1) * p)).otherwise(F.col("n") - 1)
 
 
 def execution_slices(df: DataFrame, runs: DataFrame, hi: int, width: int, per_lane: int | None = 2000) -> DataFrame:
@@ -193,48 +197,67 @@ def execution_scatter(runs: DataFrame, lo: int, hi: int, n: int = 100, most: int
     return first.unionByName(rest.withColumn("reserved", F.lit(False))).select("pid", "e_seq", "e_start", "dur", "reserved")
 
 
-def collapse_loops(steps: list[int], most: int = 32) -> tuple[list[int], float]:
-    """Steps with immediate repeats of a body folded (shortest bodies first), cut at ``most``; and how
-    many times longer the original was."""
-    out = list(steps)
+def collapse_loops(steps: list[int], most: int = 32) -> tuple[list[int], float, list[int]]:
+    """Steps with immediate repeats of a body folded (shortest bodies first), cut at ``most``; how
+    many times longer the original was; and the place of the folded step that each original one is part of."""
+    out, of = list(steps), list(range(len(steps)))
     for size in range(1, len(out) // 2 + 1):
-        at, folded = 0, []
+        at, folded, place = 0, [], [0] * len(out)
         while at < len(out):
-            body = out[at : at + size]
+            body, first = out[at : at + size], len(folded)
             folded += body
+            for k in range(len(body)):
+                place[at + k] = first + k
             at += size
             while len(body) == size and out[at : at + size] == body:
+                for k in range(size):
+                    place[at + k] = first + k
                 at += size
-        out = folded
-    return out[:most], len(steps) / max(1, len(out))
+        out, of = folded, [place[x] for x in of]
+    return out[:most], len(steps) / max(1, len(out)), of
 
 
 def variants(df: DataFrame, name: str = "EXEC", width: int = 1, raw: int = 128, steps: int = 32) -> DataFrame:
-    """Patterns of states within executions (or plans): count, queries, time, average, p95 and loop factor.
+    """Patterns of states within executions (or plans): count, queries, time, average, p95, loop factor and
+    the average time of a state at each step (step_avg, an array as long as the pattern).
 
-    A second start takes the place of an open one. Patterns are grouped by themselves.
+    A second start takes the place of an open one. Patterns are grouped by themselves. A step's
+    average is over all states folded into it.
     """
     w = Window.partitionBy(*ACTOR).orderBy(*ORDER)
     m = df.filter(F.col("marker").isin(f"{name}_START", f"{name}_END")).select(*ACTOR, *ORDER, "marker", "query_id")
     m = m.withColumn("_n", F.lead("marker").over(w)).withColumn("a_end", F.lead("ts").over(w))
     a = m.filter((F.col("marker") == f"{name}_START") & (F.col("_n") == f"{name}_END")).select(*ACTOR, F.col("seq").alias("e_seq"), "query_id", F.col("ts").alias("a_start"), "a_end").filter("a_start < a_end")
-    b = df.filter("marker is null").filter(~is_idle(F.col("old_event"))).select(*ACTOR, "seq", "old_event", F.col("start").alias("b_start"), F.col("ts").alias("b_end"))
+    b = df.filter("marker is null").filter(~is_idle(F.col("old_event"))).select(*ACTOR, "seq", "old_event", (F.col("ts") - F.col("start")).alias("_d"), F.col("start").alias("b_start"), F.col("ts").alias("b_end"))
     of = [*ACTOR, "e_seq", "query_id", "a_start", "a_end"]
     # Only the first ``raw`` steps of an execution are gathered.
     j = overlap_join(a, b, ACTOR, width).withColumn("_k", F.row_number().over(Window.partitionBy(*of).orderBy("b_start", "seq"))).filter(F.col("_k") <= raw)
-    one = j.groupBy(*of).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "old_event"))), lambda x: x["old_event"]).alias("steps"))
-
-    @pandas_udf("struct<pattern: string, factor: double>")
-    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            done = [collapse_loops(list(x), steps) for x in s]
-            yield pd.DataFrame({"pattern": [">".join(map(str, p)) for p, _ in done], "factor": [f for _, f in done]})
-
-    one = one.withColumn("f", folded("steps")).withColumn("dur", F.col("a_end") - F.col("a_start")).withColumn("pattern", F.col("f.pattern"))
-    wp = Window.partitionBy("pattern")
-    r = one.withColumn("i", F.row_number().over(wp.orderBy("dur", "pid", "e_seq")) - 1).withColumn("n", F.count("*").over(wp))
-    p95 = F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1), F.col("dur")))
-    return r.groupBy("pattern").agg(F.max("n").alias("n"), F.count_distinct("query_id").alias("queries"), F.sum("dur").alias("time"), F.avg("dur").alias("avg_dur"), p95.alias("p95"), F.avg("f.factor").alias("loop_factor"))
+    one = j.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("_k", "old_event", "_d"))).alias("raw"))
+    one = one.withColumn("steps", F.transform("raw", lambda x: x["old_event"])).withColumn("times", F.transform("raw", lambda x: x["_d"]))
+
+    @pandas_udf("struct<pattern: string, factor: double, sums: array<bigint>, counts: array<bigint>>")
+    def folded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for s, times in batches:
+            out = []
+            for x, d in zip(s, times):
+                pattern, factor, of = collapse_loops(list(x), steps)
+                sums, counts = [0] * len(pattern), [0] * len(pattern)
+                for k, t in zip(of, d):
+                    if k < len(pattern):
+                        sums[k] += int(t)
+                        counts[k] += 1
+                out.append((">".join(map(str, pattern)), factor, sums, counts))
+            yield pd.DataFrame(out, columns=["pattern", "factor", "sums", "counts"])
+
+    one = one.withColumn("f", folded("steps", "times")).withColumn("dur", F.col("a_end") - F.col("a_start"))
+    one = settled(one.select(F.col("f.pattern").alias("pattern"), "query_id", "dur", F.col("f.factor").alias("factor"), F.arrays_zip(F.col("f.sums").alias("s"), F.col("f.counts").alias("c")).alias("each")))
+    sums = one.groupBy("pattern").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries"), F.sum("dur").alias("time"), F.avg("dur").alias("avg_dur"), F.avg("factor").alias("loop_factor"))
+    at = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
+    p95 = nth_values(one, ["pattern"], "dur", sums.select("pattern", F.lit("p95").alias("which"), at.alias("rank"))).select("pattern", F.col("value").alias("p95"))
+    # No more rows for a pattern than it has steps.
+    step = one.select("pattern", F.posexplode("each").alias("k", "x")).groupBy("pattern", "k").agg((F.sum("x.s") / F.sum("x.c")).alias("avg"))
+    step = step.groupBy("pattern").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "avg"))), lambda x: x["avg"]).alias("step_avg"))
+    return sums.join(p95, "pattern").join(step, "pattern").select("pattern", "n", "queries", "time", "avg_dur", "p95", "loop_factor", "step_avg")
 
 
 def session_timeline(df: DataFrame, lo: int, hi: int, gap: int) -> DataFrame:
