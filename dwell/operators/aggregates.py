@@ -149,6 +149,12 @@ def hist_percentile(p: float, unit: int) -> Column:
     return F.when(total > 0, F.element_at(edges, F.size(F.filter("_cum", lambda x: x < rank)) + 1))
 
 
+def hist_above(p: float) -> Column:
+    """Whether the percentile lies in the open last bucket: hist_percentile is then no more than a lower bound."""
+    total = F.element_at("_cum", HIST)
+    return F.when(total > 0, F.element_at("_cum", HIST - 1) < F.greatest(F.lit(1), F.ceil(total * p)))
+
+
 def top_events(df: DataFrame, lo: int, hi: int, unit: int) -> DataFrame:
     """Per state: closes, time in the window, latencies of exact closes, share of DB time (null if idle), aas.
 
@@ -159,7 +165,7 @@ def top_events(df: DataFrame, lo: int, hi: int, unit: int) -> DataFrame:
     d = d.withColumn("_d", F.when(closes, F.col("dur")))
     e = d.groupBy("old_event", "idle").agg(F.count("_d").alias("n"), F.sum("used").alias("time"), F.sum("wall").alias("_wall"), F.avg("_d").alias("avg_dur"), F.max("_d").alias("max_dur"), *histogram(F.col("_d"), unit))
     e = cumulative(e.withColumn("db", zero(F.sum(F.when(~F.col("idle"), F.col("_wall"))).over(Window.partitionBy()))))  # a row for each state
-    ps = [hist_percentile(p, unit).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
+    ps = [hist_percentile(p, unit).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)] + [hist_above(p).alias(f"p{round(p * 100)}_above") for p in (0.5, 0.95, 0.99)]
     return e.select("old_event", "n", "time", "avg_dur", "max_dur", *ps, F.when(~F.col("idle") & (F.col("db") > 0), 100.0 * F.col("time") / F.col("db")).alias("pct"), (F.col("time") / (hi - lo)).alias("aas"))
 
 

@@ -246,11 +246,19 @@ def escalations(df: DataFrame) -> DataFrame:
     return s.select("capture", F.col("ts").alias("s"), F.col("c_ts").alias("e"), F.shiftright("query_id", 8).alias("seconds"), F.col("query_id").bitwiseAND(255).alias("reason"))
 
 
-def budget_audit(windows: DataFrame, trailing: int, budget: int, width: int) -> DataFrame:
-    """At the start of each window (capture, id, s, e): what others used within ``trailing`` before, and the grant."""
-    a = windows.select("capture", F.col("id"), (F.col("s") - trailing).alias("a_start"), F.col("s").alias("a_end"), (F.col("e") - F.col("s")).alias("want"))
-    b = windows.select("capture", F.col("id").alias("other"), F.col("s").alias("b_start"), F.col("e").alias("b_end"))
+def budget_audit(windows: DataFrame, trailing: int, budget: int | None, width: int) -> DataFrame:
+    """At the start of each window (capture, id, s, e): what others used within ``trailing`` before, and the grant.
+
+    A window without an end is open and counts up to that start; it asks for all that is left. A budget of 0 denies
+    all, and None grants all that is asked for (null for what is open).
+    """
+    # An open window is still open at the latest start, so it reaches all of them.
+    last = windows.groupBy("capture").agg((F.max("s") + 1).alias("_last"))
+    w = windows.join(last, "capture").withColumn("_e", F.coalesce("e", "_last"))
+    a = w.select("capture", F.col("id"), (F.col("s") - trailing).alias("a_start"), F.col("s").alias("a_end"), (F.col("e") - F.col("s")).alias("want"))
+    b = w.filter("s < _e").select("capture", F.col("id").alias("other"), F.col("s").alias("b_start"), F.col("_e").alias("b_end"))
     used = overlap_join(a.drop("want"), b, ["capture"], width).filter("id <> other").withColumn("o", F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
     sums = used.groupBy("capture", "id").agg(F.sum("o").alias("used"))
     j = a.join(sums, ["capture", "id"], "left").withColumn("used", zero(F.col("used")))
-    return j.select("capture", "id", "used", F.least("want", F.greatest(F.lit(0).cast("long"), budget - F.col("used"))).alias("granted"))
+    granted = F.col("want") if budget is None else F.least("want", F.greatest(F.lit(0).cast("long"), budget - F.col("used")))
+    return j.select("capture", "id", "used", granted.alias("granted"))

@@ -208,10 +208,11 @@ def frontier(messages: DataFrame) -> DataFrame:
 
 
 def released(messages: DataFrame, chunk: int) -> DataFrame:
-    """Rows below the frontier with their position in the order of release: t, then source, sequence and
-    offset. Positions are counted by stretches of ``chunk`` of t."""
+    """Rows below the frontier with their position in the order of release: t, pid, g, rank, sequence q, source and
+    offset o, of those that there are. Positions are counted by stretches of ``chunk`` of t."""
+    order = [c for c in ("t", "pid", "g", "rank", "q", "source", "o") if c in messages.columns]
     d = frontier(messages).withColumn("_k", F.lit(0)).withColumn("_one", F.lit(1).cast("long"))
-    return carried(d, ["_k"], "t", ["t", "source", "q", "o"], chunk, sums={"position": "_one"}).drop("_k", "_one")
+    return carried(d, ["_k"], "t", order, chunk, sums={"position": "_one"}).drop("_k", "_one")
 
 
 def stream_faults(messages: DataFrame, chunk: int = 1_000_000) -> DataFrame:

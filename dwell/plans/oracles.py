@@ -105,6 +105,11 @@ def percentile(p: float) -> str:
     return f"cast({UNIT} as bigint) << least({lat(pick)}, 14)"
 
 
+def above(p: float) -> str:
+    """Whether a percentile lies in the open last bucket, so that it is no more than a lower bound."""
+    return f"list_sort(list(dur))[greatest(1, cast(ceil(count(*) * {p}) as bigint))] >= cast({UNIT} as bigint) << 14"
+
+
 MOVES = f"(select * from iv where ts >= {LO} and ts < {HI})"
 
 #: Pairs of nested starts and ends: an end belongs to the nearest start before it between which the depth is balanced.
@@ -179,6 +184,7 @@ ct as (select *, case when backend <> 'foreground' then backend when coalesce(e,
     "cpu_checks": q(f"select {big('coalesce(sum(greatest(cpu - dur, 0)), 0)')} as clamped, {big('0')} as in_waits, {big('coalesce(sum(greatest(dur - cpu, 0)), 0)')} as off_cpu from iv where cpu is not null"),
     "top_events": q(
         f"""select old_event, count(*) as n, {big('sum(u)')} as time, avg(dur) as avg_dur, max(dur) as max_dur, {percentile(.5)} as p50, {percentile(.95)} as p95, {percentile(.99)} as p99,
+        {above(.5)} as p50_above, {above(.95)} as p95_above, {above(.99)} as p99_above,
         case when not bool_or(idle) then 100.0 * sum(u)::double / (select sum(dur) from iv where not idle) end as pct, sum(u)::double / {HI - LO} as aas from (select *, {measured('start', 'ts')} as u from iv) group by old_event"""
     ),
     "top_sessions": q(
@@ -304,7 +310,7 @@ lv as (select s.seq, 1 + (select count(*) from runs o where o.pid = s.pid and (o
         from (select old_event as boot, (start - {LO}) // {DAY} as k, count(*) as n, {big('count(*) filter (where dur > ' + str(30 * HOUR) + ')')} as u from iv group by all)
         full join (select old_event as boot, (ts - {LO}) // {DAY} as k, count(*) as seen from iv group by all) using (boot, k)"""
     ),
-    "source_frontier": q(f"select event_type as source, event_id as o, us as t, row_number() over (order by us, event_type, event_id) as position from ev where us < (select min(m) from (select max(us) - {HOUR} as m from ev group by event_type))"),
+    "source_frontier": q(f"select event_type as source, event_id as o, us as t, row_number() over (order by us, user_id, n, event_type, event_id) as position from (select *, row_number() over (partition by event_type order by event_id) + case when event_id % 97 = 0 then 1 else 0 end as n from ev) where us < (select min(m) from (select max(us) - {HOUR} as m from ev group by event_type))"),
     "stream_faults": q(
         """select source, o, unnest(list_filter([case when q > pq + 1 then 'gap' end, case when q <= pq then 'reuse' end, case when t < pt then 'clock' end, case when tie then 'tie' end], lambda x: x is not null)) as fault
         from (select *, lag(q) over w as pq, lag(t) over w as pt from (select event_type as source, event_id as o, us as t, min(event_type) over (partition by user_id, us) < max(event_type) over (partition by user_id, us) as tie,
@@ -639,3 +645,11 @@ ax as (select s.user_id, 4 * s.event_id + 2 as run, s.us as a, (select max(f) fr
 ed as (select ax.run, ax.a, ax.b, mv.*, row_number() over (partition by run order by t, event_id) as i from ax join mv on mv.user_id = ax.user_id and t > a and t <= b)"""
 ORACLES["evidence_waits"] = q("select cast(user_id as varchar) as capture, run, old as event, start as s, t as e from ed where i > 1 and old is not null", RUNS)
 ORACLES["evidence_runs"] = q("select cast(min(user_id) as varchar) as capture, run, min(t) filter (where i = 1) + 1 as a, min(b) as b, arg_max(struct_pack(x := new), i).x as event, case when arg_max(struct_pack(x := new), i).x is not null then max(t) end as since from ed group by run having min(t) filter (where i = 1) + 1 <= min(b)", RUNS)
+
+ORACLES["budget_audit_open"] = q(
+    f"""select 'main' as capture, id, used, case when want is null then greatest({4000 * HOUR} - used, 0) else least(want, greatest({4000 * HOUR} - used, 0)) end as granted
+        from (select a.seq as id, a.e - a.start as want, {big("coalesce(sum(least(b.until, a.start) - greatest(b.start, a.start - " + str(HOUR) + ")) filter (where b.seq is not null), 0)")} as used
+              from wo a left join wo b on a.seq <> b.seq and b.start < a.start and b.until > a.start - {HOUR} and b.until > b.start group by all)""",
+    """,
+wo as (select seq, start, case when seq % 29 <> 0 then ts end as e, case when seq % 29 <> 0 then ts else (select max(start) from iv) + 1 end as until from iv)""",
+)

@@ -37,7 +37,7 @@ def read_intervals(
     if hi is not None:
         d = d.filter(F.col("start") <= hi)
         d = d.filter(F.col("hour") <= (hi + longest) // hour) if hour and longest is not None else d
-    d = d.filter(F.col("pid").isin(pids)) if pids else d
+    d = d.filter(F.col("pid").isin(pids)) if pids is not None else d
     return d.drop("hour") if hour else d
 
 

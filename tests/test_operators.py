@@ -233,7 +233,7 @@ def test_evidence_that_contradicts_itself(spark):
 
 def test_release_order_and_ties(spark):
     m = spark.createDataFrame([("a", 1, 10, 1, 90, 7), ("a", 2, 12, 2, 90, 7), ("b", 1, 12, 1, 90, 7), ("b", 2, 12, 2, 90, 8), ("b", 3, 40, 3, 95, 7), ("b", 4, 93, 4, 95, 7)], "source string, o long, t long, q long, w long, gen long")
-    assert [(r["source"], r["o"]) for r in coverage.released(m, 7).orderBy("position").collect()] == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
+    assert [(r["source"], r["o"]) for r in coverage.released(m, 7).orderBy("position").collect()] == [("a", 1), ("b", 1), ("a", 2), ("b", 2), ("b", 3)]
     assert sorted((r["source"], r["o"], r["fault"]) for r in coverage.stream_faults(m, 2).collect()) == [("a", 2, "tie"), ("b", 1, "tie")]
 
 
@@ -342,6 +342,19 @@ def test_stretches_of_ticks_equal_the_rule(spark, seed, stretch, rules):
     assert sorted(got) == sorted(want) and len({w[2] for w in want}) == 3
 
 
+def test_budgets_and_open_windows(spark):
+    w = spark.createDataFrame([("c", 1, 0, 30), ("c", 2, 40, None), ("c", 3, 60, 70), ("c", 4, 200, 210)], "capture string, id long, s long, e long")
+    got = lambda budget: {r["id"]: (r["used"], r["granted"]) for r in anomaly.budget_audit(w, 50, budget, 16).collect()}
+    assert got(45) == {1: (0, 30), 2: (30, 15), 3: (40, 5), 4: (50, 0)}
+    assert {i: g for i, (_, g) in got(0).items()} == dict.fromkeys(range(1, 5), 0)
+    assert {i: g for i, (_, g) in got(None).items()} == {1: 30, 2: None, 3: 10, 4: 10}
+
+
+def test_release_goes_by_time_actor_and_sequence(spark):
+    m = spark.createDataFrame([("b", 1, 5, 1, 9, 20), ("a", 1, 5, 2, 1, 20), ("a", 2, 5, 1, 3, 20), ("b", 2, 4, 7, 4, 30)], "source string, o long, t long, pid long, q long, w long")
+    assert [(r["source"], r["o"]) for r in coverage.released(m, 7).orderBy("position").collect()] == [("b", 2), ("a", 2), ("b", 1), ("a", 1)]
+
+
 def test_query_texts(spark):
     assert texts.normalise("SELECT  a -- note\nFROM t WHERE b = 'it''s' AND c = 4.5 /* x */ AND d IS NULL") == "SELECT a FROM t WHERE b=? AND c=? AND d IS ?"
     assert texts.normalise("/* a /* b */ c */ select $1, 0x1F, \"q  'x' -- \" , a1, t.x, .5, 1..2, nullable") == "select $1,?,\"q  'x' -- \",a1,t.x,?,?..?,nullable"
