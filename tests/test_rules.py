@@ -40,3 +40,9 @@ def test_parse_time():
     now = datetime(2024, 1, 2, tzinfo=UTC)
     assert rules.parse_time("2024-01-01") == 1704067200 * 10**6
     assert rules.parse_time("-1h", now) == rules.parse_time("now", now) - 3600 * 10**6
+
+
+def test_cpu_share_is_not_rounded_up_just_below_a_whole(spark):
+    dur = 10_000_000
+    got = one(spark, below=rules.cpu_share(F.lit(4_999_999), F.lit(0), F.lit(dur), F.lit(0), F.lit(1)), at=rules.cpu_share(F.lit(5_000_000), F.lit(0), F.lit(dur), F.lit(0), F.lit(1)))
+    assert got == {"below": 0, "at": 1}
