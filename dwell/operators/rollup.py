@@ -9,18 +9,31 @@ from dwell.functions.rules import CLASS_NAMES, class_of, clip, is_idle
 from dwell.operators.aggregates import HIST, cumulative, histogram, hist_percentile, zero
 
 
+#: Ticks that an actor's rows are dealt by, and into how many parts: a task aggregates its own part of them, whatever reads the rollup.
+STRETCH, PARTS = 24, 384
+
+
 def build(df: DataFrame, tick: int, unit: int) -> DataFrame:
     """One row per tick, state, actor and query: time within the tick, and count, longest and histogram
-    of the exact rows that close in it. Markers and io workers are left out."""
+    of the exact rows that close in it. Markers and io workers are left out.
+
+    Rows are dealt by actor and stretch of ticks before they are cut at each tick, so what is shuffled
+    is about one row for each given one, and no task holds the ticks of more than one part.
+    """
     d = df.filter("marker is null and (backend is null or backend <> 'io_worker')")
     key = ["tick", "old_event", "pid", "query_id"]
-    s = d.filter("start < ts").withColumn("tick", F.explode(F.expr(f"sequence(start div {tick}, (ts - 1) div {tick})")))
-    s = s.withColumn("time", F.least(F.col("ts"), (F.col("tick") + 1) * tick) - F.greatest(F.col("start"), F.col("tick") * tick))
-    c = d.filter("not is_sample").withColumn("tick", F.expr(f"ts div {tick}"))
-    # Time and closes are rows of one table, so they are aggregated once; each has nulls for the other.
-    none = F.lit(None).cast("long")
-    both = s.select(*key, "time", none.alias("dur")).unionByName(c.select(*key, none.alias("time"), "dur"))
-    g = both.groupBy(*key).agg(F.sum("time").alias("time"), F.count("dur").alias("n"), F.sum("dur").alias("full"), F.max("dur").alias("longest"), *histogram(F.col("dur"), unit))
+    # An exact row also meets the tick in which it closes, where it may have no time.
+    begin, closes = F.least("start", "ts"), F.expr("not is_sample")
+    last = F.when(closes, F.col("ts")).otherwise(F.col("ts") - 1)
+    d = d.select("old_event", "pid", "query_id", "dur", "ts", begin.alias("start"), closes.alias("_closes"), last.alias("_last")).filter("start <= _last")
+    part = lambda t: f"cast(floor(({t} div {tick}) / {STRETCH}) as bigint)"
+    d = d.withColumn("_part", F.explode(F.expr(f"sequence({part('start')}, {part('_last')})"))).repartition(PARTS, "pid", "_part")
+    d = d.withColumn("tick", F.explode(F.expr(f"sequence(greatest(start div {tick}, _part * {STRETCH}), least(_last div {tick}, _part * {STRETCH} + {STRETCH - 1}))")))
+    time = F.least(F.col("ts"), (F.col("tick") + 1) * tick) - F.greatest(F.col("start"), F.col("tick") * tick)
+    dur = F.when(F.col("_closes") & (F.col("tick") == F.expr(f"ts div {tick}")), F.col("dur"))
+    d = d.select(*key, "_part", time.alias("time"), dur.alias("dur"))
+    # Grouped by the part as well, which the tick fixes, so that rows stay where they are.
+    g = d.groupBy("_part", *key).agg(F.sum("time").alias("time"), F.count("dur").alias("n"), F.sum("dur").alias("full"), F.max("dur").alias("longest"), *histogram(F.col("dur"), unit))
     return g.select(*key, *[zero(F.col(x)).alias(x) for x in ("time", "n", "full", "longest", *[f"h{i}" for i in range(HIST)])])
 
 

@@ -373,3 +373,15 @@ def test_compare(spark):
     got = {r["k"]: (r["delta"], r["ratio"], r["status"], r["below_floor"]) for r in compare.compare(a, b, "k", floor=10).collect()}
     assert got == {"x": (50, 1.5, "both", False), "y": (-50, None, "gone", False), "z": (1, None, "new", True)}
     assert compare.baseline_presets(0, 100, 20) == [20, 40, 80]
+
+
+def test_rollup_rows_are_dealt_before_they_are_cut(spark):
+    d = backed(rows(spark, (1, 700, 690, IO, LOCK, 3), (1, 700, 0, IO, CPU, 3), (2, -35, 290, LOCK, CPU, 0), (2, 250, 10, CPU, IO, 4)))
+    r = rollup.build(d, 10, 1)
+    got = {(x["tick"], x["old_event"]): (x["time"], x["n"], x["longest"]) for x in r.filter("pid = 1").collect()}
+    assert got == {**{(k, IO): (10, 0, 0) for k in range(1, 70)}, (70, IO): (0, 2, 690)}
+    assert {x["tick"] for x in r.filter("pid = 2 and old_event <> 0").collect()} == set(range(-32, -2))
+    assert [(x["tick"], x["time"], x["n"]) for x in r.filter("pid = 2 and old_event = 0").orderBy("tick").collect()] == [(24, 10, 0), (25, 0, 1)]
+    # One shuffle before the ticks are cut, none after it.
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pid") == 1 and plan.count("Exchange") == 1
