@@ -96,6 +96,29 @@ def carried(d: DataFrame, keys: list[str], at: str, order: list[str], chunk: int
     return out.drop("_chunk", *[f"_t{i}" for i in range(len(sums))], *[f"_m{i}" for i in range(len(highs))])
 
 
+def overlapped(windows: DataFrame, spans: DataFrame, keys: list[str], lo: str, hi: str, time: str, number: str, chunk: int | None = None, weight: Column | None = None) -> DataFrame:
+    """windows with the summed length of their overlaps with spans (keys, s, e) of equal keys, and how many of these (by ``weight``) they meet.
+
+    Spans may overlap; each counts. A window's overlaps are what lies of all spans before its end less what
+    lies before its start, and it meets those that begin before its end less those that ended by its start,
+    so windows and spans are rows of one sweep and no pair of them is made. Windows that don't end after they begin have none.
+    With a chunk, a key's rows are dealt over stretches of time: see carried.
+    """
+    one, none = (F.lit(1) if weight is None else weight).cast("long"), F.lit(0).cast("long")
+    wide = lambda c: c.cast("decimal(20,0)")
+    point = lambda at, order, d, begun, ended: F.struct(F.col(at).alias("_at"), F.lit(order).alias("_order"), F.lit(d).cast("long").alias("_d"), begun.alias("_begun"), ended.alias("_ended"))
+    # At one moment ends come first, then windows, then starts.
+    ends = spans.filter("s < e").dropna(subset=keys).select(*keys, F.inline(F.array(point("s", 3, 1, one, none), point("e", 0, -1, none, one))))
+    asked = windows.select("*", F.inline(F.array(point(lo, 1, 0, none, none), point(hi, 2, 0, none, none)))).withColumn("_at", F.coalesce("_at", F.lit(0)))
+    d = asked.unionByName(ends, allowMissingColumns=True).withColumn("_dt", (wide(F.col("_d")) * wide(F.col("_at"))).cast("decimal(28,0)"))
+    d = carried(d, keys, "_at", ["_at", "_order"], chunk, sums={"_n": "_d", "_m": "_dt", "_b": "_begun", "_e": "_ended"}).filter("_order in (1, 2)")
+    before = (wide(F.col("_n")) * wide(F.col("_at")) - F.col("_m")).cast("long")
+    at = lambda order, c: F.max(F.when(F.col("_order") == order, c))
+    g = d.groupBy(*windows.columns).agg((at(2, before) - at(1, before)).alias("_time"), (at(2, F.col("_b")) - at(1, F.col("_e"))).alias("_number"))
+    some = F.coalesce(F.col(lo) < F.col(hi), F.lit(False))
+    return g.select(*windows.columns, *[F.coalesce(F.when(some, F.col(c)), F.lit(0)).cast("long").alias(n) for c, n in (("_time", time), ("_number", number))])
+
+
 def coalesce_spans(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", chunk: int | None = None) -> DataFrame:
     """Merges spans that overlap or touch, per key. Empty spans are left out.
 
