@@ -10,10 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.functions.intervals import carried, overlap_join, pair_lifo
+from dwell.functions.intervals import carried, overlapped, pair_lifo
 from dwell.functions.rules import is_idle
 from dwell.functions.settled import settled
-from dwell.operators.aggregates import zero
 
 
 def tick_metrics(samples: DataFrame) -> DataFrame:
@@ -255,10 +254,12 @@ def budget_audit(windows: DataFrame, trailing: int, budget: int | None, width: i
     # An open window is still open at the latest start, so it reaches all of them.
     last = windows.groupBy("capture").agg((F.max("s") + 1).alias("_last"))
     w = windows.join(last, "capture").withColumn("_e", F.coalesce("e", "_last"))
-    a = w.select("capture", F.col("id"), (F.col("s") - trailing).alias("a_start"), F.col("s").alias("a_end"), (F.col("e") - F.col("s")).alias("want"))
-    b = w.filter("s < _e").select("capture", F.col("id").alias("other"), F.col("s").alias("b_start"), F.col("_e").alias("b_end"))
-    used = overlap_join(a.drop("want"), b, ["capture"], width).filter("id <> other").withColumn("o", F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
-    sums = used.groupBy("capture", "id").agg(F.sum("o").alias("used"))
-    j = a.join(sums, ["capture", "id"], "left").withColumn("used", zero(F.col("used")))
+    a = w.select("capture", "id", F.col("s"), (F.col("s") - trailing).alias("_from"), (F.col("e") - F.col("s")).alias("want"))
+    b = w.filter("id is not null").select("capture", "id", "s", F.col("_e").alias("e"))
+    # All that was used, less what windows of the same id used; a window itself begins where the time asked for ends.
+    j = overlapped(a, b.drop("id"), ["capture"], "_from", "s", "used", "_n", width)
+    again = b.join(b.groupBy("capture", "id").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), ["capture", "id"], "left_semi")
+    j = overlapped(j.drop("_n"), again, ["capture", "id"], "_from", "s", "_own", "_n")
+    j = j.withColumn("used", F.when(F.col("id").isNotNull(), F.col("used") - F.col("_own")).otherwise(0))
     granted = F.col("want") if budget is None else F.least("want", F.greatest(F.lit(0).cast("long"), budget - F.col("used")))
     return j.select("capture", "id", "used", granted.alias("granted"))
