@@ -385,3 +385,26 @@ def test_rollup_rows_are_dealt_before_they_are_cut(spark):
     # One shuffle before the ticks are cut, none after it.
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(pid") == 1 and plan.count("Exchange") == 1
+
+
+def test_budgets_and_omissions_equal_all_pairs_without_making_them(spark):
+    rng = random.Random(7)
+    spans = [(i, s, s + rng.choice([0, 3, 40, 900])) for i in range(120) for s in [rng.randrange(1000)]]
+    w = spark.createDataFrame([("c", i if i < 110 else 5, s, e if i % 9 else None) for i, s, e in spans], "capture string, id long, s long, e long")
+    until = max(s for _, s, _ in spans) + 1
+    real = [(i if i < 110 else 5, s, e if i % 9 else until) for i, s, e in spans]
+    want = sorted((i, sum(max(0, min(f, s) - max(r, s - 50)) for j, r, f in real if j != i and r < f)) for i, s, _ in real)
+    got = anomaly.budget_audit(w, 50, None, 16)
+    assert sorted((r["id"], r["used"]) for r in got.collect()) == want
+    assert "_role" not in got._jdf.queryExecution().toString()
+
+    lost = spark.createDataFrame([("b", i if i < 100 else 3, s, e) for i, s, e in spans], "boot string, id long, fork long, exit long")
+    births = spark.createDataFrame([("b", 0, s) for _, s, _ in spans], "boot string, boot_start long, fork long")
+    certs = births.groupBy("boot", F.expr("fork div 100").alias("k")).agg(F.count("*").alias("n")).join(
+        lost.groupBy("boot", F.expr("fork div 100").alias("k")).agg(F.count_distinct("id").alias("u")), ["boot", "k"]).withColumn("pending", F.lit(False))
+    windows = [(i, lo, lo + rng.choice([0, 1, 60, 300])) for i in range(60) for lo in [rng.randrange(1500)]]
+    w = spark.createDataFrame([("b", *x) for x in windows if x[1] < x[2]], "boot string, window_id long, lo long, hi long")
+    got = {r["window_id"]: (r["affected"], r["time_at_most"]) for r in coverage.omission_verdicts(w, births, certs.filter("k < 20"), lost, 100, 1000, 10**6, 1000, 16).filter("status is null").collect()}
+    named = [(i if i < 100 else 3, s, e) for i, s, e in spans]
+    want = {i: (len({j for j, s, e in named if s < min(e, hi) and e > lo}), sum(max(0, min(e, hi) - max(s, lo)) for _, s, e in named)) for i, lo, hi in windows if lo < hi}
+    assert len(got) > 20 and got == {i: want[i] for i in got}
