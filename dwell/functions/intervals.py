@@ -119,6 +119,31 @@ def overlapped(windows: DataFrame, spans: DataFrame, keys: list[str], lo: str, h
     return g.select(*windows.columns, *[F.coalesce(F.when(some, F.col(c)), F.lit(0)).cast("long").alias(n) for c, n in (("_time", time), ("_number", number))])
 
 
+def best_beyond(points: DataFrame, asked: DataFrame, keys: list[str], chunk: int, leaf: int = 7) -> DataFrame:
+    """asked with ``best``: the greatest ``value`` of the points with equal keys whose x is at most, and whose y at least, the row's.
+
+    Points have a place by x, and a row asks for all places below its own. These are one block of 2, 4, 8 ... places
+    for each bit set in it, in which a running maximum by y, from the top, answers; within the last 2**leaf places points are compared.
+    So the work grows with rows times the logarithm of the points, however many of them a row could meet. A block's rows are
+    dealt over stretches of x and y of width ``chunk``: see carried. Rows that find nothing are left out.
+    """
+    ident = [c for c in asked.columns if c not in ("x", "y")]
+    d = points.select(*keys, "x", "y", "value", F.lit(0).alias("_ask")).unionByName(asked.select(*keys, "x", "y", F.struct(*ident).alias("_row"), F.lit(1).alias("_ask")), allowMissingColumns=True)
+    # Of equal x points come first; whatever is left open by the order is the same row.
+    d = carried(d.withColumn("_one", (1 - F.col("_ask")).cast("long")), keys, "x", ["x", "_ask", "y", "value"], chunk, sums={"_place": "_one"})
+    d = settled(d.withColumn("_place", F.col("_place") - F.col("_one")).drop("_one", "x").withColumn("_at", -F.col("y")))
+    bits = (d.agg(F.max("_place")).first()[0] or 0).bit_length()
+    found = lambda e: e.filter("best is not null").select(*keys, "_row", "best")
+    # A point is in the lower half of a block by a bit that isn't set, and is asked for by rows in its upper half.
+    levels = d.withColumn("_k", F.explode(F.expr(f"filter(sequence({leaf}, {max(bits, leaf)}), k -> shiftright(_place, k) % 2 = _ask)")))
+    levels = carried(levels.withColumn("_block", F.expr("shiftright(_place, _k + 1)")), [*keys, "_k", "_block"], "_at", ["_at", "_ask"], chunk, highs={"best": "value"}).filter("_ask = 1")
+    of = d.withColumn("_leaf", F.expr(f"shiftright(_place, {leaf})"))
+    near = of.filter("_ask = 1").select(*keys, "_leaf", "_row", "_place", "y")
+    near = near.join(of.filter("_ask = 0").select(*keys, "_leaf", F.col("_place").alias("_p"), F.col("y").alias("_y"), F.col("value").alias("best")), [*keys, "_leaf"]).filter("_p < _place and _y >= y")
+    g = found(levels).unionByName(found(near)).groupBy(*keys, "_row").agg(F.max("best").alias("best"))
+    return g.select("_row.*", "best")
+
+
 def coalesce_spans(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", chunk: int | None = None) -> DataFrame:
     """Merges spans that overlap or touch, per key. Empty spans are left out.
 

@@ -167,6 +167,35 @@ def test_concurrency_bursts_and_blockers(spark):
     assert [tuple(r) for r in sequences.interference(d, 7).collect()] == [(1, 2, 12, 1.0, LOCK)]
 
 
+def chains_by_pairs(d):
+    """Each Lock wait against every CPU row."""
+    all_rows = [r for r in d.collect() if r["marker"] is None]
+    out = {}
+    for a in (r for r in all_rows if r["old_event"] >> 24 == 3):
+        hits = [(min(a["ts"], b["ts"]) - max(a["start"], b["start"]), -b["pid"], -b["seq"]) for b in all_rows if b["old_event"] == 0 and b["pid"] != a["pid"] and a["start"] < b["ts"] and b["start"] < a["ts"]]
+        if hits:
+            out[a["seq"], a["pid"]] = (-max(hits)[1], max(hits)[0])
+    return out
+
+
+@pytest.mark.parametrize("seed, span, longest, actors", [(1, 30, 6, 200), (2, 400, 90, 200), (3, 4000, 15, 200), (4, 60, 12, 5), (5, 3000, 2500, 200)])
+def test_lock_chains_equal_all_pairs(spark, seed, span, longest, actors):
+    """Ties, rows without length, sparse and dense time, and (few actors) rows of one actor that overlap."""
+    rnd = random.Random(seed)
+    d = rows(spark, *[(rnd.randrange(actors), rnd.randrange(span), rnd.randrange(longest), rnd.choice([CPU, LOCK])) for _ in range(700)])
+    got = {(r["wait_seq"], r["waiter"]): (r["holder"], r["overlap"]) for r in sequences.lock_chains(d, 7).collect()}
+    assert got == chains_by_pairs(d)
+
+
+def test_lock_chains_make_no_pairs(spark, monkeypatch):
+    def pairs(*_):
+        raise AssertionError("pairs of waits and CPU rows")
+
+    monkeypatch.setattr(sequences, "overlap_join", pairs)
+    d = rows(spark, *[(p, 1000 + p % 7, 900 + p, LOCK if p % 2 else CPU) for p in range(60)])
+    assert {(r["wait_seq"], r["waiter"]): (r["holder"], r["overlap"]) for r in sequences.lock_chains(d, 7).collect()} == chains_by_pairs(d)
+
+
 def test_workers_of_executions(spark):
     runs = spark.createDataFrame([(1, 5, 10, 20), (1, 6, 30, None)], "pid long, e_seq long, e_start long, e_end long")
     w = measured(rows(spark, (2, 14, 8, CPU), (2, 18, 4, IO), (3, 32, 20, CPU))).withColumn("leader_pid", F.lit(1))
