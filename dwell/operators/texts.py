@@ -16,20 +16,23 @@ TIGHT = ",()[]=<>+-*/%^;:."
 KEYWORDS = "null|true|false"
 VERSION = "normal form 2"
 
+#: A word that is no keyword and no literal's prefix. Runs of these with single spaces are their own normal form, and so one token.
+PLAIN = rf"(?! (?i: {KEYWORDS} ) (?![\w$]) | [eEbBxX]' | [uU]&' ) [^\W\d][\w$]*+"
 #: Tokens of a query text, tried in this order; comments nest.
 TOKEN = regex.compile(
     rf"""
-    (?P<space> (?: \s | --[^\n\r]* | (?P<comment> /\* (?: [^/*] | /(?!\*) | \*(?!/) | (?&comment) )*+ \*/ ) )+ )
+    (?P<words> {PLAIN} (?: \x20 {PLAIN} )*+ )
+    | (?P<space> (?: \s | --[^\n\r]* | (?P<comment> /\* (?: [^/*] | /(?!\*) | \*(?!/) | (?&comment) )*+ \*/ ) )+ )
     | (?P<literal> (?: [eEbBxX] | [uU]& )? ' (?: [^'\\] | '' | \\. )* (?: ' | \Z )
-        | \$ (?P<tag> (?: [^\W\d]\w* )? ) \$ .*? \$ (?P=tag) \$
+        | \$ (?P<tag> (?: [^\W\d]\w* )? ) \$ .*? \$ (?i: (?P=tag) ) \$
         | 0[xX][\da-fA-F_]*
         | (?: \d[\d_]* (?: \.(?!\.)[\d_]* )? | (?<![\w.])\.\d[\d_]* ) (?: [eE][+-]?\d[\d_]* )?
-        | (?: {KEYWORDS} ) (?![\w$]) )
+        | (?i: {KEYWORDS} ) (?![\w$]) )
     | (?P<whole> " (?: [^"] | "" )* " | [^\W\d][\w$]* | \$\d+ )
     | (?P<open> /\* | " | \$ (?: [^\W\d]\w* )? \$ )
     | (?P<other> . )
     """,
-    regex.VERBOSE | regex.DOTALL | regex.IGNORECASE,
+    regex.VERBOSE | regex.DOTALL,
 )
 
 
@@ -41,13 +44,16 @@ def normalise(text: str) -> str | None:
     """
     out, gap = [], False
     for m in TOKEN.finditer(text):
-        kind = m.lastgroup if m.lastgroup not in ("comment", "tag") else "space" if m["space"] else "literal"
+        kind, token = m.lastgroup, m[0]
+        if kind in ("comment", "tag"):
+            kind = "space" if m["space"] else "literal"
         if kind == "open":
             return None
         if kind == "space":
             gap = True
             continue
-        token = "?" if kind == "literal" else m.group()
+        if kind == "literal":
+            token = "?"
         if gap and out and out[-1][-1] not in TIGHT and token[0] not in TIGHT:
             out.append(" ")
         out.append(token)

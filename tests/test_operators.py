@@ -396,6 +396,11 @@ def test_query_texts(spark):
     assert len(set(keys.values())) == 3 and keys["x", None] == 0
 
 
+def test_runs_of_words_are_one_token(spark):
+    assert [m[0] for m in texts.TOKEN.finditer("select a_1 from t$x  where null")] == ["select a_1 from t$x", "  ", "where", " ", "null"]
+    assert texts.normalise("a b E'x' e u&'y' u 'z' True truex x1'2' $t$ a $T$  b\nc") == "a b ? e ? u ? ? truex x1? ? b c"
+
+
 def test_compare(spark):
     a = spark.createDataFrame([("x", 100), ("y", 50)], "k string, time long")
     b = spark.createDataFrame([("x", 150), ("z", 1)], "k string, time long")
