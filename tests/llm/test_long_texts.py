@@ -66,6 +66,15 @@ def plain_scan(text, least=0.6):
     return out
 
 
+def test_license_model_is_of_all_paragraphs(spark):
+    """Neither ids nor copies of the whole table change it: nothing is drawn."""
+    lines = ["this work is under the terms of the house", "you may obtain a copy of the book", "any person to any purpose", "the terms of the lease"]
+    texts = [(i, lines[(i * i) % 7 % 4] + f" {i}") for i in range(1500)]
+    fitted = [licenses.fit(spark.createDataFrame([(i + k, t) for i, t in texts], "doc_id long, text string")) for k in (0, 7919)]
+    a, b = ({g: m.pipeline.stages[1].coefficientMatrix.toArray()[:, i].round(6).tolist() for i, g in enumerate(m.pipeline.stages[0].vocabulary)} for m in fitted)
+    assert a == b and fitted[0].threshold == fitted[1].threshold
+
+
 def test_license_scan_equals_plain_loops(spark):
     """Whole, cut, wrapped and repeated notices of all families between other lines."""
     rnd = random.Random(8)
