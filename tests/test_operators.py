@@ -1,9 +1,11 @@
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dwell.functions import pair_times
 from dwell.functions.rules import EXIT
 from dwell.functions.selection import nth_values
 from dwell.operators import aggregates, annotate, anomaly, compare, coverage, rollup, sequences, texts
@@ -167,6 +169,53 @@ def test_concurrency_bursts_and_blockers(spark):
     assert [tuple(r) for r in sequences.interference(d, 7).collect()] == [(1, 2, 12, 1.0, LOCK)]
 
 
+def pairs_of_all(rows):
+    """Each row of an actor that waits against every one of any other."""
+    out, top = {}, {}
+    waits = [r for r in rows if r["old_event"] != CPU]
+    for a in waits:
+        for b in waits:
+            if a["pid"] < b["pid"] and (a["capture"], a["old_event"]) == (b["capture"], b["old_event"]) and a["start"] < b["ts"] and b["start"] < a["ts"]:
+                key, over = (a["pid"], b["pid"]), min(a["ts"], b["ts"]) - max(a["start"], b["start"])
+                out[key] = out.get(key, 0) + over
+                top[key] = max(top.get(key, (over, -a["old_event"])), (over, -a["old_event"]))
+    return {k: (v, -top[k][1]) for k, v in out.items()}
+
+
+def some_waits(spark, seed):
+    rnd = random.Random(seed)
+    items = [(rnd.randrange(150), rnd.randrange(60), rnd.choice((-2, 0, 1, 3, 3, 8, 20)), rnd.choice((CPU, LOCK, LOCK + 1, 0x0A000015))) for _ in range(500)]
+    items += [(200, t, 1, LOCK) for t in range(40)]
+    return rows(spark, *items).withColumn("capture", F.when(F.col("seq") % 3 == 0, "other").otherwise("main"))
+
+
+def test_interference_never_shuffles_pairs(spark):
+    d = some_waits(spark, 3)
+    want = pairs_of_all(d.collect())
+    most = max(v for v, _ in want.values())
+    out = sequences.interference(d, 7)
+    assert "hashpartitioning(pid_a" not in out._jdf.queryExecution().executedPlan().toString()
+    # Actors with many rows are joined with the others.
+    for got in (out, sequences.interference(d, 7, many=30)):
+        got = got.collect()
+        assert len(got) == len(want)
+        assert {(r["pid_a"], r["pid_b"]): (r["overlap"], r["top_event"]) for r in got} == want
+        assert all(r["score"] == r["overlap"] / most for r in got)
+    first = sorted(want, key=lambda k: (-want[k][0], k))[:5]
+    assert sorted((r["pid_a"], r["pid_b"]) for r in sequences.interference(d, 7, max_rows=5).collect()) == sorted(first)
+
+
+def test_pairs_in_small_steps(spark, monkeypatch):
+    d = [r for r in some_waits(spark, 4).filter("pid < 80").collect() if r["old_event"] != CPU]
+    monkeypatch.setattr(pair_times, "CELLS", 90)
+    monkeypatch.setattr(pair_times, "STEP", 3)
+    parts = {}
+    for r in d:
+        parts.setdefault((r["capture"], r["old_event"]), ([], []))[0].append(tuple(np.array([r[c]]) for c in ("pid", "start", "ts")))
+    got = [x for part in pair_times._summed(parts, 80, 80, True, True) for x in zip(*(c.tolist() for c in part))]
+    assert {(a, b): (t, e) for a, b, t, e in got} == pairs_of_all(d) and len(got) > 100
+
+
 def chains_by_pairs(d):
     """Each Lock wait against every CPU row."""
     all_rows = [r for r in d.collect() if r["marker"] is None]
