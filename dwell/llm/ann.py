@@ -1,6 +1,5 @@
 """Approximate nearest neighbours by a forest of random-projection trees."""
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,8 +11,11 @@ from pyspark.sql import functions as F
 
 from dwell.llm.common import cut
 
-FOUND = "block long, query_id long, vec_id long, score double"
-BLOCK = 2048  # rows of a leaf that one task compares at a time
+FOUND = "query_id long, vec_id long, score double"
+MET = "part int, kind int, id long, x array<double>, leaf int, floor double, open array<int>"  # kind 0: a row, 1: a query
+BLOCK = 8192  # rows that queries meet at a time where all are compared
+HELD = 2**22  # components of the rows that a task holds at a time
+SCORES = 2**20  # scores, distances of leaves and finds that are laid out at once
 
 
 @dataclass
@@ -64,25 +66,50 @@ class Tree:
             at[go] = self.children[n, up.astype(np.int64)]
         return ~at
 
-
-def probe(trees: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int]]:
-    """The ``probes`` leaves of the whole forest that q is nearest to, from one queue for all trees.
+    def wrong(self, q: np.ndarray) -> np.ndarray:
+        """For each leaf and row of q the sum of squares of the margins by which it lies on the wrong side on the leaf's path."""
+        out = np.zeros((self.leaves, len(q)))
+        if not len(self.planes):
+            return out
+        margin = np.einsum("jd,id->ji", self.planes, q) - self.offsets[:, None]
+        to, level = np.zeros_like(margin), np.zeros(1, np.int64)
+        while len(level):
+            below = []
+            for side in (0, 1):
+                c = self.children[level, side]
+                far = to[level] + np.maximum(0.0, -margin[level] if side else margin[level]) ** 2
+                to[c[c >= 0]], out[~c[c < 0]] = far[c >= 0], far[c < 0]
+                below.append(c[c >= 0])
+            level = np.concatenate(below)
+        return out
+
+
+def nearest_leaves(trees: list[Tree], q: np.ndarray, upto: int) -> np.ndarray:
+    """The ``upto`` leaves of the whole forest that each row of q is nearest to, in order; leaves are numbered tree after tree.
 
     A leaf's distance is the sum of squares of the margins by which q lies on the wrong side on its path.
     """
-    queue = [(0.0, t, 0 if len(tree.planes) else -1) for t, tree in enumerate(trees)]
-    margins = [tree.planes @ q - tree.offsets if len(tree.planes) else None for tree in trees]
-    heapq.heapify(queue)
-    out = []
-    while queue and len(out) < probes:
-        wrong, t, n = heapq.heappop(queue)
-        if n < 0:
-            out.append((t, ~n))
-            continue
-        m = margins[t][n]
-        for side, c in enumerate(trees[t].children[n].tolist()):
-            heapq.heappush(queue, (wrong + max(0.0, float(-m if side else m)) ** 2, t, c))
-    return out
+    wrong = np.vstack([t.wrong(q) for t in trees])
+    return np.argsort(np.ascontiguousarray(wrong.T), axis=1, kind="stable")[:, :upto]
+
+
+def parts_of(rows: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first part of each leaf and how many parts it has, tree after tree, and the number of parts; rows are those of each tree's leaves.
+
+    Leaves that follow each other in a tree share a part of up to ``most`` rows; a leaf of more has parts of its own, an empty one none.
+    """
+    first, of, at = [], [], 0
+    for tree in rows:
+        held = 0
+        for n in tree.tolist():
+            if held and held + n > most:
+                at, held = at + 1, 0
+            own = math.ceil(n / most)
+            first.append(at)
+            of.append(own)
+            at, held = (at + own, 0) if own > 1 else (at, held + n)
+        at += held > 0
+    return np.array(first, np.int64), np.array(of, np.int64), at
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -123,31 +150,93 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0.0, top * top - (x * x).sum(1)))[:, None]])
 
 
+Held = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # leaves, where each begins and the last ends, ids, vectors
+
+
+def _held(pieces: list[pa.RecordBatch]) -> Held | None:
+    """The rows of a part by leaf and id."""
+    if not pieces:
+        return None
+    t = pa.Table.from_batches(pieces)
+    ids, leaf = t["id"].to_numpy(), t["leaf"].to_numpy()
+    order = np.lexsort((ids, leaf))
+    leaves, at = np.unique(leaf[order], return_index=True)
+    return leaves, np.append(at, len(ids)), ids[order], _matrix(t["x"])[order]
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # place of the query, vec_id, score
+
+
+def _top(found: list[Found], k: int) -> Found:
+    row, vid, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((vid, -score, row))
+    row = row[order]
+    ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[ok], vid[order][ok], score[order][ok]
+
+
+def _best(queries: pa.RecordBatch, held: Held, k: int) -> pa.RecordBatch:
+    """The k best rows of this part's leaves for each query that opens them, if they reach its floor."""
+    leaves, bounds, ids, x = held
+    qid, q, floor = queries.column("id").to_numpy(), _matrix(queries.column("x")), queries.column("floor").to_numpy()
+    floor = np.maximum(floor, np.finfo(float).min)
+    row, leaf = np.repeat(np.arange(len(qid)), queries.column("open").value_lengths().to_numpy()), queries.column("open").flatten().to_numpy()
+    order = np.argsort(leaf, kind="stable")
+    row, leaf = row[order], leaf[order]
+    found, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    for name, lo, hi in zip(leaves.tolist(), bounds, bounds[1:]):
+        who, of = row[np.searchsorted(leaf, name) : np.searchsorted(leaf, name, "right")], ids[lo:hi]
+        some = max(1, SCORES // (hi - lo))
+        for asked in (who[i : i + some] for i in range(0, len(who), some)):
+            s = np.einsum("id,jd->ij", q[asked], x[lo:hi])  # equal rows get equal scores, which BLAS does not promise
+            own = np.minimum(np.searchsorted(of, qid[asked]), len(of) - 1)
+            me = np.flatnonzero(of[own] == qid[asked])
+            s[me, own[me]] = -np.inf
+            keep = s >= floor[asked][:, None]
+            many = np.flatnonzero(keep.sum(1) > 4 * k)
+            if len(many):
+                keep[many] &= s[many] >= np.partition(np.where(keep[many], s[many], -np.inf), -k, axis=1)[:, -k, None]
+            i, j = np.nonzero(keep)
+            found.append((asked[i], of[j], s[i, j]))
+            n += len(i)
+            if n > SCORES:
+                found = [_top(found, k)]
+                n = len(found[0][0])
+    row, vid, score = _top(found, k)
+    return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(vid), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
 def _compare(k: int):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        block = rows.column("block")[0].as_py() if len(rows) else 0
-        qid, vid = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
-        if len(qid) and len(vid):
-            q, x = _matrix(queries.column("q")), _matrix(rows.column("embedding"))
-            floor = queries.column("floor").to_numpy()
-            order = np.argsort(vid)
-            vid, x = vid[order], x[order]
-            for i in range(0, len(qid), 256):
-                s = np.einsum("id,jd->ij", q[i : i + 256], x)  # equal rows get equal scores, which BLAS does not promise
-                s[qid[i : i + 256][:, None] == vid] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, best, 1)
-                ok = (score > -np.inf) & (score >= floor[i : i + 256][:, None])
-                out[0].append(np.repeat(qid[i : i + 256], ok.sum(1)))
-                out[1].append(vid[best][ok])
-                out[2].append(score[ok])
-        found = [np.concatenate(o) for o in out]
-        return pa.table([pa.array(np.full(len(found[0]), block)), *map(pa.array, found)], names=["block", "query_id", "vec_id", "score"])
+    """Over parts that come one after another, of each its rows first: these are held, and queries are compared as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, got, held = None, [], None
+        for b in batches:
+            mark = np.stack([b.column(c).to_numpy() for c in ("part", "kind")])
+            cuts = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1).tolist(), mark.shape[1]]
+            for at, to in zip(cuts, cuts[1:]):
+                if at == to:
+                    continue
+                part, kind = mark[:, at].tolist()
+                if part != of:
+                    of, got, held = part, [], None
+                if kind == 0:
+                    got.append(b.slice(at, to - at))
+                    continue
+                if held is None:
+                    held, got = _held(got), []
+                if held is not None:
+                    yield _best(b.slice(at, to - at), held, k)
 
     return run
 
 
+def met(rows: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFrame:
+    """The k best of each part for each query in it. Both sides have the columns MET; a task holds the rows of one part, whatever the queries."""
+    d = rows.unionByName(queries).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
+    return d.mapInArrow(_compare(k), FOUND)
+
+
 def enough_probes(v: DataFrame, q: DataFrame, forest: list[Tree], top: float, n: int, k: int, recall: float, sample: int = 96) -> int:
     """The leaves that a query must open to find ``recall`` of its true neighbours, from a bounded sample of queries.
 
@@ -159,13 +248,14 @@ def enough_probes(v: DataFrame, q: DataFrame, forest: list[Tree], top: float, n:
     if not best.num_rows:
         return len(forest)
     ids, ask, found = best.column("query_id").to_numpy(), _matrix(best.column("q")), lifted(_matrix(best.column("embedding")), top)
-    leaves = np.array([t.leaf_of(found) for t in forest])
-    opened, order, last = [], {}, None
+    first = np.cumsum([0, *(t.leaves for t in forest)])
+    leaves = np.array([first[i] + t.leaf_of(found) for i, t in enumerate(forest)])
+    opened, order, last = [], np.zeros(first[-1], np.int64), None
     for row, i in enumerate(ids.tolist()):
         if i != last:
-            everything = probe(forest, np.append(ask[row], 0.0), sum(t.leaves for t in forest))
-            order, last = {p: at for at, p in enumerate(everything)}, i
-        opened.append(min(order[t, int(x)] for t, x in enumerate(leaves[:, row])) + 1)
+            order[nearest_leaves(forest, np.append(ask[row], 0.0)[None], len(order))[0]] = np.arange(len(order))
+            last = i
+        opened.append(int(order[leaves[:, row]].min()) + 1)
     return max(len(forest), int(np.sort(opened)[math.ceil(recall * len(opened)) - 1]))
 
 
@@ -177,8 +267,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12
     the leaves that one queue over all trees puts first, as many as a bounded sample of queries
     needs for ``recall`` against all rows, and the rows in them are scored exactly in double
     precision: first a leaf for each tree, then, with the score that a row must reach by now, the
-    others. Rows of a leaf are dealt over blocks of BLOCK rows, so a vector that a third of all
-    rows share is compared by many tasks and none is left out.
+    others. Leaves are dealt over parts of a bounded number of rows, and a query goes once to each
+    part in which it opens leaves. A task holds one part's rows and compares queries as they come.
+    A leaf of more rows has several parts, so a vector that a third of all rows share is compared
+    by many tasks and none is left out.
 
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller vec_id;
     fewer than k rows where there are no more. A query that finds fewer than k rows in its leaves
@@ -202,41 +294,67 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(forest)
     probes = enough_probes(v, q, forest, top, n, k, recall)
+    start_of = np.cumsum([0, *(t.leaves for t in forest)])  # leaves are numbered tree after tree
+
+    def leaves_of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        x = lifted(_matrix(b.column("embedding")), top)
+        return (start_of[t] + tree.leaf_of(x) for t, tree in enumerate(shared.value if len(x) else []))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros(start_of[-1], np.int64)
+        for b in batches:
+            for leaf in leaves_of(b):
+                rows += np.bincount(leaf, minlength=len(rows))
+        found = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows[found])], ["leaf", "rows"])
+
+    sizes = v.mapInArrow(count, "leaf long, rows long").groupBy("leaf").agg(F.sum("rows").alias("rows")).toArrow()
+    rows = np.zeros(start_of[-1], np.int64)
+    rows[sizes.column("leaf").to_numpy()] = sizes.column("rows").to_numpy()
+    first, of, parts = parts_of(np.split(rows, start_of[1:-1]), max(1, min(HELD // usual, max(2 * BLOCK, n // 4))))
+    dealt = spark.sparkContext.broadcast((first.astype(np.int32), of.astype(np.int32)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, of = dealt.value
         for b in batches:
-            x = lifted(_matrix(b.column("embedding")), top)
-            for t, tree in enumerate(shared.value if len(x) else []):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaf_of(x)), b.column("vec_id"), b.column("embedding")], ["tree", "leaf", "vec_id", "embedding"])
+            n, mixed = b.num_rows, b.column("vec_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            for leaf in leaves_of(b):
+                part = first[leaf] + (mixed % of[leaf].astype(np.uint64)).astype(np.int32)
+                cols = [pa.array(part, pa.int32()), pa.array(np.zeros(n, np.int32)), b.column("vec_id"), b.column("embedding"), pa.array(leaf, pa.int32()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "kind", "id", "x", "leaf", "floor", "open"])
 
-    def ask(first: int, upto: int):
+    def ask(begin: int, upto: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = _matrix(b.column("q"))
-                found = [probe(shared.value, np.append(r, 0.0), upto)[first:] for r in x]
-                flat = np.array([p for f in found for p in f], np.int64).reshape(-1, 2)
-                take = pa.array(np.repeat(np.arange(len(x)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1]), *(b.column(c).take(take) for c in ("query_id", "q", "floor"))], ["tree", "leaf", "query_id", "q", "floor"])
+            (first, of), some = dealt.value, max(1, SCORES // start_of[-1])
+            for b in (b.slice(i, some) for b in batches for i in range(0, b.num_rows, some)):
+                leaf = nearest_leaves(shared.value, np.hstack([_matrix(b.column("q")), np.zeros((b.num_rows, 1))]), upto)[:, begin:]
+                row, leaf = np.repeat(np.arange(len(leaf)), leaf.shape[1]), leaf.ravel()
+                own = of[leaf]
+                row, leaf = np.repeat(row, own), np.repeat(leaf, own)
+                part = first[leaf] + np.arange(len(leaf)) - np.repeat(np.cumsum(own) - own, own)
+                order = np.lexsort((part, row))
+                row, leaf, part = row[order], leaf[order], part[order]
+                starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1]))[: len(row)])
+                ends = np.append(starts[1:], len(row))
+                step = max(1, HELD // 16 // usual)
+                for s, e in ((starts[i : i + step], ends[i : i + step]) for i in range(0, len(starts), step)):
+                    c, n = b.take(pa.array(row[s])), len(s)
+                    open_ = pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]) - s[0], pa.int32()), pa.array(leaf[s[0] : e[-1]], pa.int32()))
+                    cols = [pa.array(part[s], pa.int32()), pa.array(np.ones(n, np.int32)), c.column("query_id"), c.column("q"), pa.nulls(n, pa.int32()), c.column("floor"), open_]
+                    yield pa.RecordBatch.from_arrays(cols, ["part", "kind", "id", "x", "leaf", "floor", "open"])
 
         return run
 
-    key = ["tree", "leaf"]
-    leaves = v.mapInArrow(place, "tree int, leaf long, vec_id long, embedding array<double>")
-    sizes = cut(leaves.groupBy(*key).agg(F.count("*").alias("rows")))
-    blocks = F.ceil(F.col("rows") / BLOCK)
-    large = sizes.filter(F.col("rows") > BLOCK)
-    dealt = leaves.join(large, key, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("vec_id"), blocks), F.lit(0))).drop("rows")
+    spread = max(1, min(4096, math.ceil(q.count() / 512)))
 
-    def opened(q: DataFrame, first: int, upto: int) -> DataFrame:
-        asked = q.mapInArrow(ask(first, upto), "tree int, leaf long, query_id long, q array<double>, floor double").join(sizes, key)
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("rows")
-        return asked.groupBy(*key, "block").cogroup(dealt.groupBy(*key, "block")).applyInArrow(_compare(k), FOUND)
+    def opened(q: DataFrame, begin: int, upto: int) -> DataFrame:
+        return met(v.mapInArrow(place, MET), q.repartition(spread).mapInArrow(ask(begin, upto), MET), parts, k)
 
     lowest = F.lit(float("-inf"))
     start = cut(ranked(opened(q.withColumn("floor", lowest), 0, trees), k))
     floor = start.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
     again = q.join(floor, "query_id", "left").select("query_id", "q", F.when(F.col("n") == k, F.col("low")).otherwise(lowest).alias("floor"))
-    more = opened(again, trees, probes).unionByName(start.select(F.lit(0).cast("long").alias("block"), "query_id", "vec_id", "score"))
+    more = opened(again, trees, probes).unionByName(start.select("query_id", "vec_id", "score"))
     found = cut(ranked(more, k))
     few = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, n - 1)).select("query_id")
     few = cut(q.join(few, "query_id", "left_anti"))
@@ -247,10 +365,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12
 
 def compare_all(rows: DataFrame, queries: DataFrame, k: int, n: int) -> DataFrame:
     """The k nearest of all n rows, block by block: rows has vec_id and embedding, queries query_id and q."""
-    blocks = max(1, math.ceil(n / BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.select("query_id", "q", F.lit(float("-inf")).alias("floor"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    return ranked(asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_compare(k), FOUND), k)
+    blocks, no = max(1, math.ceil(n / BLOCK)), lambda kind: F.lit(None).cast(kind)
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    dealt = rows.select(part.alias("part"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.lit(0).alias("leaf"), no("double").alias("floor"), no("array<int>").alias("open"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = queries.select(every.alias("part"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("x"), no("int").alias("leaf"), F.lit(float("-inf")).alias("floor"), F.array(F.lit(0)).alias("open"))
+    return ranked(met(dealt, asked, blocks, k), k)
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -336,6 +337,46 @@ def test_neighbours_of_few_and_odd_vectors(spark):
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_queries_are_compared_as_they_come(spark):
+    rng = np.random.default_rng(4)
+    x, leaf = rng.normal(size=(90, 4)), np.repeat([0, 1, 2], 30)
+    x[40:60] = x[40]
+
+    def batch(kind, ids, vectors, leaves=None, opened=None):
+        n = len(ids)
+        lists = pa.array([v.tolist() for v in vectors], pa.list_(pa.float64()))
+        cols = [pa.array([3] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(ids, pa.int64()), lists, pa.array(leaves or [None] * n, pa.int32()), pa.array([float("-inf")] * n if kind else [None] * n, pa.float64()), pa.array(opened or [None] * n, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(cols, ["part", "kind", "id", "x", "leaf", "floor", "open"])
+
+    read = []
+
+    def came():
+        for at in range(0, 90, 25):  # rows first, over several batches
+            ids = list(range(at, min(at + 25, 90)))
+            yield batch(0, ids, x[ids], leaf[ids].tolist())
+        for i in range(0, 90, 3):
+            read.append(i)
+            yield batch(1, [i], x[[i]], None, [[0, 1] if i % 2 else [1, 2]])
+
+    for n, got in enumerate(ann._compare(5)(came())):
+        i = 3 * n
+        assert read[-1] == i  # no query waits for those after it, so their number takes no memory
+        rows = [j for j in range(90) if j != i and leaf[j] in ([0, 1] if i % 2 else [1, 2])]
+        want = sorted((-float(np.einsum("id,jd->ij", x[[i]], x[[j]])[0, 0]), j) for j in rows)[:5]
+        assert got.column("query_id").to_pylist() == [i] * 5 and got.column("vec_id").to_pylist() == [j for _, j in want]
+    assert n == 29
+    first, of, parts = ann.parts_of([np.array([3, 4, 0, 2]), np.array([25]), np.array([1, 9, 30, 1])], 10)
+    assert (first.tolist(), of.tolist(), parts) == ([0, 0, 0, 0, 1, 4, 4, 5, 8], [1, 1, 0, 1, 3, 1, 1, 3, 1], 9)
+
+
+def test_neighbours_by_small_parts(spark, monkeypatch):
+    _, v = vectors(spark, 1500, copies=500)
+    find = lambda: [tuple(r) for r in ann.nearest(v, v.filter("vec_id % 50 = 0"), k=10, leaf=64).orderBy("query_id", "rank").collect()]
+    want = find()
+    monkeypatch.setattr(ann, "HELD", 16 * 200)  # leaves of copies have several parts
+    assert find() == want and len(want) == 300
+
+
 def test_compare_all_equals_brute_force(spark):
     data, v = vectors(spark, 300)
     u = ann.usable(v)
