@@ -147,11 +147,12 @@ def best_beyond(points: DataFrame, asked: DataFrame, keys: list[str], chunk: int
 def coalesce_spans(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", chunk: int | None = None) -> DataFrame:
     """Merges spans that overlap or touch, per key. Empty spans are left out.
 
-    With a chunk, a key's spans are dealt over stretches of time: see carried.
+    With a chunk, a key's spans are dealt over stretches of time: see carried. Each such pass reads its rows twice, so
+    they are written between the two; else the plan would hold the input four times, and grow by that with every step.
     """
     d = carried(df.filter(F.col(start) < F.col(end)).select(*keys, start, end), keys, start, [start, end], chunk, highs={"_before": end})
-    d = d.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0))
-    d = carried(d.drop("_before"), keys, start, [start, end], chunk, sums={"_island": "_new"})
+    d = d.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0)).drop("_before")
+    d = carried(settled(d) if chunk else d, keys, start, [start, end], chunk, sums={"_island": "_new"})
     return d.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dwell.functions.intervals import carried, coalesce_spans, distinct_ahead, greedy_onsets, overlap_candidates, overlap_join, pair_lifo, split_to_buckets, state_ranges, subtract_spans
+from dwell.operators import coverage
 
 
 def test_overlap_join_gives_each_pair_once(spark):
@@ -114,3 +115,16 @@ def test_onsets_equal_a_plain_pass(spark, width, least, chunk, spread):
 
 def test_no_onsets_without_rows(spark):
     assert greedy_onsets(spark.createDataFrame([], "k string, t long, p long"), ["k"], "t", "p", 5, 3).count() == 0
+
+
+def test_merging_does_not_multiply_the_plan(spark):
+    spans = spark.createDataFrame([(0, 0, 4), (0, 3, 6), (0, 6, 9), (0, 12, 14), (0, 40, 41), (0, 13, 13)], "k int, s long, e long")
+    once = lambda d: d._jdf.queryExecution().analyzed().collectLeaves().size()
+    merged = coalesce_spans(spans, ["k"], chunk=5)
+    again = coalesce_spans(coalesce_spans(merged, ["k"], chunk=5), ["k"], chunk=5)
+    assert sorted(tuple(r) for r in again.collect()) == [(0, 0, 9), (0, 12, 14), (0, 40, 41)]
+    assert once(again) == once(merged) <= 2
+    other = spans.select(F.col("s") + 8, F.col("e") + 10).toDF("s", "e")
+    ranges = coverage.fidelity_ranges(spans, other, 0, 60, 1, 5)
+    assert sorted((r["s"], r["e"], r["kind"]) for r in ranges.collect()) == [(0, 9, "exact"), (9, 12, "sampled"), (12, 14, "exact"), (14, 19, "sampled"), (19, 20, "none"), (20, 24, "sampled"), (24, 40, "none"), (40, 41, "exact"), (41, 48, "none"), (48, 51, "sampled"), (51, 60, "none")]
+    assert once(ranges) < 20
